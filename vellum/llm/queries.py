@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, crosspoly, decontam, mixing, secrets, simhash, toxicity, warc
+from vellum.llm import bpe, crosspoly, decontam, maxent, mixing, secrets, simhash, toxicity, warc
 from vellum.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scores": op5_lm_scores,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_source_mix": op8_source_mix,
