@@ -234,6 +234,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, with all columns, in which no window of a benchmark item occurs."""
+    spark = docs.sparkSession
+    kept = docs.columns
+    out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows: Windows = shared.value
+            for b, texts in _shards(batches):
+                shard = Shard(texts, windows.vocab)
+                hit = np.zeros(b.num_rows, bool)
+                hit[np.searchsorted(shard.ends, shard.phrases(windows)[1], side="right")] = True
+                yield b.filter(pa.array(~hit))
+
+        return run
+
+    blocks = _blocks(benchmark, item_col, "text", block_words)
+    for k, items in enumerate(blocks):
+        out = out.mapInArrow(search(spark.sparkContext.broadcast(Windows(items(), width))), out.schema)
+        if k < len(blocks) - 1:
+            out = stored(out, "decontam")
+    return out.select(*kept)
+
+
 def proximity_matches(
     docs: DataFrame, benchmark: DataFrame, terms: int = 3, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS
 ) -> DataFrame:

@@ -180,12 +180,33 @@ def links(codes: DataFrame, radius: int = 4, agree: int | None = None, shard: in
     return tiles.repartition(shuffle_width(codes.sparkSession), *keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for each row."""
+def _labelled(docs: DataFrame, radius: int, size: int, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each row, and fp, least (doc_id), label (least fp of the component) of each fingerprint."""
     fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
     codes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "codes")
     label = components(links(codes.select("fp"), radius, **options))
-    named = codes.join(label, codes["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    return fps, codes.join(label, codes["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for each row."""
+    fps, named = _labelled(docs, radius, size, id_col, text_col, options)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of = named.join(least, "label").select("fp", "component_id")
     return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the least doc_id stays (null last).
+
+    Rows that share that id: the one whose text has the least hash; of equal rows one.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    tagged = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "__hash": F.xxhash64(text)})
+    fps, named = _labelled(tagged.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__hash").alias("hash")).alias("row"), text.alias("text")), radius, size, "row", "text", options)
+    first = named.groupBy("label").agg(F.min("least").alias("row"))
+    stay = first.select(F.coalesce(F.col("row.id").cast("string"), F.lit("null")).alias("__id"), F.col("row.hash").alias("__hash"))
+    out = tagged.join(stay, ["__id", "__hash"], "left_semi")
+    if tagged.groupBy("__id", "__hash").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["__id", "__hash"])
+    return out.drop("__id", "__hash")
