@@ -42,8 +42,8 @@ class Settings:
     decay: squared weights cost so much, divided by the number of toxic rows.
     """
 
-    positives: int = 6_000
-    unlabelled: int = 24_000
+    positives: int = 4_000
+    unlabelled: int = 12_000
     bits: int = 22
     least_positives: int = 3
     least_lift: float = 2.0
@@ -148,13 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
     sample = sample.unionByName(rest.orderBy(*order).limit(s.unlabelled).withColumn("positive", F.lit(False)))
     # at most positives + unlabelled rows of one id each: bounded
     chosen = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text")).join(F.broadcast(sample), id_col)
-    rows = _features(chosen, (1 << s.bits) - 1, "__text").groupBy(id_col, "positive").agg(F.min("features").alias("features")).orderBy(id_col).collect()
-    sets = lambda flag: [np.array(r["features"], np.int64) for r in rows if r["positive"] == flag]
-    return fit(sets(True), sets(False), prior, s)
+    rows = _features(chosen, (1 << s.bits) - 1, "__text").groupBy(id_col, "positive").agg(F.min("features").alias("features")).orderBy(id_col).toArrow().combine_chunks()
+    lists, flags = rows["features"].combine_chunks(), rows["positive"].to_numpy()
+    sets = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1]) if len(lists) else []
+    return fit([x for x, f in zip(sets, flags, strict=True) if f], [x for x, f in zip(sets, flags, strict=True) if not f], prior, s)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows' columns with toxicity (0 to 1) added: the sigmoid of the summed weights of each text's distinct words."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """The rows with out_col (0 to 1) added: the sigmoid of the summed weights of each text's distinct words."""
     shared = docs.sparkSession.sparkContext.broadcast((model.by_feature(), model.bias, model.mask))
 
     @F.pandas_udf("double")
@@ -176,11 +177,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out[k] = total
             yield pd.Series(_sigmoid(out))
 
-    return docs.withColumn("toxicity", toxicity(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return docs.withColumn(out_col, toxicity(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
     model = train(docs, labels, settings, id_col=id_col, text_col=text_col)
-    scored = score(docs.select(id_col, text_col), model, id_col, text_col)
+    scored = score(docs.select(id_col, text_col), model, text_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
