@@ -3,12 +3,12 @@
 Only headers (page id, payload digest, length) are shuffled by digest to find each payload's original, the
 record with the smallest id; then bodies meet their decisions by id, and a page whose payload another one
 holds is written as a revisit record without a body. The archives are written by Spark's text sink, one
-row per record with CRLF CRLF as the separator, into the folder that the cluster shares, and read back by
-the records' Content-Length, whatever the payloads hold.
+row per record with CRLF CRLF as the separator, gzipped by file, into the folder that the cluster shares, and
+read back by the records' Content-Length, whatever the payloads hold.
 
 Null html counts as an empty payload, a null url as an empty target; an empty table gives no archive. A page
-with a null id gets the id "null" and sorts last. Rows that repeat an id
-and its payload get the same record type. Other columns are ignored.
+with a null id gets the id "null" and sorts last. Rows that repeat an id and
+its payload get the same record type. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def write(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> Non
         F.lit(CRLF),
     )
     record = F.concat(head.cast("binary"), F.coalesce(F.col("payload"), F.lit("").cast("binary"))).cast("string")
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -139,12 +139,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
+        import gzip
         import hashlib
 
         for b in batches:
             for content in b.column(0):
                 rows = []
-                for f, block in parse(content.as_buffer().to_pybytes()):
+                for f, block in parse(gzip.decompress(content.as_buffer())):
                     again = f["warc-type"] == "revisit"
                     digest = f["warc-payload-digest"].partition(":")[2] if again else base64.b32encode(hashlib.sha1(block).digest()).decode()
                     rows.append((f["x-page-id"], f["warc-type"], int(f["x-payload-length"]) if again else len(block), digest, f.get("x-refers-to-page-id"), f["warc-target-uri"]))
