@@ -61,3 +61,30 @@ PAGE_TEXT = "page_text AS (SELECT CAST(doc_id AS VARCHAR) AS scan_id, 0 AS page_
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned words: doc_id, pos, w (some misread on purpose), conf (0 to 99), left, top, right, bottom."""
+    return (
+        table(spark, sf_dir, "documents")
+        .selectExpr("doc_id", r"posexplode(filter(split(text, '[ \\t\\r\\n]+'), w -> w <> '')) AS (pos, raw)")
+        .selectExpr(
+            "doc_id",
+            "pos",
+            """CASE pos % 7 WHEN 0 THEN replace(raw, 'o', '0') WHEN 1 THEN replace(raw, 'm', 'rn') WHEN 2 THEN replace(raw, 'd', 'cl')
+                WHEN 3 THEN concat('(', replace(raw, 'l', '1'), ',') WHEN 4 THEN concat('1', raw, '23') WHEN 5 THEN concat(raw, '.') ELSE raw END AS w""",
+            "cast((pos * 37 + doc_id) % 100 AS double) AS conf",
+            "cast(pos % 10 * 60 AS double) AS left",
+            "cast(pos div 10 * 30 + (pos * 7 + doc_id) % 5 AS double) AS top",
+            "cast(pos % 10 * 60 + 50 AS double) AS right",
+            "cast(pos div 10 * 30 + (pos * 7 + doc_id) % 5 + 20 + pos % 3 AS double) AS bottom",
+        )
+    )
+
+
+WORDS = r"""words AS (SELECT doc_id, pos, CASE pos % 7 WHEN 0 THEN replace(raw, 'o', '0') WHEN 1 THEN replace(raw, 'm', 'rn') WHEN 2 THEN replace(raw, 'd', 'cl')
+        WHEN 3 THEN concat('(', replace(raw, 'l', '1'), ',') WHEN 4 THEN concat('1', raw, '23') WHEN 5 THEN concat(raw, '.') ELSE raw END AS w,
+        CAST((pos * 37 + doc_id) % 100 AS DOUBLE) AS conf, CAST(pos % 10 * 60 AS DOUBLE) AS "left", CAST(pos // 10 * 30 + (pos * 7 + doc_id) % 5 AS DOUBLE) AS top,
+        CAST(pos % 10 * 60 + 50 AS DOUBLE) AS "right", CAST(pos // 10 * 30 + (pos * 7 + doc_id) % 5 + 20 + pos % 3 AS DOUBLE) AS bottom
+    FROM (SELECT doc_id, unnest(ws) AS raw, unnest(range(len(ws))) AS pos FROM
+        (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda w: w <> '') AS ws FROM documents) AS a) AS b)"""
