@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import shuffle_width, stored
 
-#: Bytes of a gram; bytes hashed together; stretches of a gram that meet in one shard; bytes of a suffix array.
-GRAM, SEGMENT, CROWD, ARRAY = 40, 1 << 20, 20_000, 2 << 20
+#: Bytes of a gram; bytes hashed together; strings of a stretch at most; stretches of a gram that meet in one shard; bytes of a suffix array.
+GRAM, SEGMENT, RUN, CROWD, ARRAY = 40, 1 << 20, 256, 20_000, 2 << 20
 ODD = 0x9E3779B97F4A7C15
 
 
@@ -41,13 +41,17 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are the smallest of some string of `least` bytes."""
+def stretches(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end, gram and flag of the stretches of text whose strings of `least` bytes share their smallest gram.
+
+    A stretch holds every string of one run of such strings, RUN at most. The flag tells that the gram is in it
+    twice, so that it may repeat itself.
+    """
     span = least - GRAM + 1
-    places, hashes = [], []
+    parts: list[tuple] = []
     with np.errstate(over="ignore"):
-        for begin in range(0, max(0, len(text) - least + 1), SEGMENT):
-            a = np.frombuffer(text[begin : begin + SEGMENT + least - 1], np.uint8).astype(np.uint64) + np.uint64(1)
+        for at in range(0, max(0, len(text) - least + 1), SEGMENT):
+            a = np.frombuffer(text[at : at + SEGMENT + least - 1], np.uint8).astype(np.uint64) + np.uint64(1)
             n = len(a)
             power = np.full(n, ODD, np.uint64)
             power[0] = 1
@@ -62,19 +66,30 @@ def anchors(text: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(32)
             low = _slide(h, span, np.minimum)
             edge = np.zeros(span - 1, np.uint64)
-            at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), span, np.maximum) == h)
-            places.append(at + begin)
-            hashes.append(h[at])
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first]
-
-
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+            anchor = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), span, np.maximum) == h)
+            run = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+            size = np.diff(np.append(run, len(low)))
+            cuts = -(-size // RUN)
+            nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            begin = np.repeat(run, cuts) + nth * RUN
+            last = np.minimum(begin + RUN, np.repeat(run + size, cuts)) - 1
+            gram = low[begin]
+            # anchors of the same gram inside the stretch
+            names = np.unique(gram)
+            rank = lambda x: np.searchsorted(names, x).astype(np.int64) << 32
+            keys = np.sort(rank(h[anchor]) + anchor)
+            twice = np.searchsorted(keys, rank(gram) + last + span) - np.searchsorted(keys, rank(gram) + begin) > 1
+            parts.append((begin + at, last + at + least, gram, twice))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def suffix_array(text: np.ndarray, depth: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places in the order of their suffixes' first `depth` symbols at least, and packed words of 8 symbols.
 
-    text: uint8 that ends with a 0.
+    text: uint8 that ends with a 0. asked: a mask of the places to sort; those from there to the next suffix
+    that is smaller than its successor are sorted as well, as the others are induced from them.
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)]).astype(np.uint64)
@@ -85,7 +100,14 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     change = np.flatnonzero(text[1:] != text[:-1])
     up = np.append(text[change] < text[change + 1], False)
     smaller = up[np.searchsorted(change, np.arange(n), side="left")]
-    own = np.flatnonzero(smaller)
+    if asked is None:
+        asked = np.ones(n, bool)
+    else:
+        # the last asked place before each place, and whether a directly sorted one lies between
+        reach = np.maximum.accumulate(np.where(asked, np.arange(n), -1))
+        direct_before = np.concatenate([[0], np.cumsum(smaller)])
+        asked = asked | (reach >= 0) & (direct_before[np.arange(n)] - direct_before[np.maximum(reach, 0)] == 0)
+    own = np.flatnonzero(smaller & asked)
     own = own[np.argsort(words[own], kind="stable")]
     fresh = np.append(True, words[own][1:] != words[own][:-1]) if len(own) else np.empty(0, bool)
     for d in range(8, depth, 8):
@@ -100,16 +122,17 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         key = key[order]
         fresh[at[1:]] |= (key[1:] != key[:-1]) & (group[at[1:]] == group[at[:-1]])
     # buckets by first symbol: induced suffixes in front, sorted ones behind
-    out = np.empty(n, np.int64)
-    sizes = np.bincount(text, minlength=256)
+    out = np.empty(int(asked.sum()), np.int64)
+    sizes = np.bincount(text[asked], minlength=256)
     begin = np.cumsum(sizes) - sizes
     direct = np.bincount(text[own], minlength=256)
     behind = begin + sizes - direct
     split = np.cumsum(direct) - direct
     front = begin.copy()
-    induced = ~smaller
-    out[front[0]] = n - 1
-    front[0] += 1
+    induced = ~smaller & asked
+    if asked[-1]:
+        out[front[0]] = n - 1
+        front[0] += 1
     scanned = begin.copy()
     for c in range(256):
         if not sizes[c]:
@@ -158,10 +181,11 @@ def repeats(stretches: list[bytes], owner: np.ndarray, start: np.ndarray, least:
     ends = np.cumsum(sizes + 1) - 1
     text = np.maximum(raw, 1)
     text[ends] = 0
-    order, words = suffix_array(text, least)
-    stretch = np.searchsorted(ends, order, side="left")
-    fits = order + least <= ends[stretch]
-    order, stretch = order[fits], stretch[fits]
+    holder = np.repeat(np.arange(len(ends)), sizes + 1)
+    asked = np.arange(len(text)) + least <= ends[holder]
+    order, words = suffix_array(text, least, asked)
+    order = order[asked[order]]
+    stretch = holder[order]
     lcp = common_prefixes(order, words, least)
     if (raw == 0).sum() > len(ends):
         lcp = _told_apart(raw, order, lcp, least)
@@ -209,7 +233,6 @@ def removals(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col
 
 def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
     spark = texts.sparkSession
-    before = least - GRAM
     names = ["gram", "stretch", "key", "alike", "start", "size", "kind"]
     anchor_schema = "gram long, stretch long, key long, alike long, start long, size int, kind int"
 
@@ -221,30 +244,31 @@ def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
             which, held = [], 0
 
             def out() -> pa.RecordBatch:
-                gram, stretch, start, size = (np.concatenate(p) for p in parts[:4])
+                gram, stretch, start, size, twice = (np.concatenate(p) for p in parts)
                 doc = np.concatenate(which)
                 key, alike = keys[doc], alikes[doc]
                 order = np.lexsort((start, alike, key, stretch, gram))
-                gram, stretch, key, alike, start, size = (x[order] for x in (gram, stretch, key, alike, start, size))
+                gram, stretch, key, alike, start, size, twice = (x[order] for x in (gram, stretch, key, alike, start, size, twice))
                 whole = _runs([gram, stretch, key, alike, start])
                 gram, stretch, key, alike, start, size = (x[whole] for x in (gram, stretch, key, alike, start, size))
                 first = _runs([gram, stretch])
                 # later copies in the batch are decided; they are dealt out by their place rather than their gram
                 place = key * 1_000_003 + start
-                return pa.RecordBatch.from_arrays([pa.array(np.where(first, gram, place)), pa.array(stretch), pa.array(key), pa.array(alike), pa.array(start), pa.array(size.astype(np.int32)), pa.array((~first).astype(np.int32))], names=names)
+                kind = np.where(first, np.where(twice[whole], 2, 0), 1).astype(np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(np.where(first, gram, place)), pa.array(stretch), pa.array(key), pa.array(alike), pa.array(start), pa.array(size.astype(np.int32)), pa.array(kind)], names=names)
 
             for k, cell in enumerate(b.column(2)):
                 t = cell.as_py()
-                at, h = anchors(t, least)
-                if not len(at):
+                begin, end, gram, twice = stretches(t, least)
+                if not len(begin):
                     continue
-                begin, end = np.maximum(at - before, 0), np.minimum(at + least, len(t))
-                parts[0].append(h.view(np.int64))
-                parts[1].append(np.fromiter((digest(t[s:e]) for s, e in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(at)).view(np.int64))
+                parts[0].append(gram.view(np.int64))
+                parts[1].append(np.fromiter((digest(t[s:e]) for s, e in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(begin)).view(np.int64))
                 parts[2].append(begin)
                 parts[3].append(end - begin)
-                which.append(np.full(len(at), k))
-                held += len(at)
+                parts[4].append(twice)
+                which.append(np.full(len(begin), k))
+                held += len(begin)
                 if held > 2_000_000:
                     yield out()
                     parts, which, held = [[] for _ in range(5)], [], 0
@@ -252,7 +276,7 @@ def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
                 yield out()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 1: later copies, removed. Kinds 2 and 3: first copies whose gram has other stretches, few or many."""
+        """Kind 1: later copies, removed. Kinds 2 and 3: first copies whose gram is twice in them, or has other stretches, few or many."""
         last_gram = last_stretch = last_place = None
         waiting: list[list[np.ndarray]] = []
         count, many = 0, False
@@ -261,8 +285,11 @@ def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(np.full(len(columns[0]), kind, np.int32))], names=["gram", "key", "alike", "start", "size", "kind"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            if count > 1 and not many:
-                yield row(2, [np.concatenate(c) for c in zip(*waiting, strict=True)])
+            if waiting and not many:
+                columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+                take = np.full(len(columns[0]), count > 1) | (columns[5] == 2)
+                if take.any():
+                    yield row(2, [c[take] for c in columns[:5]])
 
         for b in batches:
             if not b.num_rows:
@@ -271,7 +298,7 @@ def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
             passed = kind == 1
             if passed.any():
                 yield row(1, [x[passed] for x in (gram, key, alike, start, size)])
-                gram, stretch, key, alike, start, size = (x[~passed] for x in (gram, stretch, key, alike, start, size))
+                gram, stretch, key, alike, start, size, kind = (x[~passed] for x in (gram, stretch, key, alike, start, size, kind))
                 if not len(gram):
                     continue
             first = _runs([gram, stretch])
@@ -287,7 +314,7 @@ def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
             if first.any():
                 k = int(np.flatnonzero(first)[-1])
                 last_place = key[k], alike[k], start[k]
-            own = [x[first] for x in (gram, key, alike, start, size)]
+            own = [x[first] for x in (gram, key, alike, start, size, kind)]
             if not len(own[0]):
                 continue
             heads = np.flatnonzero(_runs([own[0]]))
@@ -298,7 +325,7 @@ def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
                 piece = [x[: tails[0]] for x in own]
                 count += len(piece[0])
                 if many:
-                    yield row(3, piece)
+                    yield row(3, piece[:5])
                 else:
                     waiting.append(piece)
             if begin_new < len(heads):
@@ -306,18 +333,17 @@ def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
                 # groups that end in this batch: only those with two stretches or more matter
                 inner = slice(begin_new, len(heads) - 1)
                 n = tails[inner] - heads[inner]
-                take = np.repeat(n > 1, n)
-                if take.any():
-                    part = [x[heads[begin_new] : heads[-1]] for x in own]
-                    big = np.repeat(n > crowd, n)
-                    for flag, k in ((big, 3), (~big & take, 2)):
-                        if flag.any():
-                            yield row(k, [x[flag] for x in part])
+                part = [x[heads[begin_new] : heads[-1]] for x in own]
+                big = np.repeat(n > crowd, n)
+                take = np.repeat(n > 1, n) | (part[5] == 2)
+                for flag, k in ((big, 3), (~big & take, 2)):
+                    if flag.any():
+                        yield row(k, [x[flag] for x in part[:5]])
                 waiting, many = [[x[heads[-1] :] for x in own]], False
                 count = len(waiting[0][0])
             if count > crowd and not many:
                 many = True
-                yield row(3, [np.concatenate(c) for c in zip(*waiting, strict=True)])
+                yield row(3, [np.concatenate(c) for c in zip(*waiting, strict=True)][:5])
                 waiting = []
             last_gram, last_stretch = gram[-1], stretch[-1]
         yield from close()
