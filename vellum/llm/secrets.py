@@ -64,7 +64,10 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", documents: int = 2
         "false AS random",
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).orderBy("h", "t").limit(documents)
+    hashed = docs.select(F.xxhash64(text).alias("h"), text.alias("t"))
+    # the hashes alone are compared; only texts below the last one that is taken are moved, and of copies one
+    last = hashed.select("h").distinct().orderBy("h").limit(documents).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("t").alias("t"))
     words = chosen.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z_-]{3,}(?![A-Za-z0-9])"), F.lit(0))).alias("sample"), F.lit(False).alias("random"))
     return random.unionByName(ordinary).unionByName(words)
 
