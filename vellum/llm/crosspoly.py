@@ -40,6 +40,13 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """The rows in double precision, scaled to length 1."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def codes(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int) -> np.ndarray:
     """(rows, tables, 1 + probes): the own bucket of each vector in each table, and the next ones that it visits."""
     d = 1 << max(0, x.shape[1] - 1).bit_length()
@@ -121,7 +128,7 @@ def _meet(unit: np.ndarray, code: np.ndarray, slot: np.ndarray, table: int, buck
 
 
 def near_duplicates(
-    df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 10, hashes: int | None = None, probes: int = 2, seed: int = 5, tile: int = TILE
+    df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, hashes: int | None = None, probes: int = 2, seed: int = 5, tile: int = TILE
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row.
 
@@ -137,6 +144,8 @@ def near_duplicates(
         count = nodes.count()
         hashes = 2 + max(0, (count // 4_000_000).bit_length() + 7) // 8
         tables = round(tables * 1.7 ** (hashes - 2))
+    element = df.schema[vector_col].dataType.elementType
+    packed_type = "<f4" if isinstance(element, T.FloatType) else "<f8"
     entry = "node long, n long, slot int, tab int, bucket int, size int, v binary, code binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +157,9 @@ def near_duplicates(
             for d in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == d)
                 for part in np.array_split(own, -(-len(own) // 2_000)):
-                    x = flat[starts[part][:, None] + np.arange(d)]
-                    x = x / np.abs(x).max(axis=1, keepdims=True)
-                    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    code = codes(unit, tables, hashes, probes, seed)
-                    vectors, packed = [r.tobytes() for r in unit], [r.tobytes() for r in code]
+                    raw = flat[starts[part][:, None] + np.arange(d)]
+                    code = codes(unit_rows(raw), tables, hashes, probes, seed)
+                    vectors, packed = [r.tobytes() for r in raw.astype(packed_type)], [r.tobytes() for r in code]
                     m, per = len(part), tables * (1 + probes)
                     again = np.repeat(np.arange(m), per)
                     # a probe may lead to the own bucket again, or twice to one
@@ -173,7 +180,8 @@ def near_duplicates(
 
     dealt = nodes.select("node", "n", "v").mapInArrow(deal, entry)
     keys = ["tab", "bucket", "size"]
-    large = dealt.groupBy(*keys).count().where(F.col("count") > tile).select(*keys, F.expr(f"cast(ceil(count / {tile}) AS int)").alias("slices"))
+    # written, so that Spark knows its size: few keys, joined without shuffling the other side while they stay few
+    large = stored(dealt.groupBy(*keys).count().where(F.col("count") > tile).select(*keys, F.expr(f"cast(ceil(count / {tile}) AS int)").alias("slices")), "large-buckets")
     sliced = dealt.join(large, keys, "left").withColumn("own", F.expr("cast(pmod(xxhash64(node, 3), coalesce(slices, 1)) AS int)"))
     pairs = F.expr("CASE WHEN slices IS NULL THEN array(-1L) ELSE transform(sequence(0, slices - 1), t -> least(t, own) * 1000000L + greatest(t, own)) END")
     tiles = sliced.withColumn("pair", F.explode(pairs)).drop("slices")
@@ -186,7 +194,7 @@ def near_duplicates(
             slot = t["slot"].to_numpy()
             if len(slot) < 2 or not (slot == 0).any():
                 return None
-            unit = np.frombuffer(b"".join(t["v"].to_pylist())).reshape(len(slot), -1)
+            unit = unit_rows(np.frombuffer(b"".join(t["v"].to_pylist()), packed_type).reshape(len(slot), -1))
             code = np.frombuffer(b"".join(t["code"].to_pylist()), np.int32).reshape(len(slot), *shape)
             node, slices, pair = t["node"].to_numpy(), t["own"].to_numpy(), key[3]
             total, labels = _meet(unit, code, slot, key[0], key[1], t["n"].to_numpy(), least, slices, pair >= 0 and pair // 1_000_000 != pair % 1_000_000)
