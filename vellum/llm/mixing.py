@@ -26,7 +26,7 @@ from vellum.llm.common import stored
 GOLDEN = (5**0.5 - 1) / 2
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a bucket of documents, about, and slots of a chunk.
-BUCKET_ROWS, CHUNK = 20_000, 8_192
+BUCKET_ROWS, CHUNK = 1_000, 8_192
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -40,7 +40,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -
                 out[k] = weights[k] * level
             break
         for k in full:
-            out[k] = most * sizes[k]
+            out[k] = float(most * sizes[k])
             left -= out[k]
         free -= full
     return out
