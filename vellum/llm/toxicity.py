@@ -3,7 +3,8 @@
 A linear classifier over hashed words is trained with numpy from confirmed toxic documents and unlabelled
 ones. Its risk is prior * R(toxic as 1) + max(0, R(unlabelled as 0) - prior * R(toxic as 0)): the share of
 toxic text among the unlabelled is taken out of their risk, and where that would make it negative, the step
-goes the other way. The prior is the share of toxic rows among the labelled training rows, or given.
+goes the other way. The prior is the share of toxic rows among the labelled training rows, or given: labelled
+and unlabelled rows are taken to come from the same text.
 
 Null text counts as empty and gets the score of the bias alone. Labels that are null are ignored; of several
 labels of a document the highest counts. Without a toxic training row every score is 0. Rows that repeat are
@@ -47,9 +48,10 @@ class Settings:
     bits: int = 22
     least_positives: int = 3
     least_lift: float = 2.0
+    deviations: float = 5.0
     steps: int = 1_000
     rate: float = 0.05
-    decay: float = 0.06
+    decay: float = 0.12
 
 
 @dataclass
@@ -90,7 +92,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     in_u, count_u = np.unique(np.concatenate(unlabelled), return_counts=True)
     at = np.minimum(np.searchsorted(in_u, in_p), max(0, len(in_u) - 1))
     share_u = np.where(in_u[at] == in_p, count_u[at], 0) / n_u if len(in_u) else np.zeros(len(in_p))
-    used = in_p[(count_p >= s.least_positives) & (count_p / n_p >= s.least_lift * np.maximum(share_u, 0.5 / n_u))]
+    # a word counts if it is in many more toxic rows than chance would put it there
+    chance = np.maximum(share_u, 0.5 / n_u) * n_p
+    used = in_p[(count_p >= s.least_positives) & (count_p >= s.least_lift * chance) & (count_p - chance >= s.deviations * np.sqrt(chance))]
 
     def rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
