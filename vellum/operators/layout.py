@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from vellum.functions import text as T
 from vellum.functions.quads import let
@@ -109,7 +110,7 @@ def decimal_first_fit(boxes: list[tuple]) -> dict[int, int]:
 
 
 def _line_udf(rule: Callable[[list[tuple]], dict[int, int]]):
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(ArrayType(IntegerType()))
     def lines(pages_: pd.Series) -> pd.Series:
         def one(boxes) -> list[int] | None:
             if boxes is None:

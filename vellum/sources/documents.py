@@ -6,7 +6,7 @@ them go through Spark's own readers, so any store that Spark reaches will do.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import quads as G
@@ -113,13 +113,11 @@ def parse_pages(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def page_words(pages: DataFrame, key: str) -> DataFrame:
     """Words of doc in reading order: those with text and a box of two pixels or more; by block and line where there are such."""
-    w = pages.select(key, F.explode("doc.words").alias("x")).select(key, T.decode_entities(T.jtrim(F.col("x.t"))).alias("w"), *(F.get("x.b", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("left", "top", "right", "bottom"))), "x.c", "x.l", "x.k", "x.id")
+    w = pages.select(key, F.explode("doc.words").alias("x")).select(key, T.decode_entities(T.jtrim(F.col("x.t"))).alias("w"), *(F.get("x.b", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("left", "top", "right", "bottom"))), "x.c", "x.l", "x.k", F.col("x.id").alias("word_id"))
     kept = w.where("w <> '' AND right - left >= 2 AND bottom - top >= 2")
-    from pyspark.sql import Window
-
     placed = F.max(F.greatest(F.col("l"), F.col("k"))).over(Window.partitionBy(key)) >= 0
     ranked = kept.withColumn("placed", placed)
-    order = [F.when(F.col("placed"), F.col("k")), F.when(F.col("placed"), F.col("l")), "top", "left", "id"]
+    order = [F.when(F.col("placed"), F.col("k")), F.when(F.col("placed"), F.col("l")), "top", "left", "word_id"]
     return ranked.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).drop("placed")
 
 
@@ -179,8 +177,6 @@ def vocabulary(lines: Column) -> Column:
 
 def smartdoc_labels(spark: SparkSession, path: str, backgrounds: list[str] | None = None, every: int = 1) -> DataFrame:
     """Corner labels of a gzipped CSV: corners put in the order tl, tr, br, bl; each `every`-th frame of a background."""
-    from pyspark.sql import Window
-
     names = [f"{p}_{c}" for p in ("tl", "bl", "br", "tr") for c in "xy"]
     schema = "bg_name string, model_name string, frame_index int, image_path string, " + ", ".join(f"{n} double" for n in names)
     rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
