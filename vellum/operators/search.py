@@ -178,3 +178,24 @@ def _rare_letters(c: Column, least: float) -> Column:
     numbered = F.transform(chars, lambda x, i: F.named_struct(F.lit("nth"), -F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)), F.lit("rank"), rank(x), F.lit("letter"), x))
     kept = F.slice(F.array_sort(numbered), 1, F.length(c) - F.ceil(F.lit(least) * F.length(c)).cast("int") + 1)
     return F.transform(kept, lambda s: F.concat(s["letter"], s["nth"].cast("string")))
+
+
+def update_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index with the pages of changed (scan_id, page_index, text) put in place of what they had; a null text takes a page out."""
+    keys = ["scan_id", "page_index"]
+    new_postings, new_lengths = index(changed.where("text IS NOT NULL"))
+    gone = changed.select(*keys).distinct()
+    return postings.join(gone, keys, "left_anti").select(*postings.columns).unionByName(new_postings), lengths.join(gone, keys, "left_anti").select(*lengths.columns).unionByName(new_lengths)
+
+
+def has_dictionary(spec: Column, languages: Sequence[str]) -> Column:
+    """Some language of a+b has a dictionary."""
+    return F.exists(F.split(spec, "[+]"), lambda x: F.trim(x).isin(*languages))
+
+
+def valid_words(words: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds valid: the word (column w) is in its language's dictionary (lang, word), or that has none."""
+    there = known.select("lang").distinct().withColumn("has", F.lit(True))
+    listed = known.select("lang", "word").distinct().withColumn("hit", F.lit(True))
+    met = words.withColumn("word", F.lower("w")).join(there, "lang", "left").join(listed, ["lang", "word"], "left")
+    return met.withColumn("valid", F.col("has").isNull() | F.coalesce("hit", F.lit(False))).drop("word", "has", "hit")

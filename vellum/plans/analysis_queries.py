@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.functions import policies as P
 from vellum.functions import quads as G
 from vellum.functions import tensors as N
 from vellum.functions import text as T
 from vellum.operators import datasets as D
 from vellum.operators import evaluation as E
 from vellum.operators import layout as Y
+from vellum.operators import review as V
 from vellum.plans import geometry_queries as GQ
 from vellum.plans import model as M
 from vellum.sources import documents as S
@@ -304,11 +306,73 @@ def spoken(spark, sf):
     return X.replay(f, "user_id", X.spoken_hints(), "hint string", ("ts_ms", "event_id"))
 
 
+# ---- policies and review
+
+
+def ocr_policies(spark, sf):
+    w = M.words(spark, sf).groupBy("doc_id").agg(F.floor(F.avg("conf")).cast("int").alias("conf"), F.count("*").alias("words"), F.sum(F.length("w") + 1).alias("length"))
+    return w.select("doc_id", P.may_stop(F.col("conf"), F.col("words"), F.col("length")).alias("stop"), P.needs_whole_page(F.col("words"), F.col("conf")).alias("whole"))
+
+
+def quad_validity(spark, sf):
+    w, h, q = F.lit(GQ.W_), F.lit(GQ.H_), F.col("q")
+    return GQ.frames(spark, sf).select("event_id", P.is_usable_quad(q, w, h, 0.02).alias("usable"), P.is_image_quad(q, w, h).alias("image"), F.round(P.axis_angle(q[0]["x"], q[0]["y"], q[1]["x"], q[1]["y"]), 6).alias("angle"))
+
+
+def lighting(spark, sf):
+    """Lighting of documents read as 60 columns of character codes."""
+    chars = M.table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "")).alias("k", "c"))
+    d = P.half_differences(chars.where("c <> ''").select("page", (F.col("k") % 60).alias("x"), F.floor(F.col("k") / 60).alias("y"), F.ascii("c").alias("v")))
+    return d.select("page", F.round("difference", 6).alias("difference"), "uneven")
+
+
+def unique_file_names(spark, sf):
+    d = M.table(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("base"), F.lit("pdf").alias("ext"))
+    return P.unique_names(d, "lang", "base", "ext", "doc_id").select("doc_id", "name")
+
+
+def words_merged(spark, sf):
+    m = V.merge_with_next(M.words(spark, sf), F.col("pos") % 5 == 2)
+    return m.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if("edited").alias("edited"), F.sum("right").alias("right"), F.sum(F.length("w")).alias("chars"), F.round(F.sum("conf"), 3).alias("conf"))
+
+
+def words_split(spark, sf):
+    m = V.split_in_middle(M.words(spark, sf), F.col("pos") % 5 == 2)
+    return m.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("part") == 1).alias("cut"), F.round(F.sum(F.col("right") - F.col("left")), 3).alias("width"))
+
+
+def best_attempts(spark, sf):
+    c = M.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("nth"), "text", (F.col("conv_id") * 31 % (F.col("turn") + 7) / 100).alias("conf"), F.size(F.split("text", " ")).alias("words"))
+    return V.best_attempt(c, "conv_id").select("conv_id", "nth", "conf", "words")
+
+
+def regions_beside(spark, sf):
+    r = _regions(spark, sf)
+    return V.beside(r.where("type = 'BODY'").select("page", "id", "left", "top", "right", "bottom"), r.where("type = 'HEADER'")).select("page", "id")
+
+
+def ink_lines(spark, sf):
+    return V.line_positions(_profile(spark, sf), F.lit(5))
+
+
+def ink_end(spark, sf):
+    return V.content_end(_profile(spark, sf), least=3)
+
+
+def ink_centre(spark, sf):
+    return V.centre_valley(_profile(spark, sf))
+
+
+def line_words(spark, sf):
+    return V.lines_as_words(M.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", 600.0, 800.0).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("chars"))
+
+
 QUERIES = {f.__name__: f for f in (
     lines_fixed_anchor, lines_integer_fit, lines_decimal_fit, lines_running_mean, words_to_text, regions_banded, regions_by_column, regions_table, region_zones, zone_kendall,
     ink_profile, ink_smoothed, ink_valleys, ink_columns, map_peaks, map_refined, map_masks, map_boxes, map_iou, map_deviation, ctc_texts, latency_percentiles, eval_report,
     corner_summary, corner_comparison, corner_errors, paired_labels, name_seeds, group_split, row_split, evenly_spaced, mixed_sets, label_checks, area_routes,
     tolerant_words, hocr_words, page_sources, conversation_texts, throttled, focus_scores, smoothed_corners, guidance_events, spoken,
+    ocr_policies, quad_validity, lighting, unique_file_names, words_merged, words_split, best_attempts, regions_beside, ink_lines, ink_end, ink_centre, line_words,
 )}
 
 CELLS = "cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings)"
@@ -344,5 +408,17 @@ ORACLE_SQL = {
     "area_routes": W(GQ.FRAMES) + f"SELECT CASE WHEN abs({GQ.AREA}) / (200.0 * 220.0) < 0.5 THEN 'HARD' ELSE 'CORE' END AS split, count(*) AS n FROM f GROUP BY 1",
     "hocr_words": W(M.WORDS) + 'SELECT doc_id, count(*) AS n, CAST(sum(CAST(conf AS INTEGER)) AS BIGINT) AS conf, sum("right") AS "right" FROM words GROUP BY doc_id',
     "page_sources": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'page' ELSE 'text' END AS format, CASE WHEN doc_id % 3 = 0 THEN 'reviewed' ELSE source END AS text FROM documents",
+    "ocr_policies": W(M.WORDS, "s AS (SELECT doc_id, floor(avg(conf)) AS conf, count(*) AS words, sum(length(w) + 1) AS length FROM words GROUP BY doc_id)") + "SELECT doc_id, conf >= 70 AND words >= 30 AND length >= 200 AS stop, words < 20 OR conf < 50 AS whole FROM s",
+    "quad_validity": W(GQ.FRAMES) + f"""SELECT event_id, least({', '.join(f'x{i}' for i in range(4))}) >= -0.02 * {GQ.W_} AND greatest({', '.join(f'x{i}' for i in range(4))}) <= 1.02 * {GQ.W_} AND least({', '.join(f'y{i}' for i in range(4))}) >= -0.02 * {GQ.H_}
+        AND greatest({', '.join(f'y{i}' for i in range(4))}) <= 1.02 * {GQ.H_} AND {GQ._convex(1e-6)} AS usable, least({', '.join(GQ.NAMES)}) >= 0 AND greatest({', '.join(f'x{i}' for i in range(4))}) <= {GQ.W_} AND greatest({', '.join(f'y{i}' for i in range(4))}) <= {GQ.H_}
+        AND abs({GQ.AREA}) >= 0.02 * {GQ.W_ * GQ.H_} AND (least({GQ.TURNS}) > 0 OR greatest({GQ.TURNS}) < 0) AS image,
+        round(least(abs(degrees(atan2(y1 - y0, x1 - x0))), abs(abs(degrees(atan2(y1 - y0, x1 - x0))) - 90), abs(abs(degrees(atan2(y1 - y0, x1 - x0))) - 180)), 6) AS angle FROM f""",
+    "unique_file_names": "SELECT doc_id, concat(source, CASE WHEN r > 1 THEN concat('_', r) ELSE '' END, '.pdf') AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents) AS x",
+    "words_merged": W(M.WORDS, """n AS (SELECT *, pos % 5 = 2 AND lead(w) OVER o IS NOT NULL AS m, lag(pos) OVER o % 5 = 2 AS gone, lead(w) OVER o AS w2, lead("right") OVER o AS r2, lead("left") OVER o AS l2, lead(top) OVER o AS t2, lead(bottom) OVER o AS b2, lead(conf) OVER o AS c2
+        FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos))""", """a AS (SELECT *, ("right" - "left") * (bottom - top) AS a1, (r2 - l2) * (b2 - t2) AS a2 FROM n WHERE NOT coalesce(gone, false))""")
+    + """SELECT doc_id, count(*) AS words, count(*) FILTER (WHERE m) AS edited, sum(CASE WHEN m THEN greatest("right", r2) ELSE "right" END) AS "right", CAST(sum(CASE WHEN m THEN length(w) + 1 + length(w2) ELSE length(w) END) AS BIGINT) AS chars,
+        round(sum(CASE WHEN m THEN (conf * a1 + c2 * a2) / greatest(1, a1 + a2) ELSE conf END), 3) AS conf FROM a GROUP BY doc_id""",
+    "regions_beside": W(REGIONS.replace("AS l,", "AS l, CAST(event_id * 37 % 600 + 50 AS INTEGER) AS r,")) + "SELECT page, id FROM regions x WHERE type = 'BODY' AND NOT EXISTS (SELECT 1 FROM regions y WHERE y.type = 'HEADER' AND x.page = y.page AND x.l < y.r AND y.l < x.r AND x.t < y.b AND y.t < x.b)",
+    "ink_lines": W(PROFILE, "m AS (SELECT page, x, v >= 5 AS ok, row_number() OVER (PARTITION BY page ORDER BY x) - row_number() OVER (PARTITION BY page, v >= 5 ORDER BY x) AS g FROM profile)") + "SELECT DISTINCT page, CAST(x AS INTEGER) AS x FROM (SELECT page, (min(x) + max(x)) // 2 AS x FROM m WHERE ok GROUP BY page, g UNION ALL SELECT page, 0 FROM profile UNION ALL SELECT page, max(x) + 1 FROM profile GROUP BY page) AS z",
     "conversation_texts": "SELECT conv_id, md5(string_agg(text, concat(chr(10), chr(10)) ORDER BY turn)) AS md5 FROM conversations GROUP BY conv_id",
 }
