@@ -180,4 +180,5 @@ def test_queries_are_all_there():
 
 def test_shared_folder(spark):
     df = common.stored(spark.range(3), "t")
-    assert df.count() == 3 and df.inputFiles()[0].startswith(f"file://{common.shared_dir(spark)}")
+    assert df.count() == 3 and df.inputFiles()[0].startswith(f"file://{common.own_dir(spark)}")
+    assert common.own_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))

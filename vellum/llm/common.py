@@ -22,13 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    Results may still read the files later, so they stay until clear() or until the folder is emptied.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has stored; results that were not written elsewhere can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import shared_dir, stored
+from vellum.llm.common import own_dir, stored
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -163,7 +163,7 @@ def archive(pages: DataFrame, path: str | None = None, least: int = 0, id_col: s
     digest are those of the response that it names.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/vellum/warc-{uuid.uuid4().hex}"
+    path = path or f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(resolved(pages, least, id_col, **columns), path)
     id_type = pages.schema[id_col].dataType
     back = stored(read(spark, path), "warc-records")
