@@ -143,7 +143,8 @@ def links(codes: DataFrame, radius: int = 4, agree: int | None = None, shard: in
     choices = _blocks(radius, agree)
     bits = lambda choice: F.xxhash64(*(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in choice))
     dealt = codes.select("fp", F.posexplode(F.array(*map(bits, choices))).alias("choice", "bits"))
-    large = dealt.groupBy("choice", "bits").count().where(F.col("count") > shard).select("choice", "bits", F.expr(f"cast(ceil(count / {shard}) AS int)").alias("slices"))
+    # written, so that Spark knows its size: few keys, joined without shuffling the other side while they stay few
+    large = stored(dealt.groupBy("choice", "bits").count().where(F.col("count") > shard).select("choice", "bits", F.expr(f"cast(ceil(count / {shard}) AS int)").alias("slices")), "large-shards")
     sliced = dealt.join(large, ["choice", "bits"], "left").withColumn("own", F.expr("cast(pmod(xxhash64(fp, 11), coalesce(slices, 1)) AS int)"))
     pair = "transform(filter(sequence(0, slices - 1), t -> t <> own), t -> least(t, own) * 1000000L + greatest(t, own))"
     tiles = sliced.withColumn("pair", F.explode(F.expr(f"CASE WHEN slices IS NULL THEN array(-1L) ELSE {pair} END"))).select("choice", "bits", "pair", "fp")
