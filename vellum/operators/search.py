@@ -161,11 +161,15 @@ def suggestions(words: DataFrame, known: DataFrame, most: int = 5, least: float
     """
     keyed = words.select("w").distinct().select("w", T.suggestion_key(F.col("w")).alias("key")).where("key <> ''")
     theirs = known.select("word", T.suggestion_key(F.col("word")).alias("other")).where("other <> ''").groupBy("other").agg(F.min("word").alias("word"))
-    left = keyed.select("key").distinct().select("key", F.explode(F.sequence(F.greatest(F.length("key") - span, F.lit(1)), F.length("key") + span)).alias("n"), _rare_letters(F.col("key"), least).alias("letters"))
-    left = left.select("key", "n", F.explode("letters").alias("letter"))
-    right = theirs.select("other", "word", F.length("other").alias("n"), F.explode(_rare_letters(F.col("other"), least)).alias("letter"))
-    pairs = left.join(right, ["n", "letter"]).where("key <> other").select("key", "other", "word").distinct()
-    scored = pairs.withColumn("score", T.similarity(F.col("key"), F.col("other"))).where(F.col("score") >= least)
+    left = keyed.select("key").distinct().select("key", F.length("key").alias("n"), _rare_letters(F.col("key"), least).alias("mine")).withColumn("letter", F.explode("mine"))
+    right = theirs.select("other", "word", _rare_letters(F.col("other"), least).alias("its")).withColumn("letter", F.explode("its"))
+    right = right.withColumn("n", F.explode(F.sequence(F.greatest(F.length("other") - span, F.lit(1)), F.length("other") + span)))
+    # a pair is measured once, where its first common letter brings it together
+    met = left.join(right, ["n", "letter"]).where((F.col("key") != F.col("other")) & (F.get(F.array_intersect("mine", "its"), F.lit(0)) == F.col("letter")))
+    longest = F.greatest(F.length("key"), F.length("other"))
+    distance = F.expr(f"levenshtein(key, other, cast(ceil({1 - least} * greatest(length(key), length(other))) AS int))")
+    near = met.withColumn("distance", distance).where("distance >= 0")
+    scored = near.select("key", "other", "word", (1 - F.col("distance") / longest).alias("score")).where(F.col("score") >= least)
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.abs(F.length("word") - F.length("key")), "word")
     ranked = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     return keyed.join(ranked, "key").select("w", F.col("word").alias("suggestion"), "score", "place")

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files have fewer splits than there are cores; large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
         "cast(doc_id AS string) AS id",
@@ -53,7 +59,7 @@ EDGES = """edges AS (SELECT CAST(doc_id AS VARCHAR) AS scan_id, lang AS collecti
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS scan_id", "0 AS page_index", "text")
+    return spread(table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS scan_id", "0 AS page_index", "text"))
 
 
 PAGE_TEXT = "page_text AS (SELECT CAST(doc_id AS VARCHAR) AS scan_id, 0 AS page_index, text FROM documents)"
@@ -66,7 +72,7 @@ def with_(*parts: str) -> str:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positioned words: doc_id, pos, w (some misread on purpose), conf (0 to 99), left, top, right, bottom."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .selectExpr("doc_id", r"posexplode(filter(split(text, '[ \\t\\r\\n]+'), w -> w <> '')) AS (pos, raw)")
         .selectExpr(
             "doc_id",

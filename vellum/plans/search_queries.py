@@ -70,7 +70,7 @@ def corrected_words(spark, sf):
 
 
 def suggest_top5(spark, sf):
-    words = M.table(spark, sf, "conversations").select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "")), "[^a-z0-9]+")).alias("w")).where("w <> ''")
+    words = M.spread(M.table(spark, sf, "conversations")).select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "")), "[^a-z0-9]+")).alias("w")).where("w <> ''")
     return S.suggestions(words, _ascii_known(spark, sf)).select("w", "suggestion", F.round("score", 6).alias("score"), "place")
 
 

@@ -113,11 +113,11 @@ def language_maps(spark, sf):
 def cer_scores(spark, sf):
     """Character error rate of each conversation turn against its lower-cased form; letters beyond ASCII as one mark, as SQL's levenshtein counts bytes."""
     t = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    return M.table(spark, sf, "conversations").select("conv_id", "turn", F.round(T.cer(t, F.lower(t)), 6).alias("cer"))
+    return M.spread(M.table(spark, sf, "conversations")).select("conv_id", "turn", F.round(T.cer(t, F.lower(t)), 6).alias("cer"))
 
 
 def wer_scores(spark, sf):
-    c = M.table(spark, sf, "conversations")
+    c = M.spread(M.table(spark, sf, "conversations"))
     return c.select("conv_id", "turn", F.round(T.wer(F.col("text"), F.lower("text")), 6).alias("wer"))
 
 
