@@ -256,3 +256,31 @@ def test_lm_is_a_distribution():
     for code in [*range(1, m.head + 1), m.head + 1]:  # each head token, then the class of all others as a whole
         total += np.exp(m.logs(np.array([7, code]), np.array([0]), np.array([97, 98]))[1])
     assert total == pytest.approx(1.0, abs=1e-5)
+
+
+def test_lm_tells_rare_words_apart_by_context():
+    """Beyond the head, the words that follow each other become likelier; the leaves remain a distribution."""
+    counts = np.array([900] * 240 + [40] * 16)
+    tokens = [b"w%d" % k for k in range(256)]
+    codes = maxent.Codes(tokens)
+    depth = maxent.Model.leaf_bits(240, 256)
+    leaves = np.zeros(1 << depth)
+    np.add.at(leaves, codes.hashes[241:] >> (maxent.HASH - depth), 40.5)
+    m = maxent.Model(counts, int(counts.sum()), 256, leaves)
+    pairs = np.array([[a, a + 8] for a in range(241, 249)] * 300).ravel()
+    starts, last = np.arange(0, len(pairs), 2), codes.last_bytes[pairs]
+    after = lambda w: np.array([241, w])
+
+    def path(w):
+        c = m.contexts(after(w), np.array([0]), codes.last_bytes[after(w)])
+        return float(m.leaf_path(c, codes.hashed(after(w)))[1])
+
+    before = path(249)
+    assert before == pytest.approx(np.log(1 / m.tail), abs=1e-4)
+    updates = maxent.Updates(m, 0.3)
+    for _ in range(5):
+        updates.learn(pairs, starts, last, codes.hashed(pairs))
+    same_leaf = lambda w: codes.hashes[w] >> (maxent.HASH - depth) == codes.hashes[249] >> (maxent.HASH - depth)
+    assert path(249) > before + 1 and any(path(w) < before - 1 for w in range(250, 257) if not same_leaf(w))
+    total = sum(np.exp(path(w)) * 40.5 for w in range(241, 257)) + 0.5 / m.tail
+    assert total == pytest.approx(1.0, abs=1e-3)

@@ -2,13 +2,17 @@
 
 The probability of a token is that of its class times that within its class, both softmaxes over weights of
 hashed context features: the token before, the two before, the one before that (a skip), and the last
-character before. The most frequent tokens are dealt to classes by frequency; all others form one class
-in which the smoothed unigram holds, so that the model is a distribution over any text. The unigram starts
-the weights; they are trained by rounds of distributed gradient updates: each task goes on from the common
-weights over its documents, and its changes are averaged row by row, weighted by how often the row was used.
+character before. The most frequent tokens are dealt to classes by frequency; all others form one class,
+which is halved again and again by the bits of the token's hash: each half is a class of its own, with weights
+of the same features, down to about one leaf a counted token (2^HASH at most; the smoothed unigram holds within a
+leaf). Tokens that were never counted have the smoothed unigram's share of that class, so that the model is a
+distribution over any text. The unigram starts the weights; they are trained by rounds of distributed gradient
+updates: each task goes on from the common weights over its documents, and its changes are averaged weight by
+weight, weighted by how often it was used.
 
 Counts cover all training documents. The `frequent` most frequent tokens (a fixed bound) are broadcast with
-their counts; all others meet their counts in a join. Weights have a fixed size.
+their counts; all others meet their counts in a join. The numbers of leaves, rows and halves' weights grow with the
+counted tokens up to HASH, MOST_ROWS and MOST_BITS, since every task holds all weights; beyond these they are shared.
 
 Null text counts as empty: one token, the end. Documents of fold 1 (crc32 of the id as text, modulo 5) are held
 out; a null id counts as empty text. Rows that repeat are kept. Other columns are ignored. With no training
@@ -31,10 +35,13 @@ from vellum.llm.common import shuffle_width, stored
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end of a text as a token; no word holds white space.
 END = b"\n"
-#: Tokens that are worked on together, tokens of one update, entries of a task's counter; these bound memory.
-BLOCK, UPDATE, COUNTER = 250_000, 50_000, 400_000
-#: Classes (the first is that of the other tokens), tokens of a class, hashed rows, rows that travel together.
-CLASSES, WIDTH, ROWS, PACK = 16, 16, 1 << 13, 256
+#: Tokens that are worked on together, tokens of one update, tokens whose halves are worked on together, entries of a task's counter; these bound memory.
+#: TASK: tokens of a training task at least, as each sends changes of all weights.
+BLOCK, UPDATE, SLICE, COUNTER, TASK = 250_000, 50_000, 8_192, 400_000, 500_000
+#: Classes (the first is that of the other tokens), tokens of a class, rows and halves' weights that travel together.
+CLASSES, WIDTH, PACK, TAIL_PACK = 16, 16, 256, 1 << 14
+#: Hashed rows, and bits of the number of the halves' hashed weights: least and most. Bits of a token's hash.
+LEAST_ROWS, MOST_ROWS, LEAST_BITS, MOST_BITS, HASH = 1 << 13, 1 << 15, 14, 21, 22
 FEATURES = 4
 NEVER = -1e9
 
@@ -50,19 +57,25 @@ class Codes(dict):
         super().__init__((w, k + 1) for k, w in enumerate(tokens))
         self.top = len(tokens)
         self.last_bytes = np.array([0, *(w[-1] for w in tokens)], np.int64)
+        self.hashes = np.array([0, *(crc32(w) & ((1 << HASH) - 1) for w in tokens)], np.int64)
 
     def __missing__(self, token: bytes) -> int:
-        return self.top + 1 + (crc32(token) & 0xFFFFF)
+        return self.top + 1 + (crc32(token) & ((1 << HASH) - 1))
+
+    def hashed(self, codes: np.ndarray) -> np.ndarray:
+        """The hash of each code's token."""
+        return np.where(codes > self.top, codes - self.top - 1, self.hashes[np.minimum(codes, self.top)])
 
     def __reduce__(self):
         return Codes, (list(self),)
 
 
 class Model:
-    """Weights and fixed unigram parts. head: tokens with an own weight; tail: smoothed mass of all others."""
+    """Weights and fixed unigram parts. head: tokens of the classes by frequency; tail: smoothed mass of all others."""
 
-    def __init__(self, counts: np.ndarray, total: int, distinct: int):
-        """counts: of the most frequent tokens, in the order of their codes."""
+    def __init__(self, counts: np.ndarray, total: int, distinct: int, leaves: np.ndarray | None = None):
+        """counts: of the most frequent tokens, in the order of their codes. leaves: smoothed masses of the tail's leaves."""
+        self.total = int(total)
         self.head = min(len(counts), (CLASSES - 1) * WIDTH)
         own = np.asarray(counts[: self.head], np.float64) + 0.5
         mass = total + 0.5 * (distinct + 1)
@@ -75,11 +88,30 @@ class Model:
             within = np.log(padded / np.maximum(padded.sum(axis=1, keepdims=True), 1e-300))
         self.class_bias = np.maximum(of_class, NEVER).astype(np.float32)
         self.word_bias = np.maximum(within, NEVER).astype(np.float32)
-        self.class_weights = np.zeros((ROWS, CLASSES), np.float32)
-        self.word_weights = np.zeros((ROWS, WIDTH), np.float32)
+        self.n_rows = min(max(LEAST_ROWS, 1 << int(distinct).bit_length()), MOST_ROWS)
+        self.class_weights = np.zeros((self.n_rows, CLASSES), np.float32)
+        self.word_weights = np.zeros((self.n_rows, WIDTH), np.float32)
+        leaves = np.array([self.tail]) if leaves is None else leaves
+        self.depth = len(leaves).bit_length() - 1
+        self.counted = np.log(max(self.tail - 0.5, 0.5) / self.tail)
+        self.leaf_logs = np.log(np.maximum(leaves, 0.5)).astype(np.float32)
+        self.half_bias = np.zeros(len(leaves), np.float32)
+        masses = leaves
+        for d in reversed(range(self.depth)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                odds = np.nan_to_num(np.log(masses[1::2]) - np.log(masses[::2]), nan=0.0, posinf=40.0, neginf=-40.0)
+            self.half_bias[1 << d : 2 << d] = np.clip(odds, -40, 40)
+            masses = masses[::2] + masses[1::2]
+        self.half_bits = min(max(LEAST_BITS, int(total * 4).bit_length()), MOST_BITS)
+        self.half_weights = np.zeros(1 << self.half_bits, np.float32)
+
+    @staticmethod
+    def leaf_bits(head: int, distinct: int) -> int:
+        """Halvings that give about a leaf to each token beyond the head."""
+        return min(max(distinct - head, 1) - 1, (1 << HASH) - 1).bit_length()
 
-    def rows(self, codes: np.ndarray, starts: np.ndarray, last_bytes: np.ndarray) -> np.ndarray:
-        """(FEATURES, tokens): rows of each token's context features."""
+    def contexts(self, codes: np.ndarray, starts: np.ndarray, last_bytes: np.ndarray) -> np.ndarray:
+        """(FEATURES, tokens): hashes of each token's context features."""
         one = np.empty_like(codes)
         one[1:], one[0] = codes[:-1], 0
         shape = np.empty_like(codes)
@@ -90,7 +122,33 @@ class Model:
         two[starts] = 0
         mixed = np.stack([one, one * 1_000_003 + two * 7 + 1, two, shape]).astype(np.uint64)
         salt = np.arange(1, FEATURES + 1, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
-        return (((mixed + salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)).astype(np.int64) % ROWS
+        return (mixed + salt) * np.uint64(0x9E3779B97F4A7C15)
+
+    def rows(self, contexts: np.ndarray) -> np.ndarray:
+        return (contexts >> np.uint64(65 - self.n_rows.bit_length())).astype(np.int64)
+
+    def halves(self, contexts: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each halving: places of the weights (FEATURES, tokens), log-odds of the upper half, whether it holds the token."""
+        leaves, shift = (hashes >> (HASH - self.depth)).astype(np.uint32), np.uint32(32 - self.half_bits)
+        contexts = (contexts >> np.uint64(32)).astype(np.uint32)
+        for d in range(self.depth):
+            node = np.uint32(1 << d) | (leaves >> np.uint32(self.depth - d))
+            at = (contexts ^ (node * np.uint32(0x27D4EB4F))) * np.uint32(0x9E3779B1)
+            at = (at >> shift).astype(np.int64)
+            odds = self.half_bias.take(node)
+            for f in at:
+                odds += self.half_weights.take(f)
+            yield at, odds, ((leaves >> np.uint32(self.depth - 1 - d)) & np.uint32(1)).astype(bool)
+
+    def leaf_path(self, contexts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Natural log-probability, within the class of other tokens, of a counted token's leaf, over that leaf's mass."""
+        out = np.full(len(hashes), self.counted)
+        for k in range(0, len(hashes), SLICE):
+            part = slice(k, k + SLICE)
+            for _, odds, upper in self.halves(contexts[:, part], hashes[part]):
+                np.negative(odds, out=odds, where=upper)
+                out[part] -= np.log1p(np.exp(np.minimum(odds, 60, out=odds), out=odds), out=odds)
+        return out - self.leaf_logs[hashes >> (HASH - self.depth)]
 
     def classes(self, codes: np.ndarray) -> np.ndarray:
         return np.where((codes >= 1) & (codes <= self.head), 1 + (codes - 1) // WIDTH, 0)
@@ -123,14 +181,14 @@ class Model:
         return self._summed(self.class_bias, self.class_weights, rows)
 
     def word_rows(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return (rows * 31 + classes * 2_654_435_761) % ROWS
+        return (rows * 31 + classes * 2_654_435_761) % self.n_rows
 
     def word_logits(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
         return self._summed(self.word_bias[classes - 1], self.word_weights, rows)
 
     def logs(self, codes: np.ndarray, starts: np.ndarray, last_bytes: np.ndarray) -> np.ndarray:
         """Natural log-probability of each token, without the part within the class of other tokens."""
-        rows, classes = self.rows(codes, starts, last_bytes), self.classes(codes)
+        rows, classes = self.rows(self.contexts(codes, starts, last_bytes)), self.classes(codes)
         at = np.arange(len(codes))
         logits = self.class_logits(rows)
         out = logits[at, classes].astype(np.float64)
@@ -149,22 +207,37 @@ class Updates:
 
     def __init__(self, model: Model, rate: float):
         self.model, self.rate = model, rate
-        self.before = model.class_weights.copy(), model.word_weights.copy()
-        self.squares = np.full((ROWS, CLASSES), 1.0, np.float32), np.full((ROWS, WIDTH), 1.0, np.float32)
-        self.used = np.zeros(ROWS), np.zeros(ROWS)
+        n = model.n_rows
+        self.before = model.class_weights.copy(), model.word_weights.copy(), model.half_weights.copy()
+        self.squares = np.full((n, CLASSES), 1.0, np.float32), np.full((n, WIDTH), 1.0, np.float32), np.full(len(model.half_weights), 1.0, np.float32)
+        self.used = np.zeros(n), np.zeros(n), np.zeros(len(model.half_weights), np.float32)
 
     def _apply(self, weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
         step = np.zeros_like(weights)
         for r in rows:
-            used += np.bincount(r, minlength=ROWS)
+            used += np.bincount(r, minlength=len(used))
             for k in range(weights.shape[1]):
-                step[:, k] += np.bincount(r, grad[:, k], ROWS)
+                step[:, k] += np.bincount(r, grad[:, k], len(used))
         squares += step * step
         weights -= self.rate * step / np.sqrt(squares)
 
-    def learn(self, codes: np.ndarray, starts: np.ndarray, last_bytes: np.ndarray) -> None:
+    def _apply_halves(self, contexts: np.ndarray, hashes: np.ndarray) -> None:
+        m, squares = self.model, self.squares[2]
+        step = np.zeros_like(m.half_weights)
+        for k in range(0, len(hashes), SLICE):
+            for at, odds, upper in m.halves(contexts[:, k : k + SLICE], hashes[k : k + SLICE]):
+                np.exp(np.negative(np.maximum(odds, -60, out=odds), out=odds), out=odds)
+                grad = 1 / (1 + odds) - upper
+                for f in at:
+                    np.add.at(step, f, grad)
+        self.used[2][:] += step != 0
+        squares += step * step
+        m.half_weights -= self.rate * step / np.sqrt(squares)
+
+    def learn(self, codes: np.ndarray, starts: np.ndarray, last_bytes: np.ndarray, hashes: np.ndarray) -> None:
         m = self.model
-        all_rows, all_classes = m.rows(codes, starts, last_bytes), m.classes(codes)
+        contexts = m.contexts(codes, starts, last_bytes)
+        all_rows, all_classes = m.rows(contexts), m.classes(codes)
         for k in range(0, len(codes), UPDATE):
             rows, classes = all_rows[:, k : k + UPDATE], all_classes[k : k + UPDATE]
             grad = m._soft(m.class_logits(rows))
@@ -177,16 +250,23 @@ class Updates:
                 grad = m._soft(m.word_logits(rows, c))
                 grad[np.arange(len(own)), (codes[k : k + UPDATE][own] - 1) % WIDTH] -= 1
                 self._apply(m.word_weights, self.squares[1], self.used[1], rows, grad)
+            other = k + np.flatnonzero(classes == 0)
+            if len(other):
+                self._apply_halves(contexts[:, other], hashes[other])
 
     def changes(self) -> Iterator[tuple[int, bytes]]:
-        """(pack, changes of its rows times their uses, and the uses)."""
+        """(pack, changes of its rows times their uses, and the uses); packs of halves' weights are below zero."""
         parts = []
-        for now, before, used in zip((self.model.class_weights, self.model.word_weights), self.before, self.used, strict=True):
+        for now, before, used in zip((self.model.class_weights, self.model.word_weights), self.before[:2], self.used[:2], strict=True):
             parts.append(np.concatenate([(now - before) * used[:, None], used[:, None]], axis=1).astype(np.float32))
         whole = np.concatenate(parts, axis=1)
-        for k in range(0, ROWS, PACK):
+        for k in range(0, len(whole), PACK):
             if whole[k : k + PACK].any():
                 yield k // PACK, whole[k : k + PACK].tobytes()
+        halves = np.stack([(self.model.half_weights - self.before[2]) * self.used[2], self.used[2]])
+        for k in range(0, halves.shape[1], TAIL_PACK):
+            if halves[:, k : k + TAIL_PACK].any():
+                yield -1 - k // TAIL_PACK, halves[:, k : k + TAIL_PACK].tobytes()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,6 +313,7 @@ def counts(training: DataFrame) -> DataFrame:
 def train(training: DataFrame, codes: Codes, model: Model, rounds: int, rate: float) -> Model:
     """Distributed gradient updates; the rounds divide the documents (columns part, text) among them."""
     sc = training.sparkSession.sparkContext
+    training = training.coalesce(1 + model.total // TASK)
     width = CLASSES + WIDTH + 2
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,16 +332,20 @@ def train(training: DataFrame, codes: Codes, model: Model, rounds: int, rate: fl
             own_codes, own_model = shared.value
             task = Model.__new__(Model)
             task.__dict__.update(own_model.__dict__)
-            task.class_weights, task.word_weights = own_model.class_weights.copy(), own_model.word_weights.copy()
+            task.class_weights, task.word_weights, task.half_weights = own_model.class_weights.copy(), own_model.word_weights.copy(), own_model.half_weights.copy()
             updates = Updates(task, rate)
             for _, _, numbers, starts, last in _blocks(batches, own_codes):
-                updates.learn(numbers, starts, last)
+                updates.learn(numbers, starts, last, own_codes.hashed(numbers))
             for pack, data in updates.changes():
                 yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int32()), pa.array([data], pa.binary())], names=["pack", "data"])
 
         changes = training.where(F.col("part") % rounds == k).select("text").mapInArrow(learn, "pack int, data binary")
-        found = changes.repartition(min(shuffle_width(training.sparkSession), ROWS // PACK), "pack").mapInArrow(merge, "pack int, data binary").collect()
+        found = changes.repartition(min(shuffle_width(training.sparkSession), model.n_rows // PACK), "pack").mapInArrow(merge, "pack int, data binary").collect()
         for r in found:
+            if r["pack"] < 0:
+                change, used = np.frombuffer(bytes(r["data"]), np.float32).reshape(2, TAIL_PACK)
+                model.half_weights[(-1 - r["pack"]) * TAIL_PACK : -r["pack"] * TAIL_PACK] += change / np.maximum(used, 1)
+                continue
             rows = np.frombuffer(bytes(r["data"]), np.float32).reshape(PACK, width)
             at = slice(r["pack"] * PACK, (r["pack"] + 1) * PACK)
             model.class_weights[at] += rows[:, :CLASSES] / np.maximum(rows[:, CLASSES : CLASSES + 1], 1)
@@ -281,10 +366,17 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", freq
     top_counts = top["c"].to_numpy()
     order = np.lexsort((np.arange(len(top_counts)), -top_counts))
     codes, top_counts = Codes([top["token"][int(k)].as_py() for k in order]), top_counts[order]
-    model = train(training, codes, Model(top_counts, total, distinct), rounds, rate)
+    head = min(len(top_counts), (CLASSES - 1) * WIDTH)
+    depth = Model.leaf_bits(head, distinct)
+    leaf = F.shiftright(F.crc32("token").bitwiseAND(F.lit((1 << HASH) - 1)), HASH - depth).alias("leaf")
+    found = vocabulary.groupBy(leaf).agg(F.sum(F.col("c") + 0.5).alias("mass")).toArrow()
+    leaves = np.zeros(1 << depth)
+    leaves[found["leaf"].to_numpy()] = found["mass"].to_numpy()
+    np.subtract.at(leaves, codes.hashes[1 : head + 1] >> (HASH - depth), top_counts[:head] + 0.5)
+    model = train(training, codes, Model(top_counts, total, distinct, leaves), rounds, rate)
     shared = spark.sparkContext.broadcast((codes, model, np.log10(top_counts + 0.5)))
     id_type = docs.schema[id_col].dataType.simpleString()
-    columns = ["id", "held_out", "n_tokens", "n_known", "n_tail", "logs", "tail_logs", "model", "rare"]
+    columns = ["id", "held_out", "n_tokens", "n_known", "logs", "tail_logs", "model", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_codes, own_model, log_counts = shared.value
@@ -296,19 +388,23 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", freq
             logs = np.zeros(len(numbers))
             logs[known] = log_counts[numbers[known] - 1]
             tail = numbers > own_model.head
+            others = np.flatnonzero(tail)
+            paths = np.zeros(len(numbers))
+            paths[others] = own_model.leaf_path(own_model.contexts(numbers, starts, last)[:, others], own_codes.hashed(numbers[others])) / np.log(10)
             model_logs = own_model.logs(numbers, starts, last) / np.log(10)
             places = np.flatnonzero(~known)
             ends = np.append(0, np.cumsum(np.bincount(doc[places], minlength=n))).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array([flat[p] for p in places.tolist()], pa.binary()))
+            pairs = pa.StructArray.from_arrays([pa.array([flat[p] for p in places.tolist()], pa.binary()), pa.array(paths[places].astype(np.float32))], names=["token", "path"])
+            rare = pa.ListArray.from_arrays(pa.array(ends), pairs)
             sums = lambda x: pa.array(np.bincount(doc, x, n))
             whole = lambda x: pa.array(np.bincount(doc, x, n).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), whole(known), whole(tail), sums(logs), sums(np.where(tail, logs, 0)), sums(model_logs), rare], names=columns)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), whole(known), sums(logs), sums(np.where(tail & known, logs + paths, 0)), sums(model_logs), rare], names=columns)
 
-    schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, n_tail long, logs double, tail_logs double, model double, rare array<binary>"
+    schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, tail_logs double, model double, rare array<struct<token: binary, path: float>>"
     scored = stored(rows.select("id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    met = scored.select("row", F.explode("rare").alias("token")).join(vocabulary, "token", "left")
+    met = scored.select("row", F.inline("rare")).join(vocabulary, "token", "left")
     c = F.coalesce("c", F.lit(0))
-    rare = met.groupBy("row").agg(F.sum(F.log10(c + 0.5)).alias("rare_logs"), F.count_if(c > 0).alias("rare_known"))
+    rare = met.groupBy("row").agg(F.sum(F.log10(c + 0.5)).alias("rare_logs"), F.sum(F.when(c > 0, F.log10(c + 0.5) + F.col("path")).otherwise(F.lit(float(np.log10(0.5 / model.tail))))).alias("rare_paths"), F.count_if(c > 0).alias("rare_known"))
     zero = lambda name: F.coalesce(name, F.lit(0))
     mass = float(total + 0.5 * (distinct + 1))
     return scored.drop("rare").join(rare, "row", "left").select(
@@ -318,5 +414,5 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", freq
         (F.col("n_known") + zero("rare_known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + zero("rare_logs") - F.col("n_tokens") * F.lit(float(np.log10(mass)))).alias("base_score"),
-        (F.col("model") + F.col("tail_logs") + zero("rare_logs") - F.col("n_tail") * F.lit(float(np.log10(model.tail)))).alias("score"),
+        (F.col("model") + F.col("tail_logs") + zero("rare_paths")).alias("score"),
     )
