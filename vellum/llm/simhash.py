@@ -13,7 +13,7 @@ component's id unless all ids in the component are null. Other columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -197,14 +197,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str
     return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", labelled: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, **options) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the least doc_id stays (null last).
 
-    Rows that share that id: the one whose text has the least hash; of equal rows one.
+    labelled: gives other components, from rows (row, text), in place of those of the fingerprints. Rows that share that id: the one whose text has the least hash; of equal rows one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     tagged = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "__hash": F.xxhash64(text)})
-    fps, named = _labelled(tagged.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__hash").alias("hash")).alias("row"), text.alias("text")), radius, size, "row", "text", options)
+    rows = tagged.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__hash").alias("hash")).alias("row"), text.alias("text"))
+    _, named = labelled(rows) if labelled else _labelled(rows, radius, size, "row", "text", options)
     first = named.groupBy("label").agg(F.min("least").alias("row"))
     stay = first.select(F.coalesce(F.col("row.id").cast("string"), F.lit("null")).alias("__id"), F.col("row.hash").alias("__hash"))
     out = tagged.join(stay, ["__id", "__hash"], "left_semi")
