@@ -239,3 +239,33 @@ def test_files(spark, tmp_path):
     words = spark.createDataFrame([(1, 0, 'a"b', 1.0, 2.0, 3.0, 4.0, 85.0)], "id long, pos int, w string, left double, top double, right double, bottom double, conf double")
     assert R.words_json(words, "id").first()["json"] == '[{"text":"a\\"b","left":1.000000,"top":2.000000,"right":3.000000,"bottom":4.000000,"confidence":85.000000}]'
     assert math.isclose(R.parse_words(R.words_json(words, "id").withColumnRenamed("json", "text")).first()["conf01"], 0.85)
+
+
+def test_corner_queries_measure_on_the_256_grid(spark, monkeypatch):
+    """The registered results are those of 256 by 256 cells, as in the reference."""
+    import os
+
+    from vellum.plans import analysis_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    got = {(r["name"], r["model"]): r["iou"] for r in Q._results(spark, folder).where("name < 60").select("name", "model", "iou").collect()}
+    monkeypatch.setattr(Q.E, "corner_results", lambda samples, **_: samples)
+    fine = G.raster_iou(F.col("predicted"), F.col("truth"), F.col("w"), F.col("h"), 256)
+    want = {(r["name"], r["model"]): r["iou"] for r in Q._results(spark, folder).where("name < 60").select("name", "model", fine.alias("iou")).collect()}
+    assert len(got) > 20 and got == want
+
+
+def test_overlap_by_rows_equals_cell_by_cell():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.uniform(-20, 240, (60, 8)), rng.integers(0, 24, (60, 8)) * 10.0])
+    q = p + rng.integers(-6, 7, p.shape)
+    w, h = np.full(len(p), 220.0), np.full(len(p), 240.0)
+    cells = np.arange(64 * 64)
+    x, y = (cells % 64 + 0.5)[None, :] / 64 * 220.0, (cells // 64 + 0.5)[None, :] / 64 * 240.0
+    i, j = (np.concatenate([G._inside(c[[k]], x, y) for k in range(len(c))]) for c in (p, q))
+    both, any_ = G._overlap(p, q, w, h, 64)
+    assert both.tolist() == (i & j).sum(axis=1).tolist() and any_.tolist() == (i | j).sum(axis=1).tolist()

@@ -377,6 +377,32 @@ def _inside(q: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return odd | on
 
 
+def _crossings(q: np.ndarray, w: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(quads, rows, 4): cells of each row left of each edge, 0 if the edge isn't met; quads that pass near a cell's centre."""
+    y = ((np.arange(size) + 0.5)[None, :] / size * h[:, None])[:, :, None]
+    ax, ay, bx, by = (np.roll(q[:, i::2], -j, axis=1)[:, None, :] for j in (0, 1) for i in (0, 1))
+    at = (bx - ax) * (y - ay) / np.where(by == ay, 1, by - ay) + ax
+    met = (ay > y) != (by > y)
+    place = at / w[:, None, None] * size - 0.5
+    near = (np.minimum(ay, by) - 1e-3 <= y) & (y <= np.maximum(ay, by) + 1e-3) & ((np.abs(place - np.rint(place)) < 1e-6) | (np.abs(by - ay) < 1e-2))
+    return np.where(met, np.clip(np.ceil(place), 0, size), 0).astype(np.int64), near.any(axis=(1, 2))
+
+
+def _overlap(p: np.ndarray, q: np.ndarray, w: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in both quads, and in any: by rows of cells, or cell by cell for quads that pass near a cell's centre."""
+    (a, near), (b, near_b) = _crossings(p, w, h, size), _crossings(q, w, h, size)
+    begins = np.sort(np.concatenate([np.zeros_like(a[:, :, :1]), a, b], axis=2), axis=2)
+    sizes = np.diff(begins, axis=2, append=size)
+    i, j = ((c[:, :, None, :] > begins[:, :, :, None]).sum(axis=3) % 2 == 1 for c in (a, b))
+    both, any_ = (sizes * (i & j)).sum(axis=(1, 2)), (sizes * (i | j)).sum(axis=(1, 2))
+    cells = np.arange(size * size)
+    for k in np.flatnonzero(near | near_b):
+        x, y = ((c + 0.5)[None, :] / size * n[k] for c, n in ((cells % size, w), (cells // size, h)))
+        i, j = _inside(p[[k]], x, y), _inside(q[[k]], x, y)
+        both[k], any_[k] = (i & j).sum(), (i | j).sum()
+    return both, any_
+
+
 def raster_iou(a: Column, b: Column, w: Column, h: Column, size: int = 256) -> Column:
     """Intersection over union on a grid of size by size cells over the image, in numpy batches; null for a null quad."""
 
@@ -384,15 +410,10 @@ def raster_iou(a: Column, b: Column, w: Column, h: Column, size: int = 256) -> C
     def iou(p: pd.Series, q: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
         out = np.full(len(p), np.nan)
         good = np.flatnonzero(p.notna() & q.notna())
-        cells = np.arange(size * size)
-        step = max(1, 4_000_000 // (size * size))
-        for k in range(0, len(good), step):
-            rows = good[k : k + step]
-            x = (cells % size + 0.5)[None, :] / size * width.to_numpy()[rows, None]
-            y = (cells // size + 0.5)[None, :] / size * height.to_numpy()[rows, None]
-            i, j = (_inside(np.stack(s.iloc[rows].to_list()).astype(float), x, y) for s in (p, q))
-            any_ = (i | j).sum(axis=1)
-            out[rows] = np.where(any_ > 0, (i & j).sum(axis=1) / np.maximum(any_, 1), 0.0)
+        for k in range(0, len(good), 256):
+            rows = good[k : k + 256]
+            both, any_ = _overlap(*(np.stack(s.iloc[rows].to_list()).astype(float) for s in (p, q)), width.to_numpy()[rows], height.to_numpy()[rows], size)
+            out[rows] = np.where(any_ > 0, both / np.maximum(any_, 1), 0.0)
         return pd.Series(out).where(np.isin(np.arange(len(p)), good))
 
     flat = lambda c: F.flatten(F.transform(c, lambda s: F.array(s["x"], s["y"])))

@@ -32,7 +32,7 @@ def failure(q: Column, w: Column, h: Column, min_area: float = 0.05) -> Column:
     )
 
 
-def corner_results(samples: DataFrame, min_area: float = 0.05, cells: int = 64) -> DataFrame:
+def corner_results(samples: DataFrame, min_area: float = 0.05, cells: int = 256) -> DataFrame:
     """name, model, reason, iou, mae, mae_rel of samples (name, model, predicted, truth, w, h)."""
     w, h = F.col("w").cast("double"), F.col("h").cast("double")
     mae = G.mean_distance(F.col("predicted"), F.col("truth"))

@@ -178,7 +178,7 @@ def _results(spark, sf):
     f = GQ.frames(spark, sf)
     moved = lambda d: F.transform("q", lambda p: F.named_struct(F.lit("x"), p["x"] + d, F.lit("y"), p["y"] - d / 2))
     rows = lambda m, d: f.select(F.col("event_id").alias("name"), F.lit(m).alias("model"), F.col("q").alias("truth"), moved(d).alias("predicted"), F.lit(220).alias("w"), F.lit(240).alias("h"))
-    return E.corner_results(rows("a", F.col("event_id") % 7).unionByName(rows("b", F.col("event_id") % 5)), cells=16)
+    return E.corner_results(rows("a", F.col("event_id") % 7).unionByName(rows("b", F.col("event_id") % 5)))
 
 
 def corner_summary(spark, sf):
