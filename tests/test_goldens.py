@@ -269,3 +269,13 @@ def test_overlap_by_rows_equals_cell_by_cell():
     i, j = (np.concatenate([G._inside(c[[k]], x, y) for k in range(len(c))]) for c in (p, q))
     both, any_ = G._overlap(p, q, w, h, 64)
     assert both.tolist() == (i & j).sum(axis=1).tolist() and any_.tolist() == (i | j).sum(axis=1).tolist()
+
+
+def test_eval_report_scores_texts_as_they_are(spark, monkeypatch, tmp_path):
+    from vellum.plans import analysis_queries as Q
+
+    spark.createDataFrame([(1, 1, "ÄÖ ab")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen, report = [], E.report
+    monkeypatch.setattr(Q.E, "report", lambda samples: seen.append(samples) or report(samples))
+    assert Q.eval_report(spark, str(tmp_path)).first()["n"] == 1
+    assert tuple(seen[0].select("truth", "text").first()) == ("ÄÖ ab", "ÄÖ ob")
