@@ -45,6 +45,20 @@ def test_negative_risk_turns_around():
     assert set(model.by_feature()) == {1} and model.weights[0] > 0 and np.isfinite(model.bias)
 
 
+def test_only_near_copies_leave_the_training_rows():
+    rng = np.random.default_rng(9)
+    common = rng.choice(1 << 22, 40, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(common, 12, replace=False), rng.choice(1 << 22, rng.integers(1, 40))])) for _ in range(400)]
+    sets += [np.sort(rng.permutation(s)[: len(s) - 1]) for s in sets[:50]] + sets[:20] + [np.empty(0, np.int64)] * 2
+    kept = toxicity._unlike(sets)
+    same = lambda a, b: len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
+    names = {tuple(x) for x in kept}
+    for x in sets:
+        near = max((same(x, y) for y in kept if len(y)), default=0.0)
+        assert tuple(x) in names or near >= 0.8
+    assert len(kept) <= 402 and sum(len(x) == 0 for x in kept) == 2
+
+
 # ---- mixing
 
 
@@ -174,6 +188,20 @@ def test_every_operator_takes_empty_tables(spark, nothing):
         assert df.count() == 0
 
 
+def test_clashing_names(spark):
+    """Columns with the names that operators might use inside come out as they went in."""
+    names = ["__text", "__id", "__hash", "__base", "__more", "__toxicity", "toxicity_score", "words_of", "whole", "base", "more", "spans", "Text_"]
+    data = [(1, "token = abcdefabcdefabcdef", "en", "s", 1, *names), (2, "plain words and no more of them", "en", "s", 1, *names)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "other words")], "item_id long, text string")
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from vellum.llm import shingles
+
+    for out in (decontam.clean(docs, items), secrets.redact(docs, secrets.trained(docs)), simhash.keep_one(docs), shingles.keep_one(docs), corpus_pipeline.STAGES[2][1](spark, docs, "/root/testdata/sf0.001"), corpus_pipeline.STAGES[0][1](spark, docs, "/root/testdata/sf0.001")):
+        assert out.columns == docs.columns
+        assert [tuple(r[n] for n in names) for r in out.collect()] == [tuple(names)] * 2
+
+
 def test_queries_are_all_there():
     assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n.split("_")[0][2:]))] == [f"op{k}" for k in range(1, 11)]
 

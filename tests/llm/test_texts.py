@@ -210,6 +210,35 @@ def test_secret_spans(spark):
     assert "Python" not in secrets.digests(docs, ratios)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_markov_spans_equal_plain_python(spark):
+    """The sum of the ratios over a whole run decides, also where a base span covers a part of it."""
+    texts = ["see Zx9Qw2Lm70123456789abcdefKp4Rt8Vb3NsYh6 end", "Zx9Qw2Lm7Gh3jKp4Rt8 é", "中 xK9fQ2.mZ7pLw4R.tB8vNc3JhD.", "the-quick-brown-fox www.example.com/index/page/1 " + "-" * 60, "token = Zx9Qw2Lm7Gh3jKp4Rt8", "a.b" * 40_000, "0123456789abcdef0123 " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = secrets.trained(docs)
+    assert ratios.recall > 0.99 and ratios.wrong <= 0.005
+    n = len(secrets.ALPHABET)
+
+    def plain(text):
+        base = [m.span() for m in re.finditer("[0-9a-f]{16,}", text)] + [m.span() for m in re.compile(secrets.BASE["assign"][0], re.ASCII).finditer(text) if len(m[1]) >= 12]
+        for m in re.finditer(secrets.CANDIDATE, text):
+            codes = [secrets.ALPHABET.index(c) for c in m[0]]
+            if sum(ratios.pairs[a * n + b] for a, b in zip(codes, codes[1:], strict=False)) > ratios.threshold and not any(s <= m.start() and m.end() <= e for s, e in base):
+                yield m.span()
+
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in secrets.scan(docs, ratios).collect()}
+    assert got == {k: list(plain(t)) for k, t in enumerate(texts)}
+    assert got[0] == [(4, 43)] and got[3] == [] and got[4] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, ratios).collect()}
+    assert clean[0] == "see [SECRET] end" and clean[1] == "[SECRET] é" and clean[2] == "中 [SECRET]." and clean[6] == "[SECRET] " * 3
+
+
+def test_many_spans_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "é deadbeefdeadbeef01" * 20_000)], "doc_id long, text string")
+    ratios = secrets.Ratios([0.0] * len(secrets.ALPHABET) ** 2, 16.0)
+    assert secrets.digests(docs, ratios).first()["n_hex"] == 20_000
+    assert secrets.redact(docs, ratios).first()["text"] == "é [SECRET]" * 20_000
+
+
 # ---- tokens
 
 

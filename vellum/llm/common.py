@@ -13,15 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Where that is unset a local session gets one of its own, others an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="vellum-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def own_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder."""
     return f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"

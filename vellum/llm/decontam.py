@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import stored
+from vellum.llm.common import fresh, stored
 
 #: Most words of the benchmark in one broadcast; words of a shard that are indexed together; candidates held at once.
 BLOCK_WORDS, SHARD_WORDS, CANDIDATES = 2_000_000, 1_000_000, 2_000_000
@@ -238,7 +238,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str
     """The rows of docs, with all columns, in which no window of a benchmark item occurs."""
     spark = docs.sparkSession
     kept = docs.columns
-    out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    (name,) = fresh(docs, "words_of")
+    out = docs.withColumn(name, F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

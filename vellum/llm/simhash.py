@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import shuffle_width, stored
+from vellum.llm.common import fresh, shuffle_width, stored
 from vellum.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -203,12 +203,13 @@ def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc
     labelled: gives other components, from rows (row, text), in place of those of the fingerprints. Rows that share that id: the one whose text has the least hash; of equal rows one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tagged = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "__hash": F.xxhash64(text)})
-    rows = tagged.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__hash").alias("hash")).alias("row"), text.alias("text"))
+    id_, hash_ = fresh(docs, "__id", "__hash")
+    tagged = docs.withColumns({id_: F.coalesce(F.col(id_col).cast("string"), F.lit("null")), hash_: F.xxhash64(text)})
+    rows = tagged.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(hash_).alias("hash")).alias("row"), text.alias("text"))
     _, named = labelled(rows) if labelled else _labelled(rows, radius, size, "row", "text", options)
     first = named.groupBy("label").agg(F.min("least").alias("row"))
-    stay = first.select(F.coalesce(F.col("row.id").cast("string"), F.lit("null")).alias("__id"), F.col("row.hash").alias("__hash"))
-    out = tagged.join(stay, ["__id", "__hash"], "left_semi")
-    if tagged.groupBy("__id", "__hash").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["__id", "__hash"])
-    return out.drop("__id", "__hash")
+    stay = first.select(F.coalesce(F.col("row.id").cast("string"), F.lit("null")).alias(id_), F.col("row.hash").alias(hash_))
+    out = tagged.join(stay, [id_, hash_], "left_semi")
+    if tagged.groupBy(id_, hash_).count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_, hash_])
+    return out.drop(id_, hash_)
