@@ -168,7 +168,7 @@ def benchmark(spark, rows):
 @pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 20])
 def test_decontamination(docs, rows, benchmark, block):
     items, table = benchmark
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontam.contamination(docs, table, block_words=block).collect()}
+    got = {r["doc_id"]: tuple(r)[1:-1] for r in decontam.contamination(docs, table, block_words=block).collect()}
     want = hits([(i, t) for i, t, *_ in rows], items)
     assert got == want
     kept = {r["doc_id"] for r in decontam.clean(docs, table, block_words=block).collect()}
@@ -182,6 +182,28 @@ def test_proximity(spark):
     assert got == [(1, "9", 0)]
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 20])
+def test_proximity_equals_brute_force(docs, rows, benchmark, block):
+    """Whatever the block, an item's rarest terms are those of the whole benchmark."""
+    items, table = benchmark
+    own: dict = {}
+    for i, t in items:
+        own.setdefault("null" if i is None else str(i), set()).update(WORD.findall(LOW(t)))
+    held = Counter(w for x in own.values() for w in x)
+    want = []
+    for i, x in own.items():
+        chosen = sorted(x, key=lambda w: (held[w], w.encode()))[:2]
+        for d, t, *_ in rows:
+            w = WORD.findall(LOW(t))
+            at = {c: [k for k, y in enumerate(w) if y == c] for c in chosen}
+            want += [(d, i, p) for p in at.get(chosen[0], [])[:] if all(any(abs(p - q) <= 6 for q in at[c]) for c in chosen[1:])] if chosen else []
+    got = sorted(tuple(r) for r in decontam.proximity_matches(docs, table, terms=2, slop=6, block_words=block).collect())
+    assert got == sorted(want) and got
+    n = Counter(d for d, _, _ in want)
+    counted = {r["doc_id"]: r["n_near"] for r in decontam.contamination(docs, table, terms=2, slop=6, block_words=block).collect()}
+    assert counted == {r[0]: n[r[0]] for r in rows}
+
+
 # ---- secrets
 
 
@@ -275,41 +297,185 @@ def test_lm_base_scores(docs, rows):
     assert sum(g["score"] for g in out) > sum(g["base_score"] for g in out)
 
 
-def test_lm_is_a_distribution():
-    rng = np.random.default_rng(5)
-    counts = np.array([50, 30, 20, 9, 5, 3] + [2] * 300)
-    m = maxent.Model(counts, int(counts.sum()) + 40, len(counts) + 40)
-    m.class_weights += rng.normal(0, 0.3, m.class_weights.shape).astype(np.float32)
-    m.word_weights += rng.normal(0, 0.3, m.word_weights.shape).astype(np.float32)
-    total = 0.0
-    for code in [*range(1, m.head + 1), m.head + 1]:  # each head token, then the class of all others as a whole
-        total += np.exp(m.logs(np.array([7, code]), np.array([0]), np.array([97, 98]))[1])
-    assert total == pytest.approx(1.0, abs=1e-5)
+def small_model(counts, distinct_more=40):
+    tokens = [b"w%d" % k for k in range(len(counts))]
+    codes = maxent.Codes(tokens)
+    head = min(len(counts), maxent.N_SHORT + maxent.N_MEDIUM)
+    rare = [b"r%d" % k for k in range(distinct_more)]
+    leaves = np.zeros(maxent.Model.leaf_count(head, len(counts) + distinct_more))
+    hashes = np.array([crc32(w) & ((1 << maxent.HASH) - 1) for w in tokens[head:] + rare], np.int64)
+    np.add.at(leaves, maxent.Model.leaf_of(hashes, len(leaves)), np.array(counts[head:] + [1] * distinct_more) + 0.5)
+    return tokens, rare, codes, maxent.Model(np.array(counts), sum(counts) + distinct_more, len(counts) + distinct_more, leaves)
 
 
-def test_lm_tells_rare_words_apart_by_context():
-    """Beyond the head, the words that follow each other become likelier; the leaves remain a distribution."""
-    counts = np.array([900] * 240 + [40] * 16)
-    tokens = [b"w%d" % k for k in range(256)]
-    codes = maxent.Codes(tokens)
-    depth = maxent.Model.leaf_bits(240, 256)
-    leaves = np.zeros(1 << depth)
-    np.add.at(leaves, codes.hashes[241:] >> (maxent.HASH - depth), 40.5)
-    m = maxent.Model(counts, int(counts.sum()), 256, leaves)
-    pairs = np.array([[a, a + 8] for a in range(241, 249)] * 300).ravel()
-    starts, last = np.arange(0, len(pairs), 2), codes.last_bytes[pairs]
-    after = lambda w: np.array([241, w])
+@pytest.mark.parametrize("n,more", [(5, 3), (300, 40), (17_000, 500)])
+def test_lm_is_a_distribution(n, more):
+    """With any weights: over all counted tokens and the one that stands for all others."""
+    rng = np.random.default_rng(5)
+    counts = sorted(rng.integers(1, 400, n).tolist(), reverse=True)
+    tokens, rare, codes, m = small_model(counts, more)
+    m.weights += rng.normal(0, 0.3, m.weights.shape).astype(np.float32)
+    every = tokens + rare
+    numbers = np.array([x for w in every for x in (codes[b"w2"], codes[w])])
+    starts = np.arange(0, len(numbers), 2)
+    hashes, last = codes.parts(numbers)
+    logs = m.logs(numbers, hashes, m.contexts(numbers, starts, last))[1::2]
+    own = np.array(counts + [1] * more) + 0.5
+    total = np.exp(logs[: m.head]).sum() + (np.exp(logs[m.head :]) * own[m.head :]).sum() + 0.5 / m.mass
+    assert total == pytest.approx(1.0, abs=1e-4)
+    m.weights[:] = 0
+    logs = m.logs(numbers, hashes, m.contexts(numbers, starts, last))[1::2]
+    assert np.exp(logs[: m.head]) == pytest.approx(own[: m.head] / m.mass, rel=1e-4)
+    assert np.exp(logs[m.head :]) == pytest.approx(1 / m.mass, rel=1e-4)
+
+
+def plain_scores(docs, keys, frequent, rounds, rate, shard):
+    """The model token by token, in plain Python."""
+    M, mask = maxent, (1 << 64) - 1
+    toks = {i: [*LOW(t).encode().split(), b"\n"] for i, t in docs}
+    held = {i: crc32(str(i).encode()) % 5 == 1 for i in toks}
+    c = Counter(w for i, own in toks.items() if not held[i] for w in own)
+    n, v = sum(c.values()), len(c)
+    mass = n + 0.5 * (v + 1)
+    ranked = sorted(c, key=lambda w: (-c[w], w))
+    step = lambda w: int(np.floor(np.log2(c[w]) * 32))
+    top = [w for w in ranked if sum(step(x) >= step(w) for x in ranked) <= frequent]
+    head = min(len(top), M.N_SHORT + M.N_MEDIUM)
+    code = {w: k + 1 for k, w in enumerate(top)}
+    h22 = lambda w: crc32(w) & ((1 << M.HASH) - 1)
+    number = lambda w: code.get(w) or len(top) + 1 + (h22(w) << 8 | w[-1])
+    leaves = M.Model.leaf_count(head, v)
+    depth = (leaves // M.LONG).bit_length() // 5
+    leaf = lambda w: h22(w) >> (M.HASH - leaves.bit_length() + 1)
 
     def path(w):
-        c = m.contexts(after(w), np.array([0]), codes.last_bytes[after(w)])
-        return float(m.leaf_path(c, codes.hashed(after(w)))[1])
+        k = number(w) - 1
+        if k < min(head, M.N_SHORT):
+            return [k // 32, k % 32]
+        if k < head:
+            k -= M.N_SHORT
+            return [M.SHORT + k // 1024, k // 32 % 32, k % 32]
+        x = leaf(w)
+        return [M.SHORT + M.MEDIUM + x // 32**depth, *(x // 32 ** (depth - 1 - j) % 32 for j in range(depth))]
+
+    def node(p):
+        """Number of the class at the end of a path."""
+        if not p:
+            return 0
+        if p[0] < M.SHORT:
+            return 1 + p[0]
+        if p[0] < M.SHORT + M.MEDIUM:
+            at = p[0] - M.SHORT
+            return 1 + M.SHORT + at if len(p) == 1 else 1 + M.SHORT + M.MEDIUM + at * 32 + p[1]
+        at, first = p[0] - M.SHORT - M.MEDIUM, 1 + M.SHORT + M.MEDIUM + M.MEDIUM * 32
+        for j in range(1, len(p)):
+            first, at = first + M.LONG * 32 ** (j - 1), at * 32 + p[j]
+        return first + at
+
+    masses: dict = {}
+    for w in c:
+        p = path(w)
+        for j in range(len(p)):
+            masses.setdefault(tuple(p[:j]), [0.0] * 32)[p[j]] += c[w] + 0.5
+    of_leaf = Counter()
+    for w in c:
+        if number(w) > head:
+            of_leaf[leaf(w)] += c[w] + 0.5
+    bits = min(max(M.LEAST_BITS, (n // 16).bit_length()), M.MOST_BITS)
+
+    def contexts(words, j):
+        one, two = (number(words[j - 1]) if j > 0 else 0), (number(words[j - 2]) if j > 1 else 0)
+        out = []
+        for f, x in enumerate([one, two, words[j - 1][-1] if j > 0 else 0, one * 1_000_003 + two * 7 + 1]):
+            y = (x + (f + 1) * 0xD6E8FEB86659FD93) * 0x9E3779B97F4A7C15 & mask
+            out.append(y ^ y >> 29)
+        return out
+
+    def rows(ctx, at):
+        return [((x ^ at * 0xC2B2AE3D27D4EB4F & mask) * 0x9E3779B97F4A7C15 & mask) >> (64 - bits) for x in (ctx[: M.DEEP] if at else ctx)]
+
+    def soft(weights, ctx, p):
+        r = rows(ctx, node(p))
+        m = masses.get(tuple(p))
+        z = np.array([max(np.log(x / sum(m)), M.NEVER) if x else M.NEVER for x in m]) if m else np.full(32, M.NEVER)
+        z = z + sum((weights.get(x, np.zeros(32)) for x in r), np.zeros(32))
+        return r, z - np.log(np.exp(z).sum())
+
+    common: dict = {}
+    shards = max(1, -(-n // (rounds * shard)))
+    for k in range(rounds):
+        changes: dict = {}
+        for s in range(shards):
+            order = sorted((i for i in toks if not held[i] and keys[i] % (rounds * shards) == k + s * rounds), key=lambda i: (keys[i], np.array([number(w) for w in toks[i]], np.int32).tobytes()))
+            flat = [(contexts(toks[i], j), path(w)) for i in order for j, w in enumerate(toks[i])]
+            assert len(flat) <= M.UPDATE
+            weights, squares, used = dict(common), {}, Counter()
+            # the levels of a block are worked on one after the other: the root, the second of all, the third of the medium ones, then of the others
+            for level in [lambda p: 0, lambda p: 1, lambda p: 2 if M.SHORT <= p[0] < M.SHORT + M.MEDIUM else None, *(lambda p, j=j: j if p[0] >= M.SHORT + M.MEDIUM else None for j in range(2, depth + 1))]:
+                grads, uses = {}, Counter()
+                for ctx, p in flat:
+                    j = level(p)
+                    if j is None or j >= len(p):
+                        continue
+                    r, logs = soft(weights, ctx, p[:j])
+                    g = np.exp(logs)
+                    g[p[j]] -= 1
+                    for x in r:
+                        grads[x] = grads.get(x, 0) + g
+                        uses[x] += 1
+                for x, g in grads.items():
+                    g = g / np.sqrt(uses[x])
+                    squares[x] = squares.get(x, 1.0) + (g * g).sum()
+                    weights[x] = weights.get(x, np.zeros(32)) - rate / np.sqrt(squares[x]) * g
+                used += uses
+            for x, u in used.items():
+                a = changes.setdefault(x, [0, np.zeros(32)])
+                a[0] += u
+                a[1] += u * (weights[x] - common.get(x, np.zeros(32)))
+        for x, (u, change) in changes.items():
+            common[x] = common.get(x, np.zeros(32)) + change / u
+
+    def log10(words, j):
+        w = words[j]
+        if not c[w]:
+            return np.log10(0.5 / mass)
+        p, ctx, total = path(w), contexts(words, j), np.log((mass - 0.5) / mass)
+        for k in range(len(p)):
+            total += soft(common, ctx, p[:k])[1][p[k]]
+        if number(w) > head:
+            total += np.log((c[w] + 0.5) / of_leaf[leaf(w)])
+        return total / np.log(10)
+
+    return {i: sum(log10(t, j) for j in range(len(t))) for i, t in toks.items()}
+
+
+@pytest.mark.parametrize("frequent,shard", [(50, 8_000_000), (300, 900)])
+def test_lm_scores_equal_a_plain_model(docs, rows, frequent, shard):
+    from pyspark.sql import functions as F
+
+    keys = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit("")).cast("binary")).alias("h")).collect()}
+    want = plain_scores([r[:2] for r in rows], keys, frequent, 2, 1.0, shard)
+    for parts in (2, 5):  # other partitions give the same scores
+        got = {r["doc_id"]: r["score"] for r in maxent.scores(docs.repartition(parts), frequent=frequent, shard=shard).collect()}
+        assert got == pytest.approx(want, rel=2e-3, abs=0.05)
+        if parts == 2:
+            first = got
+    assert got == pytest.approx(first, rel=1e-6)
+
 
-    before = path(249)
-    assert before == pytest.approx(np.log(1 / m.tail), abs=1e-4)
-    updates = maxent.Updates(m, 0.3)
+def test_lm_tells_rare_words_apart_by_context():
+    """Also beyond the broadcast tokens, the words that follow each other become likelier."""
+    tokens, rare, codes, m = small_model([900] * 260 + [40] * 16, 64)
+    pairs = np.array([codes[w] for _ in range(100) for k in range(20) for w in (rare[k], rare[k + 20])])
+    starts = np.arange(0, len(pairs), 2)
+    one = np.array([codes[rare[3]], codes[rare[23]]])
+
+    def log(numbers):
+        hashes, last = codes.parts(numbers)
+        return m.logs(numbers, hashes, m.contexts(numbers, np.array([0]), last))[1]
+
+    before = log(one)
+    updates = maxent.Updates(m, 1.0)
     for _ in range(5):
-        updates.learn(pairs, starts, last, codes.hashed(pairs))
-    same_leaf = lambda w: codes.hashes[w] >> (maxent.HASH - depth) == codes.hashes[249] >> (maxent.HASH - depth)
-    assert path(249) > before + 1 and any(path(w) < before - 1 for w in range(250, 257) if not same_leaf(w))
-    total = sum(np.exp(path(w)) * 40.5 for w in range(241, 257)) + 0.5 / m.tail
-    assert total == pytest.approx(1.0, abs=1e-3)
+        updates.learn(pairs, starts, *codes.parts(pairs))
+    assert log(one) > before + 2 and log(np.array([codes[rare[4]], codes[rare[23]]])) < log(one) - 2
