@@ -85,6 +85,45 @@ def test_mix(docs, rows):
         assert by[s][2] == pytest.approx(t) and abs(by[s][1] - t) <= max(8, 0.01 * t)
 
 
+@pytest.mark.parametrize("block", [1, 7, mixing.BLOCK])
+def test_mix_equals_a_plain_schedule(spark, docs, rows, block):
+    """Slot by slot in plain Python: source, block, words of each document; mix() adds them up."""
+    from pyspark.sql import functions as F
+
+    key = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()}
+    size = {i: len((t or "").encode().split()) for i, t, *_ in rows}
+    names = sorted({s for _, _, _, s, _ in rows if s is not None}) + [None]
+    bits = max(0, (len(rows) // mixing.BUCKET_ROWS).bit_length())
+    bucket = lambda h: (h % 2**64) >> (64 - bits) if bits else 0
+    laid = {s: sorted((i for i, _, _, x, _ in rows if x == s and size[i]), key=lambda i: (bucket(key[i]), key[i], i)) for s in names}
+    total = sum(size.values())
+    goal = mixing.targets([sum(size[i] for i in laid[s]) for s in names], [1 + k % 3 for k in range(len(names))])
+    bounds = np.cumsum([g / total for g in goal])[:-1]
+    b = max(1, min(block, -(-total // mixing.LEAST_SLOTS)))
+    shares, ranks, want = defaultdict(lambda: [0, None]), defaultdict(int), set()
+    words = {s: [(i, k) for i in laid[s] for k in range(size[i])] * 3 for s in names}
+    for slot in range(-(-total // b)):
+        point = (slot * mixing.GOLDEN + (mixing.GOLDEN >> 1)) % 2**64 / 2**64
+        s = names[int(np.searchsorted(bounds, point, side="right"))]
+        for i, _ in words[s][ranks[s] * b : (ranks[s] + 1) * b]:
+            shares[i][0] += 1
+            shares[i][1] = slot if shares[i][1] is None else shares[i][1]
+        ranks[s] += 1
+    got = {g["doc_id"]: (g["taken"], g["first_slot"]) for g in mixing.mix(docs, block_words=block).collect()}
+    assert {i: t for i, (t, _) in got.items()} == {i: shares[i][0] for i in size}
+    assert {i: f for i, (_, f) in got.items()} == {i: shares[i][1] for i in size}
+    order = mixing.sequence(docs, block_words=block).orderBy("slot", "place").collect()
+    assert sum(r["words"] for r in order) == sum(t for t, _ in got.values())
+    assert [r["slot"] for r in order] == sorted(r["slot"] for r in order) and all(0 <= r["from"] and r["from"] + r["words"] <= size[r["doc_id"]] for r in order)
+
+
+def test_mix_of_ties_and_repeats(spark):
+    """Rows with one id are documents of their own; equal sizes and ids share the mix."""
+    df = spark.createDataFrame([(1, "a b", "s")] * 3 + [(1, "a b", "t"), (2, "", "t"), (None, None, None)], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 6 and sum(g["taken"] for g in got) == 8 and all(g["taken"] <= 3 * g["size"] for g in got)
+
+
 def test_schedule_ranks_and_spread(spark):
     got = sorted(map(tuple, mixing.schedule(spark, [0.5, 0.3, 0.2], 20_000).collect()))
     seen: dict = defaultdict(int)

@@ -1,12 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a sequence of slots of equally many words. Slot i takes the point frac((i + 1/2) * golden ratio);
-the cumulative shares of the sources map it to a source, and the slot's rank among its source's slots names
-the block that it plays: block r is words [r*B, (r+1)*B) of the source's documents, laid end to end in
-hash order and read round and round, three times at most.
+The mix is a sequence of slots of equally many words. Slot i takes the point frac((i + 1/2) * golden ratio), in
+64-bit whole numbers; the cumulative shares of the sources map it to a source, and the slot's rank among its source's
+slots names the block that it plays: block r is words [r*B, (r+1)*B) of the source's documents, laid end to end in
+hash order and read round and round, three times at most. sequence() gives the mix in this order, mix() what each
+document adds to it and where it is first played.
 
 Ranks and word offsets are running sums in two levels (within a bucket, then over the buckets' sums), so
-that no task holds a whole source. Only one row per source goes to the driver.
+that no task holds a whole source. One row per source goes to the driver, which shares out the targets: sources are
+taken to be few (some million names at most), documents and slots are not bounded.
 
 Null text has size 0; null sources form one source, the last; rows of one doc_id are separate documents;
 an empty table gives an empty mix. Other columns are ignored.
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import stored
 
-GOLDEN = (5**0.5 - 1) / 2
+#: The golden ratio's fraction, times 2^64.
+GOLDEN = 0x9E3779B97F4A7C15
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a bucket of documents, about, and slots of a chunk.
-BUCKET_ROWS, CHUNK = 1_000, 8_192
+#: Rows of a bucket of documents, about, and slots of a chunk. Words of a block at most, and slots that a small corpus is cut into at least.
+BUCKET_ROWS, CHUNK, BLOCK, LEAST_SLOTS = 1_000, 8_192, 4_096, 1 << 17
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -48,11 +51,11 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -
 
 def schedule(spark: SparkSession, shares: Sequence[float], slots: int) -> DataFrame:
     """slot, sid, rank: the source of each slot and the slot's rank among those of its source."""
-    bounds = np.cumsum(np.asarray(shares, float))[:-1]
+    bounds = np.array([min(int(x * 2**64), 2**64 - 1) for x in np.cumsum(np.asarray(shares, float))[:-1]], np.uint64)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            point = np.modf((b["id"].to_numpy() + 0.5) * GOLDEN)[0]
+            point = b["id"].to_numpy().astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(GOLDEN >> 1)
             yield pd.DataFrame({"slot": b["id"], "sid": np.searchsorted(bounds, point, side="right")})
 
     dealt = spark.range(slots).mapInPandas(deal, "slot long, sid long").withColumn("chunk", F.expr(f"slot div {CHUNK}"))
@@ -65,21 +68,10 @@ def schedule(spark: SparkSession, shares: Sequence[float], slots: int) -> DataFr
     return dealt.join(before, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + place).alias("rank"))
 
 
-def mix(
-    df: DataFrame,
-    weights: Sequence[float] = (1, 2, 3),
-    most: int = 3,
-    slots: int = 1 << 18,
-    seed: int = 7,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row.
-
-    Sources by code point, null last, get the weights in turn. slots: the mix has about so many, at least half,
-    whatever its size; a block has ceil(words / slots) words.
-    """
+def _laid(
+    df: DataFrame, weights: Sequence[float], most: int, block_words: int, seed: int, id_col: str, text_col: str, source_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with words (and where they start in their source), those without, and the played pieces of the former with their slots."""
     spark = df.sparkSession
     docs = stored(
         df.select(
@@ -94,7 +86,7 @@ def mix(
     sizes = [r["n"] for r in found]
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(found))], most)
     total = sum(sizes)
-    block = max(1, -(-total // slots))
+    block = max(1, min(block_words, -(-total // LEAST_SLOTS)))
     info = spark.createDataFrame(
         [(r["source"], k, r["n"], goal[k]) for k, r in enumerate(found)], "source_ string, sid long, source_size long, target double"
     )
@@ -112,19 +104,48 @@ def mix(
         .select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("before"))
     )
     inside = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    keys = ["sid", "start", "doc_id", "source", "size", "source_size", "target"]
-    laid = full.join(before, ["sid", "bucket"]).withColumn("start", F.col("before") + F.coalesce(inside, F.lit(0))).select(*keys)
-    slot_rows = schedule(spark, [g / total for g in goal] if total else [1.0], -(-total // block)).select("sid", F.col("rank").alias("block"), F.lit(True).alias("played"))
+    laid = full.join(before, ["sid", "bucket"]).withColumn("start", F.col("before") + F.coalesce(inside, F.lit(0))).select(*KEYS)
+    slot_rows = schedule(spark, [g / total for g in goal] if total else [1.0], -(-total // block)).select("sid", F.col("rank").alias("block"), "slot")
     pieces = (
         laid.withColumn("pass_start", F.explode(F.expr(f"transform(sequence(0, {most - 1}), p -> start + p * source_size)")))
         .withColumn("block", F.explode(F.expr(f"sequence(pass_start div {block}, (pass_start + size - 1) div {block})")))
+        .withColumn("from", F.expr(f"greatest(0, block * {block} - pass_start)"))
         .withColumn("words", F.expr(f"least(pass_start + size, (block + 1) * {block}) - greatest(pass_start, block * {block})"))
     )
-    taken = (
-        pieces.join(slot_rows, ["sid", "block"], "left")
-        .groupBy(*keys)
-        .agg(F.sum(F.when(F.col("played"), F.col("words")).otherwise(0)).alias("taken"))
-        .drop("start", "sid")
-    )
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return taken.select(*columns).unionByName(hashed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
+    return laid, hashed.where("size = 0"), pieces.join(slot_rows, ["sid", "block"], "left")
+
+
+KEYS = ["sid", "start", "doc_id", "source", "size", "source_size", "target"]
+
+
+def sequence(
+    df: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, block_words: int = BLOCK, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """The mix: slot, source, block, place, doc_id, from, words: the words [from, from + words) of a document that a slot plays.
+
+    Sorted by slot and place (the order within the slot's block) the rows are the mix from its beginning to its end.
+    """
+    pieces = _laid(df, weights, most, block_words, seed, id_col, text_col, source_col)[2]
+    return pieces.where("slot IS NOT NULL").select("slot", "source", "block", F.expr("pass_start + from").alias("place"), "doc_id", "from", "words")
+
+
+def mix(
+    df: DataFrame,
+    weights: Sequence[float] = (1, 2, 3),
+    most: int = 3,
+    block_words: int = BLOCK,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot (null where nothing is taken) for each row.
+
+    Sources by code point, null last, get the weights in turn. block_words: words of a block; fewer where the corpus would
+    have less than LEAST_SLOTS slots.
+    """
+    _, empty, pieces = _laid(df, weights, most, block_words, seed, id_col, text_col, source_col)
+    taken = pieces.groupBy(*KEYS).agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).alias("taken"), F.min("slot").alias("first_slot"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot"]
+    empty = empty.withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
+    return taken.select(*columns).unionByName(empty.select(*columns))
