@@ -155,6 +155,35 @@ def test_warc(spark, tmp_path):
             assert tuple(got[k])[1:] == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if to is None else "revisit", to)
 
 
+def test_warc_of_odd_rows(spark, tmp_path):
+    """Null, repeated and strange ids, payloads that end in or hold line breaks, one large page; every record of its own is valid."""
+    import gzip
+
+    big = "x\r\n\r\n" * 400_000
+    data = [("null", "u", "a"), (None, "u", "a"), (None, "v", None), (" s p+%", None, "a\r\n"), ("", "w", "\r\n\r\n"), ("r", "1", "one"), ("r", "2", "two"), ("r", "2", "two"), ("z", "u", "\r"), ("big", "u", big), ("zbig", "u", big), ("é\n", "u", "a\r\n")]
+    df = spark.createDataFrame(data, "page_id string, url string, html string").coalesce(1)
+    path = str(tmp_path / "odd")
+    got = sorted(map(tuple, warc.archive(df, path).collect()), key=str)
+    ids = lambda h: sorted(i for i, _, x in data if (x or "") == h and i is not None)
+    want = []
+    for i, _, h in data:
+        b = (h or "").encode()
+        first = (ids(h or "") or [None])[0]
+        to = first if i != first else None
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if to is not None else "response", to))
+    assert got == sorted(want, key=str)
+    records = [x for f in (tmp_path / "odd").glob("*.gz") for x in warc.parse(gzip.decompress(f.read_bytes()))]
+    names = [f["warc-record-id"] for f, _ in records]
+    assert len(records) == len(data) and len(set(names)) == len(data) - 1
+    for f, block in records:
+        assert block.startswith(b"HTTP/1.1 200 OK\r\n") and f["content-type"] == warc.HTTP_TYPE and f["warc-date"] > "2025"
+        if f["warc-type"] == "revisit":
+            assert f["warc-refers-to"] in names
+    # piece by piece the same records are read
+    parser, whole = warc.Parser(), gzip.decompress(next((tmp_path / "odd").glob("*.gz")).read_bytes())[:4000]
+    assert list(warc.parse(whole)) == [x for k in range(0, len(whole), 7) for x in parser.feed(whole[k : k + 7])]
+
+
 # ---- embeddings
 
 

@@ -2,19 +2,24 @@
 
 Only headers (page id, payload digest, length) are shuffled by digest to find each payload's original, the
 record with the smallest id; then bodies meet their decisions by id, and a page whose payload another one
-holds is written as a revisit record without a body. The archives are written by Spark's text sink, one
-row per record with CRLF CRLF as the separator, gzipped by file, into the folder that the cluster shares, and
-read back by the records' Content-Length, whatever the payloads hold.
+holds is written as a revisit record without a body. A response's block is an HTTP response whose body is the payload.
+The archives are written by Spark's text sink, one row per record with CRLF CRLF as the separator, gzipped by file, into
+the folder that the cluster shares. They are read back as a stream of the pieces between such separators, which
+Content-Length puts together again whatever the payloads hold, so that a task holds one record and not a file.
 
 Null html counts as an empty payload, a null url as an empty target; an empty table gives no archive. A page
-with a null id gets the id "null" and sorts last. Rows that repeat an id and
-its payload get the same record type. Other columns are ignored.
+with a null id has no X-Page-ID field and sorts last. Rows that repeat an id and its payload get the same record type; only
+rows that agree in id, payload and url share a record id. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +29,9 @@ from vellum.llm.common import own_dir, stored
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of an archive file at most; a reading task holds one file.
-FILE_RECORDS = 4_000
+HTTP_TYPE = "application/http;msgtype=response"
+#: Records of an archive file at most, as a gzipped file is read by one task. Parts that the pages of one payload are split into.
+FILE_RECORDS, SALT = 4_000, 16
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -55,8 +61,10 @@ def resolved(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
         .where("copies > 1")
         .drop("copies")
     )
+    # the pages of a payload that many share meet its first page in SALT places
+    salted = headers.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
     others = (
-        headers.join(first, ["payload_digest", "payload_bytes"])
+        salted.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["payload_digest", "payload_bytes", "salt"])
         .where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
         .select(F.col("page_id").alias("id_"), F.col("payload_digest").alias("digest_"), F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_to_uri"))
         .dropDuplicates(["id_", "digest_"])
@@ -74,105 +82,137 @@ def resolved(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     )
 
 
-def _record_id(page: Column) -> Column:
-    """A name-based UUID of the page id."""
-    h = F.sha1(F.concat(F.lit("vellum:page:"), F.coalesce(page.cast("string"), F.lit("null"))).cast("binary"))
+def _record_id(page: Column, digest: Column, url: Column) -> Column:
+    """A name-based UUID of page id, payload and url."""
+    h = F.sha1(F.concat_ws("\n", F.lit("vellum:page"), F.coalesce(F.concat(F.lit("="), page.cast("string")), F.lit("-")), digest, url).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def write(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes the rows of resolved() as archives of at most FILE_RECORDS records.
+def write(rows: DataFrame, path: str, date: str | None = None) -> None:
+    """Writes the rows of resolved() as archives of at most FILE_RECORDS records, dated now unless a date is given.
 
-    Line breaks in an url would end its header line; they are percent-encoded.
+    Line breaks in an url would end its header line; they are percent-encoded. Page ids are form-encoded.
     """
-    spark = rows.sparkSession
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     uri = lambda c: F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    revisit = F.col("revisit")
+    page = lambda name, c: F.coalesce(line(name, F.url_encode(F.col(c).cast("string"))), F.lit(""))
+    revisit, digest = F.col("revisit"), F.col("payload_digest")
+    http = F.concat(
+        F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2)
+    )
+    length = F.length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), digest, F.col("url"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", uri(F.col("url"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit("null"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        page("X-Page-ID", "page_id"),
         F.when(
             revisit,
             F.concat(
                 line("WARC-Profile", F.lit(REVISIT_PROFILE)),
-                line("WARC-Refers-To", _record_id(F.col("refers_to"))),
+                line("WARC-Refers-To", _record_id(F.col("refers_to"), digest, F.col("refers_to_uri"))),
                 line("WARC-Refers-To-Target-URI", uri(F.col("refers_to_uri"))),
-                line("X-Refers-To-Page-ID", F.coalesce(F.col("refers_to").cast("string"), F.lit("null"))),
-                line("X-Payload-Length", F.col("payload_bytes").cast("string")),
+                line("WARC-Refers-To-Date", F.lit(date)),
+                page("X-Refers-To-Page-ID", "refers_to"),
             ),
         ).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
+        line("Content-Type", F.lit(HTTP_TYPE)),
+        line("Content-Length", length.cast("string")),
         F.lit(CRLF),
+        http,
     )
     record = F.concat(head.cast("binary"), F.coalesce(F.col("payload"), F.lit("").cast("binary"))).cast("string")
     rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+class Parser:
+    """Records of archives that come in pieces. A record's two line breaks at the end and any more before the next are skipped."""
+
+    def __init__(self):
+        self.held: list[bytes] = []
+        self.size, self.want, self.fields = 0, 0, None
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Header fields (names in lower case) and block of each record that the piece completes."""
+        self.held.append(piece)
+        self.size += len(piece)
+        while self.size >= self.want:
+            data = b"".join(self.held)
+            if self.fields is None:
+                data = data.lstrip(b"\r\n")
+                end = data.find(b"\r\n\r\n")
+                if end < 0:
+                    self.held, self.size, self.want = [data], len(data), len(data) + 1
+                    return
+                self.fields = {}
+                for text in data[:end].decode().split(CRLF)[1:]:
+                    name, _, value = text.partition(":")
+                    self.fields[name.lower()] = value.strip()
+                data = data[end + 4 :]
+                self.want = int(self.fields["content-length"])
+            else:
+                fields, block, data = self.fields, data[: self.want], data[self.want :]
+                self.fields, self.want = None, 1
+                yield fields, block
+            self.held, self.size = [data], len(data)
+
+
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        fields = {}
-        for text in archive[at:end].decode().split(CRLF)[1:]:
-            name, _, value = text.partition(":")
-            fields[name.lower()] = value.strip()
-        size = int(fields["content-length"])
-        yield fields, archive[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    return Parser().feed(archive)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id (string), record_type, payload_bytes, payload_digest, refers_to (string): one row per record of the archives.
+    """page_id (string), record_type, payload_bytes, payload_digest, refers_to (string), url: one row per record of the archives.
 
-    A response's size and digest are taken from its block; a revisit's from its header.
+    A response's size and digest are taken from its block after the HTTP head; a revisit's from its heads.
     """
     schema = "page_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, url string"
-    names = [c.split()[0] for c in schema.split(", ")]
+    types = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in schema.split(", ")])
+
+    def row(f: dict[str, str], block: bytes) -> tuple:
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size, digest = len(payload), f["warc-payload-digest"].partition(":")[2]
+        if f["warc-type"] == "revisit":
+            size = int(next(x for x in http.decode().lower().split(CRLF) if x.startswith("content-length:")).partition(":")[2])
+        else:
+            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        name = lambda key: unquote_plus(f[key]) if key in f else None
+        return name("x-page-id"), f["warc-type"], size, digest, name("x-refers-to-page-id"), f["warc-target-uri"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-        import gzip
-        import hashlib
-
+        parser = Parser()
         for b in batches:
-            for content in b.column(0):
-                rows = []
-                for f, block in parse(gzip.decompress(content.as_buffer())):
-                    again = f["warc-type"] == "revisit"
-                    digest = f["warc-payload-digest"].partition(":")[2] if again else base64.b32encode(hashlib.sha1(block).digest()).decode()
-                    rows.append((f["x-page-id"], f["warc-type"], int(f["x-payload-length"]) if again else len(block), digest, f.get("x-refers-to-page-id"), f["warc-target-uri"]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if k != 4 else pa.array(c, pa.string()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+            rows = [row(f, block) for piece in b.column(0) for f, block in parser.feed(piece.as_py() + b"\r\n\r\n")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    # a gzipped file is never split, and its pieces come in order
+    pieces = spark.read.option("lineSep", CRLF * 2).text(path).select(F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, path: str | None = None, least: int = 0, id_col: str = "page_id", **columns) -> DataFrame:
     """Writes the pages as archives, reads these back and resolves the revisits against the responses read.
 
-    page_id, payload_bytes, payload_digest, record_type, refers_to for each row; a revisit's payload_bytes and
-    digest are those of the response that it names.
+    page_id, payload_bytes, payload_digest, record_type, refers_to for each row; a revisit whose response was not read
+    back has no payload_bytes and no digest.
     """
     spark = pages.sparkSession
     path = path or f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(resolved(pages, least, id_col, **columns), path)
     id_type = pages.schema[id_col].dataType
     back = stored(read(spark, path), "warc-records")
-    own = back.where("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("payload_bytes").alias("bytes_"), F.col("payload_digest").alias("digest_"))
-    met = back.where("record_type = 'revisit'").join(
-        own.dropDuplicates(["to", "digest_"]), (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("digest_")), "left"
-    )
-    back_id = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(id_type)
-    columns_ = [back_id("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", back_id("refers_to").alias("refers_to")]
-    responses = back.where("record_type = 'response'").select(*columns_)
-    revisits = met.select("page_id", F.col("bytes_").alias("payload_bytes"), F.col("digest_").alias("payload_digest"), "record_type", "refers_to").select(*columns_)
-    return responses.unionByName(revisits)
+    responses, revisits = back.where("record_type = 'response'"), back.where("record_type = 'revisit'")
+    # distinct pairs are checked, so that a payload that many revisit is no hot key; pairs without their response are expected to be none
+    named = revisits.select(F.col("refers_to").alias("to"), F.col("payload_digest").alias("digest_")).distinct()
+    lost = stored(named.join(responses.select(F.col("page_id").alias("to"), F.col("payload_digest").alias("digest_")), ["to", "digest_"], "left_anti"), "warc-lost")
+    met = revisits.join(lost, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("digest_")), "left")
+    of_response = lambda c: F.when(F.col("to").isNull(), F.col(c)).alias(c)
+    columns_ = [F.col("page_id").cast(id_type).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to")]
+    met = met.select("page_id", of_response("payload_bytes"), of_response("payload_digest"), "record_type", "refers_to").select(*columns_)
+    return responses.select(*columns_).unionByName(met)
