@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import fresh, shuffle_width, stored
 
 #: Most words of the benchmark in one broadcast; words of a shard that are indexed together; candidates held at once.
-BLOCK_WORDS, SHARD_WORDS, CANDIDATES = 500_000, 1_000_000, 2_000_000
+BLOCK_WORDS, SHARD_WORDS, CANDIDATES = 500_000, 250_000, 2_000_000
 #: Terms that no word can be: the ends of a shard's documents, and the numbers of their rows.
 END, ROWS = b"\n", b"\r"
 
