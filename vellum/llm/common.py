@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,22 +42,43 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    Results may still read the files later, so they stay until clear() or until the folder is emptied.
+    Results may still read the files later, so they stay until discard(), clear() or until the folder is emptied. zstd takes
+    some hundred MB of an executor's memory beside the heap; lz4_raw takes none and gives larger files.
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df; only for tables that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what this application has stored; results that were not written elsewhere can't be read afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, most: int = 100_000) -> DataFrame:
+    """rows joined to keyed, which has one row a key and in column n how many rows have that key; total: the number of rows.
+
+    Keys of more than total / most rows, of which there are fewer than `most`, are broadcast, so that no such key's
+    rows meet in one task; all others are joined as Spark sees fit.
+    """
+    least = max(64, total // most)
+    hot, cold = keyed.where(F.col(n) > least), keyed.where(F.col(n) <= least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key)).drop(n)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

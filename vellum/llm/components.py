@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import stored
+from vellum.llm.common import spread_join, stored
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """u, m: the least of each u and its partners v."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    """u, m, n: the least of each u and its partners v, and the number of these."""
+    return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Every partner above u is linked to the least of u and its partners."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return spread_join(both, _least(both), "u", "n", 2 * total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """u and its partners below are linked to the least of these."""
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = _least(down)
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = spread_join(down, least, "u", "n", total).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b")
 
 
@@ -31,8 +31,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: every node of links(a, b: long) and the least node of its component.
 
     Alternates the two star operations until nothing changes; each round's links are written to the shared
-    folder. A hot centre is aggregated before the shuffle, and joins on it are left to skew splitting. An
-    empty table gives an empty one.
+    folder. A hot centre is aggregated before the shuffle and met by broadcast (a bounded number of centres). A round
+    has no more links than the one before, or a third of the nodes more. An empty table gives an empty one.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = stored(links, "links")
@@ -41,7 +41,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not last[0]:
             break
-        links = stored(_small_star(_large_star(links)).distinct(), "links")
+        links = stored(_small_star(_large_star(links, last[0]), last[0]).distinct(), "links")
         now = mark(links)
         if now == last:
             break

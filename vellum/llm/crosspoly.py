@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import shuffle_width, stored
+from vellum.llm.common import shuffle_width, spread_join, stored
 from vellum.llm.components import components
 
 #: Rows of a bucket that meet in one step; rows compared with these at once.
@@ -224,10 +224,11 @@ def near_duplicates(
     label = components(found.select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("n").alias("more"))
     named = nodes.join(counts, nodes["node"] == counts["a"], "left").join(label.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
-    named = named.select("v", "least", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("label"))
+    named = named.select("v", "least", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "label").select(F.col("v").alias("v_"), "n_links", "component_id")
-    linked = rows.where("good").join(of, F.col("v") == F.col("v_")).select("id", "n_links", "component_id")
+    of = stored(named.join(ids, "label").select("v", "n", "n_links", "component_id"), "vector-components")
+    good_rows = rows.where("good").select("id", "v")
+    linked = spread_join(good_rows, of, "v", "n", good_rows.count()).select("id", "n_links", "component_id")
     alone = rows.where("NOT good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     long = lambda c: F.col(c).cast(df.schema[id_col].dataType if not isinstance(df.schema[id_col].dataType, T.NullType) else "long")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh, shuffle_width, stored
+from vellum.llm.common import fresh, shuffle_width, spread_join, stored
 from vellum.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -184,17 +184,17 @@ def links(codes: DataFrame, radius: int = 4, agree: int | None = None, shard: in
 def _labelled(docs: DataFrame, radius: int, size: int, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, DataFrame]:
     """(id, fp) of each row, and fp, least (doc_id), label (least fp of the component) of each fingerprint."""
     fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    codes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "codes")
+    codes = stored(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "codes")
     label = components(links(codes.select("fp"), radius, **options))
-    return fps, codes.join(label, codes["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    return fps, codes.join(label, codes["fp"] == label["node"], "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for each row."""
     fps, named = _labelled(docs, radius, size, id_col, text_col, options)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "label").select("fp", "component_id")
-    return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = stored(named.join(least, "label").select("fp", "n", "component_id"), "components")
+    return spread_join(fps, of, "fp", "n", fps.count()).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text", labelled: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, **options) -> DataFrame:
