@@ -5,7 +5,8 @@ one array of symbol ids; one round finds the lowest merge rank of every sequence
 all its places in every sequence at once, until no sequence has a pair left. The surviving symbols are
 the tokens.
 
-Nulls count as empty text (0 bytes, 0 tokens). Other columns are ignored, rows are kept as they come.
+A file with settings beyond plain byte-level BPE (a normalizer, a prefix space, tokens of its own that are not special) is
+refused. Nulls count as empty text (0 bytes, 0 tokens). Other columns are ignored, rows are kept as they come.
 """
 
 from __future__ import annotations
@@ -35,12 +36,27 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def refuse(spec: dict) -> None:
+    """Raises for a file whose settings would give other tokens than these merges over these pre-tokens do."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    for wrong, what in (
+        (model.get("type", "BPE") != "BPE", "model"),
+        (spec.get("normalizer") is not None, "normalizer"),
+        (cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True), "pre_tokenizer"),
+        (any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")), "model settings"),
+        (any(not t.get("special") or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])), "added_tokens"),
+    ):
+        if wrong:
+            raise ValueError(f"not a plain byte-level BPE file: {what}")
+
+
 class Merges:
     """Merge table of a byte-level BPE file as sorted arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse(spec)
         vocab = spec["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
