@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import policies as P
 from vellum.functions import quads as G
 from vellum.functions import tensors as N
 from vellum.functions import text as T
@@ -12,6 +13,7 @@ from vellum.operators import datasets as D
 from vellum.operators import evaluation as E
 from vellum.operators import layout as Y
 from vellum.operators import library as L
+from vellum.operators import review as V
 from vellum.operators import search as S
 from vellum.sources import documents as R
 
@@ -279,3 +281,178 @@ def test_eval_report_scores_texts_as_they_are(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(Q.E, "report", lambda samples: seen.append(samples) or report(samples))
     assert Q.eval_report(spark, str(tmp_path)).first()["n"] == 1
     assert tuple(seen[0].select("truth", "text").first()) == ("ÄÖ ab", "ÄÖ ob")
+
+
+def test_reading_modes(spark):
+    kinds = "HEADER BODY FOOTER TABLE CAPTION SIDEBAR MARGIN_NOTE COLUMN FIGURE".split()
+    assert [one(spark, P.reading_mode(F.lit(k))) for k in kinds] == [6, 3, 7, 6, 7, 6, 6, 4, 3]
+
+
+def test_default_rectangle(spark):
+    is_default = lambda w, h, *p: one(spark, P.is_default_rectangle(quad(*p), F.lit(w), F.lit(h)))
+    assert is_default(300.0, 500.0, 30, 30, 270, 30, 270, 470, 30, 470)
+    assert is_default(100.0, 150.0, 20, 20, 80, 20, 80, 130, 22.5, 130)
+    assert not is_default(100.0, 150.0, 20, 20, 80, 20, 80, 130, 22.6, 130)
+    assert not is_default(300.0, 500.0, 0, 0, 300, 0, 300, 500, 0, 500)
+
+
+def test_usable_quads(spark):
+    usable = lambda *p: one(spark, P.is_usable_quad(quad(*p), F.lit(100.0), F.lit(100.0)))
+    assert usable(-25, 0, 125, 0, 100, 100, 0, 100)
+    assert not usable(-25.1, 0, 125, 0, 100, 100, 0, 100)
+    assert not usable(100, 0, 0, 0, 0, 100, 100, 100) and not usable(0, 0, 50, 0, 100, 0, 0, 100)
+
+
+def test_export_turns(spark):
+    turn = lambda f, m, d: one(spark, P.turns_for_export(F.lit(f), F.lit(m), F.lit(d)))
+    assert [turn(False, None, 90), turn(False, "pixels", 360), turn(True, "MetaData", -90), turn(True, "pixels", 90), turn(True, None, 90)] == [True, False, True, False, False]
+
+
+def test_failure_reasons(spark):
+    reason = lambda *p, **k: one(spark, E.failure(quad(*p), F.lit(100.0), F.lit(100.0), **k))
+    assert reason(0, 0, 99, 0, 99, 99, 0, 99) is None
+    assert reason(0, 0, 99.5, 0, 99, 99, 0, 99) == "oob" and reason(0, 0, 99.5, 0, 99, 99, 0, 99, bounds=False) is None
+    assert reason(0, 0, 90, 90, 90, 0, 0, 90) == "self_intersecting" and reason(0, 0, 90, 0, 20, 20, 0, 90) == "non_convex"
+    assert reason(0, 0, 20, 0, 20, 20, 0, 20) == "degenerate_area" and reason(0, 0, 4, 0, 4, 99, 0, 99, min_area=0.01) == "degenerate"
+    assert reason(0, 0, 4, 0, 4, 99, 0, 99, degenerate=False) is None
+
+
+def test_model_comparison(spark):
+    rows = [("f", "x", 0.9, 1.0, None, 0.1, 9.0), ("tie", None, 0.9, 5.0, None, 0.905, 5.4), ("iou", None, 0.92, 5.0, None, 0.9, 5.0), ("split", None, 0.95, 6.0, None, 0.9, 5.0), ("mae", None, 0.9, 4.4, None, 0.9, 5.0), ("both", "x", None, None, "y", None, None)]
+    flat = [(n, "a", r, i, m) for n, r, i, m, *_ in rows] + [(n, "b", r, i, m) for n, _, _, _, r, i, m in rows]
+    got = dict(map(tuple, E.compare(spark.createDataFrame(flat, "name string, model string, reason string, iou double, mae double"), "a", "b").collect()))
+    assert got == {"a": 2, "b": 1, "tie": 3}
+
+
+def test_best_attempt(spark):
+    best = lambda *rows: V.best_attempt(spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "k int, nth int, text string, conf double, words int"), "k").first()["nth"]
+    assert best((" \n", 0.9, 0), ("x", None, 0)) == 1 and best(("", 0.2, 3), ("xyz", 0.1, 0)) == 0
+    assert best(("a", None, 1), ("b", 0.02, 0)) == 1 and best(("a", 0.5, 1), ("b", 0.505, 2)) == 1 and best(("a", 0.5, 1), ("b", 0.492, 9)) == 1
+    assert best(("a", 0.5, 1), ("bb", 0.5, 1)) == 1 and best(("a", 0.5, 1), ("b", 0.5, 1)) == 0
+
+
+def profile(spark, values):
+    return spark.createDataFrame([(1, x, v) for x, v in enumerate(values)], "page int, x int, v int")
+
+
+def test_content_end_and_lines(spark):
+    end = lambda values, width=1000, **k: V.content_end(profile(spark, values), F.lit(width), **k).first()["x"]
+    assert end([50] * 20 + [0] * 6 + [50] * 4 + [9] * 5) == 35 and end([50] * 20 + [0] * 6 + [50] * 4 + [9] * 4) == 26
+    assert end([50] * 20 + [10] * 10) == 30 and end([0] * 40) == 40
+    lines = lambda values: sorted(r["x"] for r in V.line_positions(profile(spark, values), F.lit(5)).collect())
+    assert lines([0] * 8 + [6, 6, 6] + [5] * 9) == [0, 9, 20] and lines([9] * 4 + [0] * 10 + [9] * 2) == [2, 15] and lines([0] * 7) == [0, 7]
+
+
+def plain_columns(p):
+    """Columns of a profile, step by step."""
+    n = len(p)
+    if n < 100:
+        return [(0, n)]
+    half = max(5, n // 100) // 2
+    p = [sum(p[max(0, i - half) : i + half + 1]) // len(p[max(0, i - half) : i + half + 1]) for i in range(n)]
+    margin, inner, narrow, window = int(n * 0.05), int(n * 0.15), int(n * 0.015), int(n * 0.1)
+    most = max(p[margin : n - margin])
+    found = []
+    if most:
+        low, i = int(most * 0.35), inner
+        while i < n - inner:
+            if p[i] < low:
+                j = i
+                while j < n - inner and p[j] < low:
+                    j += 1
+                if j - i >= narrow:
+                    found.append((i, j))
+                i = j
+            i += 1
+        score = lambda v: 0.3 / (1 + min(p[v[0] : v[1]])) + 0.2 * (v[1] - v[0]) / n + 0.5 * (1 - abs((v[0] + v[1]) // 2 - n // 2) / n)
+        found = [max(found, key=score)] if found else []
+        mean = sum(p[margin : n - margin]) / (n - 2 * margin)
+        if not found:
+            i, size = inner + window, window // 2
+            while i < n - inner - window:
+                near = [p[j] for j in range(i - 5, i + 6) if inner <= j < n - inner]
+                if min(near) >= p[i]:
+                    left = sum(p[i - size - j] for j in range(size) if i - size - j >= inner) / size
+                    right = sum(p[i + size + j] for j in range(size) if i + size + j < n - inner) / size
+                    around = (left + right) / 2
+                    if p[i] < around * 0.5 and p[i] < mean * 0.8:
+                        a = b = i
+                        while a > inner and p[a - 1] < around * 0.7:
+                            a -= 1
+                        while b < n - inner - 1 and p[b + 1] < around * 0.7:
+                            b += 1
+                        if b - a >= narrow:
+                            found.append((a, b))
+                            i = b + window
+                i += 1
+        if not found:
+            at = min(range(n // 3, 2 * n // 3), key=lambda i: (p[i], i))
+            left, right = [p[i] for i in range(margin, n) if i < at - n * 0.05], p[at + int(n * 0.05) : n - margin]
+            if left and right:
+                side = min(sum(left) / len(left), sum(right) / len(right))
+                if side > 0 and p[at] < side * 0.5:
+                    a = b = at
+                    while a > margin and p[a - 1] < side * 0.6:
+                        a -= 1
+                    while b < n - margin - 1 and p[b + 1] < side * 0.6:
+                        b += 1
+                    if b - a >= narrow:
+                        found.append((a, b))
+    cuts = [0, *sorted(c for c in {(a + b) // 2 for a, b in found} if c > 0), n]
+    parts = list(zip(cuts, cuts[1:], strict=False))
+    return ([c for c in parts if c[1] - c[0] >= int(n * 0.15)] or [(0, n)]) if len(parts) > 1 else parts
+
+
+def test_detected_columns_equal_a_plain_search(spark):
+    import random
+
+    r = random.Random(1)
+    pages = []
+    for k in range(120):
+        n = r.choice([60, 120, 200, 300])
+        deep, dents = r.choice([0, 3, 6, 12, 16]), r.choice([1, 1, 2, 3])
+        values = [r.randint(14, 24) for _ in range(n)]
+        for _ in range(dents):
+            at, wide = r.randint(n // 6, 5 * n // 6), r.randint(4, n // 6)
+            for x in range(at, min(n, at + wide)):
+                values[x] = min(values[x], deep + r.randint(0, 2))
+        pages.append(values)
+    df = spark.createDataFrame([(k, x, v) for k, p in enumerate(pages) for x, v in enumerate(p)], "page int, x int, v int")
+    got: dict = {}
+    for row in Y.detect_columns(df).collect():
+        got.setdefault(row["page"], []).append((row["left"], row["right"]))
+    want = {k: plain_columns(p) for k, p in enumerate(pages)}
+    assert {k: sorted(v) for k, v in got.items()} == want and len({len(v) for v in want.values()}) > 1
+
+
+def test_quadratic_peak_of_a_flat_top(spark):
+    flat = F.array(*(F.lit(1.0) for _ in range(25)))
+    assert tuple(one(spark, N.quadratic_peak(flat, 5, 1.0))) == pytest.approx((1.5, 1.5))
+
+
+def test_shares_of_characters(spark):
+    share = lambda widths, n: [tuple(s) for s in one(spark, N.share_characters(F.array(*map(F.lit, map(float, widths))), F.lit(n)))]
+    assert share([9, 1], 2) == [(0, 2), (2, 2)] and share([1, 9], 2) == [(0, 1), (1, 2)] and share([1, 1, 1], 2) == [(0, 1), (1, 2), (2, 2)] and share([5], 4) == [(0, 4)]
+
+
+def test_tags_and_entities(spark):
+    assert one(spark, T.strip_tags(F.lit(" <b>a&amp;#39;b</b>&nbsp;&nbsp;c &#x41;&lt;i&gt; "))) == "a'b c A<i>"
+
+
+def test_lines_as_words(spark):
+    df = spark.createDataFrame([(1, " a \r\r b\n\n"), (2, " \n")], "k int, text string")
+    got = [tuple(round(x, 3) if isinstance(x, float) else x for x in r) for r in V.lines_as_words(df, "k", 100.0, 200.0).collect()]
+    assert got == [(1, 0, "a", 8.0, 20.0, 92.0, 76.0, 0.0), (1, 1, "b", 8.0, 100.0, 92.0, 156.0, 0.0)]
+
+
+def test_titles_of_registry_rows(spark):
+    title = lambda f, t, i: one(spark, L.derived_title(F.lit(f).cast("string"), F.lit(t).cast("string"), F.lit(i).cast("string")))
+    assert title("/d/Report.v2.pdf", None, "1") == "Report.v2" and title("/d/ PAGE .jpg", "/t/c.png", "1") == "d" and title("/img/page.jpg", "/t/c.png", "1") == "c"
+    assert title("/img/page.jpg", "/t/Thumb.png", "7") == "7" and title(None, "/t/c.png", "page") == "page" and title("", None, "") == "scan"
+
+
+def test_words_merge_by_the_united_area(spark):
+    rows = [(1, 0, "a", 0.0, 0.0, 10.0, 10.0, 50.0), (1, 1, "b", 20.0, 0.0, 30.0, 10.0, 90.0)]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, w string, left double, top double, right double, bottom double, conf double")
+    got = V.merge_with_next(df, F.col("pos") == 0).first()
+    assert got["w"] == "a b" and got["conf"] == pytest.approx((50 * 300 + 90 * 100) / 400)

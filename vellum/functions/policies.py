@@ -11,6 +11,9 @@ from vellum.functions import quads as G
 EXIT_CONF, EXIT_WORDS, EXIT_LENGTH = 70, 30, 200
 FALLBACK_WORDS, FALLBACK_CONF = 20, 50
 UNEVEN = 28.0
+#: Segmentation mode of each region type; 3 for all others.
+MODES = {"HEADER": 6, "BODY": 3, "FOOTER": 7, "TABLE": 6, "CAPTION": 7, "SIDEBAR": 6, "MARGIN_NOTE": 6, "COLUMN": 4}
+FALLBACK_MARGIN, FALLBACK_TOLERANCE = 20, 2.5
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -39,22 +42,21 @@ def density(set_pixels: Column, all_pixels: Column) -> Column:
 
 
 def is_usable_quad(q: Column, w: Column, h: Column, slack: float = 0.25) -> Column:
-    """Finite, within the image and a quarter of it around, and convex."""
+    """Finite, within the image and a quarter of it around, and strictly convex in the order top left, top right, bottom right, bottom left."""
     inside = lambda v, size: (v >= -slack * size) & (v <= size * (1 + slack))
     points = F.forall(q, lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & inside(p["x"], w) & inside(p["y"], h))
-    return F.coalesce((F.size(q) == 4) & points & G.is_convex(q), F.lit(False))
+    return F.coalesce((F.size(q) == 4) & points & (F.least(*G.turns(q)) > 0), F.lit(False))
 
 
-def is_default_rectangle(q: Column, w: Column, h: Column, inset: float = 0.1, tolerance: float = 2.0) -> Column:
-    """The quad is the image's own rectangle, or that one inset, within a tolerance."""
-    near = lambda v, to: F.abs(v - to) <= tolerance
-
-    def same(f: float) -> Column:
-        xs, ys = (w * f, w * (1 - f), w * (1 - f), w * f), (h * f, h * f, h * (1 - f), h * (1 - f))
-        tests = [near(F.get(q, F.lit(i))["x"], xs[i]) & near(F.get(q, F.lit(i))["y"], ys[i]) for i in range(4)]
-        return tests[0] & tests[1] & tests[2] & tests[3]
-
-    return F.coalesce(same(0.0) | same(inset), F.lit(False))
+def is_default_rectangle(q: Column, w: Column, h: Column) -> Column:
+    """The quad is the rectangle that stands in for none: a tenth of the shorter side, at least 20 pixels, off all four sides."""
+    m = F.greatest(F.lit(FALLBACK_MARGIN), F.floor(F.least(w, h) / 10))
+    want = ((m, m), (w - m, m), (w - m, h - m), (m, h - m))
+    near = [F.abs(F.get(q, F.lit(i))[c] - v) <= FALLBACK_TOLERANCE for i, p in enumerate(want) for c, v in zip("xy", p, strict=True)]
+    all_ = near[0]
+    for x in near[1:]:
+        all_ = all_ & x
+    return F.coalesce((F.size(q) == 4) & all_, F.lit(False))
 
 
 def is_image_quad(q: Column, w: Column, h: Column, least: float = 0.02) -> Column:
@@ -64,14 +66,15 @@ def is_image_quad(q: Column, w: Column, h: Column, least: float = 0.02) -> Colum
 
 
 def axis_angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Degrees between a line and the nearer axis."""
+    """Degrees between a line and the nearer axis; NaN for a single point."""
     a = F.abs(F.degrees(F.atan2(by - ay, bx - ax)))
-    return F.least(F.abs(a), F.abs(a - 90), F.abs(a - 180))
+    return F.when((ax == bx) & (ay == by), F.lit(float("nan"))).otherwise(F.least(F.abs(a), F.abs(a - 90), F.abs(a - 180)))
 
 
 def turns_for_export(from_file: Column, mode: Column, degrees: Column) -> Column:
-    """Only files whose turn is stored apart from the pixels are turned."""
-    return from_file & (mode == "metadata") & (F.pmod(degrees, F.lit(360)) != 0)
+    """A page in memory is turned by any angle but 0; one from a file only if its turn is stored apart from the pixels."""
+    stored = F.coalesce(F.lower(mode) == "metadata", F.lit(False))
+    return (F.pmod(degrees, F.lit(360)) != 0) & (~from_file | stored)
 
 
 def date_name(template: Column, ts: Column) -> Column:
@@ -90,5 +93,5 @@ def unique_names(df: DataFrame, folder: str, base: str, extension: str, order: s
 
 
 def reading_mode(kind: Column) -> Column:
-    """Segmentation mode for a region's type: one column, one block, sparse text or one line."""
-    return F.when(kind.isin("TABLE",), 6).when(kind.isin("HEADER", "FOOTER", "CAPTION"), 7).when(kind.isin("FIGURE", "MARGINALIA"), 11).when(kind == "BODY", 6).otherwise(3)
+    """Segmentation mode for a region's type."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in MODES.items() for x in (k, v))), kind), F.lit(3))

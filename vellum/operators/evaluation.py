@@ -20,16 +20,17 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
-def failure(q: Column, w: Column, h: Column, min_area: float = 0.05) -> Column:
-    """First reason for which a predicted quad fails, or null."""
-    return F.coalesce(
-        F.when(q.isNull(), "missing"),
-        F.when(G.oob_sum(q, w, h, 0.0) > 0, "out_of_bounds"),
-        F.when(G.crosses_itself(q), "self_intersection"),
-        F.when(~G.is_convex(q), "not_convex"),
-        F.when((G.shortest_edge(q) < 5.0) | (G.area(q) < 100.0), "degenerate"),
-        F.when(G.area(q) < min_area * w * h, "small"),
-    )
+def failure(q: Column, w: Column, h: Column, min_area: float = 0.05, bounds: bool = True, geometry: bool = True, degenerate: bool = True) -> Column:
+    """First reason for which a predicted quad fails, or null; the flags switch groups of reasons off."""
+    beyond = F.exists(q, lambda p: (p["x"] < 0) | (p["x"] > w - 1) | (p["y"] < 0) | (p["y"] > h - 1))
+    tests = [F.when(q.isNull(), "missing")]
+    if bounds:
+        tests.append(F.when(beyond, "oob"))
+    if geometry:
+        tests += [F.when(G.crosses_itself(q), "self_intersecting"), F.when(~G.is_convex(q), "non_convex")]
+    if degenerate:
+        tests += [F.when(G.area(q) < min_area * w * h, "degenerate_area"), F.when((G.area(q) < 100.0) | (G.shortest_edge(q) < 5.0), "degenerate")]
+    return F.coalesce(*tests)
 
 
 def corner_results(samples: DataFrame, min_area: float = 0.05, cells: int = 256) -> DataFrame:
@@ -53,16 +54,20 @@ def reasons(results: DataFrame) -> DataFrame:
     return results.where("reason IS NOT NULL").groupBy("model", "reason").count()
 
 
+#: How much better a model's overlap and its error in pixels must be to count.
+IOU_MARGIN, MAE_MARGIN = 0.01, 0.5
+
+
 def compare(results: DataFrame, a: str, b: str) -> DataFrame:
-    """Wins of each model on common samples: who didn't fail, then the larger iou, then the smaller error."""
+    """Wins of each model on common samples: one that fails loses to one that doesn't; of two that don't, the better overlap and the smaller error give a point each."""
     x, y = (results.where(F.col("model") == m).select("name", F.col("reason").isNull().alias(f"ok_{k}"), F.col("iou").alias(f"iou_{k}"), F.col("mae").alias(f"mae_{k}")) for k, m in (("a", a), ("b", b)))
-    def side(p, q):
-        return F.when(p, "a").when(q, "b")
 
-    winner = F.coalesce(
-        side(F.col("ok_a") & ~F.col("ok_b"), F.col("ok_b") & ~F.col("ok_a")), F.when(~F.col("ok_a") & ~F.col("ok_b"), "tie"),
-        side(F.col("iou_a") > F.col("iou_b"), F.col("iou_b") > F.col("iou_a")), side(F.col("mae_a") < F.col("mae_b"), F.col("mae_b") < F.col("mae_a")), F.lit("tie"),
-    )
+    def score(p: str, q: str) -> Column:
+        iou = F.when(F.col(f"iou_{p}") > F.col(f"iou_{q}") + IOU_MARGIN, 1).otherwise(0)
+        mae = F.when(F.col(f"mae_{p}") < F.col(f"mae_{q}") - MAE_MARGIN, 1).otherwise(0)
+        return F.when(F.col(f"ok_{p}") & F.col(f"ok_{q}"), iou + mae).when(F.col(f"ok_{p}"), 2).otherwise(0)
+
+    winner = F.when(score("a", "b") > score("b", "a"), "a").when(score("b", "a") > score("a", "b"), "b").otherwise("tie")
     return x.join(y, "name").groupBy(winner.alias("winner")).agg(F.count("*").alias("n"))
 
 

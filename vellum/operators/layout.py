@@ -147,31 +147,33 @@ def words_to_text(words: DataFrame, key: str = "doc_id") -> DataFrame:
     return text.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
-def banded_order(regions: DataFrame, key: str, direction: Column) -> DataFrame:
+def banded_order(regions: DataFrame, key: str | list[str], direction: Column) -> DataFrame:
     """Regions (key, id, left, top, right, bottom) in bands of rows, and within a band from the reading side.
 
-    A region joins the band if its top is within half the page's mean height of the band's first top.
+    A region joins the band if its top is within half the page's mean height, in whole numbers, of the band's first top.
     """
-    mean = F.avg(F.col("bottom") - F.col("top")).over(Window.partitionBy(key))
-    one = F.struct("top", "left", "bottom", "right", "id", "mean_height")
-    page = regions.withColumn("mean_height", mean).groupBy(key, direction.alias("direction")).agg(F.array_sort(F.collect_list(one)).alias("r"))
+    keys = [key] if isinstance(key, str) else key
+    mean = F.avg(F.col("bottom") - F.col("top")).over(Window.partitionBy(*keys))
+    one = F.struct("top", "left", "bottom", "right", "id", "tolerance")
+    page = regions.withColumn("tolerance", F.floor(F.floor(mean) * 0.5)).groupBy(*keys, direction.alias("direction")).agg(F.array_sort(F.collect_list(one)).alias("r"))
     start = F.struct(F.lit(-1).alias("band"), F.lit(0.0).alias("anchor"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        same = (s["band"] >= 0) & (F.abs(x["top"] - s["anchor"]) <= 0.5 * x["mean_height"])
+        same = (s["band"] >= 0) & (F.abs(x["top"] - s["anchor"]) <= x["tolerance"])
         band = F.when(same, s["band"]).otherwise(s["band"] + 1)
         return F.struct(band.alias("band"), F.when(same, s["anchor"]).otherwise(x["top"].cast("double")).alias("anchor"), F.concat(s["out"], F.array(band)).alias("out"))
 
-    bands = page.withColumn("bands", F.aggregate("r", start, step, lambda s: s["out"])).select(key, "direction", F.explode(F.arrays_zip("r", "bands")).alias("z"))
-    rows = bands.select(key, "z.r.id", "z.bands", "z.r.top", F.when(F.col("direction") == "RTL", -F.col("z.r.left")).otherwise(F.col("z.r.left")).alias("side"))
-    return rows.withColumn("reading_order", F.row_number().over(Window.partitionBy(key).orderBy("bands", "side", "top", "id")) - 1).select(key, "id", "reading_order")
+    bands = page.withColumn("bands", F.aggregate("r", start, step, lambda s: s["out"])).select(*keys, "direction", F.explode(F.arrays_zip("r", "bands")).alias("z"))
+    rows = bands.select(*keys, "z.r.id", "z.bands", "z.r.top", F.when(F.col("direction") == "RTL", -F.col("z.r.left")).otherwise(F.col("z.r.left")).alias("side"))
+    return rows.withColumn("reading_order", F.row_number().over(Window.partitionBy(*keys).orderBy("bands", "side", "top", "id")) - 1).select(*keys, "id", "reading_order")
 
 
 def column_order(regions: DataFrame, key: str) -> DataFrame:
     """Headers, what lies above the columns, the columns in turn, what lies below, footers.
 
-    regions: key, id, type, column_index (-1 for none), direction, left, top, bottom. A region in no column lies above
-    if it ends above the columns' top or its middle does, else below.
+    regions: key, id, type, column_index (-1 for none), direction, left, top, right, bottom. A region in no column lies
+    above if it ends above the columns' top or its middle does, else below; both parts are in banded order. All
+    others go by their tops, ties by id.
     """
     page = Window.partitionBy(key)
     in_column = (F.col("column_index") >= 0) & ~F.col("type").isin("HEADER", "FOOTER")
@@ -180,10 +182,13 @@ def column_order(regions: DataFrame, key: str) -> DataFrame:
     middle = F.floor((F.col("top") + F.col("bottom")) / 2)
     above = (F.col("bottom") <= F.col("first")) | ((F.col("top") < F.col("last")) & (middle < F.col("first")))
     zone = F.when(F.col("type") == "HEADER", 0).when(F.col("type") == "FOOTER", 4).when(in_column, 2).when(F.coalesce(above, F.lit(True)), 1).otherwise(3)
-    side = F.when(F.col("direction") == "RTL", -1).otherwise(1)
     ranked = regions.withColumn("first", first).withColumn("last", last).withColumn("zone", zone)
-    order = ["zone", F.when(F.col("zone") == 2, F.col("column_index") * side).otherwise(0), "top", F.col("left") * side, "id"]
-    return ranked.withColumn("reading_order", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).select(key, "id", "zone", "reading_order")
+    side = F.when(F.col("direction") == "RTL", -1).otherwise(1)
+    column = F.when(F.col("zone") == 2, F.col("column_index") * side).otherwise(0)
+    listed = ranked.where("zone % 2 = 0").select(key, "id", "zone", F.row_number().over(Window.partitionBy(key, "zone").orderBy(column, "top", "id")).alias("place"))
+    banded = banded_order(ranked.where("zone % 2 = 1"), [key, "zone"], F.col("direction")).select(key, "id", "zone", F.col("reading_order").alias("place"))
+    order = F.row_number().over(Window.partitionBy(key).orderBy("zone", "place")) - 1
+    return listed.unionByName(banded).select(key, "id", "zone", order.alias("reading_order"))
 
 
 def table_order(cells: DataFrame, key: str) -> DataFrame:
@@ -208,6 +213,18 @@ def smoothed(profile: DataFrame, width: int, key: str = "page") -> DataFrame:
     return profile.withColumn("v", F.floor(F.sum("v").over(w) / F.count("v").over(w)).cast("int"))
 
 
+def page_smoothed(profile: DataFrame, key: str = "page") -> DataFrame:
+    """smoothed() over a hundredth of the page's width, 5 at least; a page's profile is bounded and travels as one array."""
+    pages_ = profile.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"]).alias("p"))
+    half = F.floor(F.greatest(F.lit(5), F.floor(F.size("p") / 100)) / 2).cast("int")
+
+    def mean(_, i: Column) -> Column:
+        low, high = F.greatest(F.lit(0), i - F.col("half")), F.least(F.size("p") - 1, i + F.col("half"))
+        return F.floor(F.aggregate(F.slice("p", low + 1, high - low + 1), F.lit(0).cast("long"), lambda s, v: s + v) / (high - low + 1)).cast("int")
+
+    return pages_.withColumn("half", half).select(key, F.posexplode(F.transform("p", mean)).alias("x", "v"))
+
+
 def runs(profile: DataFrame, condition: Column, key: str = "page") -> DataFrame:
     """key, start, end (exclusive), least, n: the runs of x in which the condition holds."""
     order = Window.partitionBy(key).orderBy("x")
@@ -216,8 +233,13 @@ def runs(profile: DataFrame, condition: Column, key: str = "page") -> DataFrame:
     return marked.withColumn("island", island).where("ok").groupBy(key, "island").agg(F.min("x").alias("start"), (F.max("x") + 1).alias("end"), F.min("v").alias("least"), F.count("*").alias("n")).drop("island")
 
 
-def valleys(profile: DataFrame, key: str = "page", low: float = 0.15, narrowest: float = 0.02, margin: float = 0.05, inner: float = 0.15) -> DataFrame:
-    """Runs below `low` of the largest value, `narrowest` of the width at least, away from the margins."""
+#: A valley's depth and width, margins that hold neither its depth nor the valley itself, and a local valley's depths and extent.
+LOW, NARROWEST, MARGIN, INNER, COLUMN = 0.35, 0.015, 0.05, 0.15, 0.15
+DIP, MEAN_DIP, EXTENT, REACH = 0.5, 0.8, 0.7, 5
+
+
+def valleys(profile: DataFrame, key: str = "page", low: float = LOW, narrowest: float = NARROWEST, margin: float = MARGIN, inner: float = INNER) -> DataFrame:
+    """key, start, end (exclusive), least, width: runs below `low` of the largest value, `narrowest` of the width at least, away from the margins."""
     page = Window.partitionBy(key)
     width = F.count("*").over(page)
     p = profile.withColumn("width", width)
@@ -229,6 +251,64 @@ def valleys(profile: DataFrame, key: str = "page", low: float = 0.15, narrowest:
     return found.join(size, key).where(F.col("n") >= F.floor(F.col("width") * narrowest)).select(key, "start", "end", "least", "width")
 
 
+def local_valleys(profile: DataFrame, key: str = "page") -> DataFrame:
+    """key, start, end (both within): from the left, dips far below their neighbourhood, each with its extent; the next one begins well after it.
+
+    A dip is no higher than its REACH neighbours, below DIP of the mean of both sides' means and below MEAN_DIP of the page's.
+    A page's profile is bounded and travels as one array.
+    """
+
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def dips(profiles: pd.Series) -> pd.Series:
+        def one(values) -> list[dict]:
+            p = list(values)
+            n = len(p)
+            outer, inner, window, narrow = int(n * MARGIN), int(n * INNER), int(n * 0.1), int(n * NARROWEST)
+            if n <= 2 * outer or window < 2:
+                return []
+            mean, sample = sum(p[outer : n - outer]) / (n - 2 * outer), window // 2
+            found, i = [], inner + window
+            while i < n - inner - window:
+                v = p[i]
+                if min(p[max(inner, i - REACH) : min(i + REACH + 1, n - inner)]) == v:
+                    left = sum(p[max(inner, i - sample - sample + 1) : i - sample + 1])
+                    right = sum(p[i + sample : min(n - inner, i + sample + sample)])
+                    around = (left / sample + right / sample) / 2
+                    if v < around * DIP and v < mean * MEAN_DIP:
+                        start = end = i
+                        while start > inner and p[start - 1] < around * EXTENT:
+                            start -= 1
+                        while end < n - inner - 1 and p[end + 1] < around * EXTENT:
+                            end += 1
+                        if end - start >= narrow:
+                            found.append({"start": start, "end": end})
+                            i = end + window
+                i += 1
+            return found
+
+        return profiles.map(one)
+
+    pages_ = profile.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"].cast("double")).alias("p"))
+    return pages_.select(key, F.inline(dips("p")))
+
+
+def detect_columns(profile: DataFrame, key: str = "page") -> DataFrame:
+    """key, column_index, left, right: the smoothed profile cut at the best deep valley, else at the dips, else at the centre's valley; else one column.
+
+    Profiles of fewer than 100 places are one column.
+    """
+    from vellum.operators.review import centre_valley
+
+    page = Window.partitionBy(key)
+    smooth = page_smoothed(profile.withColumn("n", F.count("*").over(page)).where("n >= 100").drop("n"), key)
+    first = best_valley(valleys(smooth, key), key).select(key, "start", "end", F.lit(1).alias("strategy"))
+    second = local_valleys(smooth, key).select(key, "start", "end", F.lit(2).alias("strategy"))
+    third = centre_valley(smooth, key).select(key, "start", "end", F.lit(3).alias("strategy"))
+    every = first.unionByName(second).unionByName(third)
+    chosen = every.withColumn("best", F.min("strategy").over(page)).where("strategy = best")
+    return columns(profile.groupBy(key).agg(F.count("*").cast("int").alias("width")), chosen, key)
+
+
 def best_valley(found: DataFrame, key: str = "page") -> DataFrame:
     """The valley with the best of 0.3 depth, 0.2 width and 0.5 nearness to the centre; the first of equal ones."""
     centre = F.floor((F.col("start") + F.col("end")) / 2)
@@ -238,14 +318,18 @@ def best_valley(found: DataFrame, key: str = "page") -> DataFrame:
     return found.withColumn("score", score).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def columns(pages_: DataFrame, cuts: DataFrame, key: str = "page", narrowest: float = 0.15) -> DataFrame:
-    """key, column_index, left, right: pages (key, width) cut in the middle of each valley, narrow columns dropped."""
-    at = cuts.select(key, F.floor((F.col("start") + F.col("end")) / 2).cast("int").alias("x"))
+def columns(pages_: DataFrame, cuts: DataFrame, key: str = "page", narrowest: float = COLUMN) -> DataFrame:
+    """key, column_index, left, right: pages (key, width) cut in the middle of each valley, narrow columns dropped; the whole page if none is left."""
+    at = cuts.select(key, F.floor((F.col("start") + F.col("end")) / 2).cast("int").alias("x")).where("x > 0")
     edges = pages_.select(key, F.lit(0).alias("x")).unionByName(at).unionByName(pages_.select(key, F.col("width").cast("int").alias("x")))
     order = Window.partitionBy(key).orderBy("x")
-    cut = edges.withColumn("right", F.lead("x").over(order)).where("right IS NOT NULL").withColumnRenamed("x", "left")
-    wide = cut.join(pages_.select(key, "width"), key).where(F.col("right") - F.col("left") >= F.col("width") * narrowest)
-    return wide.withColumn("column_index", F.row_number().over(Window.partitionBy(key).orderBy("left")) - 1).select(key, "column_index", "left", "right")
+    cut = edges.withColumn("right", F.lead("x").over(order)).where("right IS NOT NULL AND right > x").withColumnRenamed("x", "left")
+    every = cut.join(pages_.select(key, "width"), key).withColumn("parts", F.count("*").over(Window.partitionBy(key)))
+    wide = every.withColumn("wide", (F.col("parts") == 1) | (F.col("right") - F.col("left") >= F.floor(F.col("width") * narrowest)))
+    kept = wide.withColumn("some", F.max("wide").over(Window.partitionBy(key))).where("wide OR NOT some")
+    whole = ~F.col("some")
+    kept = kept.select(key, F.when(whole, 0).otherwise(F.col("left")).alias("left"), F.when(whole, F.col("width").cast("int")).otherwise(F.col("right")).alias("right")).distinct()
+    return kept.withColumn("column_index", F.row_number().over(Window.partitionBy(key).orderBy("left")) - 1).select(key, "column_index", "left", "right")
 
 
 def table_confidence(h_lines: Column, v_lines: Column) -> Column:

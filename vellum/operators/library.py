@@ -191,10 +191,12 @@ def stem(path: Column) -> Column:
 
 
 def derived_title(file_path: Column, thumb_path: Column, id_: Column) -> Column:
-    """The file's stem, else its directory, else the thumbnail's stem, else the id, else 'scan'; placeholders don't count."""
+    """The file's stem; where that is a placeholder its directory, else the thumbnail's stem; else, or without a file, the id, or 'scan'."""
     directory = F.regexp_extract(file_path, r"([^/]+)/[^/]*$", 1)
-    good = lambda c: F.when((F.coalesce(c, F.lit("")) != "") & ~generic_name(c), c)
-    return F.coalesce(good(stem(file_path)), good(directory), good(stem(thumb_path)), good(id_), F.lit("scan"))
+    good = lambda c: F.when((F.trim(F.coalesce(c, F.lit(""))) != "") & ~generic_name(c), c)
+    own = stem(file_path)
+    of_file = F.when(generic_name(own), F.coalesce(good(directory), good(stem(thumb_path)))).otherwise(good(own))
+    return F.coalesce(F.when(F.coalesce(file_path, F.lit("")) != "", of_file), F.when(id_ != "", id_), F.lit("scan"))
 
 
 def file_uri_json(path: Column) -> Column:
@@ -209,21 +211,25 @@ def first_uri(json: Column) -> Column:
 def load_registry(scans: DataFrame, registry: DataFrame) -> DataFrame:
     """Registry rows (id, file_path, thumb_path, created_at) into the library: new rows are added, old ones repaired.
 
-    A missing or placeholder title is derived, a missing export path is set, and the row is marked as the registry's.
+    A missing or placeholder title is derived unless that gives a placeholder again, a missing export path is set, and the row is
+    marked as the registry's unless it is.
     """
     r = registry.select("id", "file_path", "thumb_path", F.col("created_at").alias("r_created"))
     met = scans.withColumn("known", F.lit(True)).join(r, "id", "full_outer")
     from_registry = F.col("r_created").isNotNull()
     title = derived_title(F.col("file_path"), F.col("thumb_path"), F.col("id"))
     bad = F.col("title").isNull() | (F.trim("title") == "") | generic_name(F.col("title"))
+    better = F.col("known").isNull() | ((F.trim(title) != "") & ~generic_name(title))
+    marked = F.coalesce(F.contains("source_meta_json", F.lit('"CompletedScanEntry"')), F.lit(False))
+    export = F.when(F.col("export_paths_json") != "", F.col("export_paths_json"))
     return met.select(
         "id",
-        F.when(from_registry & bad, title).otherwise(F.col("title")).alias("title"),
+        F.when(from_registry & bad & better, title).otherwise(F.col("title")).alias("title"),
         F.coalesce("created_at", "r_created").alias("created_at"),
         F.coalesce("page_count", F.lit(1)).alias("page_count"),
         F.coalesce("cover_path", "thumb_path").alias("cover_path"),
-        F.when(from_registry, F.coalesce("export_paths_json", file_uri_json(F.col("file_path")))).otherwise(F.col("export_paths_json")).alias("export_paths_json"),
-        F.when(from_registry, F.lit('{"kind":"CompletedScanEntry"}')).otherwise(F.col("source_meta_json")).alias("source_meta_json"),
+        F.when(from_registry, F.coalesce(export, file_uri_json(F.col("file_path")), "export_paths_json")).otherwise(F.col("export_paths_json")).alias("export_paths_json"),
+        F.when(from_registry & ~marked, F.lit('{"kind":"CompletedScanEntry"}')).otherwise(F.col("source_meta_json")).alias("source_meta_json"),
     )
 
 

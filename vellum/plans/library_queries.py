@@ -139,26 +139,27 @@ def scan_entry_sizes(spark, sf):
     return M.table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("files"))
 
 
-def _registry(spark, sf):
-    return M.table(spark, sf, "documents").where("doc_id % 2 = 0").selectExpr(
+def _registry(spark, sf, which="doc_id % 2 = 0"):
+    """Of the documents that `which` names, so that either side has rows without a partner."""
+    return M.table(spark, sf, "documents").where(which).selectExpr(
         "cast(doc_id AS string) AS id",
-        "CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 2 THEN concat('/data/', doc_id, '/page.jpg') ELSE concat('/data/', doc_id, '/Report ', doc_id, '.v2.pdf') END AS file_path",
+        "CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 2 THEN concat('/data/', doc_id, '/page.jpg') WHEN doc_id % 8 = 5 THEN '/data/IMG/Page.jpg' ELSE concat('/data/', doc_id, '/Report ', doc_id, '.v2.pdf') END AS file_path",
         "CASE WHEN doc_id % 16 = 0 THEN NULL ELSE concat('/t/cover-', doc_id, '.png') END AS thumb_path",
         "doc_id * 1000 AS created_at",
     )
 
 
 REGISTRY = """registry AS (SELECT CAST(doc_id AS VARCHAR) AS id,
-    CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 2 THEN concat('/data/', doc_id, '/page.jpg') ELSE concat('/data/', doc_id, '/Report ', doc_id, '.v2.pdf') END AS file_path,
+    CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 2 THEN concat('/data/', doc_id, '/page.jpg') WHEN doc_id % 8 = 5 THEN '/data/IMG/Page.jpg' ELSE concat('/data/', doc_id, '/Report ', doc_id, '.v2.pdf') END AS file_path,
     CASE WHEN doc_id % 16 = 0 THEN NULL ELSE concat('/t/cover-', doc_id, '.png') END AS thumb_path, doc_id * 1000 AS created_at FROM documents WHERE doc_id % 2 = 0)"""
-TITLE = r"""CASE WHEN file_path IS NOT NULL AND regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '[.][^.]+$', '') NOT IN ('page', 'thumb', 'image', 'img')
-      THEN regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '[.][^.]+$', '')
-    WHEN file_path IS NOT NULL THEN regexp_extract(file_path, '([^/]+)/[^/]*$', 1)
-    WHEN thumb_path IS NOT NULL THEN regexp_replace(regexp_extract(thumb_path, '([^/]*)$', 1), '[.][^.]+$', '') ELSE id END"""
+GENERIC = "IN ('page', 'thumb', 'image', 'img')"
+OWN, FOLDER, COVER = (r"regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '[.][^.]+$', '')", r"regexp_extract(file_path, '([^/]+)/[^/]*$', 1)", r"regexp_replace(regexp_extract(thumb_path, '([^/]*)$', 1), '[.][^.]+$', '')")
+TITLE = f"""CASE WHEN file_path IS NULL THEN id WHEN lower({OWN}) NOT {GENERIC} THEN {OWN} WHEN lower({FOLDER}) NOT {GENERIC} THEN {FOLDER}
+    WHEN thumb_path IS NOT NULL AND lower({COVER}) NOT {GENERIC} THEN {COVER} ELSE id END"""
 
 
 def registry_titles(spark, sf):
-    r = _registry(spark, sf)
+    r = _registry(spark, sf, "true")
     return r.select("id", L.derived_title(F.col("file_path"), F.col("thumb_path"), F.col("id")).alias("title"), L.file_uri_json(F.col("file_path")).alias("uris"), L.first_uri(L.file_uri_json(F.col("file_path"))).alias("first"))
 
 
@@ -228,7 +229,7 @@ ORACLE_SQL = {
     "retention_combined": W(M.SCANS, STORAGE, f"a AS (SELECT * FROM scans WHERE NOT created_at < {NOW - 900 * L.DAY_MS})", "b AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS r FROM a) AS x WHERE r <= 80)") + """SELECT id FROM (SELECT b.id, sum(coalesce(size, 0)) OVER () - coalesce(sum(coalesce(size, 0)) OVER (ORDER BY created_at, b.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_
         FROM b LEFT JOIN sizes z ON b.id = z.id) AS y WHERE NOT left_ > 100000""",
     "scan_entry_sizes": "SELECT conv_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) AS files FROM conversations GROUP BY conv_id",
-    "registry_titles": W(REGISTRY) + f"SELECT id, {TITLE} AS title, CASE WHEN file_path IS NOT NULL THEN concat('[\"file://', file_path, '\"]') END AS uris, CASE WHEN file_path IS NOT NULL THEN concat('file://', file_path) END AS first FROM registry",
+    "registry_titles": W(REGISTRY.replace(" WHERE doc_id % 2 = 0", "")) + f"SELECT id, {TITLE} AS title, CASE WHEN file_path IS NOT NULL THEN concat('[\"file://', file_path, '\"]') END AS uris, CASE WHEN file_path IS NOT NULL THEN concat('file://', file_path) END AS first FROM registry",
     "registry_load": W(M.SCANS, REGISTRY, "old AS (SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'Page' ELSE title END AS title) FROM scans WHERE CAST(id AS BIGINT) % 3 <> 0)", f"derived AS (SELECT *, {TITLE} AS t FROM registry)") + """SELECT coalesce(o.id, r.id) AS id,
         CASE WHEN r.id IS NOT NULL AND (title IS NULL OR title = 'Page') THEN t ELSE title END AS title, coalesce(o.created_at, r.created_at) AS created_at, coalesce(page_count, 1) AS page_count,
         coalesce(cover_path, thumb_path) AS cover_path, CASE WHEN r.id IS NOT NULL THEN export_paths_json IS NOT NULL OR file_path IS NOT NULL ELSE export_paths_json IS NOT NULL END AS has_export,
