@@ -1,7 +1,7 @@
 """Dataset preparation: strict pairing, validation, group-wise splits, seeded samples and mixes.
 
 Seeded choices order by a hash of seed and name, so that they are the same on any cluster. Cuts take the smallest
-hashes, by a top-k and an anti-join, rather than rank a whole table in one task.
+hashes by ranges of the hash, so that no task ranks a whole table.
 """
 
 from __future__ import annotations
@@ -26,9 +26,30 @@ def pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
+#: Fixed value: the pattern of a frame's name.
+FRAME = r"^(background\d+_[a-zA-Z]+\d+)_frame_\d+\.\w+$"
+
+
 def sequence_of(name: Column) -> Column:
     """The sequence that a frame belongs to, or null."""
-    return F.nullif(F.regexp_extract(name, r"^(background\d+_[a-zA-Z]+\d+)_frame_\d+\.\w+$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(name, FRAME, 1), F.lit(""))
+
+
+def smallest(df: DataFrame, order: Column, name: str, count: int, parts: int = 4096) -> DataFrame:
+    """The `count` rows with the least order (a 64-bit hash), ties by name.
+
+    The hash's ranges are counted first; whole ranges are taken and only the one that the cut falls in is sorted.
+    """
+    if count <= 0:
+        return df.limit(0)
+    tagged = df.withColumn("order_", order).withColumn("part_", F.shiftrightunsigned(F.col("order_").bitwiseXOR(F.lit(-(1 << 63))), 64 - (parts - 1).bit_length()))
+    left = count
+    for r in sorted(tagged.groupBy("part_").count().collect(), key=lambda r: r["part_"]):
+        if r["count"] > left:
+            cut = tagged.where(F.col("part_") == r["part_"]).orderBy("order_", name).limit(left)
+            return tagged.where(F.col("part_") < r["part_"]).unionByName(cut).select(*df.columns)
+        left -= r["count"]
+    return df
 
 
 def split_groups(df: DataFrame, group: str, shares: Sequence[float], seed: int) -> DataFrame:
@@ -37,8 +58,8 @@ def split_groups(df: DataFrame, group: str, shares: Sequence[float], seed: int)
     groups = df.select(group).distinct()
     n = groups.count()
     train, val = int(n * shares[0]), int(n * shares[1])
-    first = groups.orderBy(order, group).limit(train)
-    second = groups.join(first, group, "left_anti").orderBy(order, group).limit(val)
+    first = smallest(groups, order, group, train)
+    second = smallest(groups, order, group, train + val).join(first, group, "left_anti")
     named = first.withColumn("split", F.lit("train")).unionByName(second.withColumn("split", F.lit("val")))
     return df.join(named, group, "left").withColumn("split", F.coalesce("split", F.lit("test")))
 
@@ -47,7 +68,7 @@ def split_rows(df: DataFrame, name: str, val_share: float, seed: int) -> DataFra
     """Adds split: round(n * val_share) rows, one at least, are val."""
     n = df.count()
     size = max(1, round(n * val_share)) if n else 0
-    val = df.select(name).orderBy(F.xxhash64(F.col(name), F.lit(seed)), name).limit(size).withColumn("split", F.lit("val"))
+    val = smallest(df.select(name), F.xxhash64(F.col(name), F.lit(seed)), name, size).withColumn("split", F.lit("val"))
     return df.join(val, name, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
@@ -66,7 +87,7 @@ def sample(df: DataFrame, name: str, count: int, seed: int) -> DataFrame:
         return df.limit(0).withColumn("round", F.lit(0))
     rounds, rest = divmod(count, n)
     whole = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))) if rounds else df.limit(0).withColumn("round", F.lit(0))
-    part = df.orderBy(F.xxhash64(F.col(name), F.lit(seed), F.lit(rounds)), name).limit(rest).withColumn("round", F.lit(rounds))
+    part = smallest(df, F.xxhash64(F.col(name), F.lit(seed), F.lit(rounds)), name, rest).withColumn("round", F.lit(rounds))
     return whole.unionByName(part)
 
 

@@ -1,7 +1,7 @@
 """Reading order: words to lines and paragraphs, regions to an order, ink projections to columns.
 
-A page is bounded, so its words travel as one array per page; folds over the sorted array are aggregate()
-expressions, and the groupings that look back at all earlier lines are pandas UDFs over such arrays. Profiles
+A page is bounded, so its words travel as one array per page; groupings into lines are one pass over such arrays in
+pandas UDFs, as aggregate() copies what it has found so far at every step. Profiles
 (page, x, v) stay rows and use windows within a page.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,22 +27,36 @@ def pages(words: DataFrame, key: str = "doc_id") -> DataFrame:
     return words.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("words"))
 
 
-def fixed_anchor_lines(words: Column) -> Column:
-    """Line number of each word of a sorted array: a word joins while its middle is within 0.6 of the largest height in the line of the first word's middle."""
-    mid, height = lambda x: (x["top"] + x["bottom"]) / 2, lambda x: x["bottom"] - x["top"]
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("anchor"), F.lit(-1.0).alias("tolerance"), F.array().cast("array<int>").alias("out"))
+def _of_page(*fields: str):
+    """Makes a rule on a page's fields (arrays of doubles), which gives whole numbers, a Column of the page's sorted words; in Arrow batches, one pass a page."""
 
-    def step(s: Column, x: Column) -> Column:
-        same = F.abs(mid(x) - s["anchor"]) <= s["tolerance"]
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(
-            line.alias("line"),
-            F.when(same, s["anchor"]).otherwise(mid(x)).alias("anchor"),
-            F.when(same, F.greatest(s["tolerance"], height(x) * 0.6)).otherwise(height(x) * 0.6).alias("tolerance"),
-            F.concat(s["out"], F.array(line)).alias("out"),
-        )
+    def made(rule: Callable[..., list]):
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def pages_(*columns: pd.Series) -> pd.Series:
+            return pd.Series([None if any(x is None for x in own) else rule(*own) for own in zip(*columns, strict=True)])
+
+        def column(words: Column) -> Column:
+            field = lambda name: F.transform(words, lambda w: w[name].cast("double"))
+            return pages_(*map(field, fields))
 
-    return F.aggregate(words, start, step, lambda s: s["out"])
+        column.__doc__, column.__name__, column.rule = rule.__doc__, rule.__name__, rule
+        return column
+
+    return made
+
+
+@_of_page("top", "bottom")
+def fixed_anchor_lines(top, bottom):
+    """Line number of each word of a sorted array: a word joins while its middle is within 0.6 of the largest height in the line of the first word's middle."""
+    line, anchor, tolerance, out = -1, 0.0, -1.0, []
+    for t, b in zip(top.tolist(), bottom.tolist(), strict=True):
+        middle, wide = (t + b) / 2, (b - t) * 0.6
+        if abs(middle - anchor) <= tolerance:
+            tolerance = max(tolerance, wide)
+        else:
+            line, anchor, tolerance = line + 1, middle, wide
+        out.append(line)
+    return out
 
 
 def upper_median(values: Column) -> Column:
@@ -49,82 +64,65 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def running_mean_lines(words: Column) -> Column:
-    """Line numbers in the order of middle and centre: a word joins within 0.6 of the page's upper median height of the line's mean middle."""
-    by_middle = F.array_sort(F.transform(words, lambda x: F.named_struct(F.lit("mid"), (x["top"] + x["bottom"]) / 2, F.lit("centre"), (x["left"] + x["right"]) / 2, F.lit("pos"), x["pos"])))
-    tolerance = 0.6 * upper_median(F.transform(words, lambda x: F.greatest(F.lit(1.0), x["bottom"] - x["top"])))
-    page = F.named_struct(F.lit("words"), by_middle, F.lit("tolerance"), tolerance)
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.array().cast("array<struct<pos: int, line: int>>").alias("out"))
-
-    def fold(p: Column) -> Column:
-        def step(s: Column, x: Column) -> Column:
-            same = (s["n"] > 0) & (F.abs(x["mid"] - s["mean"]) <= p["tolerance"])
-            line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-            n = F.when(same, s["n"] + 1).otherwise(F.lit(1))
-            return F.struct(
-                line.alias("line"),
-                F.when(same, (s["mean"] * (n - 1) + x["mid"]) / n).otherwise(x["mid"]).alias("mean"),
-                n.alias("n"),
-                F.concat(s["out"], F.array(F.struct(x["pos"].alias("pos"), line.alias("line")))).alias("out"),
-            )
-
-        return F.aggregate(p["words"], start, step, lambda s: s["out"])
-
-    # what all steps share is computed once per page
-    return let(page, fold)
-
-
-def first_fit(middles: list[float], tolerance: float, mean: Callable[[list[float]], float]) -> list[int]:
-    """Line number of each middle in turn: the first line, of all so far, whose mean is within tolerance."""
-    lines: list[list[float]] = []
-    out = []
-    for m in middles:
-        k = next((i for i, own in enumerate(lines) if abs(m - mean(own)) <= tolerance), len(lines))
-        if k == len(lines):
-            lines.append([])
-        lines[k].append(m)
-        out.append(k)
+@_of_page("top", "bottom", "left", "right", "pos")
+def _running_mean(top, bottom, left, right, pos):
+    middle, n = (top + bottom) / 2, len(top)
+    tolerance = 0.6 * float(np.sort(np.maximum(1.0, bottom - top))[n // 2]) if n else 0.0
+    line, mean, count, out = -1, 0.0, 0, np.zeros(n, np.int64)
+    for k in np.lexsort((pos, (left + right) / 2, middle)).tolist():
+        m = float(middle[k])
+        if count and abs(m - mean) <= tolerance:
+            count += 1
+            mean = (mean * (count - 1) + m) / count
+        else:
+            line, mean, count = line + 1, m, 1
+        out[k] = line
     return out
 
 
-def _whole_mean(own: list[float]) -> int:
-    return int(sum(own) / len(own))
-
-
-def integer_first_fit(boxes: list[tuple]) -> dict[int, int]:
-    """pos to line: whole-number middles by middle and left; tolerance the upper median height, 6 at least."""
-    rows = sorted(((int(b["top"]) + int(b["bottom"])) // 2, int(b["left"]), b["pos"]) for b in boxes)
-    heights = sorted(max(0, int(b["bottom"]) - int(b["top"])) for b in boxes)
-    tolerance = max(6, heights[len(heights) // 2]) if heights else 6
-    return dict(zip((r[2] for r in rows), first_fit([r[0] for r in rows], tolerance, _whole_mean), strict=True))
+def running_mean_lines(words: Column) -> Column:
+    """array<struct<pos, line>>, in the order of middle and centre: a word joins within 0.6 of the page's upper median height of the line's mean middle."""
+    return F.zip_with(words, _running_mean(words), lambda w, line: F.struct(w["pos"].alias("pos"), line.alias("line")))
 
 
-def decimal_first_fit(boxes: list[tuple]) -> dict[int, int]:
-    """pos to line: middles by top and left; tolerance 0.45 of the true median height, 4 at least."""
-    rows = sorted((b["top"], b["left"], (b["top"] + b["bottom"]) / 2, b["pos"]) for b in boxes)
-    heights = sorted(b["bottom"] - b["top"] for b in boxes)
-    n = len(heights)
-    median = (heights[(n - 1) // 2] + heights[n // 2]) / 2 if n else 0.0
-    lines = first_fit([r[2] for r in rows], max(4.0, 0.45 * median), lambda own: sum(own) / len(own))
-    return dict(zip((r[3] for r in rows), lines, strict=True))
+def first_fit(middles: list[float], tolerance: float, whole: bool = False) -> list[int]:
+    """Line number of each middle in turn: the first line, of all so far, whose mean (cut to a whole number) is within tolerance."""
+    sums, counts, means = np.zeros(len(middles)), np.zeros(len(middles)), np.zeros(len(middles))
+    out, n = [], 0
+    for m in middles:
+        near = np.abs(means[:n] - m) <= tolerance
+        k = int(near.argmax()) if n and near.any() else n
+        n += k == n
+        sums[k] += m
+        counts[k] += 1
+        mean = sums[k] / counts[k]
+        means[k] = int(mean) if whole else mean
+        out.append(k)
+    return out
 
 
-def _line_udf(rule: Callable[[list[tuple]], dict[int, int]]):
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def lines(pages_: pd.Series) -> pd.Series:
-        def one(boxes) -> list[int] | None:
-            if boxes is None:
-                return None
-            found = rule(list(boxes))
-            return [found[b["pos"]] for b in boxes]
+def _in_place(order: np.ndarray, lines: list[int]) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = lines
+    return out
 
-        return pages_.map(one)
 
-    return lines
+@_of_page("top", "bottom", "left", "pos")
+def integer_first_fit_lines(top, bottom, left, pos):
+    """Line number of each word: whole-number middles by middle and left; tolerance the upper median height, 6 at least."""
+    top, bottom, left = (np.trunc(x).astype(np.int64) for x in (top, bottom, left))
+    heights = np.sort(np.maximum(0, bottom - top))
+    middle = (top + bottom) // 2
+    order = np.lexsort((pos, left, middle))
+    return _in_place(order, first_fit(middle[order].tolist(), max(6, int(heights[len(heights) // 2])) if len(heights) else 6, True))
 
 
-integer_first_fit_lines = _line_udf(integer_first_fit)
-decimal_first_fit_lines = _line_udf(decimal_first_fit)
+@_of_page("top", "bottom", "left", "pos")
+def decimal_first_fit_lines(top, bottom, left, pos):
+    """Line number of each word: middles by top and left; tolerance 0.45 of the true median height, 4 at least."""
+    middle = (top + bottom) / 2
+    order = np.lexsort((pos, middle, left, top))
+    return _in_place(order, first_fit(middle[order].tolist(), max(4.0, 0.45 * float(np.median(bottom - top)) if len(top) else 0.0)))
 
 
 def words_to_text(words: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Letters from rare to common; any order gives the same suggestions.
-RARITY = "qxzjkvwyfbghmpducltrnosiae"
 
 
 def _folds() -> tuple[str, str]:
@@ -156,32 +154,45 @@ def correct_words(words: DataFrame, known: DataFrame) -> DataFrame:
 def suggestions(words: DataFrame, known: DataFrame, most: int = 5, least: float = 0.6, span: int = 2) -> DataFrame:
     """w, suggestion, score, place: the most similar dictionary words of each distinct word, at most `most`.
 
-    Words as similar as that share `least` of the letters of the longer one, so that some letter is among the
-    rarest of both, counted up to what may differ: the join is on the length and on such a letter, and loses nothing.
+    Words as similar as that differ by d = (1 - least) * length at most, so one of d + 1 pieces of the dictionary word
+    is in the other word, moved by no more than the differences before and after it allow: the join is on both
+    lengths and such a piece, and loses nothing. Only pairs that share a piece are measured, each once.
     """
     keyed = words.select("w").distinct().select("w", T.suggestion_key(F.col("w")).alias("key")).where("key <> ''")
     theirs = known.select("word", T.suggestion_key(F.col("word")).alias("other")).where("other <> ''").groupBy("other").agg(F.min("word").alias("word"))
-    left = keyed.select("key").distinct().select("key", F.length("key").alias("n"), _rare_letters(F.col("key"), least).alias("mine")).withColumn("letter", F.explode("mine"))
-    right = theirs.select("other", "word", _rare_letters(F.col("other"), least).alias("its")).withColumn("letter", F.explode("its"))
-    right = right.withColumn("n", F.explode(F.sequence(F.greatest(F.length("other") - span, F.lit(1)), F.length("other") + span)))
-    # a pair is measured once, where its first common letter brings it together
-    met = left.join(right, ["n", "letter"]).where((F.col("key") != F.col("other")) & (F.get(F.array_intersect("mine", "its"), F.lit(0)) == F.col("letter")))
+    lengths = lambda c: F.explode(F.sequence(F.greatest(F.length(c) - span, F.lit(1)), F.length(c) + span))
+    left = keyed.select("key").distinct().select("key", F.length("key").alias("n"), lengths("key").alias("m"))
+    right = theirs.select("other", F.length("other").alias("m"), lengths("other").alias("n"))
+    may, moved = _pieces(least)
+    left = left.select("key", "n", "m", F.explode(F.flatten(F.transform(may, lambda p: F.transform(moved(p), lambda at: F.struct(p["i"].alias("i"), F.substr("key", at + 1, p["size"]).alias("piece")))))).alias("p"))
+    right = right.select("other", "n", "m", F.explode(F.transform(may, lambda p: F.struct(p["i"].alias("i"), F.substr("other", p["start"] + 1, p["size"]).alias("piece")))).alias("p"))
+    met = left.join(right, ["n", "m", "p"]).where(F.col("key") != F.col("other")).select("key", "other").distinct()
     longest = F.greatest(F.length("key"), F.length("other"))
     distance = F.expr(f"levenshtein(key, other, cast(ceil({1 - least} * greatest(length(key), length(other))) AS int))")
-    near = met.withColumn("distance", distance).where("distance >= 0")
-    scored = near.select("key", "other", "word", (1 - F.col("distance") / longest).alias("score")).where(F.col("score") >= least)
+    near = met.withColumn("distance", distance).where("distance >= 0").withColumn("score", 1 - F.col("distance") / longest).where(F.col("score") >= least)
+    scored = near.join(theirs, "other").select("key", "word", "score")
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.abs(F.length("word") - F.length("key")), "word")
     ranked = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     return keyed.join(ranked, "key").select("w", F.col("word").alias("suggestion"), "score", "place")
 
 
-def _rare_letters(c: Column, least: float) -> Column:
-    """The rarest letters of a word, each with its number among equal ones: all but ceil(least * length) - 1 of them."""
-    chars = F.split(c, "")
-    rank = lambda x: F.position(x, F.lit(RARITY))
-    numbered = F.transform(chars, lambda x, i: F.named_struct(F.lit("nth"), -F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)), F.lit("rank"), rank(x), F.lit("letter"), x))
-    kept = F.slice(F.array_sort(numbered), 1, F.length(c) - F.ceil(F.lit(least) * F.length(c)).cast("int") + 1)
-    return F.transform(kept, lambda s: F.concat(s["letter"], s["nth"].cast("string")))
+def _pieces(least: float) -> tuple[Column, Callable[[Column], Column]]:
+    """For words of n and m characters (columns): the pieces (i, start, size) of the latter, and where a piece may begin in the former."""
+    n, m = F.col("n"), F.col("m")
+    d = F.floor(F.greatest(n, m) * F.lit(1 - least) + 1e-9).cast("int")
+    small = F.floor(m / (d + 1)).cast("int")
+    # the last `more` pieces have one character more than the others
+    more = m - small * (d + 1)
+    plain = d + 1 - more
+    one = lambda i: F.struct(i.alias("i"), (i * small + F.greatest(i - plain, F.lit(0))).alias("start"), (small + (i >= plain).cast("int")).alias("size"))
+    pieces = F.transform(F.sequence(F.lit(0), d), one)
+
+    def moved(p: Column) -> Column:
+        low = F.greatest(-p["i"], n - m - (d - p["i"]), -p["start"])
+        high = F.least(p["i"], n - m + (d - p["i"]), n - p["size"] - p["start"])
+        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda k: p["start"] + k)).otherwise(F.array().cast("array<int>"))
+
+    return pieces, moved
 
 
 def update_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
