@@ -279,6 +279,14 @@ def test_token_counts_equal_the_library(spark, rows):
     assert all(got[k]["n_bytes"] == len((t or "").encode()) and got[k]["over_limit"] == (want[k] > 512) for k, t in enumerate(texts))
 
 
+def test_other_token_settings_are_refused():
+    plain = {"model": {"type": "BPE"}, "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": [{"content": "<e>", "special": True}]}
+    bpe.refuse(plain)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"model": {"type": "Unigram"}}, {"model": {"type": "BPE", "ignore_merges": True}}, {"added_tokens": [{"content": "x", "special": False}]}):
+        with pytest.raises(ValueError):
+            bpe.refuse(plain | change)
+
+
 # ---- language model
 
 
@@ -386,7 +394,7 @@ def plain_scores(docs, keys, frequent, rounds, rate, shard):
     def contexts(words, j):
         one, two = (number(words[j - 1]) if j > 0 else 0), (number(words[j - 2]) if j > 1 else 0)
         out = []
-        for f, x in enumerate([one, two, words[j - 1][-1] if j > 0 else 0, one * 1_000_003 + two * 7 + 1]):
+        for f, x in enumerate([one, words[j - 1][-1] if j > 0 else 0, two]):
             y = (x + (f + 1) * 0xD6E8FEB86659FD93) * 0x9E3779B97F4A7C15 & mask
             out.append(y ^ y >> 29)
         return out
