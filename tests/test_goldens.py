@@ -9,6 +9,8 @@ from vellum.functions import policies as P
 from vellum.functions import quads as G
 from vellum.functions import tensors as N
 from vellum.functions import text as T
+from vellum.functions import warps as K
+from vellum.operators import assembly as A
 from vellum.operators import datasets as D
 from vellum.operators import evaluation as E
 from vellum.operators import layout as Y
@@ -456,3 +458,78 @@ def test_words_merge_by_the_united_area(spark):
     df = spark.createDataFrame(rows, "doc_id int, pos int, w string, left double, top double, right double, bottom double, conf double")
     got = V.merge_with_next(df, F.col("pos") == 0).first()
     assert got["w"] == "a b" and got["conf"] == pytest.approx((50 * 300 + 90 * 100) / 400)
+
+
+def test_edges_and_scores(spark):
+    q = quad(*SQUARE)
+    assert [tuple(one(spark, K.outward_normal(q, k))) for k in range(4)] == [(0, -1), (1, 0), (0, 1), (-1, 0)]
+    move = lambda x, y: one(spark, K.move_edge(q, 1, K.outward_normal(q, 1), F.lit(10.0), F.lit(5.0), F.lit(x), F.lit(y)))
+    out = move(13.0, 9.0)
+    assert out["moved"] and (out["dx"], out["dy"]) == (3, 0) and [tuple(p) for p in out["q"]] == [(0, 0), (13, 0), (13, 10), (0, 10)]
+    assert not move(-1.0, 5.0)["moved"] and not move(0.5, 5.0)["moved"] and [tuple(p) for p in move(-1.0, 5.0)["q"]] == [(0, 0), (10, 0), (10, 10), (0, 10)]
+    assert one(spark, K.rectangularity(q)) == pytest.approx(120, abs=1e-3) and one(spark, K.rectangularity(quad(0, 0, 10, 0, 20, 10, 0, 10))) == -1
+    assert one(spark, K.image_score(quad(-1, 0, 10, 0, 10, 10, 0, 10), F.lit(10.0), F.lit(10.0))) == float("-inf")
+    better = one(spark, K.better_crop(quad(0, 0, 3, 0, 3, 3, 0, 3), quad(1, 1, 9, 1, 9, 9, 1, 9), F.lit(10.0), F.lit(10.0)))
+    assert better[0]["x"] == 1
+    assert one(spark, K.projective_ratio(q, F.lit(20.0), F.lit(20.0))) is None
+    assert tuple(one(spark, K.fixed_ratio_size(quad(0, 0, 100, 0, 100, 40, 0, 40), F.lit(0.5)))) == (101, 51) and tuple(one(spark, K.fixed_ratio_size(q, F.lit(2.0)))) == (1, 1)
+    edge = lambda x, y, r: one(spark, G.nearest_edge(q, F.lit(x), F.lit(y), r, 0.2))
+    assert [edge(5.0, 3.0, 3.0), edge(5.0, 2.9, 3.0), edge(2.0, 1.0, 3.0), edge(2.1, 1.0, 3.0)] == [-1, 0, -1, 0]
+
+
+def test_grid_and_synthetic_corners(spark):
+    xs, ys = F.array(*(F.array(*(F.lit(float(c)) for c in range(3))) for _ in range(2))), F.array(*(F.array(*(F.lit(float(r)) for _ in range(3))) for r in range(2)))
+    assert [tuple(p) for p in one(spark, K.grid_corners(xs, ys))] == [(0, 0), (2, 0), (2, 1), (0, 1)]
+    df = spark.range(300).select(K.synthetic_corners(F.col("id"), F.lit(210.0), F.lit(297.0), F.lit(640.0), F.lit(480.0)).alias("q"))
+    rows = [[tuple(p) for p in r["q"]] for r in df.collect()]
+    assert rows == [[tuple(p) for p in r["q"]] for r in df.collect()] and len({r[0] for r in rows}) > 250
+    assert all(1 <= x <= 638 and 1 <= y <= 478 for r in rows for x, y in r)
+    assert df.where(G.area("q") > 100).count() == 300
+
+
+def test_segments(spark):
+    ink = lambda *runs: [v for n, x in runs for v in [x] * n]
+    assert A.segments_of(ink((10, 0), (5, 9000)), 20) == []
+    # letters two apart, a word gap of nine
+    line = ink((2, 0), (4, 9000), (2, 0), (4, 9000), (9, 0), (4, 9000), (2, 0), (5, 9000), (1, 0))
+    assert A.segments_of(line, 20) == [(2, 11), (21, 31)]
+    assert A.segments_of(ink((6, 9000), (10, 0), (2, 9000)), 20) == [] and A.segments_of(ink((6, 9000), (10, 0), (6, 204), (4, 0), (6, 205)), 20) == [(0, 5), (26, 31)]
+    df = spark.createDataFrame([(1, x, v, 20) for x, v in enumerate(line)], "line int, x int, v int, h int")
+    assert [tuple(r) for r in A.ink_segments(df, "line", "h").orderBy("nth").collect()] == [(1, 0, 2, 11), (1, 1, 21, 31)]
+    back = lambda scale, width, *s: [tuple(x) for x in one(spark, A.unscaled(F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in s)), F.lit(scale), F.lit(width)))]
+    assert back(2.0, 10, (0, 5), (6, 30)) == [(0, 3), (4, 9)] and back(1.0, 10, (0, 50)) == [(0, 50)] and back(2.0, 4, (0, 9), (9, 9)) == [(0, 3), (3, 3)]
+
+
+def test_word_boxes(spark):
+    token = lambda t, c, a, b: F.struct(F.lit(t).alias("text"), F.lit(c).alias("conf"), F.lit(a).alias("first"), F.lit(b).alias("last"))
+    boxes = lambda tokens, frames=10: [(w["text"], round(w["conf"], 3), *(round(x, 3) for x in w["box"])) for w in one(spark, A.word_boxes(quad(0, 0, 100, 0, 100, 20, 0, 20), F.lit("a b"), F.lit(0.5), F.array(*tokens), F.lit(frames), F.lit(80.0), F.lit(160.0)))]
+    assert boxes([token("a", 0.9, 0, 1), token("b", 1.5, 3, 9)]) == [("a", 90, 0, 0, 40, 20), ("b", 100, 60, 0, 100, 20)]
+    assert boxes([token("a", 0.9, 0, 1)]) == [("a", 90, 0, 0, 100, 20)] and boxes([token("a", 0.9, 0, 1), token("b", 1.0, 3, 9)], 0) == [("a b", 50, 0, 0, 100, 20)]
+    assert boxes([token("", 0.9, 0, 1), token("", 1.0, 3, 9)]) == [("a b", 50, 0, 0, 100, 20)]
+
+
+def test_order_accuracy(spark):
+    ids = lambda t: F.array(*map(F.lit, t))
+    texts = F.create_map(*(F.lit(x) for pair in (("a", "A"), ("b", "B"), ("c", ""), ("d", "B")) for x in pair))
+    share = lambda x, y: one(spark, A.order_accuracy(ids(x), ids(y), texts))
+    assert [share("abc", "ab"), share("ab", "ad"), share("ab", "ba"), share("ab", "a"), share("cc", "ab")] == [1, 1, 0, 0.5, 1]
+
+
+def test_right_to_left_words_and_models(spark):
+    assert one(spark, A.any_rtl(F.array(F.lit("a"), F.lit(None), F.lit("שלום")))) is True and one(spark, A.any_rtl(F.array(F.lit("a")))) is False
+    assert [one(spark, A.model_of(F.lit(x))) for x in ("xx", "chi_sim;tha", "zh+rus+deu", " ENG ")] == [None, "th", "latin", "en"]
+    lines = spark.createDataFrame([(1, 0, 9, [1, 2]), (1, 1, 3, [3, 4, 7])], "p int, nth int, top int, ids array<int>")
+    words = spark.createDataFrame([(1, 1, "של", 5, 9), (1, 2, "ום", 20, 9), (1, 3, "b", 20, 3), (1, 4, "a", 5, 3)], "p int, id int, t string, left int, top int")
+    got = A.words_for_reading(lines, words, "p").orderBy("place").collect()
+    assert [r["id"] for r in got] == [4, 3, 2, 1]
+
+
+def test_words_cut_in_two(spark):
+    rows = [(1, 0, "ab cd", 0.0, 7.0), (1, 1, "abc", 0.0, 2.0), (1, 2, " x", 0.0, 9.0), (1, 3, "שלום", 10.0, 20.0)]
+    df = spark.createDataFrame([(d, p, w, a, 0.0, b, 5.0) for d, p, w, a, b in rows], "doc_id int, pos int, w string, left double, top double, right double, bottom double")
+    got = [(r["pos"], r["part"], r["w"], r["left"], r["right"]) for r in V.split_in_middle(df, F.lit(True)).orderBy("pos", "part").collect()]
+    assert got == [(0, 0, "ab", 0, 4), (0, 1, "cd", 4, 7), (1, 0, "a", 0, 1), (1, 1, "bc", 1, 2), (2, 0, " x", 0, 9), (3, 0, "של", 15, 20), (3, 1, "ום", 10, 15)]
+
+
+def test_numeric_entities_go_decimal_first(spark):
+    assert one(spark, T.decode_entities(F.lit("&#38;#x27;&#39; &#x41; &#4294967296; &amp;#39;"))) == "'' A &#4294967296; &#39;"

@@ -316,9 +316,9 @@ def on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: C
 
 
 def nearest_edge(q: Column, x: Column, y: Column, radius: float, deadzone: float = 0.0) -> Column:
-    """Number of the edge nearest to a point within radius, its ends by deadzone excluded; -1 for none."""
+    """Number of the edge nearest to a point, nearer than radius, its ends by deadzone excluded; -1 for none."""
     hits = [on_segment(x, y, *_p(q, i), *_p(q, i + 1)) for i in range(4)]
-    ok = [F.when((s["distance"] <= radius) & (s["t"] >= deadzone) & (s["t"] <= 1 - deadzone), F.struct(s["distance"].alias("d"), F.lit(i).alias("i"))) for i, s in enumerate(hits)]
+    ok = [F.when((s["distance"] < radius) & (s["t"] > deadzone) & (s["t"] < 1 - deadzone), F.struct(s["distance"].alias("d"), F.lit(i).alias("i"))) for i, s in enumerate(hits)]
     return F.coalesce(F.array_min(F.array_compact(F.array(*ok)))["i"], F.lit(-1))
 
 
@@ -361,10 +361,12 @@ def mm_to_pixels(mm: Column, dpi: Column) -> Column:
     return F.floor(mm / 25.4 * dpi + 0.5).cast("int")
 
 
-def polygon_mask(q: Column, size: int = 64) -> Column:
-    """Row-major array of 0 and 1: cells whose centre lies in the quad."""
+def polygon_mask(q: Column, size: int = 64, scale: float = 4.0) -> Column:
+    """Row-major array of 0 and 1: cells whose centre lies in the quad, clipped to the frame and scaled down."""
     cells = F.sequence(F.lit(0), F.lit(size * size - 1))
-    return F.transform(cells, lambda k: contains(q, (k % size) + 0.5, F.floor(k / size) + 0.5).cast("int"))
+    clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(size * scale - 1), v)) / scale
+    small = F.transform(q, lambda p: F.named_struct(F.lit("x"), clip(p["x"]), F.lit("y"), clip(p["y"])))
+    return let(small, lambda c: F.transform(cells, lambda k: contains(c, (k % size) + 0.5, F.floor(k / size) + 0.5).cast("int")))
 
 
 def _inside(q: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:

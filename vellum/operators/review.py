@@ -36,29 +36,30 @@ def merge_with_next(words: DataFrame, which: Column, key: str = "doc_id") -> Dat
 def split_in_middle(words: DataFrame, which: Column, key: str = "doc_id") -> DataFrame:
     """The words with each one that `which` names cut in two: at the last space up to the middle, else the next one, else in the middle.
 
-    The width is shared by length; of right-to-left words the first part lies on the right. part is 0 or 1.
+    The width is shared by length, in whole pixels of at least one; of right-to-left words the first part lies on the right.
+    A word that would leave an empty part stays whole. part is 0 or 1.
     """
-    w = T.jtrim(F.col("w"))
+    w = F.col("w")
     n = F.length(w)
-    middle = F.greatest(F.lit(1), F.floor(n / 2).cast("int"))
-    before = F.length(F.regexp_extract(F.substr(w, F.lit(1), middle + 1), r"^(.*)\s", 1))
+    middle = F.floor(n / 2).cast("int")
+    before = F.length(F.regexp_extract(F.substr(w, F.lit(1), middle + 1), r"(?s)^(.*) ", 1))
     after = F.position(F.lit(" "), F.substr(w, middle + 1))
     at = F.when(before > 0, before).when(after > 0, middle + after - 1).otherwise(middle).cast("int")
-    cut = words.withColumn("cut", F.coalesce(which, F.lit(False)) & (n >= 2)).withColumn("at", at).withColumn("rtl", T.is_rtl(F.col("w")))
+    marked = words.withColumn("at", at).withColumn("first", T.jtrim(F.substr(w, F.lit(1), F.col("at")))).withColumn("rest", T.jtrim(F.substr(w, F.col("at") + 1)))
+    cut = marked.withColumn("cut", F.coalesce(which, F.lit(False)) & (n >= 2) & (F.col("first") != "") & (F.col("rest") != "")).withColumn("rtl", T.is_rtl(w))
     parts = cut.withColumn("part", F.explode(F.when(F.col("cut"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    first = T.jtrim(F.substr(w, F.lit(1), F.col("at")))
-    rest = T.jtrim(F.substr(w, F.col("at") + 1))
-    share = F.length(first) / F.greatest(F.lit(1), F.length(first) + F.length(rest))
-    on_left = F.when(F.col("rtl"), F.col("part") == 1).otherwise(F.col("part") == 0)
-    x = F.col("left") + (F.col("right") - F.col("left")) * F.when(F.col("rtl"), 1 - share).otherwise(share)
+    width = F.col("right") - F.col("left")
+    own = F.greatest(F.lit(1), F.floor(width * F.length("first") / F.greatest(F.lit(1), F.length("first") + F.length("rest")) + 0.5))
+    other = F.greatest(F.lit(1), width - own)
+    left = F.when(F.col("part") == 0, F.when(F.col("rtl"), F.col("left") + other).otherwise(F.col("left"))).otherwise(F.when(F.col("rtl"), F.col("left")).otherwise(F.col("left") + own))
     return parts.select(
         key,
         "pos",
         "part",
-        F.when(~F.col("cut"), F.col("w")).when(F.col("part") == 0, first).otherwise(rest).alias("w"),
-        F.when(F.col("cut") & ~on_left, x).otherwise(F.col("left")).alias("left"),
+        F.when(~F.col("cut"), w).when(F.col("part") == 0, F.col("first")).otherwise(F.col("rest")).alias("w"),
+        F.when(F.col("cut"), left).otherwise(F.col("left")).alias("left"),
         "top",
-        F.when(F.col("cut") & on_left, x).otherwise(F.col("right")).alias("right"),
+        F.when(F.col("cut"), left + F.when(F.col("part") == 0, own).otherwise(other)).otherwise(F.col("right")).alias("right"),
         "bottom",
     )
 
