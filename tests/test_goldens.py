@@ -497,7 +497,7 @@ def test_segments(spark):
     df = spark.createDataFrame([(1, x, v, 20) for x, v in enumerate(line)], "line int, x int, v int, h int")
     assert [tuple(r) for r in A.ink_segments(df, "line", "h").orderBy("nth").collect()] == [(1, 0, 2, 11), (1, 1, 21, 31)]
     back = lambda scale, width, *s: [tuple(x) for x in one(spark, A.unscaled(F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in s)), F.lit(scale), F.lit(width)))]
-    assert back(2.0, 10, (0, 5), (6, 30)) == [(0, 3), (4, 9)] and back(1.0, 10, (0, 50)) == [(0, 50)] and back(2.0, 4, (0, 9), (9, 9)) == [(0, 3), (3, 3)]
+    assert back(2.0, 10, (0, 5), (6, 30)) == [(0, 3), (4, 9)] and back(1.0, 10, (0, 50)) == [(0, 50)] and back(2.0, 4, (0, 9), (9, 9)) == [(0, 3), (4, 4)]
 
 
 def test_word_boxes(spark):
