@@ -533,3 +533,28 @@ def test_words_cut_in_two(spark):
 
 def test_numeric_entities_go_decimal_first(spark):
     assert one(spark, T.decode_entities(F.lit("&#38;#x27;&#39; &#x41; &#4294967296; &amp;#39;"))) == "'' A &#4294967296; &#39;"
+
+
+def test_reports_and_labels(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1.23456789, None), ("a", 2.0, 3)], "name string, v double, n int")
+    R.write_report(df, str(tmp_path / "report"))
+    text = next((tmp_path / "report").glob("part-*")).read_text().strip()
+    assert text == '[{"name":"a","v":2.0,"n":3},{"name":"b","v":1.234568,"n":null}]'
+    R.write_lines(df, str(tmp_path / "lines"))
+    assert sorted(tuple(r) for r in spark.read.schema("name string, v double, n int").json(str(tmp_path / "lines")).collect()) == sorted(tuple(r) for r in df.collect())
+    (tmp_path / "one.json").write_text('{\n "image": "a.jpg",\n "corners": [[1, 2]]\n}')
+    labels = R.read_json(spark, str(tmp_path / "one.json"), "image string, corners array<array<double>>")
+    images = spark.createDataFrame([("a.jpg", 10, 20)], "name string, width int, height int")
+    assert [tuple(r) for r in R.labels_with_sizes(labels, images).collect()] == [("a.jpg", 10, 20, [[1.0, 2.0]])]
+    assert R.labels_with_sizes(labels, images.where("width > 10")).count() == 0
+    (tmp_path / "bad.json").write_text("{not json")
+    with pytest.raises(Exception):
+        R.read_json(spark, str(tmp_path / "bad.json"), "image string").collect()
+
+
+def test_catalog_and_sharpness(spark):
+    assert not S.has_table(spark, "no_such_table_here")
+    image = F.array(*(F.lit(float(v)) for v in (0, 0, 0, 0, 9, 0, 0, 0, 0)))
+    lap = [0, 18, 0, 18, -36, 18, 0, 18, 0]
+    assert one(spark, N.laplacian_variance(image, F.lit(3))) == pytest.approx(sum(x * x for x in lap) / 9 - (sum(lap) / 9) ** 2)
+    assert one(spark, N.laplacian_variance(F.array(F.lit(5.0)), F.lit(1))) == 0 and one(spark, N.laplacian_variance(F.array().cast("array<double>"), F.lit(1))) == -1

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import quads as G
+
 
 def seed_of(name: Column, seed: int) -> Column:
     """The first four bytes of sha256('<seed>_<name>'), big-endian."""
@@ -134,3 +136,33 @@ def error_histogram(df: DataFrame, errors: str = "errors", most: int | None = No
 def route(df: DataFrame, fraction: Column, threshold: float) -> DataFrame:
     """Adds split: CORE or HARD by a fraction, with a reason where it is unknown."""
     return df.withColumn("split", F.when(fraction.isNull(), None).when(fraction < threshold, "HARD").otherwise("CORE")).withColumn("skipped", F.when(fraction.isNull(), "no_area"))
+
+
+def label_reasons(q: Column, w: Column, h: Column, known: Column, least: float = 0.05) -> Column:
+    """All reasons against a label whose quad is in canonical order; known: its image is there."""
+    area = G.signed_area(q)
+    beyond = F.exists(q, lambda p: (p["x"] < 0) | (p["x"] > w - 1) | (p["y"] < 0) | (p["y"] > h - 1))
+    flat = F.least(*(F.abs(t) for t in G.turns(q))) <= 1e-9
+    return F.array_compact(
+        F.array(
+            F.when(~F.coalesce(known, F.lit(False)), "missing_image_file"),
+            F.when(beyond, "bounds_error"),
+            F.when(~(area > 0), "area_non_positive").when(area / (w * h) < least, "area_fraction_lt_0.05"),
+            F.when(G.crosses_itself(q), "self_intersection"),
+            F.when(flat, "degenerate"),
+            F.when(~G.is_convex(q, 1e-9), "not_convex"),
+        )
+    )
+
+
+def trainable(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """labels (image, width, height, q) with q in canonical order, reordered, reasons and valid; images: the names that exist.
+
+    A reordered label is one whose corners came in another order; the rows without reasons are those to train on.
+    """
+    there = images.select(F.col("name").alias("image"), F.lit(True).alias("known_")).distinct()
+    ordered = labels.withColumn("canonical", G.clockwise(F.col("q")))
+    met = ordered.join(there, "image", "left")
+    reasons = label_reasons(F.col("canonical"), F.col("width"), F.col("height"), F.col("known_"))
+    out = met.withColumn("reasons", reasons).withColumn("reordered", F.col("canonical") != F.col("q"))
+    return out.select(*(c for c in labels.columns if c != "q"), F.col("canonical").alias("q"), "reordered", "reasons", (F.size("reasons") == 0).alias("valid"))

@@ -195,6 +195,21 @@ def table_order(cells: DataFrame, key: str) -> DataFrame:
     return cells.withColumn("reading_order", F.row_number().over(Window.partitionBy(key).orderBy("row_index", side, "id")) - 1)
 
 
+def tree_order(regions: DataFrame, key: str) -> DataFrame:
+    """Regions (key, id, parent, type, direction, left, top, right, bottom, row_index, col_index) with reading_order among their siblings.
+
+    Cells of a table go by row and column, all other regions in bands of rows. parent is null at the top. A tree is a table of
+    edges, so every level is ordered at once.
+    """
+    kinds = regions.select(key, F.col("id").alias("parent"), F.col("type").alias("parent_type"))
+    met = regions.join(kinds, [key, "parent"], "left").withColumn("parent", F.coalesce("parent", F.lit(-1)))
+    cell = F.coalesce(F.col("parent_type") == "TABLE", F.lit(False))
+    side = F.when(F.col("direction") == "RTL", -F.col("col_index")).otherwise(F.col("col_index"))
+    place = F.row_number().over(Window.partitionBy(key, "parent").orderBy("row_index", side, "id")) - 1
+    cells = met.where(cell).select(key, "parent", "id", place.alias("reading_order"))
+    return cells.unionByName(banded_order(met.where(~cell), [key, "parent"], F.col("direction")).select(key, "parent", "id", "reading_order"))
+
+
 def zones(regions: DataFrame, header_at: float = 0.12, footer_at: float = 0.92) -> DataFrame:
     """type of each region by where it lies on its page (column page_height)."""
     return regions.withColumn("type", F.when(F.col("bottom") <= F.col("page_height") * header_at, "HEADER").when(F.col("top") >= F.col("page_height") * footer_at, "FOOTER").otherwise("BODY"))

@@ -195,6 +195,11 @@ def _pieces(least: float) -> tuple[Column, Callable[[Column], Column]]:
     return pieces, moved
 
 
+def has_table(spark, name: str) -> bool:
+    """Whether the catalog has a search table of that name."""
+    return spark.catalog.tableExists(name)
+
+
 def update_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index with the pages of changed (scan_id, page_index, text) put in place of what they had; a null text takes a page out."""
     keys = ["scan_id", "page_index"]

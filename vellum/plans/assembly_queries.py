@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import policies as P
@@ -9,10 +10,12 @@ from vellum.functions import quads as G
 from vellum.functions import tensors as N
 from vellum.functions import warps as R
 from vellum.operators import assembly as A
+from vellum.operators import datasets as D
 from vellum.operators import layout as Y
 from vellum.plans import analysis_queries as AQ
 from vellum.plans import geometry_queries as GQ
 from vellum.plans import model as M
+from vellum.sources import documents as S
 
 W = M.with_
 
@@ -192,10 +195,50 @@ def narrow_parts(spark, sf):
     return top.select(F.lit("top").alias("kind"), "name", F.round("aspect", 6).alias("value")).unionByName(stats.select(F.lit("mean").alias("kind"), F.lit(None).cast("string").alias("name"), F.round("mean", 6).alias("value"))).unionByName(stats.select(F.lit("narrow").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("narrow").cast("double").alias("value")))
 
 
+def trainable_labels(spark, sf):
+    """Labels made of events' quads with their corners in another order, some without an image."""
+    f = GQ.frames(spark, sf)
+    q = F.col("q")
+    labels = f.select(F.col("event_id").cast("string").alias("image"), F.lit(220).alias("width"), F.lit(240).alias("height"), F.when(F.col("event_id") % 3 == 0, F.array(q[2], q[0], q[3], q[1])).otherwise(q).alias("q"))
+    t = D.trainable(labels, f.where("event_id % 11 > 0").select(F.col("event_id").cast("string").alias("name")))
+    return t.select("image", "reordered", F.array_join("reasons", ",").alias("reasons"), "valid")
+
+
+def region_trees(spark, sf):
+    """Regions whose parent is an earlier one of the page, some of them tables."""
+    r = AQ._regions(spark, sf).withColumn("type", F.when(F.col("id") % 4 == 0, "TABLE").otherwise("BODY"))
+    first = F.min("id").over(Window.partitionBy("page"))
+    r = r.withColumn("parent", F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(first))
+    return Y.tree_order(r, "page")
+
+
+def sharpness(spark, sf):
+    return AQ._maps(spark, sf).select("vec_id", F.round(N.laplacian_variance(F.col("a"), F.lit(8)), 5).alias("variance"))
+
+
+def model_languages(spark, sf):
+    d = M.table(spark, sf, "documents").select(F.concat("lang", F.when(F.col("doc_id") % 2 == 0, ".traineddata").otherwise(".txt")).alias("name"), "source")
+    return S.listed_languages(d.select("name"), d.select(F.concat("source", F.lit(".traineddata")).alias("name")))
+
+
+def outdated_files(spark, sf):
+    f = M.table(spark, sf, "events").select(F.concat(F.when(F.col("event_id") % 2 == 0, "Scan_").otherwise("x_"), "event_id", F.when(F.col("event_id") % 3 == 0, ".png").otherwise(".jpg")).alias("name"), F.col("ts").alias("modified"))
+    now = F.lit("2024-01-15 00:00:00").cast(f.schema["modified"].dataType)
+    return S.outdated(f, now, 24, "Scan_", ".jpg").select("name")
+
+
+def event_report(spark, sf):
+    """A report as one JSON text, and the same rows read back from its array."""
+    by = M.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    rows = F.from_json("value", "array<struct<event_type: string, n: bigint, mean: double>>")
+    return S.report(by, 4).select(F.inline(rows))
+
+
 QUERIES = {f.__name__: f for f in (
     crop_edges, crop_scores, projective_ratios, clamped_points, mask_disagreements, suspicions, page_sizes, quad_points, quad_strips, quad_flips, polygon_masks, sizes, rect_edits,
     region_modes, default_rectangles, dated_names, shared_characters, model_choices, table_grids,
     numbered_words, words_in_reading_order, retries, region_pages, page_bands, layout_summaries, narrow_parts,
+    trainable_labels, region_trees, sharpness, model_languages, outdated_files, event_report,
 )}
 
 
@@ -303,6 +346,15 @@ ORACLE_SQL = {
         b AS (SELECT *, 'HEADER' AS type, 0 AS top, floor(h * 0.12) AS bottom, floor(h * 0.12) AS high FROM s UNION ALL SELECT *, 'FOOTER', h - floor(h * 0.08), h, floor(h * 0.08) FROM s),
         d AS (SELECT page, type, top, bottom, count(*) FILTER (WHERE ink) / max(w * high) AS d FROM b WHERE high >= 20 AND y >= top AND y < bottom GROUP BY page, type, top, bottom)
         SELECT page, type, CAST(top AS INTEGER) AS top, CAST(bottom AS INTEGER) AS bottom, round(least(1, d * 10), 6) AS conf FROM d WHERE d > 0.01 AND d < 0.5""",
+    "trainable_labels": W(GQ.FRAMES) + f"""SELECT image, reordered, array_to_string(r, ',') AS reasons, len(r) = 0 AS valid FROM (SELECT CAST(event_id AS VARCHAR) AS image, event_id % 3 = 0 AS reordered, list_filter([CASE WHEN event_id % 11 = 0 THEN 'missing_image_file' END, CASE WHEN least({', '.join(GQ.NAMES)}) < 0 OR greatest({', '.join(GQ.NAMES[::2])}) > 219 OR greatest({', '.join(GQ.NAMES[1::2])}) > 239 THEN 'bounds_error' END,
+        CASE WHEN NOT {GQ.AREA} > 0 THEN 'area_non_positive' WHEN {GQ.AREA} / 52800 < 0.05 THEN 'area_fraction_lt_0.05' END, CASE WHEN {GQ.CROSSING} THEN 'self_intersection' END, CASE WHEN least({', '.join(f'abs({GQ._turn(i)})' for i in range(4))}) <= 1e-9 THEN 'degenerate' END, CASE WHEN NOT ({GQ._convex(1e-9)}) THEN 'not_convex' END], lambda x: x IS NOT NULL) AS r FROM f) AS a""",
+    "region_trees": AQ.R(AQ.REGIONS, "o AS (SELECT *, min(id) OVER (PARTITION BY page) AS first FROM regions)", "m AS (SELECT o.*, CASE WHEN id % 5 = 0 THEN -1 ELSE first END AS parent, id % 5 <> 0 AND first % 4 = 0 AS cell FROM o)", "u AS (SELECT * FROM m WHERE NOT cell)", *AQ._bands("u", "parent"))
+    + "SELECT page, parent, id, CAST(row_number() OVER (PARTITION BY page, parent ORDER BY row_index, col_index * side, id) - 1 AS INTEGER) AS reading_order FROM m WHERE cell UNION ALL SELECT u.page, u.parent, u.id, CAST(row_number() OVER (PARTITION BY u.page, u.parent ORDER BY band, l * side, t, u.id) - 1 AS INTEGER) FROM u JOIN bands b ON u.page = b.page AND u.id = b.id",
+    "sharpness": W(AQ.CELLS, "g AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, v FROM cells)", "e AS (SELECT c.vec_id, c.x, c.y, sum(n.v) - 4 * max(c.v) AS e FROM g c, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS d(dx, dy), g n WHERE n.vec_id = c.vec_id AND n.x = CASE WHEN c.x + dx < 0 THEN 1 WHEN c.x + dx > 7 THEN 6 ELSE c.x + dx END AND n.y = CASE WHEN c.y + dy < 0 THEN 1 WHEN c.y + dy > 7 THEN 6 ELSE c.y + dy END GROUP BY c.vec_id, c.x, c.y)")
+    + "SELECT vec_id, round(avg(e * e) - avg(e) * avg(e), 5) AS variance FROM e GROUP BY vec_id",
+    "model_languages": "SELECT DISTINCT language FROM (SELECT lang AS language FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source FROM documents) AS l WHERE language IS NOT NULL",
+    "outdated_files": "SELECT concat('Scan_', event_id, '.jpg') AS name FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0 AND ts < TIMESTAMP '2024-01-14 00:00:00'",
+    "event_report": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY event_type",
     "layout_summaries": W(AQ.REGIONS, "k AS (SELECT page, column_index, CASE WHEN id % 13 = 0 THEN 'TABLE' WHEN id % 2 = 0 THEN 'COLUMN' ELSE type END AS type FROM regions WHERE id % 3 > 0 OR page % 2 = 0)", "a AS (SELECT page, greatest(1, coalesce(max(CASE WHEN type = 'COLUMN' THEN column_index + 1 END), 1)) AS columns, bool_or(type = 'TABLE') AS has_table, bool_or(type = 'HEADER') AS has_header, bool_or(type = 'FOOTER') AS has_footer FROM k GROUP BY page)")
     + "SELECT *, columns > 1 OR has_table AS complex FROM a",
     "narrow_parts": """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS name, p_size * 3 / (p_partkey % 17 + 5) AS aspect FROM part) SELECT * FROM (SELECT 'top' AS kind, name, round(aspect, 6) AS value FROM p ORDER BY aspect DESC, name LIMIT 20) AS t

@@ -13,7 +13,7 @@ MODULES = (library_queries, text_queries, search_queries, geometry_queries, anal
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library_queries.collection_listing(spark, sf_dir)
+    return search_queries.bm25_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

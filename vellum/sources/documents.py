@@ -201,3 +201,46 @@ def joined_pages(pages: DataFrame, key: str, page: str = "page_index", separator
 def write_texts(df: DataFrame, path: str) -> None:
     """One text per row, as UTF-8."""
     df.select("text").write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One row per file that is a single JSON object; a file that is none fails the job."""
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def labels_with_sizes(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """image, width, height, corners_px of labels (image, corners) whose image is known (name, width, height)."""
+    named = labels.where("image <> '' AND size(corners) > 0")
+    return named.join(images.select(F.col("name").alias("image"), "width", "height"), "image").select("image", "width", "height", F.col("corners").alias("corners_px"))
+
+
+def listed_languages(*folders: DataFrame, extension: str = ".traineddata") -> DataFrame:
+    """language: the names of the model files (column name) of all folders, each once."""
+    out = None
+    for files in folders:
+        own = files.where(F.endswith("name", F.lit(extension))).select(F.regexp_replace("name", r"\Q" + extension + r"\E$", "").alias("language"))
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def outdated(files: DataFrame, now: Column, hours: int, prefix: str, extension: str) -> DataFrame:
+    """Files (name, modified) of a kind that were last changed more than `hours` ago."""
+    return files.where(F.startswith("name", F.lit(prefix)) & F.endswith("name", F.lit(extension)) & (F.col("modified") < now - F.make_interval(hours=F.lit(hours))))
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """JSON lines with nulls written; Spark's commit puts the files in place at once."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def report(df: DataFrame, digits: int = 6) -> DataFrame:
+    """One row, column value: the rows as one JSON array in order, decimals rounded. For reports of bounded size."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    rounded = [F.round(c, digits).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns]
+    rows = df.select(F.struct(*rounded).alias("r"))
+    return rows.agg(F.to_json(F.array_sort(F.collect_list("r")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_report(df: DataFrame, path: str, digits: int = 6) -> None:
+    report(df, digits).coalesce(1).write.mode("overwrite").text(path)
