@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import bpe, common, crosspoly, decontam, maxent, mixing, queries, secrets, simhash, suffix, toxicity, warc
 
@@ -224,6 +225,47 @@ def test_embeddings(spark, tile):
     assert got == want
 
 
+@pytest.mark.parametrize("hashes,tables", [(2, 8), (3, 14), (4, 23)])
+@pytest.mark.parametrize("size", [16, 64, 768])
+def test_recall_of_buckets(hashes, tables, size):
+    """Pairs at a cosine of 0.951 meet in some bucket, with the settings for few, many and very many vectors."""
+    rng = np.random.default_rng([hashes, size])
+    x, y = (crosspoly.unit_rows(rng.normal(size=(300, size))) for _ in range(2))
+    y = crosspoly.unit_rows(y - (x * y).sum(axis=1, keepdims=True) * x)
+    near = 0.951 * x + np.sqrt(1 - 0.951**2) * y
+    a, b = (crosspoly.codes(v, tables, hashes, 2, 5) for v in (x, near))
+    met = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1)
+    assert met.mean() >= 0.95
+
+
+def test_embeddings_of_odd_rows(spark):
+    """Null, repeated and empty: rows that share an id or a vector are rows of their own."""
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, []), (3, None), (4, [0.0, 2.0]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in crosspoly.near_duplicates(df).collect()), key=str)
+    assert len(got) == 7 and [r[1] for r in got if r[0] == 1] == [2, 2] and [r[1:3] for r in got if r[0] in (4, 5)] == [(1, 4), (1, 4)]
+    assert [r[1:] for r in got if r[0] in (2, 3)] == [(0, 2, True), (0, 3, True)]
+
+
+def test_full_documents_beside_empty_tables(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    n = docs.count()
+    scored = toxicity.predictions(docs, labels).collect()
+    assert len(scored) == n and not any(r["predicted"] for r in scored)
+    found = decontam.contamination(docs, items).collect()
+    assert len(found) == n and not any(r["contaminated"] or r["n_near"] for r in found) and decontam.clean(docs, items).count() == n
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1000)], "u long, v long")
+    keyed = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    want = sorted((u, v, min(x for y, x in ((k % 3 if k < 900 else k, k) for k in range(1000)) if y == u)) for u, v in ((k % 3 if k < 900 else k, k) for k in range(1000)))
+    for most in (1, 10, 100_000):
+        got = sorted(tuple(r) for r in common.spread_join(rows, keyed, "u", "n", 1000, most).select("u", "v", "m").collect())
+        assert got == want
+
+
 # ---- odd tables
 
 
