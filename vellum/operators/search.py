@@ -1,7 +1,8 @@
 """Full-text search: tokens, a positional inverted index as a table, BM25 ranking, snippets and dictionary suggestions.
 
 The index is three tables: postings (term, scan_id, page_index, tf, positions), the pages' lengths and the corpus
-totals. A query reads only the postings whose term begins with one of its words, and ranks with a top-k.
+totals. A query reads only the postings whose term begins with one of its words (of a saved index, only the files and
+row groups that may hold such terms), and ranks with a top-k.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ def _folds() -> tuple[str, str]:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case runs of letters and digits without diacritics."""
+    """Lower-case runs of letters and digits without diacritics; ASCII texts need no folding."""
     plain = F.regexp_replace(F.translate(F.lower(c), *_folds()), r"\p{Mn}", "")
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    folded = F.when(c.rlike(r"\A[\x00-\x7F]*\z"), F.lower(c)).otherwise(plain)
+    return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
 def index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +45,18 @@ def index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, lengths
 
 
+def save(pages: DataFrame, folder: str) -> None:
+    """Writes the index of pages: postings by ranges of terms, so that a search reads the files of its prefixes only, and the lengths."""
+    postings, lengths = index(pages)
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+
+
+def load(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a saved index."""
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+
+
 def query_terms(query: str) -> list[str]:
     """Words of a query: marks dropped, operators dropped, lower case without diacritics."""
     out = []

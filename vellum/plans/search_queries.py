@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import search as S
 from vellum.plans import model as M
+from vellum.sources import tables
 
 QUERY = "THE of re*"
 
 
+def _index(spark, sf):
+    """The documents' index, saved by the first query of the application that searches it."""
+    folder = f"{tables.shared_folder(spark)}/search-{md5(str(sf).encode()).hexdigest()}"
+    if not tables.exists(spark, f"{folder}/lengths"):
+        S.save(M.page_text(spark, sf), folder)
+    return S.load(spark, folder)
+
+
 def search_index(spark, sf):
     """Postings of every term, with a hash of the positions."""
-    postings, _ = S.index(M.page_text(spark, sf))
+    postings, _ = _index(spark, sf)
     return postings.select("term", "scan_id", "tf", F.md5(F.array_join(F.transform("positions", lambda p: p.cast("string")), ",")).alias("positions"))
 
 
 def search_lengths(spark, sf):
-    return S.index(M.page_text(spark, sf))[1]
+    return _index(spark, sf)[1]
 
 
 def bm25_search(spark, sf):
-    found = S.search(*S.index(M.page_text(spark, sf)), QUERY)
+    found = S.search(*_index(spark, sf), QUERY)
     return S.top(found, M.scans(spark, sf)).select("scan_id", "title", "created_at", "page_index", F.round("rank", 6).alias("rank"))
 
 
 def bm25_all(spark, sf):
-    return S.search(*S.index(M.page_text(spark, sf)), QUERY).select("scan_id", "page_index", F.round("rank", 6).alias("rank"))
+    return S.search(*_index(spark, sf), QUERY).select("scan_id", "page_index", F.round("rank", 6).alias("rank"))
 
 
 def unranked_search(spark, sf):
-    found = S.search(*S.index(M.page_text(spark, sf)), QUERY, ranked=False)
+    found = S.search(*_index(spark, sf), QUERY, ranked=False)
     return S.top(found, M.scans(spark, sf), 0).select("scan_id", "rank")
 
 
