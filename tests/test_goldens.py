@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from vellum.operators import datasets as D
 from vellum.operators import evaluation as E
 from vellum.operators import layout as Y
 from vellum.operators import library as L
+from vellum.operators import pages as Q
 from vellum.operators import review as V
 from vellum.operators import search as S
 from vellum.sources import documents as R
@@ -345,6 +347,9 @@ def test_content_end_and_lines(spark):
     assert lines([0] * 8 + [6, 6, 6] + [5] * 9) == [0, 9, 20] and lines([9] * 4 + [0] * 10 + [9] * 2) == [2, 15] and lines([0] * 7) == [0, 7]
 
 
+SMALL = 100
+
+
 def plain_columns(p):
     """Columns of a profile, step by step."""
     n = len(p)
@@ -425,6 +430,9 @@ def test_detected_columns_equal_a_plain_search(spark):
         got.setdefault(row["page"], []).append((row["left"], row["right"]))
     want = {k: plain_columns(p) for k, p in enumerate(pages)}
     assert {k: sorted(v) for k, v in got.items()} == want and len({len(v) for v in want.values()}) > 1
+    tall = lambda p: np.array([[y < v for v in p] for y in range(max(SMALL, *p))])
+    for p in pages:
+        assert Q.columns_of(tall(p)) == plain_columns(p)
 
 
 def test_quadratic_peak_of_a_flat_top(spark):
@@ -558,3 +566,89 @@ def test_catalog_and_sharpness(spark):
     lap = [0, 18, 0, 18, -36, 18, 0, 18, 0]
     assert one(spark, N.laplacian_variance(image, F.lit(3))) == pytest.approx(sum(x * x for x in lap) / 9 - (sum(lap) / 9) ** 2)
     assert one(spark, N.laplacian_variance(F.array(F.lit(5.0)), F.lit(1))) == 0 and one(spark, N.laplacian_variance(F.array().cast("array<double>"), F.lit(1))) == -1
+
+
+def plain_boxes(prob):
+    """Components by a flood over the four neighbours."""
+    h, w = len(prob), len(prob[0])
+    seen, out = set(), []
+    for y0 in range(h):
+        for x0 in range(w):
+            if (y0, x0) in seen or prob[y0][x0] < 0.3:
+                continue
+            todo, own = [(y0, x0)], []
+            seen.add((y0, x0))
+            while todo:
+                y, x = todo.pop()
+                own.append((y, x))
+                for p in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if 0 <= p[0] < h and 0 <= p[1] < w and p not in seen and prob[p[0]][p[1]] >= 0.3:
+                        seen.add(p)
+                        todo.append(p)
+            ys, xs = [p[0] for p in own], [p[1] for p in own]
+            bw, bh, mean = max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, sum(prob[y][x] for y, x in own) / len(own)
+            if mean >= 0.5 and len(own) >= 16 and min(bw, bh) >= 3:
+                d = bw * bh * 0.6 / (2 * (bw + bh))
+                out.append((min(xs) - d, min(ys) - d, max(xs) + 1 + d, max(ys) + 1 + d, mean))
+    return out
+
+
+def test_text_boxes(spark):
+    import random
+
+    r = random.Random(3)
+    maps = []
+    for k in range(12):
+        m = [[r.random() * 0.35 for _ in range(30)] for _ in range(20)]
+        for _ in range(4):
+            x, y = r.randrange(25), r.randrange(16)
+            for yy in range(y, min(20, y + r.randint(2, 6))):
+                for xx in range(x, min(30, x + r.randint(4, 9))):
+                    m[yy][xx] = 0.6 + r.random() * 0.4
+        maps.append(m)
+    df = spark.createDataFrame([(k, [v for row in m for v in row], 30) for k, m in enumerate(maps)], "k int, a array<double>, w int")
+    got: dict = {}
+    for b in Q.text_boxes(df, "k", "a", "w").orderBy("k", "nth").collect():
+        got.setdefault(b["k"], []).append(pytest.approx(tuple(b)[2:]))
+    assert sum(map(len, got.values())) > 8
+    for k, m in enumerate(maps):
+        assert plain_boxes(m) == got.get(k, [])
+    letters = [1 if (y // 6) % 2 == 0 and (x // 4) % 2 == 0 and y % 6 < 5 else 0 for y in range(48) for x in range(40)]
+    df = spark.createDataFrame([(1, letters, 40), (2, [0] * 400, 20)], "k int, a array<int>, w int")
+    assert dict(map(tuple, Q.median_height(df, "k", "a", "w").collect())) == {1: 5, 2: -1}
+
+
+def test_page_analysis(spark):
+    """Pages of 120 x 300: two columns, with a header, with a footnote as wide as the page, with one from the left, and an empty page."""
+    w, h = 120, 300
+
+    def page(header, note, columns=True):
+        m = [[0] * w for _ in range(h)]
+        if columns:
+            for y in range(45, 250):
+                for x in [*range(8, 52), *range(68, 112)]:
+                    m[y][x] = int(y % 4 < 2)
+        if header:
+            for y in range(5, 12):
+                for x in range(10, 110):
+                    m[y][x] = x % 3 > 0
+        for y in range(*note[:2]) if note else ():
+            for x in range(note[2], note[3]):
+                m[y][x] = x % 2
+        return m
+
+    pages = [page(True, None), page(False, (262, 270, 5, 115)), page(False, None), page(False, None, False), page(True, (290, 296, 4, 116))]
+    df = spark.createDataFrame([(k, [int(v) for row in m for v in row], w) for k, m in enumerate(pages)], "page int, a array<int>, w int")
+    found = Q.analyze(df, "page", "a", "w")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["page"], []).append((r["type"], r["column_index"], r["left"], r["top"], r["right"], r["bottom"]))
+    want = {
+        0: [("COLUMN", 0, 0, 36, 60, 300), ("COLUMN", 1, 60, 36, 120, 300), ("HEADER", -1, 0, 0, 120, 36)],
+        1: [("COLUMN", 0, 0, 0, 60, 262), ("COLUMN", 1, 60, 0, 120, 262), ("FOOTER", -1, 0, 262, 120, 300)],
+        2: [("COLUMN", 0, 0, 0, 60, 300), ("COLUMN", 1, 60, 0, 120, 300)],
+        3: [("COLUMN", 0, 0, 0, 120, 300)],
+        4: [("COLUMN", 0, 0, 36, 60, 276), ("COLUMN", 1, 60, 36, 120, 276), ("FOOTER", -1, 0, 276, 120, 300), ("HEADER", -1, 0, 0, 120, 36)],
+    }
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert dict((r["page"], (r["columns"], r["several"])) for r in Q.column_counts(found).collect()) == {0: (2, True), 1: (2, True), 2: (2, True), 3: (1, False), 4: (2, True)}

@@ -264,42 +264,42 @@ def valleys(profile: DataFrame, key: str = "page", low: float = LOW, narrowest:
     return found.join(size, key).where(F.col("n") >= F.floor(F.col("width") * narrowest)).select(key, "start", "end", "least", "width")
 
 
-def local_valleys(profile: DataFrame, key: str = "page") -> DataFrame:
-    """key, start, end (both within): from the left, dips far below their neighbourhood, each with its extent; the next one begins well after it.
+def dips_of(p: list[float]) -> list[tuple[int, int]]:
+    """From the left, dips far below their neighbourhood, each with its extent (both ends within); the next one begins well after it.
 
     A dip is no higher than its REACH neighbours, below DIP of the mean of both sides' means and below MEAN_DIP of the page's.
-    A page's profile is bounded and travels as one array.
     """
+    n = len(p)
+    outer, inner, window, narrow = int(n * MARGIN), int(n * INNER), int(n * 0.1), int(n * NARROWEST)
+    if n <= 2 * outer or window < 2:
+        return []
+    mean, sample = sum(p[outer : n - outer]) / (n - 2 * outer), window // 2
+    found, i = [], inner + window
+    while i < n - inner - window:
+        v = p[i]
+        if min(p[max(inner, i - REACH) : min(i + REACH + 1, n - inner)]) == v:
+            left = sum(p[max(inner, i - sample - sample + 1) : i - sample + 1])
+            right = sum(p[i + sample : min(n - inner, i + sample + sample)])
+            around = (left / sample + right / sample) / 2
+            if v < around * DIP and v < mean * MEAN_DIP:
+                start = end = i
+                while start > inner and p[start - 1] < around * EXTENT:
+                    start -= 1
+                while end < n - inner - 1 and p[end + 1] < around * EXTENT:
+                    end += 1
+                if end - start >= narrow:
+                    found.append((start, end))
+                    i = end + window
+        i += 1
+    return found
+
+
+def local_valleys(profile: DataFrame, key: str = "page") -> DataFrame:
+    """key, start, end (both within) of dips_of(); a page's profile is bounded and travels as one array."""
 
     @F.pandas_udf("array<struct<start: int, end: int>>")
     def dips(profiles: pd.Series) -> pd.Series:
-        def one(values) -> list[dict]:
-            p = list(values)
-            n = len(p)
-            outer, inner, window, narrow = int(n * MARGIN), int(n * INNER), int(n * 0.1), int(n * NARROWEST)
-            if n <= 2 * outer or window < 2:
-                return []
-            mean, sample = sum(p[outer : n - outer]) / (n - 2 * outer), window // 2
-            found, i = [], inner + window
-            while i < n - inner - window:
-                v = p[i]
-                if min(p[max(inner, i - REACH) : min(i + REACH + 1, n - inner)]) == v:
-                    left = sum(p[max(inner, i - sample - sample + 1) : i - sample + 1])
-                    right = sum(p[i + sample : min(n - inner, i + sample + sample)])
-                    around = (left / sample + right / sample) / 2
-                    if v < around * DIP and v < mean * MEAN_DIP:
-                        start = end = i
-                        while start > inner and p[start - 1] < around * EXTENT:
-                            start -= 1
-                        while end < n - inner - 1 and p[end + 1] < around * EXTENT:
-                            end += 1
-                        if end - start >= narrow:
-                            found.append({"start": start, "end": end})
-                            i = end + window
-                i += 1
-            return found
-
-        return profiles.map(one)
+        return pd.Series([[{"start": s, "end": e} for s, e in dips_of(list(p))] for p in profiles])
 
     pages_ = profile.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: c["v"].cast("double")).alias("p"))
     return pages_.select(key, F.inline(dips("p")))

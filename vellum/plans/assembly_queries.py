@@ -12,6 +12,7 @@ from vellum.functions import warps as R
 from vellum.operators import assembly as A
 from vellum.operators import datasets as D
 from vellum.operators import layout as Y
+from vellum.operators import pages as Q
 from vellum.plans import analysis_queries as AQ
 from vellum.plans import geometry_queries as GQ
 from vellum.plans import model as M
@@ -184,6 +185,26 @@ def page_bands(spark, sf):
     return A.bands(chars.where("c <> ''").select("page", (F.col("k") % 6).alias("x"), F.floor(F.col("k") / 6).alias("y"), F.when(F.col("c").rlike("[aeiou]"), 1).otherwise(0).alias("px"))).select("page", "type", "top", "bottom", F.round("conf", 6).alias("conf"))
 
 
+def _sheets(spark, sf):
+    """Documents as sheets of 120 places with a gap in the middle."""
+    d = M.table(spark, sf, "documents").where("length(text) > 0").select("doc_id", F.col("text").alias("t"))
+    ink = F.transform(F.split(F.rpad("t", F.expr("cast(ceil(length(t) / 120) AS int) * 120"), F.lit(" ")), ""), lambda c, i: (c.rlike("[a-z]") & ~(i % 120).between(54, 64)).cast("int"))
+    return d.select("doc_id", F.slice(ink, F.lit(1), F.expr("cast(ceil(length(t) / 120) AS int) * 120")).alias("a"), F.lit(120).alias("w"))
+
+
+def sheet_regions(spark, sf):
+    return Q.analyze(_sheets(spark, sf), "doc_id", "a", "w")
+
+
+def letter_heights(spark, sf):
+    return Q.median_height(_sheets(spark, sf), "doc_id", "a", "w")
+
+
+def map_text_boxes(spark, sf):
+    maps = AQ._maps(spark, sf).select("vec_id", F.transform("a", lambda v: G.sigmoid(v * 3)).alias("p"), F.lit(8).alias("w"))
+    return Q.text_boxes(maps, "vec_id", "p", "w").select("vec_id", "nth", *(F.round(c, 6).alias(c) for c in ("left", "top", "right", "bottom", "score")))
+
+
 def layout_summaries(spark, sf):
     r = AQ._regions(spark, sf).withColumn("type", F.when(F.col("id") % 13 == 0, "TABLE").when(F.col("id") % 2 == 0, "COLUMN").otherwise(F.col("type"))).where("id % 3 > 0 OR page % 2 = 0")
     return A.layout_summary(r, "page")
@@ -238,7 +259,7 @@ QUERIES = {f.__name__: f for f in (
     crop_edges, crop_scores, projective_ratios, clamped_points, mask_disagreements, suspicions, page_sizes, quad_points, quad_strips, quad_flips, polygon_masks, sizes, rect_edits,
     region_modes, default_rectangles, dated_names, shared_characters, model_choices, table_grids,
     numbered_words, words_in_reading_order, retries, region_pages, page_bands, layout_summaries, narrow_parts,
-    trainable_labels, region_trees, sharpness, model_languages, outdated_files, event_report,
+    trainable_labels, region_trees, sharpness, model_languages, outdated_files, event_report, sheet_regions, letter_heights, map_text_boxes,
 )}
 
 
