@@ -355,6 +355,7 @@ def train(training: DataFrame, codes: Codes, model: Model, rounds: int, rate: fl
         for r in found:
             model.weights[r["pack"] * PACK : (r["pack"] + 1) * PACK] += np.frombuffer(bytes(r["data"]), np.float32).reshape(PACK, WIDTH)
         shared.destroy()
+        del found
     return model
 
 
@@ -369,7 +370,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", freq
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.xxhash64(id_col, text).alias("h"), text)
-    vocabulary = stored(counts(rows.where("NOT held_out")), "vocabulary", "lz4_raw")
+    vocabulary = stored(counts(rows.where("NOT held_out")), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     codes, top_counts = most_frequent(vocabulary, frequent)
     head = min(len(top_counts), N_SHORT + N_MEDIUM)
@@ -390,7 +391,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", freq
             rare = pa.ListArray.from_arrays(pa.array(offsets(np.searchsorted(places, ends))), pa.array([tokens[p] for p in places.tolist()], pa.binary()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], texts, rare], names=["id", "held_out", "h", "codes", "rare"])
 
-    texts = stored(rows.mapInArrow(encode, f"id {id_type}, held_out boolean, h long, codes binary, rare array<binary>"), "codes", "lz4_raw")
+    texts = stored(rows.mapInArrow(encode, f"id {id_type}, held_out boolean, h long, codes binary, rare array<binary>"), "codes")
+    names.destroy()
     model = train(texts.where("NOT held_out").select("h", "codes"), codes, Model(top_counts, total, distinct, leaves), rounds, rate, shard)
     log_counts = np.append(np.nan, np.log10(top_counts + 0.5))
     shared = spark.sparkContext.broadcast((codes, model, log_counts))
@@ -420,7 +422,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", freq
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes[s:e]), pa.array(np.bincount(doc, known, n).astype(np.int64)), sums(logs), sums(full), rare], names=columns)
 
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, model double, rare array<struct<token: binary, path: float>>"
-    scored = stored(texts.select("id", "held_out", "codes", "rare").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored", "lz4_raw")
+    scored = stored(texts.select("id", "held_out", "codes", "rare").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     discard(texts)
     met = scored.select("row", F.inline("rare")).join(vocabulary, "token", "left")
     c = F.coalesce("c", F.lit(0))
