@@ -90,7 +90,7 @@ def test_words_split_and_merged(spark):
     got = [(r["w"], r["left"], r["right"]) for r in V.split_in_middle(df, F.col("pos") == 0).orderBy("pos", "part").collect()]
     assert got == [("ab cd", 0.0, 50.0), ("efgh", 50.0, 90.0), ("x", 100.0, 110.0)]
     one = V.merge_with_next(df, F.col("pos") == 0).collect()
-    assert len(one) == 1 and (one[0]["w"], one[0]["right"], one[0]["conf"]) == ("ab cd efgh x", 110.0, pytest.approx((50 * 900 + 100 * 100) / 1000))
+    assert len(one) == 1 and (one[0]["w"], one[0]["right"], one[0]["conf"]) == ("ab cd efgh x", 110.0, pytest.approx((50 * 1100 + 100 * 100) / 1200))
 
 
 def test_index_updates_equal_a_rebuild(spark):

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import assembly as A
-from vellum.operators import layout as Y
+# names and no modules, as what runs on executors is pickled by value
+from vellum.operators.assembly import DENSE, FOOTER_SHARE, HEADER_SHARE, LEAST_BAND, THIN
+from vellum.operators.layout import COLUMN, INNER, LOW, MARGIN, NARROWEST, dips_of
 
 # Fixed values -------------------------------------------------------------------------------------------------
 INK, BOX, UNCLIP, LEAST_AREA, LEAST_SIDE, LONGEST, LEAST_VARIANCE = 0.3, 0.5, 1.6, 16, 3, 40.0, 0.05
@@ -108,15 +109,15 @@ def _stretches(ok: np.ndarray) -> list[tuple[int, int]]:
 def _valleys(p: np.ndarray) -> list[tuple[int, int]]:
     """The best deep valley of a smoothed profile, else its dips, else the valley around its centre's lowest place."""
     n = len(p)
-    outer, inner, narrow = int(n * Y.MARGIN), int(n * Y.INNER), int(n * Y.NARROWEST)
+    outer, inner, narrow = int(n * MARGIN), int(n * INNER), int(n * NARROWEST)
     most = int(p[outer : n - outer].max())
     if not most:
         return []
-    deep = [(s + inner, e + inner) for s, e in _stretches(p[inner : n - inner] < int(most * Y.LOW)) if e - s >= narrow]
+    deep = [(s + inner, e + inner) for s, e in _stretches(p[inner : n - inner] < int(most * LOW)) if e - s >= narrow]
     if deep:
         rate = lambda v: 0.3 / (1 + int(p[v[0] : v[1]].min())) + 0.2 * (v[1] - v[0]) / n + 0.5 * (1 - abs((v[0] + v[1]) // 2 - n // 2) / n)
         return [max(deep, key=rate)]
-    if dips := Y.dips_of(p.tolist()):
+    if dips := dips_of(p.tolist()):
         return dips
     low = n // 3 + int(p[n // 3 : 2 * n // 3].argmin())
     places = np.arange(n)
@@ -138,7 +139,7 @@ def columns_of(ink: np.ndarray) -> list[tuple[int, int]]:
     low, high = np.maximum(0, np.arange(n) - half), np.minimum(n, np.arange(n) + half + 1)
     cuts = sorted({(s + e) // 2 for s, e in _valleys((sums[high] - sums[low]) // (high - low))} - {0})
     parts = list(zip([0, *cuts], [*cuts, n], strict=True))
-    wide = [c for c in parts if c[1] - c[0] >= int(n * Y.COLUMN)]
+    wide = [c for c in parts if c[1] - c[0] >= int(n * COLUMN)]
     return parts if len(parts) == 1 else wide or [(0, n)]
 
 
@@ -168,7 +169,7 @@ def footer_below(ink: np.ndarray, columns: list[tuple[int, int]], top: int, bott
 
     ends = min(top + _content_end(ink[top:bottom, l:r]) for l, r in columns)
     for at, (least, most) in ((lowest(wide, WIDE_SCAN, 1), WIDE_FOOTER), (lowest(low, LOW_SCAN, LOW_ROWS), LOW_FOOTER), (ends, REST_FOOTER)):
-        if 0 < at < bottom and int(h * least) <= bottom - at <= int(h * most) and A.THIN < ink[at:bottom].mean() < A.DENSE:
+        if 0 < at < bottom and int(h * least) <= bottom - at <= int(h * most) and THIN < ink[at:bottom].mean() < DENSE:
             return at
     return None
 
@@ -177,8 +178,8 @@ def regions_of(ink: np.ndarray) -> list[tuple[str, int, int, int, int, int]]:
     """type, column_index, left, top, right, bottom: header, footer and columns of a page; one BODY if there are none."""
     h, w = ink.shape
     out, top, bottom, closed = [], 0, h, False
-    for kind, begin, end in (("HEADER", 0, int(h * A.HEADER_SHARE)), ("FOOTER", h - int(h * A.FOOTER_SHARE), h)):
-        if end - begin >= A.LEAST_BAND and A.THIN < ink[begin:end].mean() < A.DENSE:
+    for kind, begin, end in (("HEADER", 0, int(h * HEADER_SHARE)), ("FOOTER", h - int(h * FOOTER_SHARE), h)):
+        if end - begin >= LEAST_BAND and THIN < ink[begin:end].mean() < DENSE:
             out.append((kind, -1, 0, begin, w, end))
             top, bottom, closed = (end, bottom, closed) if kind == "HEADER" else (top, begin, True)
     if bottom > top:
