@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import bpe, crosspoly, decontam, maxent, mixing, secrets, simhash, suffix, toxicity, warc
+from vellum.llm import asof, bpe, crosspoly, decontam, maxent, mixing, replies, secrets, simhash, suffix, toxicity, variants, warc
 from vellum.llm.common import table
 
 
@@ -57,6 +58,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: What both sides of conversation -7 say.
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("id")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    return replies.conversation_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.document_words(table(spark, sf_dir, "documents")))
+
+
+def op13_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.matches(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -68,10 +87,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_chat_format": op11_chat_format,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_asof_join": op13_asof_join,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_ESCAPED = "replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+#: crc32 of a text of ASCII, with the table of its 256 steps in tab.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"
+_FLOORED = "CASE WHEN h % 2 = 1 THEN us - ((us % 86400000000) + 86400000000) % 86400000000 ELSE us END"
+
 #: The others are beyond SQL (hashes that it lacks, trained models, merges) or too slow in it; tests compare them with brute force, op10's with
 #: held-out labels.
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +129,19 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
         n AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
         SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a""",
+    "op11_chat_format": f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}'))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(coalesce(role, ''), chr(10), coalesce(text, ''), chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + length('<turn >') + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id""",
+    "op13_asof_join": f"""WITH bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+        c AS (SELECT click_id, client_id, epoch_us(ts) AS us, {_CRC.format("CAST(click_id AS VARCHAR)")} AS h FROM (SELECT DISTINCT click_id, client_id, ts FROM clicks) AS d, bits),
+        s AS (SELECT sale_id, client_id, CAST(floor(100 * total + 0.5) AS BIGINT) AS total_cents, priority, epoch_us(sold_at) AS us, {_CRC.format("CAST(sale_id AS VARCHAR)")} AS h FROM sales, bits),
+        o AS (SELECT client_id, {_FLOORED} AS sold, sale_id, priority, total_cents FROM s UNION ALL SELECT client_id, {_FLOORED}, -1 - sale_id, 6 - priority, total_cents FROM s WHERE h % 3 <> 0),
+        best AS (SELECT * FROM (SELECT client_id, sold, sale_id, total_cents, row_number() OVER (PARTITION BY client_id, sold ORDER BY priority DESC NULLS LAST, sale_id) AS nth,
+            count(*) OVER (PARTITION BY client_id, sold) AS n_tied FROM o WHERE client_id IS NOT NULL AND sold IS NOT NULL) AS b WHERE nth = 1),
+        k AS (SELECT click_id, client_id, {_FLOORED} AS ts_us FROM c),
+        m AS (SELECT k.click_id, k.client_id, k.ts_us, best.sold, best.sale_id, best.total_cents, best.n_tied, k.ts_us - best.sold <= 259200000000 AS near FROM k ASOF LEFT JOIN best ON k.client_id = best.client_id AND k.ts_us >= best.sold)
+        SELECT click_id, client_id, ts_us, CASE WHEN near THEN sale_id END AS sale_id, CASE WHEN near THEN ts_us - sold END AS lag_us, CASE WHEN near THEN total_cents END AS total_cents, CASE WHEN near THEN n_tied ELSE 0 END AS n_tied FROM m""",
 }
