@@ -121,9 +121,12 @@ def as_of(
         lasts = moments.where("parts > 1 AND next IS NULL").withColumn("next", F.lead("time").over(Window.partitionBy("client", coarse).orderBy("time")))
         serving = serving.unionByName(lasts.select(*columns, F.inline(here_after)))
         asking = looks(parted(own.where("client IS NOT NULL AND at IS NOT NULL")))
-        counted = looks(timed.join(F.broadcast(hot), "client")).groupBy("client", "level", "cell").agg(F.count("*").alias("n"))
+        # the events of all other clients are one group, which is left out afterwards
+        of_hot = [F.when(F.col("parts").isNotNull(), F.col(k)).alias(k) for k in ("client", "level", "cell")]
+        counted = looks(parted(timed)).select(*of_hot).groupBy("client", "level", "cell").agg(F.count("*").alias("n"))
         bound = max(least, timed.count() // share)
-        crowded = stored(counted.where(F.col("n") > bound).select("client", "level", "cell", F.ceil(F.col("n") / bound).cast("int").alias("salts")), "asof-cells")
+        crowded = counted.where(F.col("n") > bound).select("client", "level", "cell", F.ceil(F.col("n") / bound).cast("int").alias("salts"))
+        crowded = stored(crowded, "asof-cells").where("client IS NOT NULL")
         asking = asking.join(F.broadcast(crowded), ["client", "level", "cell"], "left")
         serving = serving.join(F.broadcast(crowded), ["client", "level", "cell"], "left")
         salt_of_event = F.pmod(F.xxhash64("event"), F.coalesce("salts", F.lit(1))).cast("int")
