@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from hashlib import md5
-
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -15,8 +13,11 @@ QUERY = "THE of re*"
 
 
 def _index(spark, sf):
-    """The documents' index, saved by the first query of the application that searches it."""
-    folder = f"{tables.shared_folder(spark)}/search-{md5(str(sf).encode()).hexdigest()}"
+    """The documents' index, saved by the first query of the application that searches the table in its present state.
+
+    A table that has changed gets an index of its own beside the old one, which queries that run may still read.
+    """
+    folder = f"{tables.shared_folder(spark)}/search-{tables.version(M.table(spark, sf, 'documents'))}"
     if not tables.exists(spark, f"{folder}/lengths"):
         S.save(M.page_text(spark, sf), folder)
     return S.load(spark, folder)

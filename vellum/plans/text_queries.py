@@ -131,12 +131,13 @@ QUERIES = {
 LIG = "CASE WHEN length(w) >= 3 AND regexp_matches(w, '[a-zA-Z]') THEN " + "replace(" * 6 + "w" + "".join(f", '{a}', '{b}')" for a, b in T.LIGATURES) + " ELSE w END"
 DIG, LET = r"coalesce(regexp_matches({}, '^\p{{Nd}}$'), false)", r"coalesce(regexp_matches({}, '^\p{{L}}$'), false)"
 NUMERIC = r"(len(regexp_extract_all(w, '\p{Nd}')) > 2 * len(regexp_extract_all(w, '\p{L}')) AND len(regexp_extract_all(w, '\p{Nd}')) >= 2)"
-# the word's characters with their neighbours, by joins of rows rather than by a lambda over positions
-CONTEXT = f"""chars AS (SELECT w, unnest(string_split(w, '')) AS c, unnest(range(length(w))) AS i FROM src WHERE length(w) >= 2),
+# the word's characters with their neighbours, by joins of rows rather than by a lambda over positions; every rule needs a digit somewhere
+CONTEXT = f"""digits AS MATERIALIZED (SELECT w, {NUMERIC} AS numeric FROM src WHERE length(w) >= 2 AND regexp_matches(w, '\\p{{Nd}}')),
+chars AS (SELECT w, numeric, unnest(string_split(w, '')) AS c, unnest(range(length(w))) AS i FROM digits),
 near AS (SELECT *, lag(c) OVER (PARTITION BY w ORDER BY i) AS p, lead(c) OVER (PARTITION BY w ORDER BY i) AS n FROM chars),
 fixed AS (SELECT w, string_agg(CASE WHEN {DIG.format('p')} AND {DIG.format('n')} THEN translate(c, '{T.LETTER_AS_DIGIT[0]}', '{T.LETTER_AS_DIGIT[1]}')
     WHEN {LET.format('p')} AND {LET.format('n')} THEN translate(c, '{T.DIGIT_AS_LETTER[0]}', '{T.DIGIT_AS_LETTER[1]}')
-    WHEN ((i = 0 AND {DIG.format('n')}) OR (i = length(w) - 1 AND {DIG.format('p')})) AND NOT {DIG.format('c')} AND {NUMERIC} THEN translate(c, '{T.LETTER_AS_DIGIT[0]}', '{T.LETTER_AS_DIGIT[1]}')
+    WHEN ((i = 0 AND {DIG.format('n')}) OR (i = length(w) - 1 AND {DIG.format('p')})) AND NOT {DIG.format('c')} AND numeric THEN translate(c, '{T.LETTER_AS_DIGIT[0]}', '{T.LETTER_AS_DIGIT[1]}')
     ELSE c END, '' ORDER BY i) AS result FROM near GROUP BY w)"""
 CASED = "CASE WHEN {s} = '' OR r = '' THEN r WHEN {s} = upper({s}) THEN upper(r) WHEN {s} = lower({s}) THEN lower(r) WHEN regexp_matches({s}, '^\\p{{Lu}}') THEN concat(upper(left(r, 1)), lower(substr(r, 2))) ELSE lower(r) END"
 W = M.with_

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from hashlib import md5
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +24,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def version(df: DataFrame) -> str:
+    """A name for the state of the files that df reads: it changes with any file's name, size or time of modification.
+
+    Only the files' status is read, by Spark's own file systems; a table of very many files is listed once.
+    """
+    spark = df.sparkSession
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    seen = md5()
+    for name in sorted(df.inputFiles()):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = at.getFileSystem(conf).getFileStatus(at)
+        seen.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return seen.hexdigest()
