@@ -15,7 +15,7 @@ SOFT, SHORTEST = 0.25, 1.0
 CORNER_LOW, CORNER_HIGH, CORNER_POINTS = 60.0, 120.0, 30.0
 BEST_AREA, BEST_COVER, WEIGHTS = 0.60, 0.70, (0.35, 0.30, 0.20, 0.15)
 GRID, DISAGREEMENT, FAR = 8, 10.0, 64.0
-DIFFUSE_MEAN, DIFFUSE_AREA = 0.4, 100
+DIFFUSE_MEAN, DIFFUSE_AREA, LEAST_SHARE = 0.4, 100, 0.008
 PAGES = {"A4": (595.27563, 841.8898), "US_LETTER": (612.0, 792.0), "LEGAL": (612.0, 1008.0)}
 # ----------------------------------------------------------------------------------------------------------------
 
@@ -186,3 +186,19 @@ def synthetic_corners(seed: Column, doc_w: Column, doc_h: Column, w: Column, h:
         return G.point(F.greatest(F.lit(1.0), F.least(w - 2, px)), F.greatest(F.lit(1.0), F.least(h - 2, py)))
 
     return F.array(*(corner(k, *s) for k, s in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))))
+
+
+def quad_confidence(q: Column, w: Column, h: Column) -> Column:
+    """0 to 1 from a quad's share of the image, its right angles and the likeness of its opposite sides; 0 for no quad or too small a one.
+
+    The corners may come in any order. A quad with a corner beyond 60 to 120 degrees counts -1 of 120 points for its angles.
+    """
+
+    def rated(p: Column) -> Column:
+        area = G.area(p) / (w * h)
+        top, right, bottom, left = G.edges(p)
+        apart = (F.abs(top - bottom) + F.abs(right - left)) / (top + right + bottom + left) + 1e-6
+        score = 0.5 * area + 0.3 * rectangularity(p) / 120.0 + 0.2 * (1 - F.least(F.lit(1.0), apart))
+        return F.when(area < LEAST_SHARE, 0.0).otherwise(score)
+
+    return F.when(q.isNull() | (F.size(q) != 4), 0.0).otherwise(G.let(G.clockwise(q), rated))

@@ -21,6 +21,7 @@ FRAME_MS, DETECT_MS = 180, 250
 MIN_CUTOFF, BETA, D_CUTOFF, JUMP = 1.0, 0.05, 1.0, 0.25
 VARIANCE_FLOOR, HALF_LIFE_MS, SCORE_ALPHA = 5.0, 10_000, 0.35
 WINDOW, STABLE_HINT, STABLE_READY, ENTER, LEAVE_READY = 10, 2, 8, 2, 3
+SNAP_ENTER, SNAP_LEAVE = 1.5, 3.0
 RATE_MS, OK_REPEAT_MS, READY_QUALITY, TOO_FAR_DIOPTERS = 1200, 5000, 0.80, 1.0
 SYSTEM = ("CAMERA_READY", "LOW_LIGHT", "FLASHLIGHT_ON", "FLASHLIGHT_OFF")
 TIPS = ("ORIENTATION_PORTRAIT_TIP", "ORIENTATION_LANDSCAPE_TIP")
@@ -245,6 +246,52 @@ def stream(frames: DataFrame, key: str, step: Step, schema: str) -> DataFrame:
     return frames.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, ts_ms long, {schema}", "state string", "append", "NoTimeout")
 
 
+def snap(enter: float = SNAP_ENTER, leave: float = SNAP_LEAVE) -> Step:
+    """A dragged corner drawn to the axes through its two neighbours: frames have corners (8 numbers), index (0 to 3), x and y.
+
+    An edge takes hold at `enter` degrees from an axis and lets go beyond `leave`; which edges hold is the state, and another
+    index starts anew. Two edges on the same axis don't both hold: the nearer does. Where the drawn place makes the quad
+    anything but strictly convex, the corner stays where it was dragged to and both edges let go.
+    """
+
+    def off_axis(fixed: tuple[float, float], x: float, y: float) -> float | None:
+        dx, dy = abs(x - fixed[0]), abs(y - fixed[1])
+        if not dx and not dy:
+            return None
+        angle = math.degrees(math.atan2(dy, dx))
+        return min(angle, 90.0 - angle)
+
+    def convex(q: list[tuple[float, float]]) -> bool:
+        turns = [(b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) for a, b, c in ((q[i], q[(i + 1) % 4], q[(i + 2) % 4]) for i in range(4))]
+        return all(t > 0 for t in turns) or all(t < 0 for t in turns)
+
+    def step(state: State, frame: dict) -> tuple[State, dict | None]:
+        corners, index, x, y = frame["corners"], frame["index"], frame["x"], frame["y"]
+        if corners is None or len(corners) != 8 or index is None or not 0 <= index < 4:
+            return None, {"x": x, "y": y, "prev": False, "next": False}
+        x, y, index = float(x), float(y), int(index)
+        quad = [(float(corners[2 * k]), float(corners[2 * k + 1])) for k in range(4)]
+        held = state if state is not None and state["index"] == index else {"prev": False, "next": False}
+        sides = {"prev": quad[(index + 3) % 4], "next": quad[(index + 1) % 4]}
+        off = {k: off_axis(p, x, y) for k, p in sides.items()}
+        holds = {k: v is not None and v <= (leave if held[k] else enter) for k, v in off.items()}
+        flat = {k: abs(x - p[0]) >= abs(y - p[1]) for k, p in sides.items()}
+        if all(holds.values()) and flat["prev"] == flat["next"]:
+            holds["next" if off["prev"] <= off["next"] else "prev"] = False
+        at = [x, y]
+        for k, p in sides.items():
+            if holds[k]:
+                level = abs(at[0] - p[0]) >= abs(at[1] - p[1])
+                at[level] = p[level]
+        if any(holds.values()):
+            quad[index] = (at[0], at[1])
+            if not convex(quad):
+                at, holds = [x, y], {"prev": False, "next": False}
+        return {"index": index, **holds}, {"x": at[0], "y": at[1], **holds}
+
+    return step
+
+
 def first_success(*candidates: tuple[Column, Column]) -> Column:
     """The first candidate (success, value) that succeeded."""
     return F.coalesce(*(F.when(ok, value) for ok, value in candidates))
