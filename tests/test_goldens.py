@@ -124,7 +124,7 @@ def test_quads(spark):
     assert [one(spark, G.contains(q, F.lit(x), F.lit(5.0))) for x in (5.0, 0.0, 10.0, 11.0)] == [True, True, True, False]
     ring = one(spark, G.clockwise(F.array(q[2], q[0], q[3], q[1])))
     assert [tuple(p) for p in ring] == [(0, 0), (10, 0), (10, 10), (0, 10)]
-    assert one(spark, G.choose_path(bow, q, F.lit(False), F.lit(0.0))) == "MASK" and one(spark, G.choose_path(q, q, F.lit(True), F.lit(0.0))) == "CORNERS"
+    assert one(spark, G.choose_path(bow, q, F.lit(False))) == "MASK" and one(spark, G.choose_path(q, q, F.lit(True))) == "CORNERS"
     assert one(spark, G.confidence01(F.lit(85.0))) == 0.85 and one(spark, G.confidence01(F.lit(float("nan")))) == 0
     assert one(spark, G.nearest_edge(q, F.lit(5.0), F.lit(1.0), 3.0)) == 0 and one(spark, G.nearest_edge(q, F.lit(5.0), F.lit(5.0), 3.0)) == -1
 

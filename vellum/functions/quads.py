@@ -222,7 +222,7 @@ def mean_distance(a: Column, b: Column) -> Column:
     return (d[0] + d[1] + d[2] + d[3]) / 4
 
 
-def choose_path(corners: Column, from_mask: Column, mask_is_fallback: Column, disagreement: Column) -> Column:
+def choose_path(corners: Column, from_mask: Column, mask_is_fallback: Column) -> Column:
     """CORNERS or MASK: the mask's quad only if the corners' is broken, or if both agree and it is better by a margin."""
     a, b = penalty(corners), penalty(from_mask)
     return (

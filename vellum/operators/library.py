@@ -187,7 +187,7 @@ def generic_name(name: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """File name without directories and its last extension."""
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)[.][^.]+$", "")
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)[.][^.]*$", "")
 
 
 def derived_title(file_path: Column, thumb_path: Column, id_: Column) -> Column:

@@ -87,8 +87,8 @@ def quad_strips(spark, sf):
 
 def quad_flips(spark, sf):
     a, b = G.flipped(F.col("q"), True), G.flipped(F.col("q"), False, True)
-    path = G.choose_path(F.col("q"), F.transform("q", lambda p: F.named_struct(F.lit("x"), p["x"] + F.col("event_id") % 50, F.lit("y"), p["y"])), F.col("event_id") % 9 == 0, F.lit(0.0))
-    return GQ.frames(spark, sf).select("event_id", *_six(ax=a[0]["x"], ay=a[2]["y"], bx=b[0]["x"], by=b[2]["y"]), (path == "MASK").isNotNull().alias("chosen"))
+    path = G.choose_path(F.col("q"), F.transform("q", lambda p: F.named_struct(F.lit("x"), p["x"] + F.col("event_id") % 50, F.lit("y"), p["y"])), F.col("event_id") % 9 == 0)
+    return GQ.frames(spark, sf).select("event_id", *_six(ax=a[0]["x"], ay=a[2]["y"], bx=b[0]["x"], by=b[2]["y"]), path.alias("chosen"))
 
 
 def polygon_masks(spark, sf):
@@ -96,7 +96,7 @@ def polygon_masks(spark, sf):
     q = F.col("q")
     mask = G.polygon_mask(q, 8, 28.0)
     heat = N.gaussian_map(q[2]["x"], q[2]["y"], 1.5, 8, 28.0)
-    return GQ.frames(spark, sf).where("event_id % 7 = 0").select("event_id", F.aggregate(mask, F.lit(0), lambda s, v: s + v).alias("cells"), F.round(N.total(heat), 6).alias("heat"))
+    return GQ.frames(spark, sf).select("event_id", F.aggregate(mask, F.lit(0), lambda s, v: s + v).alias("cells"), F.round(N.total(heat), 6).alias("heat"))
 
 
 def sizes(spark, sf):
@@ -339,8 +339,14 @@ ORACLE_SQL = {
         "n AS (SELECT *, (x0 - x2) * (y1 - y3) - (y0 - y2) * (x1 - x3) AS n, x0 * y2 - y0 * x2 AS u, x1 * y3 - y1 * x3 AS v FROM p)")
     + f"SELECT n.event_id, {_within('px', 'py')} AS within, CAST(coalesce(i, -1) AS INTEGER) AS edge, CASE WHEN abs(n) > 1e-9 THEN round((u * (x1 - x3) - (x0 - x2) * v) / n, 6) END AS cx, CASE WHEN abs(n) > 1e-9 THEN round((u * (y1 - y3) - (y0 - y2) * v) / n, 6) END AS cy FROM n LEFT JOIN h ON n.event_id = h.event_id",
     "quad_strips": W(GQ.FRAMES) + "SELECT event_id, round(x0 + (x1 - x0) * k / 3, 6) AS x0, round(x0 + (x1 - x0) * (k + 1) / 3, 6) AS x1, round(y3 + (y2 - y3) * (k + 1) / 3, 6) AS y2, round(y3 + (y2 - y3) * k / 3, 6) AS y3 FROM f, range(3) AS r(k)",
-    "quad_flips": W(GQ.FRAMES) + "SELECT event_id, x1 AS ax, y3 AS ay, x3 AS bx, y1 AS by, true AS chosen FROM f",
-    "polygon_masks": W(GQ.FRAMES, "g AS (SELECT f.*, c % 8 + 0.5 AS gx, c // 8 + 0.5 AS gy FROM f, range(64) AS r(c) WHERE event_id % 7 = 0)")
+    "quad_flips": W(GQ.FRAMES, "both_ AS (SELECT 0 AS side, * FROM f UNION ALL SELECT 1, event_id, " + ", ".join(f"{n} + event_id % 50" if n[0] == "x" else n for n in GQ.NAMES) + " FROM f)",
+        f"s AS (SELECT event_id, side, {' + '.join(GQ._beyond(256.0, 256.0, 2.0))} AS soft, greatest({', '.join(GQ._beyond(256.0, 256.0, 2.0))}) AS far, {GQ.CROSSING} AS crossing, {GQ._convex(1e-9)} AS convex, abs({GQ.AREA}) AS area, {GQ.SHORT} AS short, {GQ.LONG} / greatest({GQ.SHORT}, 1e-9) AS ratio FROM both_)",
+        """p AS (SELECT event_id, side, soft * 10 + CASE WHEN far > 16 THEN 1e5 + (far - 16) * 1000 ELSE 0 END + CASE WHEN crossing THEN 1e6 ELSE 0 END + CASE WHEN convex THEN 0 ELSE 1e6 END + CASE WHEN area > 1 THEN 0 ELSE 1e6 END
+            + CASE WHEN short < 8 THEN (8 - short) * 1000 ELSE 0 END + CASE WHEN ratio > 25 THEN (ratio - 25) * 100 ELSE 0 END AS penalty FROM s)""",
+        "c AS (SELECT event_id, max(penalty) FILTER (side = 0) AS a, max(penalty) FILTER (side = 1) AS b FROM p GROUP BY event_id)")
+    + """SELECT f.event_id, x1 AS ax, y3 AS ay, x3 AS bx, y1 AS by, CASE WHEN f.event_id % 9 = 0 THEN 'CORNERS' WHEN a >= 1e5 AND b < 1e5 THEN 'MASK' WHEN b >= 1e5 OR f.event_id % 50 > 32 THEN 'CORNERS' WHEN b < a - 50 THEN 'MASK' ELSE 'CORNERS' END AS chosen
+        FROM f JOIN c ON f.event_id = c.event_id""",
+    "polygon_masks": W(GQ.FRAMES, "g AS (SELECT f.*, c % 8 + 0.5 AS gx, c // 8 + 0.5 AS gy FROM f, range(64) AS r(c))")
     + f"SELECT event_id, CAST(count(*) FILTER (WHERE {_within('gx', 'gy', SMALL)}) AS INTEGER) AS cells, round(sum(exp(-(pow(gx - {SMALL[4]}, 2) + pow(gy - {SMALL[5]}, 2)) / 4.5)), 6) AS heat FROM g GROUP BY event_id",
     "sizes": """WITH s AS (SELECT *, event_id % 900 + 1 AS w_, event_id % 700 + 1 AS h_, least(400 / (event_id % 900 + 1), 300 / (event_id % 700 + 1)) AS k FROM events)
         SELECT event_id, CAST(greatest(1, floor(w_ * k + 0.5)) AS INTEGER) AS w, CAST(greatest(1, floor(h_ * k + 0.5)) AS INTEGER) AS h, ((event_id - 500) % 360 + 360) % 360 AS turn, CAST(floor(event_id % 300 / 25.4 * 150 + 0.5) AS INTEGER) AS pixels,

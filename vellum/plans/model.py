@@ -94,3 +94,7 @@ WORDS = r"""words AS (SELECT doc_id, pos, CASE pos % 7 WHEN 0 THEN replace(raw,
         CAST(pos % 10 * 60 + 50 AS DOUBLE) AS "right", CAST(pos // 10 * 30 + (pos * 7 + doc_id) % 5 + 20 + pos % 3 AS DOUBLE) AS bottom
     FROM (SELECT doc_id, unnest(ws) AS raw, unnest(range(len(ws))) AS pos FROM
         (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda w: w <> '') AS ws FROM documents) AS a) AS b)"""
+
+#: SQL for a text with the tables' letters beyond ASCII as one byte each, for SQL's levenshtein, which counts bytes.
+BEYOND = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+BYTES = "translate({0}, '" + BEYOND + "', concat(" + ", ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 14 + len(BEYOND) - 8)]) + "))"

@@ -82,12 +82,13 @@ def corrected_words(spark, sf):
 
 
 def suggest_top5(spark, sf):
-    words = M.spread(M.table(spark, sf, "conversations")).select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "")), "[^a-z0-9]+")).alias("w")).where("w <> ''")
-    return S.suggestions(words, _ascii_known(spark, sf)).select("w", "suggestion", F.round("score", 6).alias("score"), "place")
+    words = M.spread(M.table(spark, sf, "conversations")).select(F.explode(_split(F.col("text"))).alias("w")).where("w <> ''")
+    known = M.table(spark, sf, "benchmark").select(F.explode(_split(F.col("text"))).alias("word")).where("word <> ''").distinct()
+    return S.suggestions(words, known).select("w", "suggestion", F.round("score", 6).alias("score"), "place")
 
 
-def _ascii_known(spark, sf):
-    return M.table(spark, sf, "benchmark").select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "")), "[^a-z0-9]+")).alias("word")).where("word <> ''").distinct()
+def _split(text):
+    return F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")
 
 
 QUERIES = {f.__name__: f for f in (search_index, search_lengths, bm25_search, bm25_all, unranked_search, best_page, snippets, search_states, dictionary_words, unknown_words, corrected_words, suggest_top5)}
@@ -120,8 +121,10 @@ ORACLE_SQL = {
     "search_states": "SELECT CAST(doc_id AS VARCHAR) AS scan_id, CASE WHEN doc_id % 7 = 0 THEN 'error' WHEN doc_id % 7 = 1 OR trim(text) = '' THEN 'empty' ELSE 'indexed' END AS state FROM documents",
     "dictionary_words": W(KNOWN) + "SELECT word FROM known",
     "unknown_words": W(M.WORDS, KNOWN, r"c AS (SELECT lower(regexp_replace(w, '^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$', '', 'g')) AS word FROM words)") + "SELECT word, count(*) AS n FROM c WHERE length(word) >= 2 AND word NOT IN (SELECT word FROM known) GROUP BY word",
-    "suggest_top5": r"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+')) AS w FROM conversations) AS a WHERE w <> ''),
-        k AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+')) AS word FROM benchmark) AS a WHERE word <> ''),
-        s AS (SELECT w, word, 1 - levenshtein(w, word) / greatest(length(w), length(word)) AS score FROM w JOIN k ON abs(length(w) - length(word)) <= 2 AND w <> word)
-        SELECT w, word AS suggestion, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY score DESC, abs(length(w) - length(word)), word) AS place FROM s WHERE score >= 0.6) AS x WHERE place <= 5""",
+    "suggest_top5": r"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}\p{Nd}]+')) AS w FROM conversations) AS a WHERE w <> ''),
+        k AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}\p{Nd}]+')) AS word FROM benchmark) AS a WHERE word <> ''),
+        wk AS (SELECT w, translate(strip_accents(w), 'ß', chr(1)) AS key FROM w), kk AS (SELECT min(word) AS word, other FROM (SELECT word, translate(strip_accents(word), 'ß', chr(1)) AS other FROM k) AS o GROUP BY other),
+        s AS (SELECT key, word, length(other) AS m, 1 - levenshtein(key, other) / greatest(length(key), length(other)) AS score FROM (SELECT DISTINCT key FROM wk) AS d JOIN kk ON abs(length(key) - length(other)) <= 2 AND key <> other),
+        p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, abs(length(key) - length(word)), word) AS place FROM s WHERE score >= 0.6)
+        SELECT w, word AS suggestion, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM p JOIN wk ON p.key = wk.key WHERE place <= 5""",
 }

@@ -111,9 +111,8 @@ def language_maps(spark, sf):
 
 
 def cer_scores(spark, sf):
-    """Character error rate of each conversation turn against its lower-cased form; letters beyond ASCII as one mark, as SQL's levenshtein counts bytes."""
-    t = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    return M.spread(M.table(spark, sf, "conversations")).select("conv_id", "turn", F.round(T.cer(t, F.lower(t)), 6).alias("cer"))
+    """Character error rate of each conversation turn against its lower-cased form."""
+    return M.spread(M.table(spark, sf, "conversations")).select("conv_id", "turn", F.round(T.cer(F.col("text"), F.lower("text")), 6).alias("cer"))
 
 
 def wer_scores(spark, sf):
@@ -161,7 +160,7 @@ ORACLE_SQL = {
     "safe_texts": r"SELECT conv_id, turn, regexp_replace(concat(chr(1), 'a', chr(9), 'b', chr(127), chr(13), chr(10), text), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g') AS safe, " + JTRIM.format(r"regexp_replace(concat(' ', chr(13), chr(10), 'a', chr(13), 'b', chr(13), chr(10), text, chr(10), ' '), '\r\n?', chr(10), 'g')") + " AS eval FROM conversations",
     "file_names": r"SELECT page_id, CASE WHEN length(name) > 1 AND regexp_matches(substr(name, 2), '[.][^.]+$') THEN concat(left(name, 1), regexp_replace(substr(name, 2), '[.][^.]+$', '')) ELSE name END AS stem, NOT ends_with(lower(name), '.html') AS needs FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages) AS x",
     "language_maps": "WITH l AS (SELECT DISTINCT lang FROM documents UNION SELECT * FROM (VALUES ('nb'), ('ZH'), ('xx'), ('tr')) AS v(lang)), m AS (SELECT lang, CASE lower(lang) WHEN 'zh' THEN 'chi_sim' " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " ELSE 'eng' END AS dictionary FROM l) SELECT lang, dictionary, dictionary AS effective, true AS word_based, concat(lang, ',tha') AS first FROM m",
-    "cer_scores": r"SELECT conv_id, turn, round(CASE WHEN length(t) = 0 THEN 0 ELSE levenshtein(t, lower(t)) / length(t) END, 6) AS cer FROM (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM conversations) AS x",
+    "cer_scores": f"SELECT conv_id, turn, round(CASE WHEN length(text) = 0 THEN 0 ELSE levenshtein({M.BYTES.format('text')}, {M.BYTES.format('lower(text)')}) / length(text) END, 6) AS cer FROM conversations",
     "case_patterns": W(M.WORDS, DISTINCT, "v AS (SELECT w, reverse(w) AS r, upper(w) AS u FROM d)") + "SELECT w, " + ", ".join(f"{CASED.format(s=s)} AS as_{s}" for s in ("w", "u")) + " FROM v",
 }
 del ORACLE_SQL["case_patterns"]  # initcap has no equal there; tested on goldens
