@@ -166,3 +166,37 @@ def trainable(labels: DataFrame, images: DataFrame) -> DataFrame:
     reasons = label_reasons(F.col("canonical"), F.col("width"), F.col("height"), F.col("known_"))
     out = met.withColumn("reasons", reasons).withColumn("reordered", F.col("canonical") != F.col("q"))
     return out.select(*(c for c in labels.columns if c != "q"), F.col("canonical").alias("q"), "reordered", "reasons", (F.size("reasons") == 0).alias("valid"))
+
+
+def parsed_labels(files: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
+    """name, image, width, height, corners_px, reasons, usable of label files given as text; usable ones can be checked further.
+
+    A file that is no JSON, no object or lacks keys says so and nothing else (invalid_json, invalid_schema, missing_key_<key>); then
+    image_invalid, width_invalid and height_invalid may come together with the first fault of the corners
+    (corners_px_not_list, corners_not_4, corner_<k>_not_pair, corner_<k>_non_numeric), which makes a file unusable.
+    """
+    keys = ("image", "width", "height", "corners_px")
+    v = F.try_parse_json(value)
+    rows = files.withColumn("v_", v).withColumns({f"{k}_v": F.try_variant_get("v_", f"$.{k}", "variant") for k in keys})
+    kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit(""))
+    whole = lambda c: F.coalesce(F.try_variant_get(c, "$", "long") > 0, F.lit(False)) & kind(c).isin("BIGINT", "BOOLEAN")
+    number = lambda c: kind(c).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    rows = rows.withColumn("points_", F.when(kind("corners_px_v").startswith("ARRAY"), F.try_variant_get("corners_px_v", "$", "array<variant>")))
+    rows = rows.withColumn("pairs_", F.transform("points_", lambda p: F.struct(kind(p).startswith("ARRAY").alias("list"), F.try_variant_get(p, "$", "array<variant>").alias("xy"))))
+
+    def fault(p: Column, k: Column) -> Column:
+        pair = p["list"] & (F.size(p["xy"]) == 2)
+        numeric = F.forall(p["xy"], number)
+        return F.when(~F.coalesce(pair, F.lit(False)), F.concat(F.lit("corner_"), k.cast("string"), F.lit("_not_pair"))).when(~numeric, F.concat(F.lit("corner_"), k.cast("string"), F.lit("_non_numeric")))
+
+    faults = F.array_compact(F.transform("pairs_", fault))
+    of_corners = F.when(F.col("points_").isNull(), "corners_px_not_list").when(F.size("points_") != 4, "corners_not_4").otherwise(F.get(faults, F.lit(0)))
+    missing = F.array_compact(F.array(*(F.when(F.col(f"{k}_v").isNull(), f"missing_key_{k}") for k in keys)))
+    image = F.when(kind("image_v") == "STRING", F.try_variant_get("image_v", "$", "string"))
+    fields = F.array_compact(F.array(F.when(F.coalesce(image, F.lit("")) == "", "image_invalid"), *(F.when(~whole(F.col(f"{k}_v")), f"{k}_invalid") for k in ("width", "height")), F.col("fault_")))
+    reasons = F.when(F.col("v_").isNull(), F.array(F.lit("invalid_json"))).when(~kind("v_").startswith("OBJECT"), F.array(F.lit("invalid_schema"))).when(F.size("missing_") > 0, F.col("missing_")).otherwise(fields)
+    rows = rows.withColumns({"fault_": of_corners, "missing_": missing}).withColumn("reasons", reasons)
+    usable = F.col("v_").isNotNull() & kind("v_").startswith("OBJECT") & (F.size("missing_") == 0) & F.col("fault_").isNull()
+    corners = F.when(usable, F.transform("pairs_", lambda p: F.transform(p["xy"], lambda c: F.try_variant_get(c, "$", "double"))))
+    size = lambda k: F.when(usable & whole(F.col(f"{k}_v")), F.try_variant_get(f"{k}_v", "$", "int"))
+    return rows.select(name, F.when(usable, image).alias("image"), size("width").alias("width"), size("height").alias("height"), corners.alias("corners_px"), "reasons", usable.alias("usable"))
