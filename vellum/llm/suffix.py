@@ -9,7 +9,7 @@ successors are sorted directly, the rest is induced by scanning the buckets; adj
 `least` bytes then give the equal strings, of which the first occurrence stays.
 A gram with more than CROWD different stretches is split by its strings instead, so that no shard grows.
 
-Null text counts as empty. Documents are ordered by id (null first); rows that share an id are ordered by a hash
+Null text counts as empty. Documents are ordered by id, of any type that has an order (null first); rows that share an id are ordered by a hash
 of their text, and equal rows count as one document and get equal results. Other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vellum.llm.common import shuffle_width, stored
 
@@ -224,13 +225,27 @@ def _runs(columns: list[np.ndarray]) -> np.ndarray:
 
 def removals(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(texts: id, key, alike, text (binary)) and (spans: key, alike, start, end): bytes to remove, overlapping."""
-    id_ = F.col(id_col)
-    again = docs.groupBy(id_).count().where("count > 1").limit(1).count() > 0
+    again = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    texts = docs.select(id_.alias("id"), F.coalesce(id_.cast("long"), F.lit(-(1 << 63))).alias("key"), (F.xxhash64(text) if again else F.lit(0).cast("long")).alias("alike"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), (F.xxhash64(text) if again else F.lit(0).cast("long")).alias("alike"), text.alias("text"))
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        keyed = rows.withColumn("key", F.col("id").cast("long"))
+    else:
+        keyed = rows.join(_ranks(rows), "id", "left")
+    texts = keyed.select("id", F.coalesce("key", F.lit(-(1 << 63))).alias("key"), "alike", "text")
     return texts, _spans(texts, least, crowd)
 
 
+def _ranks(rows: DataFrame) -> DataFrame:
+    """id, key: whole numbers in the order of the ids, which may be of any type that has an order; null has none.
+
+    Ranges of ids are sorted side by side, and the range's number leads each key, so nothing passes one task.
+    """
+    ids = rows.where("id IS NOT NULL").select("id").distinct()
+    ordered = ids.repartitionByRange(shuffle_width(rows.sparkSession), "id").sortWithinPartitions("id")
+    return stored(ordered.select("id", F.monotonically_increasing_id().alias("key")), "id-ranks")
+
+
 def _spans(texts: DataFrame, least: int, crowd: int) -> DataFrame:
     spark = texts.sparkSession
     names = ["gram", "stretch", "key", "alike", "start", "size", "kind"]
