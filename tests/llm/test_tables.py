@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 from collections import defaultdict
 from zlib import crc32
@@ -320,3 +321,60 @@ def test_shared_folder(spark):
     df = common.stored(spark.range(3), "t")
     assert df.count() == 3 and df.inputFiles()[0].startswith(f"file://{common.own_dir(spark)}")
     assert common.own_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def plain_training(positive, unlabelled, prior, s):
+    """The same learning in plain Python, feature by feature, over whole sets of words."""
+    n_p, n_u = len(positive), len(unlabelled)
+    count = lambda sets: {w: sum(w in x for x in sets) for x in sets for w in x}
+    in_p, in_u = count(positive), count(unlabelled)
+    chance = {w: max(in_u.get(w, 0) / n_u, 0.5 / n_u) * n_p for w in in_p}
+    used = sorted(w for w, n in in_p.items() if n >= s.least_positives and n >= s.least_lift * chance[w] and n - chance[w] >= s.deviations * math.sqrt(chance[w]))
+    names = [*used, None]  # None: the bias
+    w = dict.fromkeys(names, 0.0)
+    w[None] = math.log(prior / (1 - prior))
+    m, v = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0)
+    out = lambda x: w[None] + sum(w[k] for k in x if k in w)
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    softplus = lambda z: max(z, 0) + math.log1p(math.exp(-abs(z)))
+    for step in range(1, s.steps + 1):
+        grad = {k: s.decay / n_p * w[k] if k is not None else 0.0 for k in names}
+        risk = sum(softplus(out(x)) for x in unlabelled) / n_u - prior * sum(softplus(out(x)) for x in positive) / n_p
+        for sets, n, own in ((positive, n_p, True), (unlabelled, n_u, False)):
+            for x in sets:
+                p = sigmoid(out(x))
+                if own:
+                    g = (-prior * (1 - p) - prior * p if risk >= 0 else prior * p) / n
+                else:
+                    g = (p if risk >= 0 else -p) / n
+                for k in [*(k for k in x if k in w), None]:
+                    grad[k] += g
+        for k in names:
+            m[k] = 0.9 * m[k] + 0.1 * grad[k]
+            v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
+        for k in names:
+            w[k] -= s.rate * (m[k] / (1 - 0.9**step)) / (math.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def test_toxicity_equals_plain_training(spark):
+    """Scores of all rows against plain Python, on rows without near copies; the risk of the unlabelled also turns negative on the way."""
+    r = random.Random(12)
+    stock = [f"w{k}" for k in range(60)]
+    bad = [f"vile{k}" for k in range(4)]
+    rows = [(k, " ".join(r.sample(stock, 9) + (r.sample(bad, 2) if k % 4 == 0 else []))) for k in range(120)]
+    labels = [(k, int(k % 4 == 0)) for k in range(120) if k % 3]
+    held = lambda k: crc32(str(k).encode()) % 5 == 0
+    s = toxicity.Settings(steps=60, rate=0.2)
+    known = {k: t for k, t in labels if not held(k)}
+    prior = min(max(sum(known.values()) / len(known), 1e-4), 0.9)
+    words = {k: frozenset(t.split()) for k, t in rows}
+    toxic = [words[k] for k, t in known.items() if t]
+    rest = [words[k] for k in words if not held(k) and not known.get(k)]
+    w = plain_training(toxic, rest, prior, s)
+    assert len(w) > 3
+    docs = spark.createDataFrame([(k, t.upper() if k % 3 == 0 else t) for k, t in rows], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in toxicity.predictions(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), s).collect()}
+    for k, x in words.items():
+        want = 1 / (1 + math.exp(-(w[None] + sum(w[f] for f in x if f in w))))
+        assert got[k] == pytest.approx(want, abs=1e-6)

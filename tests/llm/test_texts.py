@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from vellum.llm import bpe, decontam, maxent, secrets, simhash, suffix
@@ -64,6 +65,25 @@ def test_suffix_dedup_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 110)]
 
 
+@pytest.mark.parametrize(
+    ("kind", "ids"),
+    [("string", ["10", "010", "2", None]), ("double", [1.2, 1.7, -3.0, None]), ("date", ["2024-01-02", "2023-05-01", "2024-01-01", None]), ("binary", [b"b", b"\xff", b"a", None]), ("int", [5, 4, -7, None])],
+)
+def test_suffix_dedup_of_any_ids(spark, kind, ids):
+    """The order of the ids themselves says which copy stays; ids that agree as numbers are different documents."""
+    text = "q" * 60 + "z" * 140
+    df = spark.createDataFrame([(i if kind != "date" or i is None else str(i), text, k) for k, i in enumerate(ids)], f"doc_id {kind if kind != 'date' else 'string'}, text string, n int")
+    df = df.withColumn("doc_id", F.col("doc_id").cast(kind)) if kind == "date" else df
+    got = {r["doc_id"] if kind != "date" or r["doc_id"] is None else str(r["doc_id"]): r["n_removed"] for r in suffix.deduplicate(df.repartition(3)).collect()}
+    got = {bytes(k) if kind == "binary" and k is not None else k: v for k, v in got.items()}
+    assert got[None] < 200  # null comes first
+    assert {k: v for k, v in got.items() if k is not None} == {k: 200 for k in ids if k is not None}
+    shown = suffix.deduplicate(df.where("doc_id IS NOT NULL").repartition(3)).collect()
+    kept = [r["doc_id"] for r in shown if r["n_removed"] < 200]
+    least = min(k for k in ids if k is not None)
+    assert [str(k) if kind == "date" else bytes(k) if kind == "binary" else k for k in kept] == [least]
+
+
 # ---- SimHash
 
 

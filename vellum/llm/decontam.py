@@ -191,14 +191,23 @@ def rarest_terms(benchmark: DataFrame, terms: int, item_col: str = "item_id", te
 
 
 def search(
-    postings: DataFrame, benchmark: DataFrame, width: int | None = 10, terms: int = 0, slop: int = 20, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS
+    postings: DataFrame,
+    benchmark: DataFrame,
+    width: int | None = 10,
+    terms: int = 0,
+    slop: int = 20,
+    item_col: str = "item_id",
+    text_col: str = "text",
+    block_words: int = BLOCK_WORDS,
+    places: bool = True,
 ) -> DataFrame:
-    """row, spans (covered word ranges [start, end), merged), items (ids with an occurring window), near (item and position) of the documents with a match.
+    """row, spans (covered word ranges [start, end), merged), items (ids with an occurring window), near (item and position), n_near of the documents with a match.
 
     width: words of a window; None for no phrases. terms: rarest terms of an item that make a proximity match; 0 for none.
+    places: whether near lists the proximity matches; there may be as many as items times words. n_near counts them in any case.
     """
     spark = postings.sparkSession
-    state = "spans array<struct<start: long, end: long>>, items array<string>, near array<struct<item: string, position: long>>"
+    state = "spans array<struct<start: long, end: long>>, items array<string>, near array<struct<item: string, position: long>>, n_near long"
     rarest = stored(rarest_terms(benchmark, terms, item_col, text_col), "rarest-terms") if terms else None
 
     def look(shared):
@@ -216,6 +225,7 @@ def search(
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])))
                 begins = np.append(0, ends[:-1] + 1)
                 out: dict[int, tuple[list, set, list]] = {}
+                counts = np.zeros(len(ends), np.int64)
                 of = lambda at: np.searchsorted(ends, at)
                 spans = edges.reshape(-1, 2)
                 for d, s, e in zip(of(spans[:, 0]).tolist(), *spans.T.tolist(), strict=True):
@@ -226,12 +236,16 @@ def search(
                     out[d][1].add(windows.items[i])
                 for item, ids in wanted:
                     at = shard.near(ids, slop)
-                    for d, p in zip(of(at).tolist(), at.tolist(), strict=True):
+                    own = of(at)
+                    np.add.at(counts, own, 1)
+                    for d, p in zip(own.tolist(), at.tolist(), strict=True) if places else ():
                         out.setdefault(d, ([], set(), []))[2].append((item, p - int(begins[d])))
+                for d in np.flatnonzero(counts).tolist():
+                    out.setdefault(d, ([], set(), []))
                 if out:
                     own = sorted(out)
                     fields = lambda k, names: [[dict(zip(names, x, strict=True)) for x in out[d][k]] for d in own]
-                    yield pa.RecordBatch.from_pydict({"row": rows[own], "spans": fields(0, ("start", "end")), "items": [sorted(out[d][1]) for d in own], "near": fields(2, ("item", "position"))}, SPANS)
+                    yield pa.RecordBatch.from_pydict({"row": rows[own], "spans": fields(0, ("start", "end")), "items": [sorted(out[d][1]) for d in own], "near": fields(2, ("item", "position")), "n_near": counts[own]}, SPANS)
 
             for b in batches:
                 for shard, term, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -287,7 +301,7 @@ def search(
 
         # one row a block of each document, so a group is as large as there are blocks
         whole = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        out = out.groupBy("row").agg(whole("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), whole("near")).mapInArrow(unite, f"row long, {state}")
+        out = out.groupBy("row").agg(whole("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), whole("near"), F.sum("n_near").alias("n_near")).mapInArrow(unite, f"row long, {state}")
     return out
 
 
@@ -297,20 +311,30 @@ SPANS = pa.schema(
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ("items", pa.list_(pa.string())),
         ("near", pa.list_(pa.struct([("item", pa.string()), ("position", pa.int64())]))),
+        ("n_near", pa.int64()),
     ]
 )
 
 
 def phrase_matches(
-    docs: DataFrame, benchmark: DataFrame, width: int = 10, terms: int = 0, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int | None = 10,
+    terms: int = 0,
+    slop: int = 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    block_words: int = BLOCK_WORDS,
+    places: bool = True,
 ) -> DataFrame:
-    """id, n_words, spans (covered word ranges [start, end), merged), items (ids with an occurring window), near (item and position) for each row."""
+    """id, n_words, spans (covered word ranges [start, end), merged), items (ids with an occurring window), near (item and position) and n_near for each row; see search()."""
     postings = index(docs, id_col, text_col)
-    hits = search(postings, benchmark, width, terms, slop, item_col, "text", block_words)
+    hits = search(postings, benchmark, width, terms, slop, item_col, "text", block_words, places)
     # a row for each document with a match; those are no more than the documents, and keys are unique
     rows = postings.where("n_words IS NOT NULL").select("row", F.col("id").alias(id_col), "n_words")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(hits.schema[c].dataType)).alias(c)
-    return rows.join(hits, "row", "left").select(id_col, "n_words", empty("spans"), empty("items"), empty("near"))
+    return rows.join(hits, "row", "left").select(id_col, "n_words", empty("spans"), empty("items"), empty("near"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -326,7 +350,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, terms: int = 3, slop: int = 20, id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (proximity matches) for each row."""
-    found = phrase_matches(docs, benchmark, width, terms, slop, id_col, **options)
+    found = phrase_matches(docs, benchmark, width, terms, slop, id_col, places=False, **options)
     hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
     return found.select(
         id_col,
@@ -335,7 +359,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, terms:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
-        F.size("near").cast("long").alias("n_near"),
+        "n_near",
     )
 
 
