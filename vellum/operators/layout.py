@@ -145,6 +145,16 @@ def words_to_text(words: DataFrame, key: str = "doc_id") -> DataFrame:
     return text.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
+@_of_page("top", "tolerance")
+def _bands(top, tolerance):
+    band, anchor, out = -1, 0.0, []
+    for t, wide in zip(top.tolist(), tolerance.tolist(), strict=True):
+        if band < 0 or abs(t - anchor) > wide:
+            band, anchor = band + 1, t
+        out.append(band)
+    return out
+
+
 def banded_order(regions: DataFrame, key: str | list[str], direction: Column) -> DataFrame:
     """Regions (key, id, left, top, right, bottom) in bands of rows, and within a band from the reading side.
 
@@ -154,14 +164,7 @@ def banded_order(regions: DataFrame, key: str | list[str], direction: Column) ->
     mean = F.avg(F.col("bottom") - F.col("top")).over(Window.partitionBy(*keys))
     one = F.struct("top", "left", "bottom", "right", "id", "tolerance")
     page = regions.withColumn("tolerance", F.floor(F.floor(mean) * 0.5)).groupBy(*keys, direction.alias("direction")).agg(F.array_sort(F.collect_list(one)).alias("r"))
-    start = F.struct(F.lit(-1).alias("band"), F.lit(0.0).alias("anchor"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = (s["band"] >= 0) & (F.abs(x["top"] - s["anchor"]) <= x["tolerance"])
-        band = F.when(same, s["band"]).otherwise(s["band"] + 1)
-        return F.struct(band.alias("band"), F.when(same, s["anchor"]).otherwise(x["top"].cast("double")).alias("anchor"), F.concat(s["out"], F.array(band)).alias("out"))
-
-    bands = page.withColumn("bands", F.aggregate("r", start, step, lambda s: s["out"])).select(*keys, "direction", F.explode(F.arrays_zip("r", "bands")).alias("z"))
+    bands = page.withColumn("bands", _bands(F.col("r"))).select(*keys, "direction", F.explode(F.arrays_zip("r", "bands")).alias("z"))
     rows = bands.select(*keys, "z.r.id", "z.bands", "z.r.top", F.when(F.col("direction") == "RTL", -F.col("z.r.left")).otherwise(F.col("z.r.left")).alias("side"))
     return rows.withColumn("reading_order", F.row_number().over(Window.partitionBy(*keys).orderBy("bands", "side", "top", "id")) - 1).select(*keys, "id", "reading_order")
 
