@@ -347,9 +347,6 @@ def test_content_end_and_lines(spark):
     assert lines([0] * 8 + [6, 6, 6] + [5] * 9) == [0, 9, 20] and lines([9] * 4 + [0] * 10 + [9] * 2) == [2, 15] and lines([0] * 7) == [0, 7]
 
 
-SMALL = 100
-
-
 def plain_columns(p):
     """Columns of a profile, step by step."""
     n = len(p)
@@ -430,9 +427,6 @@ def test_detected_columns_equal_a_plain_search(spark):
         got.setdefault(row["page"], []).append((row["left"], row["right"]))
     want = {k: plain_columns(p) for k, p in enumerate(pages)}
     assert {k: sorted(v) for k, v in got.items()} == want and len({len(v) for v in want.values()}) > 1
-    tall = lambda p: np.array([[y < v for v in p] for y in range(max(SMALL, *p))])
-    for p in pages:
-        assert Q.columns_of(tall(p)) == plain_columns(p)
 
 
 def test_quadratic_peak_of_a_flat_top(spark):

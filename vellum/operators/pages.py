@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.quads import let
+
 # names and no modules, as what runs on executors is pickled by value
 from vellum.operators.assembly import DENSE, FOOTER_SHARE, HEADER_SHARE, LEAST_BAND, THIN
-from vellum.operators.layout import COLUMN, INNER, LOW, MARGIN, NARROWEST, dips_of
+from vellum.operators.layout import detect_columns, runs
+from vellum.operators.review import content_end
+from vellum.sources.tables import stored
 
 # Fixed values -------------------------------------------------------------------------------------------------
 INK, BOX, UNCLIP, LEAST_AREA, LEAST_SIDE, LONGEST, LEAST_VARIANCE = 0.3, 0.5, 1.6, 16, 3, 40.0, 0.05
@@ -100,110 +104,107 @@ def median_height(maps: DataFrame, key: str, values: str, width: str) -> DataFra
     return maps.select(key, found(F.col(values), F.col(width)).alias("height"))
 
 
-def _stretches(ok: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of true places, ends exclusive."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def _valleys(p: np.ndarray) -> list[tuple[int, int]]:
-    """The best deep valley of a smoothed profile, else its dips, else the valley around its centre's lowest place."""
-    n = len(p)
-    outer, inner, narrow = int(n * MARGIN), int(n * INNER), int(n * NARROWEST)
-    most = int(p[outer : n - outer].max())
-    if not most:
-        return []
-    deep = [(s + inner, e + inner) for s, e in _stretches(p[inner : n - inner] < int(most * LOW)) if e - s >= narrow]
-    if deep:
-        rate = lambda v: 0.3 / (1 + int(p[v[0] : v[1]].min())) + 0.2 * (v[1] - v[0]) / n + 0.5 * (1 - abs((v[0] + v[1]) // 2 - n // 2) / n)
-        return [max(deep, key=rate)]
-    if dips := dips_of(p.tolist()):
-        return dips
-    low = n // 3 + int(p[n // 3 : 2 * n // 3].argmin())
-    places = np.arange(n)
-    within = (places >= outer) & (places < n - outer)
-    left, right = p[within & (places < low - n * 0.05)], p[within & (places >= low + int(n * 0.05))]
-    side = min(left.mean(), right.mean()) if len(left) and len(right) else 0.0
-    if not side or p[low] >= side * 0.5:
-        return []
-    around = [(s, e - 1) for s, e in _stretches(within & (p < side * 0.6) | (places == low)) if s <= low < e]
-    return [v for v in around if v[1] - v[0] >= narrow]
-
-
-def columns_of(ink: np.ndarray) -> list[tuple[int, int]]:
-    """Left and right ends of a page part's columns; one for parts below 100 pixels a side."""
-    h, n = ink.shape
-    if min(h, n) < SMALLEST:
-        return [(0, n)]
-    half, sums = max(5, n // 100) // 2, np.append(0, np.cumsum(ink.sum(axis=0)))
-    low, high = np.maximum(0, np.arange(n) - half), np.minimum(n, np.arange(n) + half + 1)
-    cuts = sorted({(s + e) // 2 for s, e in _valleys((sums[high] - sums[low]) // (high - low))} - {0})
-    parts = list(zip([0, *cuts], [*cuts, n], strict=True))
-    wide = [c for c in parts if c[1] - c[0] >= int(n * COLUMN)]
-    return parts if len(parts) == 1 else wide or [(0, n)]
-
-
-def _content_end(ink: np.ndarray) -> int:
-    """Where a column's content ends: the lower edge of the lowest stretch of nearly empty rows that is long enough."""
-    h, w = ink.shape
-    gaps = [e for s, e in _stretches(ink.sum(axis=1) < int(w * 0.01)) if e - s >= max(5, int(h * 0.02))]
-    return gaps[-1] if gaps else h
+def ink_rows(pages_: DataFrame, key: str, values: str, width: str) -> DataFrame:
+    """key, w, h, y, xs: every row of row-major masks with the places that hold ink, from the left; null and empty masks have no rows."""
 
+    def cut(a: Column) -> Column:
+        h = F.floor(F.size(a) / F.col("w")).cast("int")
+        places = lambda y: F.array_compact(F.transform(F.slice(a, y * F.col("w") + 1, F.col("w")), lambda v, x: F.when(v != 0, x)))
+        return F.when((F.col("w") > 0) & (F.size(a) >= F.col("w")), F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.struct(h.alias("h"), y.alias("y"), places(y).alias("xs"))))
 
-def footer_below(ink: np.ndarray, columns: list[tuple[int, int]], top: int, bottom: int) -> int | None:
-    """Top of a footer between a page's columns and `bottom`: lines as wide as the page, else lines from the left margin across the gap, else what follows the columns' ends."""
-    h, w = ink.shape
-    full = ink.any(axis=1)
-    first, last = np.where(full, ink.argmax(axis=1), w), np.where(full, w - 1 - ink[:, ::-1].argmax(axis=1), -1)
-    gap_from, gap_to = max((r for l, r in columns if l < w // 2), default=0), min((l for l, r in columns if r > w // 2), default=w)
-    room = gap_to - gap_from
-    wide = full & (last - first > w * WIDE)
-    if room > w * GAP_SHARE:
-        wide |= full & (ink[:, gap_from:gap_to].sum(axis=1) > room * GAP_INK)
-    low = full & (first < int(w * LEFT_SHARE)) & (last > gap_from) & (last - first > w * LOW_WIDTH)
-
-    def lowest(ok: np.ndarray, scan: float, least: int) -> int:
-        begin = max(0, bottom - int(h * scan))
-        runs = [s + begin for s, e in _stretches(ok[begin:bottom]) if e - s >= least]
-        return runs[-1] if runs else 0
-
-    ends = min(top + _content_end(ink[top:bottom, l:r]) for l, r in columns)
-    for at, (least, most) in ((lowest(wide, WIDE_SCAN, 1), WIDE_FOOTER), (lowest(low, LOW_SCAN, LOW_ROWS), LOW_FOOTER), (ends, REST_FOOTER)):
-        if 0 < at < bottom and int(h * least) <= bottom - at <= int(h * most) and THIN < ink[at:bottom].mean() < DENSE:
-            return at
-    return None
-
-
-def regions_of(ink: np.ndarray) -> list[tuple[str, int, int, int, int, int]]:
-    """type, column_index, left, top, right, bottom: header, footer and columns of a page; one BODY if there are none."""
-    h, w = ink.shape
-    out, top, bottom, closed = [], 0, h, False
-    for kind, begin, end in (("HEADER", 0, int(h * HEADER_SHARE)), ("FOOTER", h - int(h * FOOTER_SHARE), h)):
-        if end - begin >= LEAST_BAND and THIN < ink[begin:end].mean() < DENSE:
-            out.append((kind, -1, 0, begin, w, end))
-            top, bottom, closed = (end, bottom, closed) if kind == "HEADER" else (top, begin, True)
-    if bottom > top:
-        columns = columns_of(ink[top:bottom])
-        cut = footer_below(ink, columns, top, bottom) if len(columns) > 1 and not closed else None
-        if cut is not None:
-            out.append(("FOOTER", -1, 0, cut, w, bottom))
-        out += [("COLUMN", k, l, top, r, bottom if cut is None else min(bottom, cut)) for k, (l, r) in enumerate(columns)]
-    return out or [("BODY", -1, 0, 0, w, h)]
+    # a mask is read once: its rows leave it as places of ink, never as copies of cells
+    rows = pages_.withColumn("w", F.col(width).cast("int")).select(key, "w", F.explode(let(F.col(values), cut)).alias("row"))
+    return rows.select(key, "w", "row.h", "row.y", "row.xs")
 
 
-def analyze(pages_: DataFrame, key: str, values: str, width: str) -> DataFrame:
-    """key, type, column_index, left, top, right, bottom: the regions of pages given as row-major masks; a page is bounded.
+def bodies(rows: DataFrame, key: str) -> DataFrame:
+    """key, w, h, header, footer, top, bottom of ink_rows(): where a header ends and a footer begins (null for none), and what lies between."""
+    end, begin = (F.floor(F.col("h") * HEADER_SHARE).cast("int"), (F.col("h") - F.floor(F.col("h") * FOOTER_SHARE)).cast("int"))
+    n = F.size("xs")
+    band = lambda inside: F.coalesce(F.sum(F.when(inside, n)), F.lit(0))
+    found = rows.groupBy(key, "w", "h").agg(band(F.col("y") < end).alias("above"), band(F.col("y") >= begin).alias("below"))
+    some = lambda ink, high: (high >= LEAST_BAND) & F.try_divide(ink, F.col("w") * high).between(THIN, DENSE) & ~F.try_divide(ink, F.col("w") * high).isin(THIN, DENSE)
+    found = found.withColumn("header", F.when(some(F.col("above"), end), end)).withColumn("footer", F.when(some(F.col("below"), F.col("h") - begin), begin))
+    return found.select(key, "w", "h", "header", "footer", F.coalesce("header", F.lit(0)).alias("top"), F.coalesce("footer", "h").alias("bottom"))
 
-    Columns are looked for between header and footer. Where there are several and no footer was found, one is looked for below
-    them, and the columns end at it.
+
+def body_columns(rows: DataFrame, sheets: DataFrame, key: str) -> DataFrame:
+    """key, column_index, left, right: the columns of the bodies() of pages; one where the body has less than 100 pixels a side."""
+    body = sheets.where("bottom > top")
+    large = F.least(F.col("bottom") - F.col("top"), F.col("w")) >= SMALLEST
+    ink = rows.join(body.where(large).select(key, "top", "bottom"), key).where("y >= top AND y < bottom")
+    counts = ink.select(key, F.explode("xs").alias("x")).groupBy(key, "x").agg(F.count("*").cast("int").alias("v"))
+    places = body.where(large).select(key, F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    profile = stored(places.join(counts, [key, "x"], "left").select(key, "x", F.coalesce("v", F.lit(0)).alias("v")), "ink-columns")
+    one = body.where(~large).select(key, F.lit(0).alias("column_index"), F.lit(0).alias("left"), F.col("w").alias("right"))
+    return detect_columns(profile, key).unionByName(one)
+
+
+def footers_below(rows: DataFrame, sheets: DataFrame, columns_: DataFrame, key: str) -> DataFrame:
+    """key, cut: the top of a footer below the columns of pages that have several and no other footer.
+
+    Lines as wide as the page or across the gap between its columns come first, then lines from the left margin across that gap,
+    then what follows the columns' ends; the first that is as high as its kind of footer may be and neither empty nor solid counts.
     """
-    names = ("type", "column_index", "left", "top", "right", "bottom")
+    met = columns_.join(sheets.where("footer IS NULL").select(key, "w"), key)
+    half = F.floor(F.col("w") / 2)
+    gap = met.groupBy(key).agg(
+        F.count("*").alias("parts"),
+        F.coalesce(F.max(F.when(F.col("left") < half, F.col("right"))), F.lit(0)).alias("gap_from"),
+        F.coalesce(F.min(F.when(F.col("right") > half, F.col("left"))), F.max("w")).alias("gap_to"),
+    )
+    several = sheets.join(gap.where("parts > 1"), key).select(key, "top", "bottom", "gap_from", "gap_to")
+    inside = rows.join(several, key).where("y >= top AND y < bottom")
+    n, room = F.size("xs"), F.col("gap_to") - F.col("gap_from")
+    first, last = F.get("xs", F.lit(0)), F.get("xs", n - 1)
+    crossed = F.size(F.filter("xs", lambda x: (x >= F.col("gap_from")) & (x < F.col("gap_to"))))
+    wide = (n > 0) & ((last - first > F.col("w") * WIDE) | (room > F.col("w") * GAP_SHARE) & (crossed > room * GAP_INK))
+    low = (n > 0) & (first < F.floor(F.col("w") * LEFT_SHARE)) & (last > F.col("gap_from")) & (last - first > F.col("w") * LOW_WIDTH)
+    lines = inside.where(F.col("y") >= F.col("bottom") - F.floor(F.col("h") * max(WIDE_SCAN, LOW_SCAN)))
+    lines = lines.select(key, "h", "bottom", F.col("y").alias("x"), n.alias("v"), F.when(n > 0, wide).alias("wide"), F.when(n > 0, low).alias("low"))
+
+    def lowest(kind: str, scan: float, least: int) -> DataFrame:
+        found = runs(lines.where(F.col("x") >= F.col("bottom") - F.floor(F.col("h") * scan)), F.col(kind), key)
+        return found.where(F.col("n") >= least).groupBy(key).agg(F.max("start").alias(f"{kind}_at"))
+
+    part = inside.join(columns_, key).select(
+        F.struct(key, "column_index").alias("part"),
+        (F.col("y") - F.col("top")).alias("x"),
+        F.size(F.filter("xs", lambda x: (x >= F.col("left")) & (x < F.col("right")))).alias("v"),
+        (F.col("right") - F.col("left")).alias("width"),
+    )
+    ends = content_end(part, F.col("width"), "part").groupBy(F.col(f"part.{key}").alias(key)).agg(F.min("x").alias("rest"))
+    at = several.join(lowest("wide", WIDE_SCAN, 1), key, "left").join(lowest("low", LOW_SCAN, LOW_ROWS), key, "left").join(ends, key, "left")
+    at = at.select(key, "bottom", "wide_at", "low_at", (F.col("top") + F.col("rest")).alias("rest_at"))
+    kinds = {"wide_at": WIDE_FOOTER, "low_at": LOW_FOOTER, "rest_at": REST_FOOTER}
+    weighed = rows.join(at, key).where("y < bottom").groupBy(key, "w", "h", "bottom", *kinds).agg(*(F.coalesce(F.sum(F.when(F.col("y") >= F.col(k), n)), F.lit(0)).alias(f"{k}_ink") for k in kinds))
+
+    def fits(k: str, least: float, most: float) -> Column:
+        high = F.col("bottom") - F.col(k)
+        density = F.try_divide(F.col(f"{k}_ink"), F.col("w") * high)
+        sized = (F.col(k) > 0) & (high > 0) & (high >= F.floor(F.col("h") * least)) & (high <= F.floor(F.col("h") * most))
+        return F.when(sized & (density > THIN) & (density < DENSE), F.col(k))
+
+    return weighed.select(key, F.coalesce(*(fits(k, *sizes) for k, sizes in kinds.items())).alias("cut")).where("cut IS NOT NULL")
 
-    @F.pandas_udf("array<struct<type: string, column_index: int, left: int, top: int, right: int, bottom: int>>")
-    def found(flat: pd.Series, widths: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, r, strict=True)) for r in regions_of(np.asarray(a).reshape(-1, int(w)) != 0)] if a is not None and len(a) else [] for a, w in zip(flat, widths, strict=True)])
 
-    return pages_.select(key, F.inline(found(F.col(values), F.col(width))))
+def analyze(pages_: DataFrame, key: str, values: str, width: str) -> DataFrame:
+    """key, type, column_index, left, top, right, bottom: the regions of pages given as row-major masks, key being unique.
+
+    Columns are looked for between header and footer. Where there are several and no footer was found, one is looked for below
+    them, and the columns end at it. The rows' ink, its profile and the columns are written to the shared folder, as several steps read them.
+    """
+    rows = stored(ink_rows(pages_, key, values, width), "ink-rows")
+    sheets = bodies(rows, key)
+    columns_ = stored(body_columns(rows, sheets, key), "body-columns")
+    ends = sheets.join(footers_below(rows, sheets, columns_, key), key, "left")
+    region = lambda df, kind, nth, left, top, right, bottom: df.select(key, F.lit(kind).alias("type"), nth.alias("column_index"), left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
+    none, zero, w = F.lit(-1), F.lit(0), F.col("w")
+    header = region(ends.where("header IS NOT NULL"), "HEADER", none, zero, zero, w, F.col("header"))
+    footer = region(ends.where("footer IS NOT NULL"), "FOOTER", none, zero, F.col("footer"), w, F.col("h"))
+    found = region(ends.where("cut IS NOT NULL"), "FOOTER", none, zero, F.col("cut"), w, F.col("bottom"))
+    body = region(ends.join(columns_, key), "COLUMN", F.col("column_index"), F.col("left"), F.col("top"), F.col("right"), F.coalesce("cut", "bottom"))
+    return header.unionByName(footer).unionByName(found).unionByName(body)
 
 
 def column_counts(regions: DataFrame, key: str = "page") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,10 @@ def version(df: DataFrame) -> str:
         status = at.getFileSystem(conf).getFileStatus(at)
         seen.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
     return seen.hexdigest()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df into the shared folder and reads it back, so that several steps read what was computed once and lost executors cost only their tasks."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
