@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import quads as G
+from vellum.sources.tables import stored
 
 
 def seed_of(name: Column, seed: int) -> Column:
@@ -75,11 +76,20 @@ def split_rows(df: DataFrame, name: str, val_share: float, seed: int) -> DataFra
 
 
 def subsample(df: DataFrame, group: str, name: str, k: int) -> DataFrame:
-    """k evenly spaced rows of each group by name: those at int(i * n / k)."""
-    one = df.groupBy(group).agg(F.array_sort(F.collect_list(name)).alias("names"))
-    n = F.size("names")
-    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * n / k).cast("int"))
-    return one.select(group, F.explode(F.when(n <= k, F.col("names")).otherwise(F.transform(places, lambda p: F.get("names", p)))).alias(name))
+    """k evenly spaced rows of each group by name: those at int(i * n / k); all rows of a group of k or fewer.
+
+    Rows are numbered in two levels, so that no task sorts a whole group: the sorted ranges of (group, name) are written once to the
+    shared folder, the rows of a group in earlier ranges are counted, and a row's place in its own range is added.
+    """
+    ranges = df.select(group, name).repartitionByRange(group, name).sortWithinPartitions(group, name)
+    rows = stored(ranges.select(group, name, F.spark_partition_id().alias("part_"), F.monotonically_increasing_id().alias("at_")), "ranges")
+    counts = rows.groupBy(F.col(group).alias("group_"), F.col("part_").alias("of_")).agg(F.min("at_").alias("first_"), F.count("*").alias("own_"))
+    w = Window.partitionBy("group_")
+    counts = counts.withColumns({"before_": F.sum("own_").over(w.orderBy("of_")) - F.col("own_"), "n_": F.sum("own_").over(w)})
+    met = rows.join(counts, (F.col("part_") == F.col("of_")) & F.col(group).eqNullSafe(F.col("group_")))
+    place = met.withColumn("r_", F.col("before_") + F.col("at_") - F.col("first_"))
+    # the only i with i * n div k == r can be the least one with i * n >= r * k
+    return place.withColumn("i_", F.expr(f"(r_ * {k} + n_ - 1) div n_")).where(f"n_ <= {k} OR (i_ < {k} AND i_ * n_ div {k} = r_)").select(group, name)
 
 
 def sample(df: DataFrame, name: str, count: int, seed: int) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import analysis_queries, assembly_queries, geometry_queries, library_queries, recognition_queries, search_queries, source_queries, text_queries
+from vellum.plans import analysis_queries, assembly_queries, geometry_queries, library_queries, recognition_queries, sample_queries, search_queries, source_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (library_queries, text_queries, search_queries, geometry_queries, analysis_queries, assembly_queries, recognition_queries, source_queries)
+MODULES = (library_queries, text_queries, search_queries, geometry_queries, analysis_queries, assembly_queries, recognition_queries, source_queries, sample_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ them go through Spark's own readers, so any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +164,15 @@ def registry_json(entries: DataFrame, version: int = 1) -> DataFrame:
     return entries.agg(F.to_json(F.struct(F.lit(version).alias("version"), F.sort_array(F.collect_list(F.struct(*entries.columns))).alias("items"))).alias("json"))
 
 
+def write_registry(entries: DataFrame, path: str, version: int = 1, block: int = 10_000) -> None:
+    """Registry files of about `block` entries each, dealt by a hash of the id; read_registry() reads all of them as one."""
+    blocks = max(1, -(-entries.count() // block))
+    dealt = entries.withColumn("block_", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    items = F.sort_array(F.collect_list(F.struct(*entries.columns)))
+    files = dealt.groupBy("block_").agg(F.to_json(F.struct(F.lit(version).alias("version"), items.alias("items"))).alias("text"))
+    files.select("text").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def read_labels(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of a declared schema; lines that don't parse are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -244,3 +257,24 @@ def report(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def write_report(df: DataFrame, path: str, digits: int = 6) -> None:
     report(df, digits).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_grids(spark: SparkSession, path: str) -> DataFrame:
+    """geom_name, xs, ys of grid files (.npy, an array of 2 x rows x columns); a file that holds no such array has nulls, one of no bytes no row."""
+
+    @F.pandas_udf("struct<xs: array<array<double>>, ys: array<array<double>>>")
+    def read(files: pd.Series) -> pd.DataFrame:
+        def one(content: bytes) -> tuple:
+            try:
+                a = np.load(io.BytesIO(content), allow_pickle=False)
+            except (ValueError, EOFError, OSError):
+                return None, None
+            if not isinstance(a, np.ndarray) or a.ndim != 3 or a.shape[0] != 2 or not a.size or a.dtype.kind not in "iuf":
+                return None, None
+            return tuple(a.astype(float).tolist())
+
+        return pd.DataFrame([one(c) for c in files], columns=["xs", "ys"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    name = F.regexp_extract("path", r"([^/]+)\.npy$", 1)
+    return files.select(name.alias("geom_name"), read("content").alias("g")).select("geom_name", "g.xs", "g.ys")
