@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import quads as G
 from vellum.functions import tensors as N
+from vellum.operators import pages as Q
 from vellum.operators import samples as Z
 from vellum.plans import model as M
 from vellum.sources import documents as R
@@ -43,6 +45,26 @@ def grid_labels(spark, sf):
     return reduce(DataFrame.unionByName, (one(k) for k in (None, *Z.KINDS)))
 
 
+def sheet_layouts(spark, sf):
+    """Header, columns and footers of a made page of each supplier: lines in one or two columns, some with a line above, and below them a wide line, one from the left, a short one or none."""
+    k = F.col("s_suppkey").cast("int")
+    w, h = 120 + k % 3 * 20, 200 + k % 4 * 40
+    two = k % 5 < 3
+    sized = M.table(spark, sf, "supplier").select(k.alias("page"), w.alias("w"), h.alias("h"), two.alias("two"), (k % 4 == 0).alias("head"), (k % 7).alias("foot"))
+
+    def cell(s, i):
+        x, y = i % s["w"], F.floor(i / s["w"])
+        gap = s["two"] & (x >= s["w"] / 2 - 6) & (x < s["w"] / 2 + 6)
+        text = (y >= s["h"] * 0.15) & (y < s["h"] * 0.85) & (y % 4 < 2) & ~gap & (x % 3 > 0)
+        head = s["head"] & (y >= 2) & (y < 6) & (x >= 20) & (x < 100)
+        end = F.when(s["foot"] == 1, s["w"] * 0.9).when(s["foot"].isin(2, 3), s["w"] * 0.55).when(s["foot"] == 4, s["w"] * 0.3)
+        low = (y >= s["h"] * 0.93) & (y < s["h"] * 0.93 + F.when(s["foot"] == 3, 4).otherwise(2)) & (x >= 4) & F.coalesce(x < end, F.lit(False))
+        return (text | head | low).cast("int")
+
+    mask = G.let(F.struct("w", "h", "two", "head", "foot"), lambda s: F.transform(F.sequence(F.lit(0), s["w"] * s["h"] - 1), lambda i: cell(s, i)))
+    return Q.analyze(sized.select("page", "w", mask.alias("a")), "page", "a", "w")
+
+
 def registry_files(spark, sf):
     """The documents as registry files of 100 entries or so, read back as one registry."""
     path = f"{tables.shared_folder(spark)}/registry-{uuid.uuid4().hex}"
@@ -55,7 +77,7 @@ def registry_files(spark, sf):
     return R.read_registry(spark, path).select("id", "filePath", "rotationDeg", "createdAt", "schemaVersion", "orientationMode")
 
 
-QUERIES = {f.__name__: f for f in (synthetic_samples, grid_labels, registry_files)}
+QUERIES = {f.__name__: f for f in (synthetic_samples, grid_labels, registry_files, sheet_layouts)}
 
 ORACLE_SQL = {
     "synthetic_samples": """WITH n AS (SELECT s_suppkey, list_transform(range(6), lambda i: CAST('0x' || substr(md5('7:' || s_suppkey || ':' || i), 1, 8) AS BIGINT) / 4294967296.0) AS u FROM supplier),
@@ -77,4 +99,35 @@ ORACLE_SQL = {
         FROM (SELECT *, status = 'labelled' AS ok FROM c) AS c""",
     "registry_files": """SELECT CAST(doc_id AS VARCHAR) AS id, concat('/scans/', source, '/', doc_id, '.jpg') AS filePath, CAST(doc_id % 4 * 90 AS INT) AS rotationDeg, n_chars AS createdAt,
         CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS schemaVersion, CASE WHEN doc_id % 5 = 0 THEN 'metadata' ELSE 'baked' END AS orientationMode FROM documents""",
+    # a page's only deep valley is the gap between its two columns, so the SQL looks for runs below a third of the largest place
+    "sheet_layouts": """WITH s AS (SELECT CAST(s_suppkey AS INT) AS page, CAST(120 + s_suppkey % 3 * 20 AS INT) AS w, CAST(200 + s_suppkey % 4 * 40 AS INT) AS h, s_suppkey % 5 < 3 AS two, s_suppkey % 4 = 0 AS head, s_suppkey % 7 AS foot FROM supplier),
+        i AS (SELECT *, unnest(range(h)) AS y FROM s), j AS (SELECT *, unnest(range(w)) AS x FROM i),
+        ink AS (SELECT page, w, h, x, y FROM j WHERE (y >= h * 0.15 AND y < h * 0.85 AND y % 4 < 2 AND NOT (two AND x >= w / 2 - 6 AND x < w / 2 + 6) AND x % 3 > 0) OR (head AND y BETWEEN 2 AND 5 AND x BETWEEN 20 AND 99)
+            OR (y >= h * 0.93 AND y < h * 0.93 + CASE foot WHEN 3 THEN 4 ELSE 2 END AND x >= 4 AND x < CASE foot WHEN 1 THEN w * 0.9 WHEN 2 THEN w * 0.55 WHEN 3 THEN w * 0.55 WHEN 4 THEN w * 0.3 END)),
+        e AS (SELECT page, w, h, CAST(floor(h * 0.12) AS INT) AS up, CAST(h - floor(h * 0.08) AS INT) AS low FROM s),
+        d AS (SELECT e.*, (SELECT count(*) FROM ink WHERE ink.page = e.page AND y < up) / (w * up) AS above, (SELECT count(*) FROM ink WHERE ink.page = e.page AND y >= low) / (w * (h - low)) AS below FROM e),
+        b AS (SELECT page, w, h, CASE WHEN up >= 20 AND above > 0.01 AND above < 0.5 THEN up END AS header, CASE WHEN h - low >= 20 AND below > 0.01 AND below < 0.5 THEN low END AS footer FROM d),
+        body AS (SELECT *, coalesce(header, 0) AS top, coalesce(footer, h) AS bottom FROM b),
+        line AS (SELECT page, y, count(*) AS n, min(x) AS x0, max(x) AS x1 FROM ink GROUP BY page, y),
+        prof AS (SELECT p.page, p.x, p.w, count(k.x) AS v FROM (SELECT page, w, top, bottom, unnest(range(w)) AS x FROM body) AS p LEFT JOIN ink AS k ON k.page = p.page AND k.x = p.x AND k.y >= p.top AND k.y < p.bottom GROUP BY p.page, p.x, p.w),
+        smooth AS (SELECT page, x, w, floor(sum(v) OVER z / count(*) OVER z) AS v FROM prof WINDOW z AS (PARTITION BY page ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+        most AS (SELECT page, max(v) AS m FROM smooth WHERE x >= floor(w * 0.05) AND x < w - floor(w * 0.05) GROUP BY page),
+        valley AS (SELECT page, (min(x) + max(x) + 1) // 2 AS cut, count(*) AS n, any_value(w) AS w FROM (SELECT smooth.page, x, w, x - row_number() OVER (PARTITION BY smooth.page ORDER BY x) AS run FROM smooth JOIN most USING (page)
+            WHERE x >= floor(w * 0.15) AND x < w - floor(w * 0.15) AND v < floor(m * 0.35)) AS r GROUP BY page, run HAVING count(*) >= floor(any_value(w) * 0.015)),
+        cols AS (SELECT body.page, unnest(CASE WHEN cut IS NULL THEN [{'k': 0, 'l': 0, 'r': body.w}] ELSE [{'k': 0, 'l': 0, 'r': cut}, {'k': 1, 'l': cut, 'r': body.w}] END) AS c FROM body LEFT JOIN valley ON valley.page = body.page),
+        part AS (SELECT o.page, o.c.k AS k, o.c.l AS l, o.c.r AS r, body.top, body.bottom, unnest(range(body.top, body.bottom)) AS y FROM cols AS o JOIN body ON o.page = body.page),
+        fill AS (SELECT part.page, part.k, part.y, part.top, part.bottom, part.l, part.r, count(ink.x) AS n FROM part LEFT JOIN ink ON ink.page = part.page AND ink.y = part.y AND ink.x >= part.l AND ink.x < part.r GROUP BY ALL),
+        hole AS (SELECT page, k, max(y) + 1 AS edge FROM (SELECT *, y - row_number() OVER (PARTITION BY page, k ORDER BY y) AS run FROM fill WHERE n < floor((r - l) * 0.01)) AS f
+            GROUP BY page, k, run, top, bottom HAVING count(*) >= greatest(5, floor((bottom - top) * 0.02))),
+        rest AS (SELECT page, min(edge) AS place FROM (SELECT o.page, o.c.k, coalesce(max(hole.edge), any_value(body.bottom)) AS edge FROM cols AS o JOIN body ON body.page = o.page LEFT JOIN hole ON hole.page = o.page AND hole.k = o.c.k GROUP BY o.page, o.c.k) AS q GROUP BY page),
+        run AS (SELECT page, kind, min(y) AS place, count(*) AS n FROM (SELECT page, kind, y, y - row_number() OVER (PARTITION BY page, kind ORDER BY y) AS run FROM (
+                SELECT line.page, y, 'wide' AS kind FROM line JOIN body ON body.page = line.page WHERE y < bottom AND y >= bottom - floor(h * 0.2) AND x1 - x0 > w * 0.6
+                UNION ALL SELECT line.page, y, 'low' FROM line JOIN body ON body.page = line.page JOIN valley ON valley.page = line.page WHERE y < bottom AND y >= bottom - floor(h * 0.1) AND x0 < floor(body.w * 0.1) AND x1 > CASE WHEN cut < body.w // 2 THEN body.w ELSE cut END AND x1 - x0 > body.w * 0.3) AS u) AS t GROUP BY page, kind, run),
+        cand AS (SELECT page, 1 AS nth, max(place) AS place, 0.01 AS lo, 0.15 AS hi FROM run WHERE kind = 'wide' GROUP BY page UNION ALL SELECT page, 2, max(place), 0.01, 0.12 FROM run WHERE kind = 'low' AND n >= 3 GROUP BY page UNION ALL SELECT page, 3, place, 0.03, 0.15 FROM rest),
+        fits AS (SELECT cand.page, min(struct_pack(nth := nth, place := place)) AS f FROM cand JOIN body ON body.page = cand.page JOIN valley ON valley.page = cand.page WHERE footer IS NULL AND place > 0 AND place < bottom AND bottom - place >= floor(h * lo) AND bottom - place <= floor(h * hi)
+            AND (SELECT coalesce(sum(n), 0) FROM line WHERE line.page = cand.page AND y >= place AND y < bottom) / (body.w * (bottom - place)) BETWEEN 0.0100001 AND 0.4999999 GROUP BY cand.page)
+        SELECT page, 'HEADER' AS type, -1 AS column_index, 0 AS "left", 0 AS top, w AS "right", header AS bottom FROM body WHERE header IS NOT NULL
+        UNION ALL SELECT page, 'FOOTER', -1, 0, footer, w, h FROM body WHERE footer IS NOT NULL
+        UNION ALL SELECT body.page, 'FOOTER', -1, 0, f.place, w, bottom FROM fits JOIN body ON body.page = fits.page
+        UNION ALL SELECT o.page, 'COLUMN', o.c.k, o.c.l, body.top, o.c.r, coalesce(fits.f.place, body.bottom) FROM cols AS o JOIN body ON body.page = o.page LEFT JOIN fits ON fits.page = o.page""",
 }
