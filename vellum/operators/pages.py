@@ -192,12 +192,12 @@ def analyze(pages_: DataFrame, key: str, values: str, width: str) -> DataFrame:
     """key, type, column_index, left, top, right, bottom: the regions of pages given as row-major masks, key being unique.
 
     Columns are looked for between header and footer. Where there are several and no footer was found, one is looked for below
-    them, and the columns end at it. The rows' ink, its profile and the columns are written to the shared folder, as several steps read them.
+    them, and the columns end at it. The rows' ink and what is found of each page are written to the shared folder, as several steps read them.
     """
     rows = stored(ink_rows(pages_, key, values, width), "ink-rows")
-    sheets = bodies(rows, key)
+    sheets = stored(bodies(rows, key), "bodies")
     columns_ = stored(body_columns(rows, sheets, key), "body-columns")
-    ends = sheets.join(footers_below(rows, sheets, columns_, key), key, "left")
+    ends = stored(sheets.join(footers_below(rows, sheets, columns_, key), key, "left"), "page-ends")
     region = lambda df, kind, nth, left, top, right, bottom: df.select(key, F.lit(kind).alias("type"), nth.alias("column_index"), left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
     none, zero, w = F.lit(-1), F.lit(0), F.col("w")
     header = region(ends.where("header IS NOT NULL"), "HEADER", none, zero, zero, w, F.col("header"))

@@ -160,7 +160,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def registry_json(entries: DataFrame, version: int = 1) -> DataFrame:
-    """One row: the entries as a registry file."""
+    """One row: the entries as a registry file. For registries of bounded size; write_registry() takes any."""
     return entries.agg(F.to_json(F.struct(F.lit(version).alias("version"), F.sort_array(F.collect_list(F.struct(*entries.columns))).alias("items"))).alias("json"))
 
 
