@@ -646,3 +646,26 @@ def test_page_analysis(spark):
     }
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert dict((r["page"], (r["columns"], r["several"])) for r in Q.column_counts(found).collect()) == {0: (2, True), 1: (2, True), 2: (2, True), 3: (1, False), 4: (2, True)}
+
+
+def test_a_path_is_chosen_with_its_quads_computed_once(spark):
+    """What gives the mask's quad is in the plan twice at most, not once for each use of a corner."""
+    q = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (90, 0), (90, 90), (0, 90))))
+    far = F.transform(q, lambda p: F.struct((p["x"] + F.col("id")).alias("x"), p["y"].alias("y")))
+    df = spark.range(3).select(G.choose_path(q, far, F.col("id") > 5).alias("path"))
+    assert df._jdf.queryExecution().analyzed().toString().count("+ cast(id") <= 2 and {r[0] for r in df.collect()} == {"CORNERS"}
+
+
+def test_overlap_by_rows_against_cells():
+    """Rows of cells that an edge passes near are counted cell by cell, all others from edge to edge; the same as every cell."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    p = np.concatenate([r.random((20, 8)) * 40, np.round(r.random((20, 8)) * 16) * 2 + 1, np.tile([4.0, 4.0, 20.0, 4.0, 20.0, 20.0, 4.0, 20.0], (4, 1))])
+    q = p + r.integers(-2, 3, p.shape)
+    w = h = np.full(len(p), 32.0)
+    cells = np.arange(16 * 16)
+    x, y = (cells % 16 + 0.5)[None, :] * 2, (cells // 16 + 0.5)[None, :] * 2
+    a, b = G._inside(p, x, y), G._inside(q, x, y)
+    both, any_ = G._overlap(p, q, w, h, 16)
+    assert (both == (a & b).sum(axis=1)).all() and (any_ == (a | b).sum(axis=1)).all()

@@ -13,7 +13,7 @@ W_, H_ = 200.0, 220.0
 
 def frames(spark, sf):
     """event_id, user_id, ts_ms and a quad."""
-    e = M.table(spark, sf, "events").select("event_id", "user_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts_ms"), "value", F.col("event_id").alias("e"))
+    e = M.spread(M.table(spark, sf, "events").select("event_id", "user_id", "ts", "value")).select("event_id", "user_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts_ms"), "value", F.col("event_id").alias("e"))
     return e.select("event_id", "user_id", "ts_ms", "value", G.quad(*(F.expr(c) for c in COORDINATES)).alias("q"))
 
 
