@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from vellum.functions import quads as G
-from vellum.functions import tensors as N
 from vellum.functions import warps as K
 
+# names and no modules, as what runs on executors is pickled by value
+from vellum.functions.quads import polygon_cells
+from vellum.functions.tensors import heat_maps
+from vellum.sources.tables import fresh
+
 # Sizes of made pages, margins, brightness of ground and page, spread of the noise ------------------
 SIZE, MARGIN, GROUND, PAGE, NOISE = (320, 1100), (0.10, 0.25), (0.05, 0.20), (0.80, 0.95), 0.01
+#: Samples drawn together, so that a task holds few images.
+BATCH = 16
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -20,10 +31,30 @@ def draw(name: Column, nth: int, low: float = 0.0, high: float = 1.0) -> Column:
     return low + (high - low) * share
 
 
-def noise(name: Column, nth: Column) -> Column:
-    """A normally distributed number from two hashes of a name and a place."""
-    share = lambda salt: (F.pmod(F.xxhash64(name, nth, F.lit(salt)), F.lit(1 << 40)) + 1) / float(1 << 40)
-    return F.sqrt(-2 * F.log(share(0))) * F.cos(2 * F.pi() * share(1))
+def hashed(value: int, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of a whole number of 32 bits for each seed, as xxhash64() chains it."""
+    p = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+    value = np.asarray(value, np.uint64)
+    h = seed.astype(np.uint64) + p[4] + np.uint64(4) ^ value * p[0]
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * p[1] + p[2]
+    h = (h ^ h >> np.uint64(33)) * p[1]
+    h = (h ^ h >> np.uint64(29)) * p[2]
+    return h ^ h >> np.uint64(32)
+
+
+def noise(name: np.ndarray, size: int) -> np.ndarray:
+    """(names, size): normally distributed numbers from two hashes of a name (given as its xxhash64) and a place."""
+    at = hashed(np.arange(size), name[:, None])
+    share = lambda salt: ((hashed(salt, at) & np.uint64((1 << 40) - 1)).astype(float) + 1) / float(1 << 40)
+    return np.sqrt(-2 * np.log(share(0))) * np.cos(2 * np.pi * share(1))
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """An array of lists of an axis less for each further axis."""
+    out = pa.array(values.ravel())
+    for n in values.shape[:0:-1]:
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, n, dtype=np.int32)), out)
+    return out
 
 
 def synthetic(ids: DataFrame, name: str, seed: int = 0, sigma: float = 2.0) -> DataFrame:
@@ -43,19 +74,34 @@ def synthetic(ids: DataFrame, name: str, seed: int = 0, sigma: float = 2.0) -> D
     )
     framed = sized.withColumn("corners", F.when(F.col(name).isNotNull(), corners))
     framed = framed.withColumn("q", G.let(G.letterbox(F.col("src_w"), F.col("src_h")), lambda box: G.to_frame(F.col("corners"), box)))
-    heat = G.let(F.col("q"), lambda q: F.array(*(N.gaussian_map(q[k]["x"], q[k]["y"], sigma) for k in range(4))))
-    there = F.col("q").isNotNull()
-    targets = framed.withColumns({"heat": F.when(there, heat), "mask": F.when(there, G.let(F.col("q"), lambda q: G.polygon_mask(q)))})
-
-    def image(s: Column) -> Column:
-        def cell(i: Column) -> Column:
-            inside = F.get(s["mask"], (F.floor(i / 1024) * 64 + F.floor((i % 256) / 4)).cast("int"))
-            return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s["low"] + (s["high"] - s["low"]) * inside + NOISE * noise(s["key"], i)))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(256 * 256 - 1)), cell)
-
-    parts = F.struct(F.col("mask").alias("mask"), draw(key, 6, *GROUND).alias("low"), draw(key, 7, *PAGE).alias("high"), key.alias("key"))
-    return targets.withColumn("image", F.when(there, G.let(parts, image)))
+    flat = F.flatten(F.transform("q", lambda p: F.array(p["x"], p["y"])))
+    drawn = F.struct(flat.alias("q"), draw(key, 6, *GROUND).alias("low"), draw(key, 7, *PAGE).alias("high"), F.xxhash64(key).alias("key"))
+    (parts,) = fresh(framed, "parts")
+    names = [*framed.columns, "heat", "mask", "image"]
+    doubles = ArrayType(DoubleType())
+    schema = StructType(framed.schema.fields).add("heat", ArrayType(doubles)).add("mask", ArrayType(IntegerType())).add("image", doubles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = b.column(b.num_columns - 1)
+            some = given.is_valid().to_numpy(zero_copy_only=False)
+            # rows without a name have no values, and others are drawn in runs between them
+            edges = sorted({0, b.num_rows, *(np.flatnonzero(np.diff(some)) + 1).tolist()})
+            for begin, end in ((k, min(k + BATCH, e)) for s, e in zip(edges, edges[1:], strict=False) for k in range(s, e, BATCH)):
+                rest = [b.column(k).slice(begin, end - begin) for k in range(b.num_columns - 1)]
+                if some[begin]:
+                    own = pa.StructArray.from_arrays(given.slice(begin, end - begin).flatten(), fields=list(given.type))
+                    q = np.array(own.field("q").to_pylist(), float)
+                    low, high = (own.field(n).to_numpy(zero_copy_only=False)[:, None] for n in ("low", "high"))
+                    mask = polygon_cells(q)
+                    inside = mask.reshape(-1, 64, 64).repeat(4, axis=1).repeat(4, axis=2).reshape(len(q), -1)
+                    image = np.clip(low + (high - low) * inside + NOISE * noise(own.field("key").to_numpy(zero_copy_only=False).view(np.uint64), 256 * 256), 0.0, 1.0)
+                    made = [_lists(heat_maps(q.reshape(-1, 2), sigma).reshape(len(q), 4, -1)), _lists(mask), _lists(image)]
+                else:
+                    made = [pa.nulls(end - begin, t) for t in (pa.list_(pa.list_(pa.float64())), pa.list_(pa.int32()), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*rest, *made], names=names)
+
+    return framed.select("*", F.when(F.col("q").isNotNull(), drawn).alias(parts)).mapInArrow(run, schema)
 
 
 #: Deformations that a kind of sample must have, and those that it must not have; whether it needs a known geometry.

@@ -19,7 +19,7 @@ from vellum.sources import tables
 
 def synthetic_samples(spark, sf):
     """A made page of each supplier: its size, two corners in the frame, cells of its mask, bright cells of its image, peaks of two heat maps."""
-    s = Z.synthetic(M.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", seed=7)
+    s = Z.synthetic(M.spread(M.table(spark, sf, "supplier").select("s_suppkey")), "s_suppkey", seed=7)
     count = lambda c, ok: F.aggregate(c, F.lit(0), lambda n, v: n + F.when(ok(v), 1).otherwise(0))
     corner = lambda k, axis: F.round(F.col("q")[k][axis], 5)
     return s.select(

@@ -21,6 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/vellum-tables/{sc.applicationId}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
