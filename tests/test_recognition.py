@@ -407,3 +407,22 @@ def test_search_after_a_change(spark, tmp_path):
     assert terms() == {"alpha", "beta"} == terms()
     table(["gamma", "delta"])
     assert terms() == {"gamma", "delta"}
+
+
+def test_figures_are_looked_for_once(spark, monkeypatch):
+    """Both steps of apart() read what components() found, not the masks again."""
+    pages = spark.createDataFrame([(1, [0] * 30 + ([0] * 2 + [1] * 4 + [0] * 4) * 4 + [0] * 30, 10)], "page long, mask array<int>, w int")
+    none = spark.createDataFrame([], "page long, left int, top int, right int, bottom int")
+    found = U.figures(U.components(pages), none)
+    assert [tuple(r) for r in found.select("left", "top", "right", "bottom").collect()] == [(2, 3, 6, 7)]
+    assert "PythonUDF" not in found._jdf.queryExecution().optimizedPlan().toString() and "pandas" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_events_and_pages_are_spread_over_the_cores(spark):
+    from vellum.plans import geometry_queries as GQ
+    from vellum.plans import recognition_queries as RQ
+
+    folder = "/root/testdata/sf0.001"
+    cores = spark.sparkContext.defaultParallelism
+    for df in (GQ.frames(spark, folder), RQ.figure_pages(spark, folder), RQ.ruled_pages(spark, folder)):
+        assert df.rdd.getNumPartitions() >= cores

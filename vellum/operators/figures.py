@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.quads import let
 from vellum.operators.pages import labelled
+from vellum.sources.tables import stored
 
 # Fixed values -------------------------------------------------------------------------------------------------
 LEAST_FIGURE, MOST_FIGURE, NARROWEST, WIDEST, SOLID = 0.02, 0.5, 0.2, 5.0, 0.5
@@ -102,7 +103,8 @@ def figures(found: DataFrame, regions: DataFrame, key: str = "page") -> DataFram
     wide, high = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
     page = F.col("page_width") * F.col("page_height")
     fit = found.where((wide * high >= page * LEAST_FIGURE) & (wide * high <= page * MOST_FIGURE) & (wide / high > NARROWEST) & (wide / high < WIDEST) & (F.col("density") > SOLID))
-    return apart(fit, regions, key).select(key, "nth", "left", "top", "right", "bottom", F.col("density").alias("conf"))
+    # two steps of apart() read what is found; without this the masks are searched for each
+    return apart(stored(fit, "figures"), regions, key).select(key, "nth", "left", "top", "right", "bottom", F.col("density").alias("conf"))
 
 
 def ruled_boxes(pages: DataFrame, key: str, values: str = "mask", width: str = "w", region: str | None = None) -> DataFrame:

@@ -28,22 +28,28 @@ REST_FOOTER, SMALLEST = (0.03, 0.15), 100
 def labelled(ink: np.ndarray, diagonal: bool = False) -> np.ndarray:
     """Component of each cell of a mask, by its first cell in reading order; -1 where there is no ink."""
     h, w = ink.shape
-    label = np.where(ink, np.arange(h * w).reshape(h, w), h * w)
-    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
+    out = np.full(h * w, -1)
+    edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    # runs of ink in reading order; those of the row above that a run touches are neighbours in it
+    wide, slant, above = w + 2, int(diagonal), (row - 1) * (w + 2)
+    first = np.searchsorted(row * wide + end, above + start - slant, "right")
+    n = np.maximum(0, np.searchsorted(row * wide + start, above + end + slant) - first)
+    below = np.repeat(np.arange(len(row)), n)
+    over = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    label = np.arange(len(row))
     while True:
-        before = label.copy()
-        for dy, dx in steps:
-            a = label[: h - dy, max(0, -dx) : w - max(0, dx)]
-            b = label[dy:, max(0, dx) : w + min(0, dx)]
-            both = (a < h * w) & (b < h * w)
-            # the two overlap, so the second minimum must see what the first one wrote
-            np.copyto(a, np.minimum(a, b), where=both)
-            np.copyto(b, np.minimum(a, b), where=both)
-        # each cell takes the label of the cell that its label names
-        flat = np.append(label.ravel(), h * w)
-        label = flat[label]
-        if np.array_equal(label, before):
-            return np.where(ink, label, -1)
+        a, b = label[over], label[below]
+        if np.array_equal(a, b):
+            break
+        least = np.minimum(a, b)
+        for at in (a, b):
+            np.minimum.at(label, at, least)
+        # each run takes the label of the run that its label names
+        while not np.array_equal(named := label[label], label):
+            label = named
+    out[ink.ravel()] = np.repeat((row * w + start)[label], end - start)
+    return out.reshape(h, w)
 
 
 def cells_of(label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
