@@ -160,3 +160,14 @@ def test_regions_equal_a_plain_search(spark):
 def test_pages_without_ink_or_cells(spark):
     sheets = {1: None, 2: np.zeros((0, 1), bool), 3: np.zeros((120, 110), bool), 4: np.ones((1, 1), bool), 5: np.ones((300, 200), bool)}
     assert regions(spark, sheets) == {3: [("COLUMN", 0, 0, 0, 110, 120)], 4: [("COLUMN", 0, 0, 0, 1, 1)], 5: [("COLUMN", 0, 0, 0, 200, 300)]}
+
+
+def test_rows_of_ink_are_not_broadcast(spark):
+    """Their files are a fraction of their size, so Spark's own choice would collect them on the driver."""
+    from vellum.operators import pages as Q
+
+    rows = spark.createDataFrame([(1, 120, 200, y, [3, 4, 5]) for y in range(200)], "page long, w int, h int, y int, xs array<int>")
+    sheets = spark.createDataFrame([(1, 120, 200, None, None, 0, 200)], "page long, w int, h int, header int, footer int, top int, bottom int")
+    columns = spark.createDataFrame([(1, 0, 0, 60), (1, 1, 60, 120)], "page long, column_index int, left int, right int")
+    plan = Q.footers_below(rows, sheets, columns, "page")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in "".join(x for x in plan.splitlines() if "xs" in x) and plan.count("SortMergeJoin") >= 3

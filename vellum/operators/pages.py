@@ -138,10 +138,11 @@ def body_columns(rows: DataFrame, sheets: DataFrame, key: str) -> DataFrame:
     """key, column_index, left, right: the columns of the bodies() of pages; one where the body has less than 100 pixels a side."""
     body = sheets.where("bottom > top")
     large = F.least(F.col("bottom") - F.col("top"), F.col("w")) >= SMALLEST
-    ink = rows.join(body.where(large).select(key, "top", "bottom"), key).where("y >= top AND y < bottom")
+    # rows of ink are stored in a fraction of their size, by which Spark would broadcast them: they are merged
+    ink = rows.hint("merge").join(body.where(large).select(key, "top", "bottom"), key).where("y >= top AND y < bottom")
     counts = ink.select(key, F.explode("xs").alias("x")).groupBy(key, "x").agg(F.count("*").cast("int").alias("v"))
     places = body.where(large).select(key, F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    profile = stored(places.join(counts, [key, "x"], "left").select(key, "x", F.coalesce("v", F.lit(0)).alias("v")), "ink-columns")
+    profile = stored(places.join(counts.hint("merge"), [key, "x"], "left").select(key, "x", F.coalesce("v", F.lit(0)).alias("v")), "ink-columns")
     one = body.where(~large).select(key, F.lit(0).alias("column_index"), F.lit(0).alias("left"), F.col("w").alias("right"))
     return detect_columns(profile, key).unionByName(one)
 
@@ -160,7 +161,7 @@ def footers_below(rows: DataFrame, sheets: DataFrame, columns_: DataFrame, key:
         F.coalesce(F.min(F.when(F.col("right") > half, F.col("left"))), F.max("w")).alias("gap_to"),
     )
     several = sheets.join(gap.where("parts > 1"), key).select(key, "top", "bottom", "gap_from", "gap_to")
-    inside = rows.join(several, key).where("y >= top AND y < bottom")
+    inside = rows.hint("merge").join(several, key).where("y >= top AND y < bottom")
     n, room = F.size("xs"), F.col("gap_to") - F.col("gap_from")
     first, last = F.get("xs", F.lit(0)), F.get("xs", n - 1)
     crossed = F.size(F.filter("xs", lambda x: (x >= F.col("gap_from")) & (x < F.col("gap_to"))))
@@ -173,7 +174,7 @@ def footers_below(rows: DataFrame, sheets: DataFrame, columns_: DataFrame, key:
         found = runs(lines.where(F.col("x") >= F.col("bottom") - F.floor(F.col("h") * scan)), F.col(kind), key)
         return found.where(F.col("n") >= least).groupBy(key).agg(F.max("start").alias(f"{kind}_at"))
 
-    part = inside.join(columns_, key).select(
+    part = inside.hint("merge").join(columns_, key).select(
         F.struct(key, "column_index").alias("part"),
         (F.col("y") - F.col("top")).alias("x"),
         F.size(F.filter("xs", lambda x: (x >= F.col("left")) & (x < F.col("right")))).alias("v"),
@@ -183,7 +184,7 @@ def footers_below(rows: DataFrame, sheets: DataFrame, columns_: DataFrame, key:
     at = several.join(lowest("wide", WIDE_SCAN, 1), key, "left").join(lowest("low", LOW_SCAN, LOW_ROWS), key, "left").join(ends, key, "left")
     at = at.select(key, "bottom", "wide_at", "low_at", (F.col("top") + F.col("rest")).alias("rest_at"))
     kinds = {"wide_at": WIDE_FOOTER, "low_at": LOW_FOOTER, "rest_at": REST_FOOTER}
-    weighed = rows.join(at, key).where("y < bottom").groupBy(key, "w", "h", "bottom", *kinds).agg(*(F.coalesce(F.sum(F.when(F.col("y") >= F.col(k), n)), F.lit(0)).alias(f"{k}_ink") for k in kinds))
+    weighed = rows.hint("merge").join(at, key).where("y < bottom").groupBy(key, "w", "h", "bottom", *kinds).agg(*(F.coalesce(F.sum(F.when(F.col("y") >= F.col(k), n)), F.lit(0)).alias(f"{k}_ink") for k in kinds))
 
     def fits(k: str, least: float, most: float) -> Column:
         high = F.col("bottom") - F.col(k)

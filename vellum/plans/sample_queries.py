@@ -50,18 +50,20 @@ def sheet_layouts(spark, sf):
     k = F.col("s_suppkey").cast("int")
     w, h = 120 + k % 3 * 20, 200 + k % 4 * 40
     two = k % 5 < 3
-    sized = M.table(spark, sf, "supplier").select(k.alias("page"), w.alias("w"), h.alias("h"), two.alias("two"), (k % 4 == 0).alias("head"), (k % 7).alias("foot"))
-
-    def cell(s, i):
-        x, y = i % s["w"], F.floor(i / s["w"])
-        gap = s["two"] & (x >= s["w"] / 2 - 6) & (x < s["w"] / 2 + 6)
-        text = (y >= s["h"] * 0.15) & (y < s["h"] * 0.85) & (y % 4 < 2) & ~gap & (x % 3 > 0)
-        head = s["head"] & (y >= 2) & (y < 6) & (x >= 20) & (x < 100)
-        end = F.when(s["foot"] == 1, s["w"] * 0.9).when(s["foot"].isin(2, 3), s["w"] * 0.55).when(s["foot"] == 4, s["w"] * 0.3)
-        low = (y >= s["h"] * 0.93) & (y < s["h"] * 0.93 + F.when(s["foot"] == 3, 4).otherwise(2)) & (x >= 4) & F.coalesce(x < end, F.lit(False))
-        return (text | head | low).cast("int")
-
-    mask = G.let(F.struct("w", "h", "two", "head", "foot"), lambda s: F.transform(F.sequence(F.lit(0), s["w"] * s["h"] - 1), lambda i: cell(s, i)))
+    sized = M.spread(M.table(spark, sf, "supplier").select("s_suppkey")).select(k.alias("page"), w.alias("w"), h.alias("h"), two.alias("two"), (k % 4 == 0).alias("head"), (k % 7).alias("foot"))
+
+    w, h, foot = F.col("w"), F.col("h"), F.col("foot")
+    cells = lambda ink: F.transform(F.sequence(F.lit(0), w - 1), lambda x: F.coalesce(ink(x), F.lit(False)).cast("int"))
+    end = F.when(foot == 1, w * 0.9).when(foot.isin(2, 3), w * 0.55).when(foot == 4, w * 0.3)
+    # a row of a page is one of four
+    text = cells(lambda x: ~(F.col("two") & (x >= w / 2 - 6) & (x < w / 2 + 6)) & (x % 3 > 0))
+    rows = F.struct(text.alias("text"), cells(lambda x: (x >= 20) & (x < 100)).alias("head"), cells(lambda x: (x >= 4) & (x < end)).alias("low"), cells(lambda x: x < 0).alias("none"))
+
+    def line(r, y):
+        kind = F.when((y >= h * 0.15) & (y < h * 0.85) & (y % 4 < 2), r["text"]).when(F.col("head") & (y >= 2) & (y < 6), r["head"])
+        return kind.when((y >= h * 0.93) & (y < h * 0.93 + F.when(foot == 3, 4).otherwise(2)), r["low"]).otherwise(r["none"])
+
+    mask = G.let(rows, lambda r: F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda y: line(r, y))))
     return Q.analyze(sized.select("page", "w", mask.alias("a")), "page", "a", "w")
 
 
