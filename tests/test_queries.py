@@ -49,3 +49,15 @@ def test_query(spark, sql, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_words_of_a_document_are_not_shuffled(spark):
+    """What groups words by document, or terms by page, has the exchange of the texts and no other (but where a Python step lies between)."""
+    from vellum.operators import layout as Y
+    from vellum.operators import search as S
+    from vellum.plans import model as M
+
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(Y.pages(M.words(spark, FOLDER))) == 1
+    assert exchanges(S.index(M.page_text(spark, FOLDER))[0]) == 1
+    assert all(exchanges(entry.queries()[n](spark, FOLDER)) == 1 for n in ("lighting", "hocr_words"))
