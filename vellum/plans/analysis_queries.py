@@ -334,7 +334,8 @@ def quad_validity(spark, sf):
 
 def lighting(spark, sf):
     """Lighting of documents read as 60 columns of character codes."""
-    chars = M.table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "")).alias("k", "c"))
+    # texts are dealt by page before they are cut, so that no characters are shuffled
+    chars = M.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "")).alias("k", "c"))
     d = P.half_differences(chars.where("c <> ''").select("page", (F.col("k") % 60).alias("x"), F.floor(F.col("k") / 60).alias("y"), F.ascii("c").alias("v")))
     return d.select("page", F.round("difference", 6).alias("difference"), "uneven")
 
