@@ -23,7 +23,8 @@ def word_lists(spark, sf):
     """The documents' words as JSON lists, written, read back and parsed."""
     path = _folder(spark, "word-lists")
     R.words_json(M.words(spark, sf), "doc_id").write.parquet(path)
-    words = R.parse_words(spark.read.parquet(path), "json")
+    # lists are dealt by document before they are parsed, so that no words are shuffled
+    words = R.parse_words(spark.read.parquet(path).repartition("doc_id"), "json")
     read = words.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("r"), *(F.sum(c).alias(f"{c}s") for c in ("left", "bottom")), F.round(F.avg("conf01"), 4).alias("conf"))
     return read.withColumn("words", F.md5(F.array_join(F.transform("r", lambda x: x["w"]), " "))).drop("r")
 
@@ -64,9 +65,13 @@ def index_updates(spark, sf):
 
 def language_words(spark, sf):
     """Words of each document that its language's dictionary, made of the conversations, has; languages without one pass all."""
-    docs = M.table(spark, sf, "documents").select("doc_id", "lang", F.explode(F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "")).alias("w"))
+    texts = M.table(spark, sf, "documents").select("doc_id", "lang", "text").repartition("doc_id")
+    words = texts.select("doc_id", "lang", F.explode(F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "")).alias("w"))
+    # a word meets the dictionary once for each document, however often it has it
+    docs = words.groupBy("doc_id", "lang", F.lower("w").alias("w")).agg(F.count("*").alias("times"))
     known = M.table(spark, sf, "conversations").select(F.when(F.col("conv_id") % 2 == 0, "en").otherwise("de").alias("lang"), F.explode(F.split(F.lower("text"), r"[ \t\r\n]+")).alias("word"))
-    return S.valid_words(docs, known).groupBy("doc_id", "lang").agg(F.count_if("valid").alias("valid"), F.count("*").alias("n"))
+    times = F.col("times")
+    return S.valid_words(docs, known).groupBy("doc_id", "lang").agg(F.sum(F.when(F.col("valid"), times).otherwise(0)).alias("valid"), F.sum(times).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (word_lists, label_lines, frame_labels, index_updates, language_words)}
