@@ -84,3 +84,24 @@ def test_near_dedup_links_edited_copies(spark):
     from vellum.llm import shingles
 
     assert sorted(x["doc_id"] for x in shingles.keep_one(docs, shard=2).collect()) == want
+
+
+def test_near_duplicates_meet_by_fingerprints(spark, monkeypatch):
+    """The stage's links come out of BK-trees of fingerprints: sets with a similarity of 0.8 are within the radius, and without trees there are none."""
+    import numpy as np
+
+    from vellum.llm import shingles, simhash
+
+    r = np.random.default_rng(7)
+    for n in (5, 6, 9, 20, 90, 1000):
+        for _ in range(100):
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            # as many others in place as a similarity of 0.8 allows
+            b = np.concatenate([a[: n - n // 9], r.integers(0, 1 << 63, n // 9).astype(np.uint64)])
+            assert (shingles.fingerprint(np.unique(a)) ^ shingles.fingerprint(np.unique(b))).bit_count() <= shingles.RADIUS
+            assert (shingles.fingerprint(np.unique(a)) ^ shingles.fingerprint(np.unique(a[: -(-n * 4 // 5)]))).bit_count() <= shingles.RADIUS
+    codes = np.array([0, 1, (1 << 64) - 1, 3], np.uint64)
+    assert [x.tolist() for x in shingles.near(codes)] == [[0, 1, 3]]
+    searched = []
+    monkeypatch.setattr(simhash.BKTree, "stars", lambda self, radius: searched.append(radius) or [])
+    assert shingles.near(codes) == [] and searched == [shingles.RADIUS]

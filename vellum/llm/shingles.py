@@ -1,10 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, for the corpus pipeline.
+"""Near-duplicates by SimHash fingerprints in BK-trees and the Jaccard similarity of word shingles, for the corpus pipeline.
 
-Equal shingle sets are one node. Nodes meet in the buckets of 16 bands of 4 min-hashes: a pair with a similarity of
-0.8 meets with a probability of 0.9998, a closer one more surely. In a bucket the sets themselves are compared, so
-that a link is exact; a bucket gives a spanning star of each of its components, never all pairs. Only nodes that
-share a bucket have their sets made again and shipped, once for all buckets with the same members. A bucket with
-more than SHARD nodes is cut into slices, and every pair of slices is a shard.
+Equal shingle sets are one node, with the SimHash of its shingles. Nodes are dealt into shards, the buckets of 16 bands of 4
+min-hashes: a pair with a similarity of 0.8 meets with a probability of 0.9998, a closer one more surely. A shard has a
+BK-tree of its fingerprints, as in simhash; of a pair of similarity 0.8 some 10 bits differ, and RADIUS is 4 standard deviations
+and more above that. Nodes that no other is within the radius of end there. Of all others the sets themselves are compared, so that a
+link is exact; a shard gives a spanning star of each of its components, never all pairs. A bucket with more than SHARD nodes is cut into
+slices, and every pair of slices is a shard. Agreeing blocks of bits, as simhash has them, would not thin out at this radius.
 
 A text of fewer words than a shingle has one shingle; null text and text without words have none and are equal.
 """
@@ -23,7 +24,7 @@ from vellum.llm import simhash
 from vellum.llm.common import shuffle_width, stored
 from vellum.llm.components import components
 
-BANDS, BAND, SHARD, SHINGLES = 16, 4, 1_024, 1 << 14
+BANDS, BAND, SHARD, SHINGLES, RADIUS = 16, 4, 1_024, 1 << 14, 26
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * BAND)).astype(np.uint64)
 MASKS, FACTORS = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -38,6 +39,20 @@ def shingle_set(text: bytes, size: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[k : k + size]), 42) for k in range(len(words) - size + 1)], np.uint64))
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a shingle set: a bit is set if it is in over half of the shingles."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(own), SHINGLES):
+        counts += np.unpackbits(own[k : k + SHINGLES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(own)).tobytes(), "big")
+
+
+def near(codes: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
+    """The places of each component with others, of the links of fingerprints within the radius, by a BK-tree."""
+    found = simhash.BKTree(codes).stars(radius)
+    return [np.sort(np.append(others, centre)) for centre, others in found]
+
+
 def bands(own: np.ndarray) -> np.ndarray:
     """A hash of each band of min-hashes."""
     least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
@@ -80,13 +95,38 @@ def stars(sets: list[np.ndarray], similar: float = 0.8) -> list[tuple[int, np.nd
 
 
 def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similar: float = 0.8, shard: int = SHARD) -> DataFrame:
-    """a, b: spanning stars of the links among nodes (fp, key: array of bands), whose sets (fp, set) sets() makes of those (fp) that meet another."""
-    met = nodes.select("fp", F.explode("key").alias("key"))
+    """a, b: spanning stars of the links among nodes (fp, code: SimHash, key: array of bands), whose sets (fp, set) sets() makes of those (fp) that are near another."""
+    met = nodes.select("fp", "code", F.explode("key").alias("key"))
     buckets = met.groupBy("key").agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(fp) AS decimal(38, 0)))").alias("who")).where("n > 1")
     buckets = stored(buckets.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(n / {shard}) AS int)").alias("slices")), "buckets")
     sliced = met.join(buckets, "key").withColumn("own", F.expr("cast(pmod(xxhash64(fp, 11), slices) AS int)"))
     pair = "transform(filter(sequence(0, slices - 1), t -> t <> own), t -> least(t, own) * 1000000L + greatest(t, own))"
-    tiles = stored(sliced.select("key", "fp", F.explode(F.expr(f"CASE WHEN slices = 1 THEN array(-1L) ELSE {pair} END")).alias("pair")), "tiles")
+    tiles = sliced.select("key", F.explode(F.expr(f"CASE WHEN slices = 1 THEN array(-1L) ELSE {pair} END")).alias("pair"), "fp", "code")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each shard the nodes that a BK-tree links with another, with the place of their component."""
+
+        def found(key: tuple, fps: list[int], codes: list[int]) -> Iterator[pa.RecordBatch]:
+            own = np.array(fps, np.int64)
+            for part, at in enumerate(near(np.array(codes, np.int64).view(np.uint64)) if len(fps) > 1 else []):
+                columns = [np.full(len(at), x, np.int64) for x in (*key, part)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, own[at])], names=["key", "pair", "part", "fp"])
+
+        key, fps, codes = None, [], []
+        for b in batches:
+            for k, p, fp, code in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
+                if (k, p) != key:
+                    if key is not None:
+                        yield from found(key, fps, codes)
+                    key, fps, codes = (k, p), [], []
+                fps.append(fp)
+                codes.append(code)
+        if key is not None:
+            yield from found(key, fps, codes)
+
+    width = shuffle_width(nodes.sparkSession)
+    sharded = tiles.repartition(width, "key", "pair").sortWithinPartitions("key", "pair")
+    tiles = stored(sharded.mapInArrow(candidates, "key long, pair long, part long, fp long"), "tiles")
     of = sets(tiles.select("fp").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,16 +138,16 @@ def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similar: flo
 
         key, fps, own = None, [], []
         for b in batches:
-            for k, p, fp, data in zip(*(b.column(j).to_pylist() for j in range(3)), b.column(3), strict=True):
-                if (k, p) != key:
+            for k, p, n, fp, data in zip(*(b.column(j).to_pylist() for j in range(4)), b.column(4), strict=True):
+                if (k, p, n) != key:
                     yield from found(fps, own)
-                    key, fps, own = (k, p), [], []
+                    key, fps, own = (k, p, n), [], []
                 fps.append(fp)
                 own.append(np.frombuffer(data.as_buffer(), np.uint64))
         yield from found(fps, own)
 
-    joined = tiles.join(of, "fp").select("key", "pair", "fp", "set")
-    return joined.repartition(shuffle_width(nodes.sparkSession), "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "a long, b long").distinct()
+    joined = tiles.join(of, "fp").select("key", "pair", "part", "fp", "set")
+    return joined.repartition(width, "key", "pair", "part").sortWithinPartitions("key", "pair", "part").mapInArrow(run, "a long, b long").distinct()
 
 
 def labelled(docs: DataFrame, size: int = 5, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:
@@ -121,22 +161,23 @@ def labelled(docs: DataFrame, size: int = 5, similar: float = 0.8, id_col: str =
         for b in batches:
             own = [shingle_set(t.as_py(), size) for t in b.column(1)]
             key = [bands(s).tolist() if len(s) else [] for s in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), signed([name(s) for s in own]), pa.array(key, pa.list_(pa.int64()))], names=["id", "fp", "key"])
+            codes = signed([fingerprint(s) for s in own])
+            yield pa.RecordBatch.from_arrays([b.column(0), signed([name(s) for s in own]), codes, pa.array(key, pa.list_(pa.int64()))], names=["id", "fp", "code", "key"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [shingle_set(t.as_py(), size) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["fp", "set"])
 
-    rows = stored(texts.mapInArrow(keys, f"id {id_type}, fp long, key array<long>"), "shingle-keys")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("key").alias("key")), "shingle-nodes")
+    rows = stored(texts.mapInArrow(keys, f"id {id_type}, fp long, code long, key array<long>"), "shingle-keys")
+    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("code").alias("code"), F.first("key").alias("key")), "shingle-nodes")
 
     def sets(of: DataFrame) -> DataFrame:
         least = nodes.join(of, "fp").select("fp", "least", F.xxhash64("least").alias("h"))
         found = texts.withColumn("h", F.xxhash64("id")).join(least, "h").where(F.col("id").eqNullSafe(F.col("least")))
         return found.select("fp", "text").dropDuplicates(["fp"]).mapInArrow(again, "fp long, set binary")
 
-    label = components(links(nodes.select("fp", "key"), sets, similar, **options))
+    label = components(links(nodes.select("fp", "code", "key"), sets, similar, **options))
     return rows, nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
 
 
