@@ -669,3 +669,18 @@ def test_overlap_by_rows_against_cells():
     a, b = G._inside(p, x, y), G._inside(q, x, y)
     both, any_ = G._overlap(p, q, w, h, 16)
     assert (both == (a & b).sum(axis=1)).all() and (any_ == (a | b).sum(axis=1)).all()
+
+
+def test_edit_distance_of_long_texts(spark):
+    """As Spark's levenshtein, over letters beyond ASCII and the BMP, nulls and empty texts; two texts of 12,000 code points take no table of all cells."""
+    import random
+
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdéß😀") for _ in range(n))
+    pairs = [(some(rng.randrange(90)), some(rng.randrange(90))) for _ in range(200)] + [(a, a[:k] + some(3) + a[k + 2 :]) for a in (some(150),) for k in range(0, 150, 9)] + [("", ""), ("", "ab"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(~T.edit_distance("a", "b").eqNullSafe(F.levenshtein("a", "b"))).count() == 0
+    plan = df.select(T.cer(F.col("a"), F.col("b")).alias("cer"))._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein" not in plan and "edit_distance" in plan
+    long = "aB" * 6000
+    assert spark.createDataFrame([(long, long.lower())], "a string, b string").select(T.cer(F.col("a"), F.col("b"))).first()[0] == 0.5
