@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -61,3 +62,28 @@ def test_words_of_a_document_are_not_shuffled(spark):
     assert exchanges(Y.pages(M.words(spark, FOLDER))) == 1
     assert exchanges(S.index(M.page_text(spark, FOLDER))[0]) == 1
     assert all(exchanges(entry.queries()[n](spark, FOLDER)) == 1 for n in ("lighting", "hocr_words"))
+
+
+def test_index_is_saved_without_shuffling_postings(spark, tmp_path):
+    """Segments by page, each sorted by term: a frequent term is spread over all, and repeated pages keep all their places."""
+    from vellum.operators import search as S
+
+    rows = [(f"s{k}", 0, f"the word{k} the Éa") for k in range(40)] + [("s1", 0, "the"), ("s2", 1, None), ("s3", 1, " - ")]
+    pages = spark.createDataFrame(rows, "scan_id string, page_index int, text string").repartition(4, "scan_id")
+    S.save(pages, str(tmp_path))
+    postings, lengths = S.load(spark, str(tmp_path))
+    got = {(r.term, r.scan_id, r.page_index): (r.tf, r.positions) for r in postings.collect()}
+    want = {(t, f"s{k}", 0): (n, p) for k in range(40) for t, n, p in (("the", 2, [0, 2]), (f"word{k}", 1, [1]), ("ea", 1, [3]))}
+    assert got == want | {("the", "s1", 0): (3, [0, 0, 2])} and lengths.count() == len(rows)
+    files = postings.groupBy(F.input_file_name().alias("f")).agg(F.collect_list("term").alias("terms")).collect()
+    assert len(files) > 1 and all("the" in r.terms and r.terms == sorted(r.terms) for r in files)
+
+
+def test_lengths_need_no_saved_index(spark, tmp_path, monkeypatch):
+    """What reads every posting or length once saves no index first."""
+    from vellum.operators import search as S
+
+    spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(S, "save", None)
+    assert {(r.scan_id, r.length) for r in entry.queries()["search_lengths"](spark, str(tmp_path)).collect()} == {("1", 2), ("2", 1)}
+    assert entry.queries()["search_index"](spark, str(tmp_path)).count() == 3

@@ -1,8 +1,8 @@
 """Full-text search: tokens, a positional inverted index as a table, BM25 ranking, snippets and dictionary suggestions.
 
 The index is three tables: postings (term, scan_id, page_index, tf, positions), the pages' lengths and the corpus
-totals. A query reads only the postings whose term begins with one of its words (of a saved index, only the files and
-row groups that may hold such terms), and ranks with a top-k.
+totals. A query reads only the postings whose term begins with one of its words (of a saved index, only the pages of
+its files that may hold such terms), and ranks with a top-k.
 """
 
 from __future__ import annotations
@@ -36,20 +36,57 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
+POSTINGS = "term string, scan_id string, page_index int, tf bigint, positions array<int>"
+
+
 def index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of pages (scan_id, page_index, text): one shuffle by term and page, none for the lengths."""
-    words = pages.select("scan_id", "page_index", tokens(F.col("text")).alias("tokens"))
-    lengths = words.select("scan_id", "page_index", F.size("tokens").alias("length"))
-    flat = words.select("scan_id", "page_index", F.posexplode("tokens").alias("at", "term"))
-    postings = flat.groupBy("term", "scan_id", "page_index").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-    return postings, lengths
+    """(postings, lengths) of pages (scan_id, page_index, text): one shuffle of the texts by page, none for the lengths.
+
+    A page's words are sorted where its text lies, in Arrow batches, and are never rows of their own.
+    """
+    texts = pages.select(F.col("scan_id").cast("string"), F.col("page_index").cast("int"), "text").groupBy("scan_id", "page_index").agg(F.collect_list("text").alias("texts"))
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            ids, numbers, lists = batch.columns
+            # a page has one text, or more where it is listed more often
+            words = pc.list_flatten(lists)
+            text = pc.list_parent_indices(words).to_numpy()
+            if not len(text):
+                continue
+            begin = words.offsets.to_numpy()
+            at, row = np.arange(len(text)) - (begin[:-1] - begin[0])[text], pc.list_parent_indices(lists).to_numpy()[text]
+            coded = pc.dictionary_encode(pc.list_flatten(words))
+            code = coded.indices.to_numpy()
+            order = np.lexsort((at, code, row))
+            row, code = row[order], code[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])])
+            ends = np.r_[first, len(row)].astype(np.int32)
+            page = pa.array(row[first])
+            columns = [coded.dictionary.take(pa.array(code[first])), ids.take(page), numbers.take(page), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "scan_id", "page_index", "tf", "positions"])
+
+    return texts.select("scan_id", "page_index", F.transform("texts", tokens).alias("words")).mapInArrow(cut, POSTINGS), lengths(pages)
+
+
+def lengths(pages: DataFrame) -> DataFrame:
+    """scan_id, page_index, length of pages: their numbers of tokens."""
+    return pages.select("scan_id", "page_index", F.size(tokens(F.col("text"))).alias("length"))
 
 
 def save(pages: DataFrame, folder: str) -> None:
-    """Writes the index of pages: postings by ranges of terms, so that a search reads the files of its prefixes only, and the lengths."""
-    postings, lengths = index(pages)
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    """Writes the index of pages: a segment of postings for each part of the pages, sorted by term, and the lengths.
+
+    A search reads of each segment only the pages of Parquet that may hold its prefixes. No posting is shuffled, and however
+    frequent a term is, a task has its postings of one part only.
+    """
+    postings, lengths_ = index(pages)
+    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    lengths_.write.mode("overwrite").parquet(f"{folder}/lengths")
 
 
 def load(spark, folder: str) -> tuple[DataFrame, DataFrame]:
