@@ -87,3 +87,13 @@ def test_lengths_need_no_saved_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "save", None)
     assert {(r.scan_id, r.length) for r in entry.queries()["search_lengths"](spark, str(tmp_path)).collect()} == {("1", 2), ("2", 1)}
     assert entry.queries()["search_index"](spark, str(tmp_path)).count() == 3
+
+
+def test_words_are_cut_in_parts_of_bounded_size(spark, monkeypatch):
+    """Texts are dealt into as many parts as their size asks for, however few Spark would make of them."""
+    from vellum.plans import model as M
+
+    monkeypatch.setattr(M, "CUT", 1)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(M.tables, "size", lambda *_: n + 7)
+    assert all(df.rdd.getNumPartitions() == n + 7 for df in (M.words(spark, FOLDER), M.page_text(spark, FOLDER)))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.sources import tables
+
 DAY_MS = 86_400_000
+#: Bytes of Parquet whose texts one task cuts: their words, some 40 times as many bytes as rows, fit into its memory.
+CUT = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +22,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The number of parts that texts to be cut are dealt into; none for small tables, for which Spark's own number will do."""
+    n = -(-tables.size(spark, f"{sf_dir}/documents.parquet") // CUT)
+    return [max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))] if n > spark.sparkContext.defaultParallelism else []
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
         "cast(doc_id AS string) AS id",
@@ -59,8 +69,8 @@ EDGES = """edges AS (SELECT CAST(doc_id AS VARCHAR) AS scan_id, lang AS collecti
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages dealt by scan: terms and postings of a scan are grouped where its text lies, and never shuffled one by one."""
-    return table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS scan_id", "text").repartition("scan_id").selectExpr("scan_id", "0 AS page_index", "text")
+    """Pages dealt by scan, in parts of bounded size: terms and postings of a scan are grouped where its text lies, and never shuffled one by one."""
+    return table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS scan_id", "text").repartition(*_parts(spark, sf_dir), "scan_id").selectExpr("scan_id", "0 AS page_index", "text")
 
 
 PAGE_TEXT = "page_text AS (SELECT CAST(doc_id AS VARCHAR) AS scan_id, 0 AS page_index, text FROM documents)"
@@ -73,12 +83,13 @@ def with_(*parts: str) -> str:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positioned words: doc_id, pos, w (some misread on purpose), conf (0 to 99), left, top, right, bottom.
 
-    The texts are dealt by document before they are cut, so that what groups words by document shuffles no words.
+    The texts are dealt by document before they are cut, so that what groups words by document shuffles no words, and into parts
+    whose words fit into a task's memory, so that it spills none either.
     """
     return (
         table(spark, sf_dir, "documents")
         .select("doc_id", "text")
-        .repartition("doc_id")
+        .repartition(*_parts(spark, sf_dir), "doc_id")
         .selectExpr("doc_id", r"posexplode(filter(split(text, '[ \\t\\r\\n]+'), w -> w <> '')) AS (pos, raw)")
         .selectExpr(
             "doc_id",

@@ -39,6 +39,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a table's files, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def version(df: DataFrame) -> str:
     """A name for the state of the files that df reads: it changes with any file's name, size or time of modification.
 
