@@ -14,6 +14,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vellum.functions import warps as K
+from vellum.operators import assembly as A
 from vellum.operators import evaluation as E
 from vellum.operators import figures as U
 from vellum.operators import recognition as R
@@ -426,3 +427,28 @@ def test_events_and_pages_are_spread_over_the_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for df in (GQ.frames(spark, folder), RQ.figure_pages(spark, folder), RQ.ruled_pages(spark, folder)):
         assert df.rdd.getNumPartitions() >= cores
+
+
+def test_tokens_are_split_in_batches(spark):
+    """The words of split tokens, made for a whole batch at once, are those of split_words() on the segments of each line; odd lines among them."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        n = rng.choice([0, 1, 7, 40, 90])
+        ink = None if k % 29 == 0 else [v for _ in range(n) for v in [rng.choice([0, 0, 5000])] * rng.choice([1, 3, 9])]
+        x, y = rng.random() * 50, rng.random() * 50
+        quad = [(x, y), (x + 80.5, y + rng.random()), (x + 81, y + 12), (x - 1, y + 11.25)]
+        text = rng.choice(["", "a", " ab\t", "two words", "\x00wörd😀s\x1f", "long" * 6, "שלום", "x" * 3, None])
+        rows.append((k, quad, text, rng.choice([None, 0.3, 1.7, -1.0]), ink, rng.choice([None, 7, 40, len(ink or [])]), rng.choice([None, 3, 4, 10, 30])))
+    df = spark.createDataFrame(rows, "k int, quad array<struct<x: double, y: double>>, text string, conf double, profile array<int>, width int, height int").withColumns(
+        {"tokens": F.lit(None).cast("array<struct<text: string, conf: double, first: int, last: int>>"), "frames": F.lit(0), "scaled": F.lit(1.0), "padded": F.lit(1.0)}
+    )
+    got = {r.k: r for r in R.recognised(df.repartition(3)).collect()}
+    found = {k: [] if ink is None or high is None or text == "שלום" else A.segments_of(ink, high) for k, _, text, _, ink, _, high in rows}
+    segments = spark.createDataFrame(list(found.items()), "k int, found array<struct<start: int, end: int>>")
+    conf = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce("conf", F.lit(0.0)) * 100))
+    plain = df.join(segments, "k").select("k", R.split_words(F.col("quad"), F.coalesce("text", F.lit("")), conf, F.col("found"), F.col("width"), F.col("height")).alias("w")).collect()
+    split = [r for r in plain if r.w is not None]
+    assert len(split) > 20 and all(got[r.k].words == r.w and got[r.k].emitted == " ".join(w.text for w in r.w) for r in split)
+    assert all(len(got[r.k].words) < 2 and got[r.k].emitted == (got[r.k].text or "") for r in plain if r.w is None)
+    assert "split_batch" in R.recognised(df)._jdf.queryExecution().executedPlan().toString()
