@@ -267,6 +267,33 @@ def test_hot_keys_are_joined_like_others(spark):
         assert got == want
 
 
+def test_plans_of_components_stay_small_with_a_hot_centre(spark, monkeypatch):
+    """A driver keeps the plans and the metrics of all their stages: no table of a round may hold the one before over and over."""
+    from vellum.llm import components
+
+    r = random.Random(3)
+    pairs = [(1_000, k) for k in range(300)] + [(k, k + 1) for k in range(2_000, 2_040)] + [(k, k + 40) for k in range(3_000, 3_100)] + [(299, 2_000), (7, 7)]
+    pairs = [p if r.random() < 0.5 else p[::-1] for p in pairs + pairs[:50]]
+    exchanges = []
+
+    def stored(df, name):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return common.stored(df, name)
+
+    monkeypatch.setattr(components, "stored", stored)
+    got = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in want:
+        before = dict(want)
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    assert got == want
+    assert max(exchanges) <= 8
+
+
 # ---- odd tables
 
 
