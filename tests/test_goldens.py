@@ -230,6 +230,22 @@ def test_tolerant_json(spark):
     assert got == [(0, 0, "a<", 1.0, 2.0, 3.0, 4.0, 0.85), (1, 0, "b", 1.0, 2.0, 10.0, 4.0, 0.0), (1, 1, "c", 5.0, 6.0, 7.0, 9.0, 0.0)]
 
 
+def test_word_lists_at_once_and_word_by_word(spark):
+    """A root array of usual words is read at once; what differs from it in anything gives what its words give one by one."""
+    word = '{"text":"a&#66;&lt;","left":1,"top":2.5,"right":3,"bottom":4,"confidence":85}'
+    texts = {
+        0: f"[{word},{word}]", 1: f' [{word},{{"text":"none"}},{{"text":"c","bbox":[5,6,2,3],"confidence":"50"}}]', 2: word, 3: f"[{word}", 4: '[{"text":1.50,"left":-0.0,"top":"2","right":3,"bottom":4,"confidence":0.5}]',
+        5: word.replace('"top"', '"left":7,"top"').join("[]"), 6: word.replace('"confidence"', '"conf"').join("[]"), 7: "[]", 8: "[null]", 9: word.replace("text", "te\\u0078t").join("[]"), 10: f'{{"left":1,"words":[{word}]}}', 11: None,
+    }
+    usual = lambda pos, conf=0.85: (pos, "aB<", 1.0, 2.5, 3.0, 4.0, conf)
+    want = {0: [usual(0), usual(1)], 1: [usual(0), (2, "c", 5.0, 6.0, 7.0, 9.0, 0.5)], 4: [(0, "1.5", 0.0, 2.0, 3.0, 4.0, 0.5)], 6: [usual(0)], 7: [], 8: [], 9: [usual(0)], 10: [usual(0)]}
+    df = spark.createDataFrame(list(texts.items()), "words long, text string").repartition(2)
+    rows = R.parse_words(df).orderBy("words", "pos").collect()
+    assert [tuple(r) for r in rows] == [(k, *w) for k in sorted(want) for w in want[k]]
+    lists = R.parse_word_lists(df.withColumnRenamed("words", "k"), "text").collect()
+    assert {r.k: r.words and [tuple(w) for w in r.words] for r in lists} == {k: want.get(k) for k in texts}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "words.txt").write_text(" Apple \n#note\n\nbee\napple\n")
     assert sorted(r["word"] for r in S.load_dictionary(spark, str(tmp_path / "words.txt")).collect()) == ["apple", "bee"]

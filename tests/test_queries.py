@@ -97,3 +97,9 @@ def test_words_are_cut_in_parts_of_bounded_size(spark, monkeypatch):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     monkeypatch.setattr(M.tables, "size", lambda *_: n + 7)
     assert all(df.rdd.getNumPartitions() == n + 7 for df in (M.words(spark, FOLDER), M.page_text(spark, FOLDER)))
+
+
+def test_word_lists_shuffle_no_words(spark):
+    """A document is one row from its list on: neither lists nor words are shuffled."""
+    plan = entry.queries()["word_lists"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan

@@ -22,11 +22,14 @@ def _folder(spark, name):
 def word_lists(spark, sf):
     """The documents' words as JSON lists, written, read back and parsed."""
     path = _folder(spark, "word-lists")
-    R.words_json(M.words(spark, sf), "doc_id").write.parquet(path)
-    # lists are dealt by document before they are parsed, so that no words are shuffled
-    words = R.parse_words(spark.read.parquet(path).repartition("doc_id"), "json")
-    read = words.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("r"), *(F.sum(c).alias(f"{c}s") for c in ("left", "bottom")), F.round(F.avg("conf01"), 4).alias("conf"))
-    return read.withColumn("words", F.md5(F.array_join(F.transform("r", lambda x: x["w"]), " "))).drop("r")
+    # small groups of rows, as a reader holds a whole one of long texts in memory
+    R.words_json(M.words(spark, sf), "doc_id").write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(path)
+    # a document is one row from its list on, so no words are shuffled
+    read = R.parse_word_lists(spark.read.parquet(path), "json")
+    total = lambda c: F.aggregate(F.col("words")[c], F.lit(0.0), lambda s, v: s + v)
+    n = F.size("words")
+    found = F.struct(n.cast("long").alias("n"), *(total(c).alias(f"{c}s") for c in ("left", "bottom")), F.round(total("conf01") / n, 4).alias("conf"), F.md5(F.array_join(F.col("words")["w"], " ")).alias("words"))
+    return read.select("doc_id", F.inline_outer(F.when(n > 0, F.array(found)))).where("n IS NOT NULL")
 
 
 def label_lines(spark, sf):

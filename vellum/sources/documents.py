@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import quads as G
 from vellum.functions import text as T
+from vellum.sources import tables
 
 BOX = "struct<left: double, top: double, right: double, bottom: double>"
 PAGE_SCHEMA = """struct<schema: int, imageSize: struct<w: int, h: int>,
@@ -58,14 +59,19 @@ def _array_box(v: str, path: str) -> str:
     return f"CASE WHEN size({a}) >= 4 AND {at(2)} > {at(0)} AND {at(3)} > {at(1)} THEN {corners} WHEN size({a}) >= 4 THEN {sized} END"
 
 
-def parse_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds pos, w, left, top, right, bottom and conf01 for each word of a JSON text.
+#: Words of the usual shape.
+USUAL = "array<struct<text: string, left: double, top: double, right: double, bottom: double, confidence: double>>"
+#: In a text of which Spark's reader of JSON and a variant may say different things of a word's text: one that is no string, and keys that may be written with escapes.
+UNUSUAL = r'"text"\s*:\s*[^"\s]|\\u'
+
+
+def parse_word_lists(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Puts words in the place of a JSON text: array<struct<pos, w, left, top, right, bottom, conf01>>, one pass a text and no rows for words; null if the text is no JSON.
 
     The words are the root array, or the first array under words, data, items, list or result. Boxes come in five
-    shapes, tried in order; a word without one is skipped. Entities are decoded, confidence is brought to 0..1, and
-    text that is no JSON has no words.
+    shapes, tried in order; a word without one is skipped. Entities are decoded, confidence is brought to 0..1.
+    A root array whose words all have the usual shape is read at once, any other list word by word.
     """
-    roots = ", ".join(f"try_variant_get(v, '$.{k}', 'array<variant>')" for k in CONTAINERS)
     boxes = [
         *_box("x", [("$.left", "$.top", "$.right", "$.bottom")], [False]),
         *_box("x", [("$.bbox.left", "$.bbox.top", "$.bbox.right", "$.bbox.bottom"), ("$.bbox.l", "$.bbox.t", "$.bbox.r", "$.bbox.b")], [False, False]),
@@ -74,28 +80,61 @@ def parse_words(df: DataFrame, text_col: str = "text") -> DataFrame:
         *_box("x", [("$.x", "$.y", "$.w", "$.h"), ("$.x", "$.y", "$.width", "$.height")], [True, True]),
         *_box("x", [("$.xmin", "$.ymin", "$.xmax", "$.ymax")], [False]),
     ]
-    parsed = df.withColumn("v", F.try_parse_json(F.col(text_col))).withColumn("a", F.expr(f"coalesce(try_variant_get(v, '$', 'array<variant>'), {roots})"))
-    rows = parsed.select(*df.columns, F.posexplode("a").alias("pos", "x"))
-    rows = rows.withColumn("box", F.expr(f"get(transform(array(x), x -> coalesce({', '.join(boxes)})), 0)")).where("box IS NOT NULL")
-    out = rows.select(
-        *(c for c in df.columns if c != text_col),
-        "pos",
-        T.decode_entities(F.coalesce(F.expr("try_variant_get(x, '$.text', 'string')"), F.lit(""))).alias("w"),
-        "box.*",
-        G.confidence01(F.expr(f"coalesce({_number('x', '$.confidence')}, {_number('x', '$.conf')})")).alias("conf01"),
-    )
-    return out
+    listed = ", ".join(f"try_variant_get(v, '{p}', 'array<variant>')" for p in ("$", *(f"$.{k}" for k in CONTAINERS)))
+    # + 0 as a variant has no -0.0
+    sides = [f"'{c}', {{0}}.{c} + 0D" for c in ("left", "top", "right", "bottom")]
+    one = lambda text, box, conf: f"named_struct('pos', i, 'w', coalesce({text}, ''), {', '.join(sides).format(box)}, 'conf', {conf})"
+    usual = f"transform(t, (x, i) -> {one('x.text', 'x', 'x.confidence')})"
+    whole = " AND ".join(f"x.{c} IS NOT NULL" for c in ("left", "top", "right", "bottom", "confidence"))
+    fit = f"`{text_col}` LIKE '[%' AND NOT `{text_col}` RLIKE r'{UNUSUAL}'"
+    any_conf = f"coalesce({_number('x', '$.confidence')}, {_number('x', '$.conf')})"
+    boxed = f"get(transform(array(coalesce({', '.join(boxes)})), b -> {one("try_variant_get(x, '$.text', 'string')", 'b', any_conf)}), 0)"
+    any_shape = f"filter(transform(coalesce({listed}), (x, i) -> {boxed}), w -> w.left IS NOT NULL)"
+    at_once = f"CASE WHEN {fit} THEN from_json(`{text_col}`, '{USUAL}') END"
+    # what is no JSON for a variant, as with a key that comes twice, has no words
+    parsed = f"get(transform(array(try_parse_json(`{text_col}`)), v -> CASE WHEN v IS NOT NULL THEN get(transform(array({at_once}), t -> CASE WHEN forall(t, x -> {whole}) THEN {usual} ELSE {any_shape} END), 0) END), 0)"
+    others, (raw,) = [c for c in df.columns if c != text_col], tables.fresh(df, "raw")
+    rows = df.select(*others, F.expr(parsed).alias(raw))
+    texts = F.col(raw)["w"]
+    decoded = T.decode_numeric_lists(F.when(F.exists(texts, lambda w: w.contains("&#")), texts))
+
+    def word(x: Column, text: Column) -> Column:
+        named = F.when(text.contains("&"), T.decode_named(text)).otherwise(text)
+        return F.struct(x["pos"].alias("pos"), named.alias("w"), *(x[c].alias(c) for c in ("left", "top", "right", "bottom")), G.confidence01(x["conf"]).alias("conf01"))
+
+    return rows.select(*others, F.zip_with(raw, F.coalesce(decoded, texts), word).alias("words"))
+
+
+def parse_words(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The words of parse_word_lists() as rows: pos, w, left, top, right, bottom and conf01; text that is no JSON has none."""
+    (words,) = tables.fresh(df, "words")
+    parsed = parse_word_lists(df.withColumnsRenamed({"words": words} if "words" != text_col else {}), text_col)
+    # outer, as Spark moves a filter on whether there are words to below the parser, which then runs twice
+    rows = parsed.select(*(c for c in parsed.columns if c != "words"), F.inline_outer("words")).where("pos IS NOT NULL")
+    return rows.withColumnsRenamed({words: "words"})
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     return parse_words(whole_files(spark, path))
 
 
+def _six(c: Column) -> Column:
+    """A number with six decimals; most are written without a format to interpret, to the same digits."""
+    v = c.cast("double")
+    decimals = F.when(v == v.cast("long"), F.concat(v.cast("long").cast("string"), F.lit(".000000"))).otherwise(v.cast("decimal(20,6)").cast("string"))
+    return F.when((v >= 0) & (v < 1e12), decimals).otherwise(F.format_string("%.6f", v))
+
+
+def _quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return F.when(c.rlike(r'["\\\x00-\x1f]'), F.substring(listed, F.lit(2), F.length(listed) - 2)).otherwise(F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null")))
+
+
 def words_json(words: DataFrame, key: str) -> DataFrame:
     """key and json: the words (pos, w, left, top, right, bottom, conf) as a JSON array, numbers with six decimals."""
-    six = lambda c: F.format_string("%.6f", F.col(c).cast("double"))
-    body = F.concat(F.lit('{"text":'), F.to_json(F.array("w")).substr(F.lit(2), F.length(F.to_json(F.array("w"))) - 2), *(x for k, c in (("left", "left"), ("top", "top"), ("right", "right"), ("bottom", "bottom"), ("confidence", "conf")) for x in (F.lit(f',"{k}":'), six(c))), F.lit("}"))
-    one = F.array_sort(F.collect_list(F.struct("pos", body.alias("j"))))
+    body = F.concat(F.lit('{"text":'), _quoted(F.col("w")), *(x for k, c in (("left", "left"), ("top", "top"), ("right", "right"), ("bottom", "bottom"), ("confidence", "conf")) for x in (F.lit(f',"{k}":'), _six(F.col(c)))), F.lit("}"))
+    one = F.sort_array(F.collect_list(F.struct("pos", body.alias("j"))))
     return words.groupBy(key).agg(F.concat(F.lit("["), F.array_join(F.transform(one, lambda x: x["j"]), ","), F.lit("]")).alias("json"))
 
 
