@@ -103,3 +103,9 @@ def test_word_lists_shuffle_no_words(spark):
     """A document is one row from its list on: neither lists nor words are shuffled."""
     plan = entry.queries()["word_lists"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_quads_are_not_shuffled(spark):
+    """Quads are made of texts that are dealt by page, and stay there: the exchange of the texts is the only one."""
+    plan = entry.queries()["recognised_pages"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "split_pages" in plan and plan.count("Exchange") == 1

@@ -452,3 +452,29 @@ def test_tokens_are_split_in_batches(spark):
     assert len(split) > 20 and all(got[r.k].words == r.w and got[r.k].emitted == " ".join(w.text for w in r.w) for r in split)
     assert all(len(got[r.k].words) < 2 and got[r.k].emitted == (got[r.k].text or "") for r in plain if r.w is None)
     assert "split_batch" in R.recognised(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_quads_are_split_as_quads_are(spark, monkeypatch):
+    """Pages put together before their tokens are split are those of quads split one by one, in pieces of any number of quads."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = []
+    for page in range(40):
+        for k in range(rng.choice([1, 2, 12])):
+            n = rng.choice([0, 7, 40, 90])
+            runs = None if rng.random() < 0.1 else [v for _ in range(n) for v in [rng.choice([0, 0, 5000])] * rng.choice([1, 3, 9])]
+            x, y = rng.random() * 500, rng.choice([0, 30, 60]) + rng.random() * 9
+            tokens = rng.choice([None, None, [], [("q", 0.5, 0, 2)], [("a", 0.2, 0, 3), ("שם", 0.6, 5, 9)], [("", 0.2, 0, 3), (None, 0.6, 5, 9)]])
+            text = rng.choice(["", "a", " ab\t", "two words", "wörd😀s", "long" * 6, "שלום", "שלוםab", None])
+            rows.append((page or None, k, [(x, y), (x + 80.5, y + 1), (x + 81, y + 12), (x - 1, y + 11.25)], text, rng.choice([None, 0.3, 1.7, -1.0]), tokens, rng.choice([None, 10]), 80.0, 100.0, runs, rng.choice([None, 7, 40, n]), rng.choice([None, 3, 10, 30])))
+    quads = spark.createDataFrame(rows, RECOGNISED).repartition(3)
+    plain, whole = (sorted(map(repr, f(quads).collect())) for f in (lambda q: R.read_pages(R.recognised(q)), R.read_recognised))
+    assert plain == whole and len(plain) == 40
+    fields = ("profile", "text", "conf", "corners", "width", "height")
+    one = lambda r: dict(zip(fields, (r[9], r[3] or "", r[4] or 0.0, [{"x": a, "y": b} for a, b in r[2]], r[10], r[11]), strict=True))
+    kind = pa.list_(pa.struct(list(zip(fields, (pa.list_(pa.int32()), pa.string(), pa.float64(), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])), pa.int32(), pa.int32()), strict=True))))
+    pages = pa.array([[one(r) for r in rows if (r[0] or 0) == k] for k in range(40)] + [[]], kind)
+    at_once = R.split_pages.func(pages)
+    monkeypatch.setattr(R, "AT_ONCE", 3)
+    assert R.split_pages.func(pages).equals(at_once) and any(w for p in at_once.to_pylist() for w in p) and R.split_pages.func(pages[40:]).to_pylist() == [[]]
