@@ -542,6 +542,15 @@ def test_right_to_left_words_and_models(spark):
     assert [r["id"] for r in got] == [4, 3, 2, 1]
 
 
+def test_reading_order_of_odd_lines(spark):
+    """Ids without a word, words on no line, ids listed twice, words of one id and nulls: as a join by page and id has them."""
+    lines = spark.createDataFrame([(1, 0, 5, [2, 9, 2]), (1, 1, 5, [1, None]), (1, 2, None, [4]), (2, 0, 1, []), (2, 1, 1, None), (3, 0, 1, [1]), (None, 0, 1, [1])], "p int, nth int, top int, ids array<int>").repartition(3)
+    rows = [(1, 1, "a", 5, 9), (1, 2, "b", 7, 9), (1, 2, "של", 3, 8), (1, 3, "no", 0, 0), (1, 4, None, 1, 1), (1, None, "n", 1, 1), (2, 1, "x", 1, 1), (4, 1, "y", 1, 1), (None, 1, "z", 1, 1)]
+    words = spark.createDataFrame(rows, "p int, id long, t string, left int, top int").repartition(2)
+    got = A.words_for_reading(lines, words, "p")
+    assert [tuple(r) for r in got.orderBy("p", "place").collect()] == [(1, 0, 4, None), (1, 1, 2, "b"), (1, 2, 2, "b"), (1, 3, 2, "של"), (1, 4, 2, "של"), (1, 5, 1, "a")]
+
+
 def test_words_cut_in_two(spark):
     rows = [(1, 0, "ab cd", 0.0, 7.0), (1, 1, "abc", 0.0, 2.0), (1, 2, " x", 0.0, 9.0), (1, 3, "שלום", 10.0, 20.0)]
     df = spark.createDataFrame([(d, p, w, a, 0.0, b, 5.0) for d, p, w, a, b in rows], "doc_id int, pos int, w string, left double, top double, right double, bottom double")

@@ -109,3 +109,17 @@ def test_quads_are_not_shuffled(spark):
     """Quads are made of texts that are dealt by page, and stay there: the exchange of the texts is the only one."""
     plan = entry.queries()["recognised_pages"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "split_pages" in plan and plan.count("Exchange") == 1
+
+
+def test_words_put_in_reading_order_are_not_shuffled(spark, sql, monkeypatch):
+    """Texts dealt into more parts than Spark shuffles into, as larger tables are: ids of lines and words meet where the texts lie."""
+    from vellum.plans import model as M
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) + 7
+    monkeypatch.setattr(M, "CUT", 1)
+    monkeypatch.setattr(M.tables, "size", lambda *_: n)
+    df = entry.queries()["words_in_reading_order"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
+    found = sql.execute(entry.oracle_sql()["words_in_reading_order"])
+    assert plain(df.collect(), df.columns) == plain(found.fetchall(), [d[0] for d in found.description])
